@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from keelson.llm import exact_dedup, mixing, quality, sharding
+from keelson.llm import exact_dedup, mixing, quality, sharding, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_content_sort": exact_dedup.op4_content_sort,
     "op6_mix": mixing.op6_mix,
     "op7_minimax_shards": sharding.op7_minimax_shards,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op4_content_sort": exact_dedup.ORACLE,
     "op6_mix": mixing.ORACLE,
     "op10_quality_rules": quality.ORACLE,
