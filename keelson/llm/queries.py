@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from keelson.llm import exact_dedup, minhash, mixing, quality, sharding, substring_dedup
+from keelson.llm import bpe, exact_dedup, minhash, mixing, quality, sharding, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_minhash": minhash.op3_minhash,
     "op4_content_sort": exact_dedup.op4_content_sort,
+    "op5_bpe": bpe.op5_bpe,
     "op6_mix": mixing.op6_mix,
     "op7_minimax_shards": sharding.op7_minimax_shards,
     "op10_quality_rules": quality.op10_quality_rules,
