@@ -8,10 +8,10 @@ Two equal windows have their minimisers at the same place in the window, hence a
 places of the corpus. So a minimiser that marks only one super-k-mer can't hold a repeat,
 and its string needn't travel: a first pass sends 64-bit minimisers only.
 
-A bucket with very many super-k-mers (a line that a third of all documents share, each time
-in other surroundings) is not gathered in one task: its windows travel singly, are
-counted under their own words with partial counts in each task, and only those
-found twice are joined back.
+A bucket with very many super-k-mers is not gathered in one task. Equal strings (copies of a text)
+are first counted as one, with partial counts in each task. If very many different strings
+are left (a line that a third of all documents share, each time in other surroundings), their
+windows are counted one by one under their own words. What is found is joined back.
 """
 
 from __future__ import annotations
@@ -30,8 +30,11 @@ from keelson.llm.text import Words, buffers, shingles
 
 WINDOW = 35
 PIECE = 8
-#: Above this many super-k-mers, a bucket's windows are counted one by one.
-HOT = 2000
+#: Above this many super-k-mers, a bucket's equal strings are counted first; above this many
+#: different strings, its windows are counted one by one.
+HOT, WIDE = 2000, 20_000
+#: Windows in a super-k-mer, at most: a bit each.
+LONGEST = 56
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -46,23 +49,35 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_kmers(texts: list[bytes], window: int, piece: int) -> tuple[np.ndarray, ...]:
-    """(text, first word, number of windows, minimiser) of each super-k-mer."""
+    """(text, first word, number of windows, minimiser, places) of each super-k-mer.
+
+    In periodic text neighbouring minimisers are equal pieces: these super-k-mers travel as one, cut
+    at LONGEST windows, and count as two places.
+    """
     w = Words(texts)
     h = w.hashes()
     g = shingles(h, piece)
     n = len(h) - window + 1
     if n <= 0:
-        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
+        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
     key = (g & ~_PLACE) | np.arange(len(g), dtype=np.uint64)
     place = (sliding_min(key, window - piece + 1) & _PLACE).astype(np.int64)
     text = w.text_of()
     whole = text[:n] == text[window - 1 :]
-    place = np.where(whole, place, -1)
-    begins = np.flatnonzero(whole & np.concatenate(([True], place[1:] != place[:-1])))
-    # Where it ends: the next change of the minimiser.
-    changes = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), n)
-    ends = changes[np.searchsorted(changes, begins, side="right")]
-    return text[begins], begins - w.first[text[begins]], ends - begins, g[place[begins]]
+    v = np.where(whole, g[place], np.uint64(0))
+    new_v = np.concatenate(([True], (v[1:] != v[:-1]) | (whole[1:] != whole[:-1]) | (text[1:n] != text[: n - 1])))
+    new_place = new_v | np.concatenate(([True], place[1:] != place[:-1]))
+    run_start = np.flatnonzero(new_v)
+    run_end = np.append(run_start[1:], n)
+    kept = whole[run_start]
+    run_places = np.add.reduceat(new_place.astype(np.int64), run_start)[kept]
+    run_start, run_end = run_start[kept], run_end[kept]
+    parts = -(-(run_end - run_start) // LONGEST)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begins = np.repeat(run_start, parts) + nth * LONGEST
+    ends = np.minimum(begins + LONGEST, np.repeat(run_end, parts))
+    places = np.minimum(np.repeat(run_places, parts), 2)
+    return text[begins], begins - w.first[text[begins]], ends - begins, v[begins], places
 
 
 def _seeds(window: int, piece: int):
@@ -70,10 +85,10 @@ def _seeds(window: int, piece: int):
         for b in batches:
             ids, sigs = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for at, texts in buffers(b.column(2)):
-                text, first, n, v = super_kmers(texts, window, piece)
+                text, first, n, v, places = super_kmers(texts, window, piece)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (v.view(np.int64), ids[at + text], sigs[at + text], first.astype(np.int32), n.astype(np.int32))],
-                    names=["v", "id", "sig", "first", "n"],
+                    [pa.array(x) for x in (v.view(np.int64), ids[at + text], sigs[at + text], *(y.astype(np.int32) for y in (first, n, places)))],
+                    names=["v", "id", "sig", "first", "n", "places"],
                 )
 
     return run
@@ -88,12 +103,8 @@ def _pack(window: int):
                 w, i, sig = text.as_py().split(), i.as_py(), sig.as_py()
                 for m in marks.as_py():
                     first, n = m["first"], m["n"]
-                    if m["hot"]:
-                        out += [(None, i, sig, first + k, 1, b" ".join(w[first + k : first + k + window])) for k in range(n)]
-                        size += n * len(out[-1][-1])
-                    else:
-                        out.append((m["v"], i, sig, first, n, b" ".join(w[first : first + n + window - 1])))
-                        size += len(out[-1][-1])
+                    out.append((m["v"], i, sig, first, n, b" ".join(w[first : first + n + window - 1]), m["hot"]))
+                    size += len(out[-1][5])
                     if size > 4 << 20:
                         yield _rows(out)
                         out, size = [], 0
@@ -102,7 +113,7 @@ def _pack(window: int):
     return run
 
 
-_PACKED = pa.schema([("v", pa.int64()), ("id", pa.int64()), ("sig", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())])
+_PACKED = pa.schema([("v", pa.int64()), ("id", pa.int64()), ("sig", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("packed", pa.binary()), ("hot", pa.bool_())])
 _MASKS = pa.schema([("id", pa.int64()), ("sig", pa.int64()), ("first", pa.int32()), ("mask", pa.int64())])
 
 
@@ -111,38 +122,55 @@ def _rows(rows: list[tuple], schema: pa.Schema = _PACKED) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def repeats(bucket: list[tuple[int, int, int, int, bytes]], window: int) -> list[tuple[int, int, int, int]]:
-    """(id, sig, first, mask) of the super-k-mers of one bucket; bit k is set if window k is found elsewhere."""
-    found = []
-    for r, (_, _, _, n, packed) in enumerate(bucket):
-        at, cut = [0], -1
-        while (cut := packed.find(b" ", cut + 1)) >= 0:
-            at.append(cut + 1)
-        at.append(len(packed) + 1)
-        found += [(packed[at[k] : at[k + window] - 1], r, k) for k in range(n)]
+_STRINGS = pa.schema([("packed", pa.binary()), ("mask", pa.int64())])
+_WINDOWS = pa.schema([("packed", pa.binary()), ("place", pa.int32()), ("win", pa.binary()), ("c", pa.int64())])
+
+
+def windows(packed: bytes, n: int, window: int) -> list[bytes]:
+    at, cut = [0], -1
+    while (cut := packed.find(b" ", cut + 1)) >= 0:
+        at.append(cut + 1)
+    at.append(len(packed) + 1)
+    return [packed[at[k] : at[k + window] - 1] for k in range(n)]
+
+
+def repeats(bucket: list[tuple[int, bytes, int]], window: int) -> list[int]:
+    """For each (windows, packed string, copies) of one bucket, a mask: bit k is set if window k is found elsewhere."""
+    found = [(x, r, k) for r, (n, packed, _) in enumerate(bucket) for k, x in enumerate(windows(packed, n, window))]
     found.sort()
-    mask = [0] * len(bucket)
+    mask = [(1 << n) - 1 if copies > 1 else 0 for n, _, copies in bucket]
     for (x, r, k), (y, s, j) in zip(found, found[1:]):
         if x == y:
             mask[r] |= 1 << k
             mask[s] |= 1 << j
-    return [(i, sig, first, m) for (i, sig, first, _, _), m in zip(bucket, mask) if m]
+    return mask
+
+
+def _each(batches):
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
 
 
 def _count(window: int):
-    def rows(batches):
-        for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns))
+    """Rows (v, n, packed, copies, ...) sorted by v -> (..., mask) where a mask has a bit."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for _, bucket in groupby(rows(batches), key=lambda r: r[0]):
-            if len(bucket := [r[1:] for r in bucket]) > 1:
-                out += repeats(bucket, window)
+        for _, bucket in groupby(_each(batches), key=lambda r: r[0]):
+            bucket = list(bucket)
+            out += [(*r[4:], m) for r, m in zip(bucket, repeats([r[1:4] for r in bucket], window)) if m]
             if len(out) > 50_000:
-                yield _rows(out, _MASKS)
+                yield _rows(out, schema)
                 out = []
-        yield _rows(out, _MASKS)
+        yield _rows(out, schema)
+
+    return run
+
+
+def _single(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows([(p, k, x, c) for n, p, c in zip(*(c.to_pylist() for c in b.columns)) for k, x in enumerate(windows(p, n, window))], _WINDOWS)
 
     return run
 
@@ -167,15 +195,14 @@ def _cut(window: int):
     return lambda batches: (x for x in run(batches) if x)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece: int = PIECE, hot: int = HOT) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece: int = PIECE, hot: int = HOT, wide: int = WIDE) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, kept_text.
 
     A word goes if a window over it is found at any other place, in the same text or in
     another; windows are judged on the input. A null or empty text has no words, and
     a text shorter than a window keeps all. Identifiers are integers or null; rows that
     repeat one are places of their own. An empty table gives an empty one; other columns
-    are ignored. A worker holds a few times its longest text. ``window - piece`` must be
-    below 63.
+    are ignored. A worker holds a few times its longest text.
     """
     short_batches(docs.sparkSession)
     id_ = F.col(id_col).cast("long")
@@ -184,19 +211,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     key = ["id", "sig"]
     seeds = materialise(
-        rows.where("text IS NOT NULL").select(*key, "text").mapInArrow(_seeds(window, piece), "v long, id long, sig long, first int, n int")
+        rows.where("text IS NOT NULL").select(*key, "text").mapInArrow(_seeds(window, piece), "v long, id long, sig long, first int, n int, places int")
     )
-    twice = seeds.groupBy("v").count().where("count > 1").select("v", (F.col("count") > hot).alias("hot"))
+    twice = seeds.groupBy("v").agg(F.sum("places").alias("n_places")).where("n_places > 1").select("v", (F.col("n_places") > hot).alias("hot"))
     marks = seeds.join(twice, "v").groupBy(*key).agg(F.collect_set(F.struct("v", "first", "n", "hot")).alias("marks"))
     texts = rows.withColumn("text", F.col("text").cast("binary"))
     packed = materialise(
-        texts.join(marks, key).select(*key, "text", "marks").mapInArrow(_pack(window), "v long, id long, sig long, first int, n int, packed binary")
+        texts.join(marks, key)
+        .select(*key, "text", "marks")
+        .mapInArrow(_pack(window), "v long, id long, sig long, first int, n int, packed binary, hot boolean")
+    )
+    count = _count(window)
+    few = packed.where("NOT hot").select("v", "n", "packed", F.lit(1).alias("copies"), *key, "first")
+    masks = few.repartition("v").sortWithinPartitions("v").mapInArrow(lambda it: count(it, _MASKS), "id long, sig long, first int, mask long")
+    # Hot buckets: equal strings count as one row with a number of copies.
+    many = packed.where("hot")
+    strings = materialise(many.groupBy("v", "n", "packed").agg(F.count(F.lit(1)).alias("copies")))
+    per_v = strings.groupBy("v").agg((F.count(F.lit(1)) > wide).alias("wide"))
+    strings = strings.join(per_v, "v")
+    narrow = strings.where("NOT wide").select("v", "n", "packed", "copies", F.col("packed").alias("own"))
+    by_bucket = narrow.repartition("v").sortWithinPartitions("v").mapInArrow(lambda it: count(it, _STRINGS), "packed binary, mask long")
+    single = materialise(
+        strings.where("wide").select("n", "packed", "copies").mapInArrow(_single(window), "packed binary, place int, win binary, c long")
     )
-    masks = packed.where("v IS NOT NULL").repartition("v").sortWithinPartitions("v").mapInArrow(_count(window), "id long, sig long, first int, mask long")
-    single = packed.where("v IS NULL").select(*key, "first", "packed")
-    often = single.groupBy("packed").count().where("count > 1").select("packed")
-    hot_masks = single.join(often, "packed").select(*key, "first", F.lit(1).cast("long").alias("mask"))
-    per_text = masks.unionByName(hot_masks).groupBy(*key).agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
+    often = single.groupBy("win").agg(F.sum("c").alias("c")).where("c > 1").select("win")
+    by_window = single.join(often, "win").groupBy("packed").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
+    of_string = by_bucket.unionByName(by_window)
+    hot_masks = many.join(of_string, "packed").select(*key, "first", "mask")
+    masks = masks.unionByName(hot_masks)
+    per_text = masks.groupBy(*key).agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     out = texts.join(per_text, key, "left").select("own_id", "text", "marks")
     out = out.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id_col)
