@@ -47,12 +47,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: places in ``data``, hashes, and first[i]:first[i + 1] for text i."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, between: np.ndarray = BLANK):
         self.buffer = b"\n".join(texts) + b"\n"
         self.data = np.frombuffer(self.buffer, dtype=np.uint8)
         if lower:
             self.data = LOWER[self.data]
-        inside = np.concatenate(([False], ~BLANK[self.data]))
+        inside = np.concatenate(([False], ~between[self.data]))
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edge[0::2], edge[1::2]
         text_start = np.zeros(len(texts) + 1, dtype=np.int64)
