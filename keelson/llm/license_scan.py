@@ -1,7 +1,7 @@
 """License scans: winnowed fingerprints, an inverted index and banded alignment.
 
 Templates are cut into words of letters and digits, in lower case. Hashes of three neighbouring
-words are winnowed: of each four, the smallest stays. The kept hashes form an inverted index
+words are winnowed: of each four, the smallest stays (a one-line notice keeps all). The kept hashes form an inverted index
 from hash to (template, place). In a text, every three-word hash is looked up; hits of one template
 near one diagonal are a candidate, and the template is then aligned word by word with the text in
 a band around that diagonal. What is reported: matched words, their share of the template (coverage) and
@@ -97,7 +97,9 @@ class Index:
 
 
 def winnow(g: np.ndarray, width: int) -> list[int]:
-    """Places of the rightmost smallest hash of each ``width`` neighbours."""
+    """Places of the rightmost smallest hash of each ``width`` neighbours; all places of a short template."""
+    if len(g) <= 2 * width:
+        return list(range(len(g)))
     places: dict[int, None] = {}
     for i in range(max(1, len(g) - width + 1)) if len(g) else ():
         part = g[i : i + width]
