@@ -1,26 +1,58 @@
-"""A corpus pipeline: each stage applies one operator to what the last one kept."""
+"""A corpus pipeline: each stage applies one operator to all that the last one kept.
+
+Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.exact_dedup import content_sort
+from keelson.llm import bpe, exact_dedup, langid, minhash, mixing
+from keelson.llm.staging import materialise
 
-#: None: the stages beyond SQL (language ID, near-duplicates, BPE) have brute-force tests instead.
+#: None: language ID, near-duplicates and BPE are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go; a missing language is filled in with the predicted one."""
+    model = langid.fit(docs.where(langid.fold() != 1))
+    said = langid.predict(docs, model).where(F.col("lang_pred") != langid.UND).select(F.col("doc_id").alias("_id"), "lang_pred").dropDuplicates(["_id"])
+    kept = docs.join(said, docs["doc_id"] == said["_id"]).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return kept.select(*docs.columns)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = content_sort(docs, keep="largest").where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    """Of texts equal but for the case of A-Z, the one with the largest doc_id stays."""
+    kept = exact_dedup.content_sort(docs, keep="largest").where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that of the smallest doc_id."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate asks for; repeats are rows of the same doc_id."""
+    return mixing.emit(docs, mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each row, with digests of them and of their decoded text."""
+    return bpe.bpe_encode(docs, bpe.default_path())
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("bpe", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
     return docs
