@@ -68,7 +68,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repea
 
 def coin(id_col: Column, seed: str) -> Column:
     """A number in [0, 1) from 52 bits of a hash."""
-    hexes = F.substring(F.md5(F.concat(F.lit(seed + ":"), id_col.cast("string"))), 1, 13)
+    hexes = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 13)
     return F.conv(hexes, 16, 10).cast("double") / float(1 << 52)
 
 
@@ -91,10 +91,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as ``copies`` says, in its own columns."""
-    copies = mixed.select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_copies")).where("_copies > 0").distinct()
-    out = docs.join(copies, docs[id_col].eqNullSafe(F.col("_mix_id")))
+    copies = mixed.select(F.col(id_col).alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_copies")).where("_copies > 0").distinct()
+    out = docs.join(copies, docs[id_col].eqNullSafe(F.col("_mix_id")) & docs[source_col].eqNullSafe(F.col("_mix_source")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[docs[c] for c in docs.columns])
 
 
