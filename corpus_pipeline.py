@@ -15,24 +15,28 @@ from keelson.llm.staging import materialise
 ORACLE_SQL = None
 
 
+def of_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``kept``; a null doc_id counts as one."""
+    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(*docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; a missing language is filled in with the predicted one."""
     model = langid.fit(docs.where(langid.fold() != 1))
     said = langid.predict(docs, model).where(F.col("lang_pred") != langid.UND).select(F.col("doc_id").alias("_id"), "lang_pred").dropDuplicates(["_id"])
-    kept = docs.join(said, docs["doc_id"] == said["_id"]).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    kept = docs.join(said, docs["doc_id"].eqNullSafe(said["_id"])).withColumn("lang", F.coalesce("lang", "lang_pred"))
     return kept.select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, the one with the largest doc_id stays."""
-    kept = exact_dedup.content_sort(docs, keep="largest").where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return of_ids(docs, exact_dedup.content_sort(docs, keep="largest").where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return of_ids(docs, minhash.near_duplicates(docs).where("kept"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
