@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from keelson.operators.robust import weight_vectors
+from keelson.plans.queries import digits_of
 from keelson.registry import CUSTOMERS, WEIGHT_PRESETS
 from keelson.schema import AGGREGATIONS
 
@@ -133,7 +136,7 @@ def _weighted(weights: str, value: str = "score") -> str:
 
 
 def _of(kind: str) -> str:
-    return f"SELECT entity, variable_name, round(agg.value, 6) AS value, fill_year FROM agg JOIN reg USING (variable_name) WHERE aggregation = '{kind}'"
+    return f"SELECT entity, variable_name, round(agg.value, 6) AS value, coalesce(fill_year, 0) AS fill_year FROM agg JOIN reg USING (variable_name) WHERE aggregation = '{kind}'"
 
 
 def r(*cols: str) -> str:
@@ -154,7 +157,7 @@ _BODY = {
     "q_ratio_derive": f"SELECT entity, {r('value', 'fill_value')} FROM der WHERE variable_name = 'returned_qty'",
     "q_dense_grid": "SELECT variable_name, count(*) AS n_cells, count(*) FILTER (value IS NULL) AS n_gaps FROM grid GROUP BY 1",
     "q_regional_fill": "SELECT entity, variable_name, round(filled, 6) AS value, regional FROM fil",
-    "q_fill_log": f"SELECT variable_name, entity, fill_stage, fill_year, {r('fill_value')} FROM log",
+    "q_fill_log": f"SELECT variable_name, entity, fill_stage, coalesce(fill_year, 0) AS fill_year, {r('fill_value')} FROM log",
     "q_coverage_raw": """SELECT variable_name, n_entities, n_obs_total, year_min, year_max, round(n_entities / t, 6) AS pct_coverage,
         CASE WHEN n_entities / t < 0.5 THEN 'VERY SPARSE' WHEN n_entities / t < 0.75 THEN 'SPARSE' ELSE '' END AS flag
         FROM (SELECT reg.variable_name, count(DISTINCT entity) AS n_entities, count(value) AS n_obs_total, min(year) AS year_min, max(year) AS year_max,
@@ -195,7 +198,7 @@ _BODY = {
     "q_rank_sensitivity": f"SELECT *, rank_max - rank_min AS rank_range, CASE WHEN rank_max - rank_min <= 5 THEN 'Stable' WHEN rank_max - rank_min <= 12 THEN 'Moderate' ELSE 'Sensitive' END AS verdict FROM ({_SENS})",
     "q_robustness_summary": f"""SELECT round(min_rho, 6) AS min_rho, n_stable, n_sensitive, CASE WHEN n_sensitive > 5 THEN 'Review' WHEN min_rho >= 0.9 THEN 'High' WHEN min_rho >= 0.8 THEN 'Moderate' ELSE 'Low' END AS verdict
         FROM (SELECT min(rho) AS min_rho FROM zs), (SELECT count(*) FILTER (d <= 5) AS n_stable, count(*) FILTER (d > 12) AS n_sensitive FROM (SELECT rank_max - rank_min AS d FROM ({_SENS})))""",
-    "q_fill_exclusion": """SELECT entity, rank_base, CASE WHEN p IS NOT NULL THEN rank_pure END AS rank_pure, CASE WHEN p IS NOT NULL THEN abs(rank_pure - rank_base) END AS shift,
+    "q_fill_exclusion": """SELECT entity, rank_base, CASE WHEN p IS NOT NULL THEN rank_pure ELSE -1 END AS rank_pure, CASE WHEN p IS NOT NULL THEN abs(rank_pure - rank_base) ELSE -1 END AS shift,
         CASE WHEN p IS NULL THEN 'Data-sensitive' WHEN abs(rank_pure - rank_base) <= 3 THEN 'Stable' WHEN abs(rank_pure - rank_base) <= 8 THEN 'Moderate' ELSE 'Data-sensitive' END AS verdict
         FROM (SELECT eq.entity, p, rank() OVER (ORDER BY eq.score DESC NULLS LAST)::INT AS rank_base, rank() OVER (ORDER BY p DESC NULLS LAST)::INT AS rank_pure FROM eq JOIN
         (SELECT entity, avg(x) AS p FROM (SELECT norm.entity, pillar, avg(CASE WHEN f.entity IS NULL THEN s END) AS x FROM norm JOIN spil USING (variable_name)
@@ -210,7 +213,7 @@ _BODY = {
     "q_top_bottom": "SELECT entity, round(equal, 6) AS equal, equal_rank, part FROM ((SELECT entity, equal, equal_rank, 'top' AS part FROM rk ORDER BY equal_rank, entity LIMIT 5) UNION ALL (SELECT entity, equal, equal_rank, 'bottom' FROM rk WHERE equal IS NOT NULL ORDER BY equal_rank DESC, entity LIMIT 5))",
     "q_rankings_without": f"SELECT entity, grp, round(equal, 2) AS score, equal_rank AS rank, {_LIGHT.format('equal')} AS light FROM rk JOIN ent USING (entity) WHERE grp <> 3",
     "q_profile": f"SELECT entity, pillar, round(score, 6) AS score, round(mean_score, 6) AS mean_score, round(group_score, 6) AS group_score, {_LIGHT.format('score')} AS light FROM ps JOIN (SELECT pillar, avg(score) AS mean_score FROM ps GROUP BY 1) USING (pillar) JOIN (SELECT pillar, avg(score) AS group_score FROM ps WHERE grp = (SELECT grp FROM ent WHERE entity = 7) GROUP BY 1) USING (pillar) WHERE entity = 7",
-    "q_pillar_detail": "SELECT entity, variable_name, cel.role, round(cel.value, 6) AS value, cel.fill_year IS NOT NULL OR regional AS filled, goodness_rank, n_ranked, s AS norm_score FROM cel JOIN pil USING (variable_name) LEFT JOIN good USING (entity, variable_name) LEFT JOIN (SELECT entity, variable_name, s FROM norm) USING (entity, variable_name) WHERE pillar = 'D'",
+    "q_pillar_detail": "SELECT entity, variable_name, cel.role, round(cel.value, 6) AS value, cel.fill_year IS NOT NULL OR regional AS filled, coalesce(goodness_rank, -1) AS goodness_rank, coalesce(n_ranked, -1) AS n_ranked, s AS norm_score FROM cel JOIN pil USING (variable_name) LEFT JOIN good USING (entity, variable_name) LEFT JOIN (SELECT entity, variable_name, s FROM norm) USING (entity, variable_name) WHERE pillar = 'D'",
     "q_walkthrough": "SELECT entity, round(cel.value, 6) AS value, round(x, 6) AS after_log, s AS norm_score FROM cel JOIN tr USING (entity, variable_name) JOIN norm USING (entity, variable_name) WHERE variable_name = 'returned_qty'",
     "q_heatmap": "SELECT b AS row, a AS col, round(rho, 6) AS rho FROM zs",
     "q_radar": f"SELECT entity, pillar, round(score * map_extract_value(MAP {{{_PRESET}}}, pillar) * 7, 6) AS scaled FROM ps",
@@ -224,7 +227,7 @@ _BODY = {
     "q_rank_flips": "SELECT count(*) FILTER (equal_rank <> geometric_rank) AS n_flips, count(*) AS n FROM rk",
     "q_bundle": """SELECT entity, round(equal, 2) AS equal, bod_rank, round(a.score, 2) AS pillar_a, round(s, 2) AS indicator_score, f.entity IS NOT NULL AS indicator_filled,
         n_filled, flag, CASE WHEN equal IS NOT NULL THEN round(least(greatest(equal - (2 + 26.7::DOUBLE * pct_filled), 0), 100), 1) END AS low,
-        CASE WHEN equal IS NOT NULL THEN (row_number() OVER (PARTITION BY ent.grp ORDER BY equal DESC NULLS LAST, entity))::INT END AS peer_rank
+        CASE WHEN equal IS NOT NULL THEN (row_number() OVER (PARTITION BY ent.grp ORDER BY equal DESC NULLS LAST, entity))::INT ELSE -1 END AS peer_rank
         FROM rk JOIN ent USING (entity) JOIN qd USING (entity) LEFT JOIN (SELECT entity, score FROM ps WHERE pillar = 'A') a USING (entity)
         LEFT JOIN (SELECT entity, s FROM norm WHERE variable_name = 'returned_qty') USING (entity)
         LEFT JOIN (SELECT DISTINCT entity FROM log WHERE variable_name = 'returned_qty') f USING (entity)""",
@@ -240,3 +243,5 @@ ORACLE_SQL = {k: f"{BASE}{_EXTRA.get(k, '')} {v}" for k, v in _BODY.items()} | {
         CASE WHEN mx.rho >= 0.95 THEN 'Highly robust' WHEN mx.rho >= 0.85 THEN 'Robust' WHEN mx.rho >= 0.70 THEN 'Moderate' ELSE 'Sensitive' END AS verdict
         FROM mx ORDER BY mx.rho, weight_id LIMIT 1""",
 }
+# The places to round to are those of the queries, by column name.
+ORACLE_SQL = {k: re.sub(r", 6\) AS (\w+)", lambda m: f", {digits_of(m[1])}) AS {m[1]}", v) for k, v in ORACLE_SQL.items()}

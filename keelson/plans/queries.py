@@ -1,4 +1,8 @@
-"""The registered queries over the customer panel. Floats are rounded to six places: sums are taken in any order."""
+"""The registered queries over the customer panel.
+
+Sums are taken in any order, so floats are rounded: raw values, which may be large, to five places, scores and
+shares to nine (a weighted mean of four-place scores can end in a 5 at the seventh).
+"""
 
 from __future__ import annotations
 
@@ -21,8 +25,18 @@ PILLAR, INDICATOR = "D", "returned_qty"
 LEFT_OUT = F.col("grp") == 3
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+RAW_COLUMNS = {
+    "value", "fill_value", "left_value", "right_value", "diff", "max_diff", "mean_diff", "q1", "q3", "iqr", "lower_bound", "upper_bound",
+    "raw_min", "raw_max", "log_min", "log_max", "after_log",
+}
+
+
+def digits_of(column: str) -> int:
+    return 5 if column in RAW_COLUMNS else 9
+
+
+def rounded(df: DataFrame, digits: int | None = None) -> DataFrame:
+    return df.select(*[F.round(c, digits or digits_of(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def _run(f: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,7 +46,7 @@ def _run(f: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], DataFra
 def _of_aggregation(kind: str):
     def f(r: Run) -> DataFrame:
         names = [i.variable_name for i in r.definitions.indicators if i.aggregation == kind]
-        return r.aggregated.where(F.col("variable_name").isin(names)).select("entity", "variable_name", "value", "fill_year")
+        return r.aggregated.where(F.col("variable_name").isin(names)).select("entity", "variable_name", "value", F.coalesce("fill_year", F.lit(0)).alias("fill_year"))
 
     return f
 
@@ -66,7 +80,7 @@ def _bundle(r: Run) -> DataFrame:
     return nested.select(
         "entity", F.col("scores.equal").alias("equal"), F.col("ranks.bod").alias("bod_rank"), F.col("pillars")["A"].alias("pillar_a"),
         F.col("indicators")[INDICATOR]["score"].alias("indicator_score"), F.col("indicators")[INDICATOR]["filled"].alias("indicator_filled"),
-        F.col("data_quality.n_filled").alias("n_filled"), F.col("data_quality.flag").alias("flag"), F.col("band.low").alias("low"), F.col("peers.peer_rank").alias("peer_rank"),
+        F.col("data_quality.n_filled").alias("n_filled"), F.col("data_quality.flag").alias("flag"), F.col("band.low").alias("low"), F.coalesce("peers.peer_rank", F.lit(-1)).alias("peer_rank"),
     )
 
 
@@ -97,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_ratio_derive": _run(lambda r: r.derived.where(F.col("variable_name") == "returned_qty").select("entity", "value", "fill_value")),
     "q_dense_grid": _run(lambda r: r.grid.groupBy("variable_name").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("value").isNull()).alias("n_gaps"))),
     "q_regional_fill": _run(lambda r: r.filled.select("entity", "variable_name", "value", "regional")),
-    "q_fill_log": _run(lambda r: r.fill_log),
+    "q_fill_log": _run(lambda r: r.fill_log.withColumn("fill_year", F.coalesce("fill_year", F.lit(0)))),
     "q_coverage_raw": _run(lambda r: clean.raw_coverage(r.obs, r.registry, r.entities.agg(F.count(F.lit(1)).alias("n_total")))),
     "q_coverage_post": _run(lambda r: clean.post_coverage(r.filled)),
     "q_fences": _run(lambda r: r.fences),
@@ -133,7 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_robustness_summary": _run(_verdict),
     "q_max_shift": _run(lambda r: robust.max_shift(r.group_pillars())),
     "q_worst_weights": _run(lambda r: robust.worst_weights(robust.max_shift(r.group_pillars()))),
-    "q_fill_exclusion": _run(lambda r: robust.without_fills(r.norm, r.fill_log, r.registry)),
+    "q_fill_exclusion": _run(lambda r: robust.without_fills(r.norm, r.fill_log, r.registry).fillna(-1)),
     "q_tight_bounds": _run(lambda r: robust.tight_bounds(r.kept_pillars)),
     "q_confidence_band": _run(lambda r: robust.bands(score.equal(r.pillars).withColumnRenamed("score", "equal"), r.quality)),
     "q_data_quality": _run(lambda r: serve.data_quality(r.quality).withColumn("filled", F.array_join("filled", ","))),
@@ -144,9 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_top_bottom": _run(lambda r: serve.ends(r.ranks(["equal"]))),
     "q_rankings_without": _run(lambda r: serve.rankings(r.ranks(["equal"]), r.entities, without=LEFT_OUT)),
     "q_profile": _run(_profile),
-    "q_pillar_detail": _run(lambda r: serve.pillar_detail(PILLAR, r.cells, r.norm, r.registry).drop("value_text")),
+    "q_pillar_detail": _run(lambda r: serve.pillar_detail(PILLAR, r.cells, r.norm, r.registry).drop("value_text").fillna(-1, ["goodness_rank", "n_ranked"])),
     "q_walkthrough": _run(lambda r: serve.walkthrough(INDICATOR, r.cells, normalize.bounds(r.cells, r.registry))),
-    "q_heatmap": _run(lambda r: serve.heatmap(r.kept_pillars, 6)),
+    "q_heatmap": _run(lambda r: serve.heatmap(r.kept_pillars, 9)),
     "q_radar": _run(lambda r: serve.radar(r.pillars, WEIGHT_PRESETS["security_focus"])),
     "q_pillar_averages": _run(lambda r: serve.pillar_averages(r.pillars)),
     "q_table_filter": _run(lambda r: serve.table_view(r.registry.select("variable_name", "display_name", "aggregation"), {"display_name": "ORDER"}, [("variable_name", True)])),
