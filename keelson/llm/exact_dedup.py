@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from keelson.llm.staging import documents
 
+#: Characters of a text that splitters are made of.
+SPLIT_CHARS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,7 +35,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("_id"), lower_ascii(F.col(text_col)).alias("_norm"))
     digest = F.sha2(F.encode("_norm", "UTF-8"), 256)
     best = {"smallest": F.min, "largest": F.max}[keep]
-    placed = rows.repartitionByRange("_norm", "_id").sortWithinPartitions("_norm", "_id")
+    # The driver sees a sample of the splitting keys, so these are the first characters only; order and
+    # equality are those of whole texts.
+    placed = rows.repartitionByRange(F.substring("_norm", 1, SPLIT_CHARS), "_id").sortWithinPartitions("_norm", "_id")
     runs = (
         placed.groupBy("_norm")
         # first() needs the rows in order: it keeps the sort, and makes Spark compare neighbours.
