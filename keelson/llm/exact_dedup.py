@@ -29,8 +29,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``keep`` is "smallest" or "largest": which identifier of equal texts stays.
     Null texts equal empty ones. Repeated identifiers stay as rows of their own
-    and are all kept if theirs is the identifier that stays. An empty table gives
-    an empty one. Other columns are ignored, whatever their names.
+    and are all kept if theirs is the identifier that stays. A null identifier
+    stays only where equal texts have no other; all such rows are then kept. An empty
+    table gives an empty one. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("_id"), lower_ascii(F.col(text_col)).alias("_norm"))
     digest = F.sha2(F.encode("_norm", "UTF-8"), 256)
@@ -46,7 +47,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     out = rows.select("_id", digest.alias("text_sha256")).join(runs, "text_sha256")
     return out.select(
-        F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
@@ -57,6 +58,6 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """

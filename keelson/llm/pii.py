@@ -168,14 +168,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text, F.col(id_col)).alias("_sig"), text.alias("_text"))
     seen = materialise(rows.select("_id", "_sig", described(F.col("_text")).alias("d")).select("_id", "_sig", "d.base", "d.inst"))
-    each = seen.where(F.size("inst") > 0).select("_sig", F.explode("inst").alias("i")).select("_sig", "i.*")
-    marked = each.select("_sig", "start", "end", "token", "seed", F.explode("patterns").alias("pattern"))
+    each = seen.where(F.size("inst") > 0).select("_id", "_sig", F.explode("inst").alias("i")).select("_id", "_sig", "i.*")
+    marked = each.select("_id", "_sig", "start", "end", "token", "seed", F.explode("patterns").alias("pattern"))
     edges = materialise(marked.groupBy("pattern", "token").agg(F.max("seed").alias("seed")))
     good = confident_patterns(edges).select("pattern")
-    new = marked.where(~F.col("seed")).join(good, "pattern").groupBy("_sig").agg(
+    new = marked.where(~F.col("seed")).join(good, "pattern").groupBy(F.col("_id").alias("_new_id"), F.col("_sig").alias("_new_sig")).agg(
         F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("ord"), F.lit(FOUND).alias("kind"), F.col("end"))).alias("new")
     )
-    out = seen.select("_id", "_sig", "base").join(new, "_sig", "left")
+    same_row = (F.col("_sig") == F.col("_new_sig")) & F.col("_id").eqNullSafe(F.col("_new_id"))
+    out = seen.select("_id", "_sig", "base").join(new, same_row, "left")
     every = F.array_sort(F.concat("base", F.coalesce(F.col("new"), F.array().cast(f"array<{_SPAN}>"))))
 
     def count(kind: str) -> Column:
