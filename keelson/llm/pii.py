@@ -140,6 +140,7 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, confidence) from distinct edges (pattern, token, seed), scored in turn.
 
     Everything is a sum per pattern or per token, so no group is gathered; seeds keep score 1.
+    ``edges`` is a written table and each round reads the last one once, so the few rounds are one plan.
     """
     score = edges.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(0.0))
     for k in range(rounds):
@@ -154,7 +155,6 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         score = edges.join(trust, "token", "left").withColumn(
             "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0)))
         )
-        score = materialise(score.select("pattern", "token", "seed", "score"))
     return conf.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS))
 
 
