@@ -15,6 +15,11 @@ def no_nan(x) -> Column:
     return F.when(~F.isnan(_c(x)), _c(x))
 
 
+def shown(x, digits: int = 2) -> Column:
+    """Rounded for a view; rounded to nine places first, so that a tie doesn't depend on the order of a sum."""
+    return F.round(F.round(_c(x), 9), digits)
+
+
 def log1p_clipped(x) -> Column:
     """ln(1 + x) with negatives clipped to 0; NULL stays NULL."""
     x = _c(x)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.sources.tables import kept
+
 BUCKETS = 64
 
 
@@ -20,8 +22,8 @@ def rank_desc(df: DataFrame, by: str, out: str, within: list[str] | None = None,
     breaks ties (a row number). ``within``: rank inside each group of these columns.
     """
     within = within or []
-    # Three readers follow; executors keep the rows, in memory or on disk, for as long as the cache holds them.
-    df = df.persist()
+    # Three readers follow; a chain of ranks would else read its input 3, 9, 27 ... times.
+    df = kept(df)
     probs = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
     if within:
         splits = df.groupBy(*within).agg(F.percentile_approx(by, probs, F.lit(10000)).alias("_splits"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.functions.columns import confidence_half, rank_range_verdict, rho_verdict, shift_verdict
+from keelson.functions.columns import confidence_half, rank_range_verdict, rho_verdict, shift_verdict, shown
 from keelson.functions.ranking import rank_desc
 from keelson.operators import score
 from keelson.operators.diagnose import spearman
@@ -88,10 +88,10 @@ def fill_counts(fill_log: DataFrame, entities: DataFrame, n_indicators: int) ->
 def bands(scores: DataFrame, quality: DataFrame, method: str = "equal") -> DataFrame:
     """A band around each score that is wider the more was filled, within 0 to 100, one decimal."""
     half = confidence_half("pct_filled")
-    at = lambda x: F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)), 1)
+    at = lambda x: shown(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)), 1)
     s = F.col(method)
     return scores.select("entity", method).where(s.isNotNull()).join(quality, "entity").select(
-        "entity", at(s - half).alias("low"), at(s + half).alias("high"), F.round(2 * half, 1).alias("width")
+        "entity", at(s - half).alias("low"), at(s + half).alias("high"), shown(2 * half, 1).alias("width")
     )
 
 

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.functions.columns import shown
 from keelson.functions.ranking import rank_desc
 from keelson.schema import DEFAULT, Params
 
@@ -49,7 +50,7 @@ def custom(pillars: DataFrame, weights: dict[str, float], p: Params = DEFAULT) -
     full = {k: float(weights.get(k, 1 / len(p.pillars))) for k in p.pillars}
     if sum(full.values()) <= 0:
         full = {k: 1 / len(p.pillars) for k in p.pillars}
-    return weighted(pillars.withColumn("score", F.round("score", 2)), full)
+    return weighted(pillars.withColumn("score", shown("score")), full)
 
 
 def geometric(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:

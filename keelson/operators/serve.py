@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.columns import fill_flag, log1p_clipped, min_max, tiered_number, traffic_light
+from keelson.functions.columns import fill_flag, log1p_clipped, min_max, shown, tiered_number, traffic_light
 from keelson.functions.ranking import rank_desc
 from keelson.operators.diagnose import spearman
 from keelson.schema import DEFAULT, Params
@@ -26,15 +26,18 @@ def ends(ranks: DataFrame, method: str = "equal", n: int = 5) -> DataFrame:
 
 
 def rankings(ranks: DataFrame, entities: DataFrame, method: str = "equal", without=None) -> DataFrame:
-    """Rows of the rankings table; leaving out entities (a condition) doesn't rank the others anew."""
-    out = ranks.join(entities, "entity").select("entity", "grp", F.round(method, 2).alias("score"), F.col(f"{method}_rank").alias("rank"), traffic_light(method).alias("light"))
-    return out if without is None else out.where(~without)
+    """Rows of the rankings table; leaving out entities (an SQL condition) doesn't rank the others anew."""
+    out = ranks.join(entities, "entity").select("entity", "grp", shown(method).alias("score"), F.col(f"{method}_rank").alias("rank"), traffic_light(method).alias("light"))
+    return out if without is None else out.where(~F.expr(without))
 
 
 def goodness(cells: DataFrame, registry: DataFrame) -> DataFrame:
-    """Rank of raw values per indicator, the better first by polarity, with the number ranked."""
+    """Rank of raw values per indicator, the better first by polarity, with the number ranked.
+
+    Values that differ by less than a billionth are ties: means depend on the order of their sum.
+    """
     x = cells.where("value IS NOT NULL").join(F.broadcast(registry.select("variable_name", "polarity")), "variable_name")
-    x = x.withColumn("_good", F.when(F.col("polarity") == "negative", -F.col("value")).otherwise(F.col("value")))
+    x = x.withColumn("_good", F.when(F.col("polarity") == "negative", -F.round("value", 9)).otherwise(F.round("value", 9)))
     out = rank_desc(x, "_good", "goodness_rank", ["variable_name"])
     n = x.groupBy("variable_name").agg(F.count(F.lit(1)).alias("n_ranked"))
     return out.join(F.broadcast(n), "variable_name").select("entity", "variable_name", "value", "goodness_rank", "n_ranked")
@@ -62,7 +65,7 @@ def walkthrough(name: str, cells: DataFrame, bounds: DataFrame, p: Params = DEFA
 
 def heatmap(pillars: DataFrame, digits: int = 2) -> DataFrame:
     """Lower triangle of the pillars' rank correlations, from two-decimal scores."""
-    x = pillars.withColumn("score", F.round("score", 2))
+    x = pillars.withColumn("score", shown("score"))
     return spearman(x, "pillar", "score").select(F.col("b").alias("row"), F.col("a").alias("col"), F.round("rho", digits).alias("rho"))
 
 
@@ -99,14 +102,14 @@ def bundle(ranks: DataFrame, pillars: DataFrame, norm: DataFrame, log: DataFrame
     filled = log.select("entity", "variable_name").distinct().withColumn("f", F.lit(True))
     ind = norm.join(filled, ["entity", "variable_name"], "left").groupBy("entity").agg(
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("variable_name", F.struct(F.round("norm_score", 2).alias("score"), F.coalesce("f", F.lit(False)).alias("filled")))))
+            F.array_sort(F.collect_list(F.struct("variable_name", F.struct(shown("norm_score").alias("score"), F.coalesce("f", F.lit(False)).alias("filled")))))
         ).alias("indicators")
     )
     pil = pillars.where("score IS NOT NULL").groupBy("entity").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("pillar", F.round("score", 2))))).alias("pillars")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("pillar", shown("score"))))).alias("pillars")
     )
     s = ranks.select(
-        "entity", F.struct(*[F.round(m, 2).alias(m) for m in methods]).alias("scores"), F.struct(*[F.col(f"{m}_rank").alias(m) for m in methods]).alias("ranks"),
+        "entity", F.struct(*[shown(m).alias(m) for m in methods]).alias("scores"), F.struct(*[F.col(f"{m}_rank").alias(m) for m in methods]).alias("ranks"),
         F.coalesce(F.col(methods[0]), F.lit(0.0)).alias("sort_key"),
     )
     out = s.join(pil, "entity", "left").join(ind, "entity", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from keelson.operators.robust import weight_vectors
-from keelson.plans.queries import digits_of
+from keelson.plans.queries import RAW_COLUMNS
 from keelson.registry import CUSTOMERS, WEIGHT_PRESETS
 from keelson.schema import AGGREGATIONS
 
@@ -32,13 +32,13 @@ _PIL = _values((i.variable_name, p, n) for i in CUSTOMERS.indicators for n, p in
 BASE = f"""
 WITH reg(ord, variable_name, display_name, role, polarity, aggregation, k, y0, y1, log_t, denominator) AS (VALUES {_REG}),
 pil(variable_name, pillar, pos) AS (VALUES {_PIL}),
-o AS (SELECT o_custkey AS e, year(o_orderdate)::INT AS y, sum(o_totalprice) AS order_value, count(*)::DOUBLE AS order_count,
-        avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS urgent_value,
-        sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') AS urgent_pending,
-        sum(o_totalprice) FILTER (o_orderstatus = 'F') AS final_value,
+o AS (SELECT o_custkey AS e, year(o_orderdate)::INT AS y, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS order_value, count(*)::DOUBLE AS order_count,
+        (sum(o_totalprice::DECIMAL(18, 2)) FILTER (o_orderpriority = '1-URGENT'))::DOUBLE / nullif(count(*) FILTER (o_orderpriority = '1-URGENT'), 0) AS urgent_value,
+        (sum(o_totalprice::DECIMAL(18, 2)) FILTER (o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'))::DOUBLE AS urgent_pending,
+        (sum(o_totalprice::DECIMAL(18, 2)) FILTER (o_orderstatus = 'F'))::DOUBLE AS final_value,
         avg(CASE WHEN o_orderpriority = '5-LOW' THEN 1.0::DOUBLE ELSE 0 END) AS low_prio_share FROM orders GROUP BY 1, 2),
-l AS (SELECT o_custkey AS e, year(o_orderdate)::INT AS y, avg(l_discount) AS discount_rate, sum(l_quantity) FILTER (l_returnflag = 'R') AS returned_qty,
-        sum(l_quantity) AS item_volume, avg(l_tax) AS tax_rate, avg(l_quantity) AS mean_qty,
+l AS (SELECT o_custkey AS e, year(o_orderdate)::INT AS y, sum(l_discount::DECIMAL(18, 2))::DOUBLE / count(l_discount) AS discount_rate, (sum(l_quantity::DECIMAL(18, 2)) FILTER (l_returnflag = 'R'))::DOUBLE AS returned_qty,
+        sum(l_quantity::DECIMAL(18, 2))::DOUBLE AS item_volume, sum(l_tax::DECIMAL(18, 2))::DOUBLE / count(l_tax) AS tax_rate, sum(l_quantity::DECIMAL(18, 2))::DOUBLE / count(l_quantity) AS mean_qty,
         avg(CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0 END) AS open_share, count(DISTINCT l_suppkey)::DOUBLE AS supplier_span
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 m AS ({" UNION ALL ".join(f"SELECT e, y, '{s}' AS variable_name, {s} AS value FROM {t} WHERE {s} IS NOT NULL" for t, ss in (("o", ("order_value", "order_count", "urgent_value", "urgent_pending", "final_value", "low_prio_share")), ("l", ("discount_rate", "returned_qty", "item_volume", "tax_rate", "mean_qty", "open_share", "supplier_span"))) for s in ss)}),
@@ -96,7 +96,7 @@ later AS (SELECT entity, grp, variable_name, year, CASE WHEN entity % 7 = 0 THEN
 cmp AS (SELECT entity, variable_name, year, a.value AS left_value, b.value AS right_value, abs(a.value - b.value) AS diff,
                CASE WHEN b.value IS NULL THEN 'left_only' WHEN a.value IS NULL THEN 'right_only' WHEN abs(a.value - b.value) > 1e-9 THEN 'changed' ELSE 'both' END AS status
         FROM obs a FULL JOIN later b USING (entity, variable_name, year)),
-good AS (SELECT entity, variable_name, value, rank() OVER (PARTITION BY variable_name ORDER BY CASE WHEN polarity = 'negative' THEN -value ELSE value END DESC)::INT AS goodness_rank,
+good AS (SELECT entity, variable_name, value, rank() OVER (PARTITION BY variable_name ORDER BY CASE WHEN polarity = 'negative' THEN -round(value, 9) ELSE round(value, 9) END DESC)::INT AS goodness_rank,
                 count(*) OVER (PARTITION BY variable_name) AS n_ranked FROM cel JOIN reg USING (variable_name) WHERE value IS NOT NULL),
 pp AS (SELECT p.pillar, a.variable_name AS a, b.variable_name AS b, a.s AS x, b.s AS y FROM norm a JOIN spil p ON p.variable_name = a.variable_name
        JOIN norm b ON a.entity = b.entity AND a.variable_name < b.variable_name JOIN spil r ON r.variable_name = b.variable_name AND r.pillar = p.pillar
@@ -167,7 +167,7 @@ _BODY = {
     "q_fences": f"SELECT variable_name, {r('q1', 'q3', 'iqr', 'lower_bound', 'upper_bound')} FROM fen",
     "q_winsor_report": f"SELECT variable_name, {r('q1', 'q3', 'iqr', 'lower_bound', 'upper_bound')}, count(*) FILTER (capped = -1) AS n_capped_low, count(*) FILTER (capped = 1) AS n_capped_high FROM fen JOIN cel USING (variable_name) GROUP BY ALL",
     "q_winsorised": f"SELECT entity, variable_name, {r('value')}, capped FROM cel WHERE role = 'scoring'",
-    "q_norm_bounds": "SELECT variable_name, polarity, log_t AS log_transform, round(lo, 6) AS raw_min, round(hi, 6) AS raw_max, CASE WHEN log_t THEN round(lo, 6) END AS log_min, CASE WHEN log_t THEN round(hi, 6) END AS log_max, n_valid, n_total, round(n_valid / n_total, 6) AS pct_valid FROM bnd",
+    "q_norm_bounds": "SELECT variable_name, polarity, log_t AS log_transform, round(lo, 6) AS raw_min, round(hi, 6) AS raw_max, round(CASE WHEN log_t THEN lo END, 6) AS log_min, round(CASE WHEN log_t THEN hi END, 6) AS log_max, n_valid, n_total, round(n_valid / n_total, 6) AS pct_valid FROM bnd",
     "q_normalize": "SELECT entity, variable_name, s AS norm_score FROM norm",
     "q_out_of_range": "SELECT count(*) AS n FROM norm WHERE s NOT BETWEEN 0 AND 100",
     "q_pillar_scores": f"SELECT entity, pillar, {r('score')} FROM ps",
@@ -176,7 +176,7 @@ _BODY = {
     "q_equal": f"SELECT entity, {r('score')} FROM eq",
     "q_equal_rank": f"SELECT entity, {r('score')}, rank() OVER (ORDER BY eq.score DESC NULLS LAST)::INT AS rank FROM eq",
     "q_preset": _weighted(_PRESET),
-    "q_custom": _weighted(_CUSTOM, "round(score, 2)"),
+    "q_custom": _weighted(_CUSTOM, "round(round(score, 9)::DECIMAL(18, 9), 2)::DOUBLE"),
     "q_geometric": f"SELECT entity, {r('score')} FROM geo",
     "q_entropy_weights": f"SELECT pillar, {r('w')} FROM ew",
     "q_entropy": f"SELECT entity, {r('score')} FROM enp",
@@ -204,14 +204,14 @@ _BODY = {
         (SELECT entity, avg(x) AS p FROM (SELECT norm.entity, pillar, avg(CASE WHEN f.entity IS NULL THEN s END) AS x FROM norm JOIN spil USING (variable_name)
            LEFT JOIN (SELECT DISTINCT entity, variable_name FROM log) f ON f.entity = norm.entity AND f.variable_name = norm.variable_name GROUP BY ALL) GROUP BY 1) USING (entity))""",
     "q_tight_bounds": "SELECT *, abs(rank_tight - rank_bod) AS shift FROM (SELECT entity, round(bod.score, 6) AS bod, rank() OVER (ORDER BY bod.score DESC NULLS LAST)::INT AS rank_bod, round(tight.score, 6) AS bod_tight, rank() OVER (ORDER BY tight.score DESC NULLS LAST)::INT AS rank_tight FROM bod JOIN tight USING (entity))",
-    "q_confidence_band": "SELECT entity, round(least(greatest(score - h, 0), 100), 1) AS low, round(least(greatest(score + h, 0), 100), 1) AS high, round(2 * h, 1) AS width FROM (SELECT *, 2 + 26.7::DOUBLE * pct_filled AS h FROM eq JOIN qf USING (entity)) WHERE score IS NOT NULL",
+    "q_confidence_band": "SELECT entity, round(round(least(greatest(score - h, 0), 100), 9)::DECIMAL(18, 9), 1)::DOUBLE AS low, round(round(least(greatest(score + h, 0), 100), 9)::DECIMAL(18, 9), 1)::DOUBLE AS high, round(round(2 * h, 9)::DECIMAL(18, 9), 1)::DOUBLE AS width FROM (SELECT *, 2 + 26.7::DOUBLE * pct_filled AS h FROM eq JOIN qf USING (entity)) WHERE score IS NOT NULL",
     "q_data_quality": "SELECT entity, array_to_string(filled, ',') AS filled, n_filled, round(pct_filled, 6) AS pct_filled, round(1 - pct_filled, 4) AS pct_real, flag FROM qd",
     "q_flag_counts": "SELECT flag, count(*) AS n FROM qd GROUP BY 1",
     "q_peer_rank": "SELECT entity, grp, round(score, 6) AS equal, row_number() OVER (PARTITION BY grp ORDER BY score DESC, entity)::INT AS peer_rank, count(*) OVER (PARTITION BY grp) AS n_peers FROM eq JOIN ent USING (entity) WHERE score IS NOT NULL",
     "q_goodness_rank": f"SELECT entity, variable_name, {r('value')}, goodness_rank, n_ranked FROM good",
     "q_overview": "SELECT round(avg(score), 6) AS mean_score, count(*) FILTER (score >= 65) AS n_stable, count(*) FILTER (score < 35) AS n_fragile, count(score) AS n_scored FROM eq",
     "q_top_bottom": "SELECT entity, round(equal, 6) AS equal, equal_rank, part FROM ((SELECT entity, equal, equal_rank, 'top' AS part FROM rk ORDER BY equal_rank, entity LIMIT 5) UNION ALL (SELECT entity, equal, equal_rank, 'bottom' FROM rk WHERE equal IS NOT NULL ORDER BY equal_rank DESC, entity LIMIT 5))",
-    "q_rankings_without": f"SELECT entity, grp, round(equal, 2) AS score, equal_rank AS rank, {_LIGHT.format('equal')} AS light FROM rk JOIN ent USING (entity) WHERE grp <> 3",
+    "q_rankings_without": f"SELECT entity, grp, round(round(equal, 9)::DECIMAL(18, 9), 2)::DOUBLE AS score, equal_rank AS rank, {_LIGHT.format('equal')} AS light FROM rk JOIN ent USING (entity) WHERE grp <> 3",
     "q_profile": f"SELECT entity, pillar, round(score, 6) AS score, round(mean_score, 6) AS mean_score, round(group_score, 6) AS group_score, {_LIGHT.format('score')} AS light FROM ps JOIN (SELECT pillar, avg(score) AS mean_score FROM ps GROUP BY 1) USING (pillar) JOIN (SELECT pillar, avg(score) AS group_score FROM ps WHERE grp = (SELECT grp FROM ent WHERE entity = 7) GROUP BY 1) USING (pillar) WHERE entity = 7",
     "q_pillar_detail": "SELECT entity, variable_name, cel.role, round(cel.value, 6) AS value, cel.fill_year IS NOT NULL OR regional AS filled, coalesce(goodness_rank, -1) AS goodness_rank, coalesce(n_ranked, -1) AS n_ranked, s AS norm_score FROM cel JOIN pil USING (variable_name) LEFT JOIN good USING (entity, variable_name) LEFT JOIN (SELECT entity, variable_name, s FROM norm) USING (entity, variable_name) WHERE pillar = 'D'",
     "q_walkthrough": "SELECT entity, round(cel.value, 6) AS value, round(x, 6) AS after_log, s AS norm_score FROM cel JOIN tr USING (entity, variable_name) JOIN norm USING (entity, variable_name) WHERE variable_name = 'returned_qty'",
@@ -225,8 +225,8 @@ _BODY = {
     "q_set_difference": "SELECT *, 'left_only' AS side FROM (SELECT entity, variable_name, year FROM obs EXCEPT SELECT entity, variable_name, year FROM later) UNION ALL SELECT *, 'right_only' FROM (SELECT entity, variable_name, year FROM later EXCEPT SELECT entity, variable_name, year FROM obs)",
     "q_set_intersection": "SELECT entity, variable_name, year FROM obs INTERSECT SELECT entity, variable_name, year FROM later",
     "q_rank_flips": "SELECT count(*) FILTER (equal_rank <> geometric_rank) AS n_flips, count(*) AS n FROM rk",
-    "q_bundle": """SELECT entity, round(equal, 2) AS equal, bod_rank, round(a.score, 2) AS pillar_a, round(s, 2) AS indicator_score, f.entity IS NOT NULL AS indicator_filled,
-        n_filled, flag, CASE WHEN equal IS NOT NULL THEN round(least(greatest(equal - (2 + 26.7::DOUBLE * pct_filled), 0), 100), 1) END AS low,
+    "q_bundle": """SELECT entity, round(round(equal, 9)::DECIMAL(18, 9), 2)::DOUBLE AS equal, bod_rank, round(round(a.score, 9)::DECIMAL(18, 9), 2)::DOUBLE AS pillar_a, round(s, 2) AS indicator_score, f.entity IS NOT NULL AS indicator_filled,
+        n_filled, flag, CASE WHEN equal IS NOT NULL THEN round(round(least(greatest(equal - (2 + 26.7::DOUBLE * pct_filled), 0), 100), 9)::DECIMAL(18, 9), 1)::DOUBLE END AS low,
         CASE WHEN equal IS NOT NULL THEN (row_number() OVER (PARTITION BY ent.grp ORDER BY equal DESC NULLS LAST, entity))::INT ELSE -1 END AS peer_rank
         FROM rk JOIN ent USING (entity) JOIN qd USING (entity) LEFT JOIN (SELECT entity, score FROM ps WHERE pillar = 'A') a USING (entity)
         LEFT JOIN (SELECT entity, s FROM norm WHERE variable_name = 'returned_qty') USING (entity)
@@ -235,7 +235,7 @@ _BODY = {
 _EXTRA = {
     "q_rank_correlations": f", {_RANKS_LONG}, {_spearman('rl', 'method', 'r')}",
     "q_robustness_summary": f", {_RANKS_LONG}, {_spearman('rl', 'method', 'r')}",
-    "q_heatmap": f", p2 AS (SELECT entity, pillar, round(score, 2) AS score FROM ps), {_spearman('p2', 'pillar', 'score')}",
+    "q_heatmap": f", p2 AS (SELECT entity, pillar, round(round(score, 9)::DECIMAL(18, 9), 2)::DOUBLE AS score FROM ps), {_spearman('p2', 'pillar', 'score')}",
 }
 ORACLE_SQL = {k: f"{BASE}{_EXTRA.get(k, '')} {v}" for k, v in _BODY.items()} | {
     "q_max_shift": f"{_MAXS} SELECT weight_id, {r('rho', 'mean_shift', 'max_shift')} FROM mx",
@@ -243,5 +243,13 @@ ORACLE_SQL = {k: f"{BASE}{_EXTRA.get(k, '')} {v}" for k, v in _BODY.items()} | {
         CASE WHEN mx.rho >= 0.95 THEN 'Highly robust' WHEN mx.rho >= 0.85 THEN 'Robust' WHEN mx.rho >= 0.70 THEN 'Moderate' ELSE 'Sensitive' END AS verdict
         FROM mx ORDER BY mx.rho, weight_id LIMIT 1""",
 }
-# The places to round to are those of the queries, by column name.
-ORACLE_SQL = {k: re.sub(r", 6\) AS (\w+)", lambda m: f", {digits_of(m[1])}) AS {m[1]}", v) for k, v in ORACLE_SQL.items()}
+
+
+def _places(m: re.Match) -> str:
+    """The places to round to are those of the queries, by column name."""
+    x, c = m[1], m[2]
+    return f"CASE WHEN abs({x}) < 1000 THEN round({x}, 9) ELSE round({x}, 5) END AS {c}" if c in RAW_COLUMNS else f"round({x}, 9) AS {c}"
+
+
+ORACLE_SQL = {k: re.sub(r"\bround\(((?:[^(),]|\([^()]*\))+), 6\) AS (\w+)", _places, v) for k, v in ORACLE_SQL.items()}
+ORACLE_SQL = {k: re.sub(r", 6\) AS (\w+)", r", 9) AS \1", v) for k, v in ORACLE_SQL.items()}

@@ -1,7 +1,7 @@
 """The registered queries over the customer panel.
 
-Sums are taken in any order, so floats are rounded: raw values, which may be large, to five places, scores and
-shares to nine (a weighted mean of four-place scores can end in a 5 at the seventh).
+Means are taken in any order, so floats are rounded: scores, shares and raw values to nine places (a mean of four-place
+scores can end in a 5 at the seventh), raw values of 1000 and above, which have fewer places to spare, to five.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ METHODS = ["equal", "bod", "entropy", "geometric"]
 CUSTOM = {"A": 0.4, "B": 0.1, "C": 0.0, "D": 0.2}
 PILLAR, INDICATOR = "D", "returned_qty"
 #: The set that can be left out of views: customers of one nation.
-LEFT_OUT = F.col("grp") == 3
+LEFT_OUT = "grp = 3"
 
 
 RAW_COLUMNS = {
@@ -31,12 +31,13 @@ RAW_COLUMNS = {
 }
 
 
-def digits_of(column: str) -> int:
-    return 5 if column in RAW_COLUMNS else 9
-
-
 def rounded(df: DataFrame, digits: int | None = None) -> DataFrame:
-    return df.select(*[F.round(c, digits or digits_of(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    def of(c: str):
+        if c in RAW_COLUMNS and not digits:
+            return F.when(F.abs(c) < 1000, F.round(c, 9)).otherwise(F.round(c, 5)).alias(c)
+        return F.round(c, digits or 9).alias(c)
+
+    return df.select(*[of(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def _run(f: Callable[[Run], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -76,7 +77,7 @@ def _equal_rank(r: Run) -> DataFrame:
 def _bundle(r: Run) -> DataFrame:
     ranks = r.ranks(METHODS)
     band = robust.bands(ranks, r.quality)
-    nested = serve.bundle(ranks, r.kept_pillars, r.norm, r.fill_log, r.quality, band, robust.peers(ranks, r.entities), METHODS)
+    nested = serve.bundle(ranks, r.pillars, r.norm, r.fill_log, r.quality, band, robust.peers(ranks, r.entities), METHODS)
     return nested.select(
         "entity", F.col("scores.equal").alias("equal"), F.col("ranks.bod").alias("bod_rank"), F.col("pillars")["A"].alias("pillar_a"),
         F.col("indicators")[INDICATOR]["score"].alias("indicator_score"), F.col("indicators")[INDICATOR]["filled"].alias("indicator_filled"),
@@ -93,10 +94,10 @@ def _verdict(r: Run) -> DataFrame:
 
 def _profile(r: Run) -> DataFrame:
     """One entity's page: its pillars with the averages of all and of its group."""
-    own = r.kept_pillars.where("entity = 7")
+    own = r.pillars.where("entity = 7")
     group = own.select("grp").distinct()
-    all_mean = serve.pillar_averages(r.kept_pillars)
-    grp_mean = r.kept_pillars.join(F.broadcast(group), "grp").groupBy("pillar").agg(F.avg("score").alias("group_score"))
+    all_mean = serve.pillar_averages(r.pillars)
+    grp_mean = r.pillars.join(F.broadcast(group), "grp").groupBy("pillar").agg(F.avg("score").alias("group_score"))
     return own.join(all_mean, "pillar").join(grp_mean, "pillar").select("entity", "pillar", "score", "mean_score", "group_score", traffic_light("score").alias("light"))
 
 
@@ -132,8 +133,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_entropy": _run(lambda r: _long(score.entropy(r.pillars))),
     "q_bod": _run(lambda r: _long(score.bod(r.pillars))),
     "q_bod_tight": _run(lambda r: _long(score.bod_tight(r.pillars))),
-    "q_pca": lambda spark, sf_dir: rounded(score.pca(Run.customers(spark, sf_dir).kept_pillars), 4),
-    "q_method_weights": lambda spark, sf_dir: rounded(score.method_weights(Run.customers(spark, sf_dir).kept_pillars), 4),
+    "q_pca": lambda spark, sf_dir: rounded(score.pca(Run.customers(spark, sf_dir).pillars), 4),
+    "q_method_weights": lambda spark, sf_dir: rounded(score.method_weights(Run.customers(spark, sf_dir).pillars), 4),
     "q_ranks": _run(lambda r: r.ranks(METHODS)),
     "q_method_bars": _run(lambda r: serve.method_bars(r.scores(METHODS), METHODS)),
     "q_cronbach": _run(lambda r: diagnose.cronbach(r.norm, r.registry)),
@@ -148,7 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_max_shift": _run(lambda r: robust.max_shift(r.group_pillars())),
     "q_worst_weights": _run(lambda r: robust.worst_weights(robust.max_shift(r.group_pillars()))),
     "q_fill_exclusion": _run(lambda r: robust.without_fills(r.norm, r.fill_log, r.registry).fillna(-1)),
-    "q_tight_bounds": _run(lambda r: robust.tight_bounds(r.kept_pillars)),
+    "q_tight_bounds": _run(lambda r: robust.tight_bounds(r.pillars)),
     "q_confidence_band": _run(lambda r: robust.bands(score.equal(r.pillars).withColumnRenamed("score", "equal"), r.quality)),
     "q_data_quality": _run(lambda r: serve.data_quality(r.quality).withColumn("filled", F.array_join("filled", ","))),
     "q_flag_counts": _run(lambda r: serve.data_quality(r.quality).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))),
@@ -160,7 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_profile": _run(_profile),
     "q_pillar_detail": _run(lambda r: serve.pillar_detail(PILLAR, r.cells, r.norm, r.registry).drop("value_text").fillna(-1, ["goodness_rank", "n_ranked"])),
     "q_walkthrough": _run(lambda r: serve.walkthrough(INDICATOR, r.cells, normalize.bounds(r.cells, r.registry))),
-    "q_heatmap": _run(lambda r: serve.heatmap(r.kept_pillars, 9)),
+    "q_heatmap": _run(lambda r: serve.heatmap(r.pillars, 9)),
     "q_radar": _run(lambda r: serve.radar(r.pillars, WEIGHT_PRESETS["security_focus"])),
     "q_pillar_averages": _run(lambda r: serve.pillar_averages(r.pillars)),
     "q_table_filter": _run(lambda r: serve.table_view(r.registry.select("variable_name", "display_name", "aggregation"), {"display_name": "ORDER"}, [("variable_name", True)])),

@@ -1,4 +1,8 @@
-"""A scoring run as one graph of lazy tables."""
+"""A scoring run: tables that are computed when first used.
+
+Those with several readers (observations, filled cells, normalised and pillar scores) are written
+once; the rest stays lazy.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +15,11 @@ from keelson.operators import clean, normalize, robust, score
 from keelson.registry import CUSTOMERS, Registry
 from keelson.schema import DEFAULT, Params
 from keelson.sources import panel
+from keelson.sources.tables import kept
 
 
 class Run:
-    """From observations and an entity table to scores. Every property is a DataFrame; nothing runs before it is used."""
+    """From observations and an entity table to scores. Every property is a DataFrame; what several readers follow is written when it is first used."""
 
     def __init__(self, obs: DataFrame, entities: DataFrame, registry: Registry, params: Params = DEFAULT):
         self.spark: SparkSession = obs.sparkSession
@@ -23,7 +28,7 @@ class Run:
 
     @classmethod
     def customers(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Run:
-        return cls(panel.customer_panel(spark, sf_dir), panel.customers(spark, sf_dir), CUSTOMERS, params)
+        return cls(kept(panel.customer_panel(spark, sf_dir)), panel.customers(spark, sf_dir), CUSTOMERS, params)
 
     @cached_property
     def aggregated(self) -> DataFrame:
@@ -39,7 +44,7 @@ class Run:
 
     @cached_property
     def filled(self) -> DataFrame:
-        return clean.regional_fill(self.grid, self.params)
+        return kept(clean.regional_fill(self.grid, self.params))
 
     @cached_property
     def fill_log(self) -> DataFrame:
@@ -55,27 +60,22 @@ class Run:
 
     @cached_property
     def norm(self) -> DataFrame:
-        return normalize.normalised(self.cells, self.registry, self.params)
+        return kept(normalize.normalised(self.cells, self.registry, self.params))
 
     @cached_property
     def pillars(self) -> DataFrame:
-        return score.pillar_scores(self.norm, self.registry)
+        return kept(score.pillar_scores(self.norm, self.registry))
 
     @cached_property
     def quality(self) -> DataFrame:
         return robust.fill_counts(self.fill_log, self.entities, len(self.definitions.indicators))
 
     def scores(self, methods: list[str]) -> DataFrame:
-        return score.all_scores(self.kept_pillars, self.params, {m: score.METHODS[m] for m in methods})
+        return score.all_scores(self.pillars, self.params, {m: score.METHODS[m] for m in methods})
 
     def ranks(self, methods: list[str]) -> DataFrame:
         return score.ranked(self.scores(methods), methods)
 
-    @cached_property
-    def kept_pillars(self) -> DataFrame:
-        """The pillar table, kept on the executors: every method reads it."""
-        return self.pillars.persist()
-
     def check(self) -> Run:
         """Stops here if a pillar lacks data."""
         clean.gate(clean.pillar_null_rate(self.cells, self.registry), self.params)

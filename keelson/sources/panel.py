@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions.columns import no_nan
@@ -30,31 +30,40 @@ def year_columns_to_long(wide: DataFrame, ids: list[str]) -> DataFrame:
     return long.select(*ids, F.col("year").cast("int").alias("year"), no_nan("value").alias("value")).where("value IS NOT NULL")
 
 
+def exact(amount: str) -> Column:
+    return F.col(amount).cast("decimal(18,2)")
+
+
+def mean(amount: Column) -> Column:
+    return F.try_divide(F.sum(amount).cast("double"), F.count(amount))
+
+
 def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity: customer; group: nation; year: of the order. A cell is there only if a row qualifies.
 
-    Orders and their lines are reduced per (customer, year) before they are turned into rows.
+    Orders and their lines are reduced per (customer, year) before they are turned into rows. Amounts have
+    two places and are summed as decimals, so that a value doesn't depend on the order of its rows.
     """
     orders = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year")
     )
     urgent, low = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "5-LOW"
-    price = F.col("o_totalprice")
+    price = exact("o_totalprice")
     of_orders = orders.groupBy("o_custkey", "year").agg(
-        F.sum(price).alias("order_value"),
+        F.sum(price).cast("double").alias("order_value"),
         F.count(F.lit(1)).alias("order_count"),
-        F.avg(F.when(urgent, price)).alias("urgent_value"),
-        F.sum(F.when(urgent & (F.col("o_orderstatus") == "P"), price)).alias("urgent_pending"),
-        F.sum(F.when(F.col("o_orderstatus") == "F", price)).alias("final_value"),
+        mean(F.when(urgent, price)).alias("urgent_value"),
+        F.sum(F.when(urgent & (F.col("o_orderstatus") == "P"), price)).cast("double").alias("urgent_pending"),
+        F.sum(F.when(F.col("o_orderstatus") == "F", price)).cast("double").alias("final_value"),
         F.avg(low.cast("int")).alias("low_prio_share"),
     )
     lines = read(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "o_custkey", "year"), F.col("l_orderkey") == F.col("o_orderkey"))
     of_lines = lines.groupBy("o_custkey", "year").agg(
-        F.avg("l_discount").alias("discount_rate"),
-        F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("returned_qty"),
-        F.sum("l_quantity").alias("item_volume"),
-        F.avg("l_tax").alias("tax_rate"),
-        F.avg("l_quantity").alias("mean_qty"),
+        mean(exact("l_discount")).alias("discount_rate"),
+        F.sum(F.when(F.col("l_returnflag") == "R", exact("l_quantity"))).cast("double").alias("returned_qty"),
+        F.sum(exact("l_quantity")).cast("double").alias("item_volume"),
+        mean(exact("l_tax")).alias("tax_rate"),
+        mean(exact("l_quantity")).alias("mean_qty"),
         F.avg((F.col("l_linestatus") == "O").cast("int")).alias("open_share"),
         F.count_distinct("l_suppkey").alias("supplier_span"),
     )
