@@ -135,3 +135,11 @@ def test_alignment_equals_full_table():
                 m[i + 1, j + 1] = m[i, j] + 1 if x == y else max(0, m[i, j] - 0.3, m[i, j + 1] - 0.2, m[i + 1, j] - 0.2)
                 full = max(full, m[i + 1, j + 1])
         assert full - 1e-9 <= n
+
+
+def test_content_sort_of_null_identifiers(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "A"), (3, "b"), (None, "B"), (None, None), (4, "")], "doc_id long, text string")
+    rows = content_sort(docs, keep="largest").collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in rows) == [
+        ("3", "3", True), ("4", "4", True), ("None", "3", False), ("None", "4", False), ("None", "None", True), ("None", "None", True)
+    ]
