@@ -2,10 +2,12 @@
 
 Documents with equal texts form a group that is never cut. Groups are put in the
 order of their digests; the smallest shard capacity that lets a greedy walk finish
-in the given number of shards is found by binary search, and the order is cut
-where that walk cuts.
+in the given number of shards is found by binary search. One large group alone may
+set that capacity, so the order is not cut where the walk cuts: of all cuts that keep
+to the capacity, those with the least sum of squared shard sizes are taken, by a
+dynamic programme.
 
-The walk needs running sums only. Digests are uniform, so their first digits deal
+The search needs running sums only. Digests are uniform, so their first digits deal
 the groups into buckets of like size; a bucket's running sum is a window inside the
 bucket and the buckets' own sums are few. What the driver searches is the list of
 units: runs of neighbouring groups of one bucket, at most 1 / UNITS of all bytes
@@ -42,6 +44,59 @@ def greedy(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
     return None
 
 
+def layer(best: np.ndarray, at: int, ends: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row i: the least best[j - at] + (ends[i] - ends[j])^2 over first <= j <= last, and the first such j.
+
+    Rows, first and last rise. The best j rises with i, so the rows between two known ones look
+    between these two's only.
+    """
+    cost, choice = np.empty(len(rows)), np.empty(len(rows), dtype=np.int64)
+    step = 1 << len(rows).bit_length() >> 1
+    while step:
+        r = np.arange(step - 1, len(rows), 2 * step)
+        a, b = first[r], last[r]
+        has_left, has_right = r >= step, r + step < len(rows)
+        a[has_left] = np.maximum(a[has_left], choice[r[has_left] - step])
+        b[has_right] = np.minimum(b[has_right], choice[r[has_right] + step])
+        n = b - a + 1
+        begin = np.cumsum(n) - n
+        j = np.arange(int(n.sum())) - np.repeat(begin - a, n)
+        value = best[j - at] + (np.repeat(ends[rows[r]], n) - ends[j]).astype(np.float64) ** 2
+        least = np.minimum.reduceat(value, begin)
+        hit = np.flatnonzero(value == np.repeat(least, n))
+        cost[r], choice[r] = least, j[hit[np.searchsorted(hit, begin)]]
+        step >>= 1
+    return cost, choice
+
+
+def even_cuts(sizes: np.ndarray, shards: int, capacity: int) -> list[int]:
+    """Running sums to cut at: no shard above ``capacity``, and the least sum of squares of shard sizes.
+
+    The capacity must be feasible. As many shards are used as there are groups for.
+    """
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    n, shards = len(sizes), min(shards, len(sizes))
+    # Cut k lies where k shards can reach from the front, and the others from the end.
+    reach, back = [0], [n]
+    for _ in range(shards):
+        reach.append(int(np.searchsorted(ends, ends[reach[-1]] + capacity, side="right")) - 1)
+        back.append(int(np.searchsorted(ends, ends[back[-1]] - capacity)))
+    low = [max(k, back[shards - k]) for k in range(shards + 1)]
+    high = [min(n - (shards - k), reach[k]) for k in range(shards + 1)]
+    low[0] = high[0] = 0
+    best, choices = np.zeros(1), []
+    for k in range(1, shards + 1):
+        rows = np.arange(low[k], high[k] + 1)
+        first = np.maximum(np.searchsorted(ends, ends[rows] - capacity), low[k - 1])
+        best, choice = layer(best, low[k - 1], ends, rows, first, np.minimum(rows - 1, high[k - 1]))
+        choices.append(choice)
+    at, cuts = n, []
+    for k in range(shards, 1, -1):
+        at = int(choices[k - 1][at - low[k]])
+        cuts.append(int(ends[at]))
+    return cuts[::-1]
+
+
 def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
     """The smallest feasible capacity for contiguous shards, and the running sums to cut at."""
     if not len(sizes):
@@ -51,7 +106,7 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
     while low < high:
         mid = (low + high) // 2
         low, high = (low, mid) if greedy(ends, mid, shards) is not None else (mid + 1, high)
-    return low, greedy(ends, low, shards)
+    return low, even_cuts(sizes, shards, low)
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, units: int = UNITS) -> DataFrame:

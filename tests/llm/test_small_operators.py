@@ -93,6 +93,34 @@ def test_smallest_capacity():
         assert capacity == best[-1] and len(cuts) < shards
 
 
+def test_cuts_are_the_most_even_within_the_capacity():
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        sizes, shards = rng.integers(1, 30, rng.integers(1, 30)), int(rng.integers(1, 8))
+        if trial % 2:
+            sizes[rng.integers(len(sizes))] = 200
+        capacity, cuts = sharding.minimax_cuts(sizes.astype(np.int64), shards)
+        ends = [0] + [int(x) for x in accumulate(sizes)]
+        square = lambda i, j: (ends[i] - ends[j]) ** 2 if ends[i] - ends[j] <= capacity else math.inf
+        best = [0] + [math.inf] * len(sizes)
+        for _ in range(shards):
+            best = [0] + [min(best[i], min(best[j] + square(i, j) for j in range(i))) for i in range(1, len(ends))]
+        parts = np.diff([0, *cuts, ends[-1]])
+        assert set(cuts) <= set(ends) and max(parts) <= capacity and int((parts**2).sum()) == best[-1]
+        assert len(parts) == min(shards, len(sizes)) and min(parts) > 0
+
+
+@pytest.mark.parametrize("share", [0.05, 1 / 3])
+def test_shards_beside_a_large_group_are_even(spark, share):
+    texts = [f"{i} " + "x" * 300 for i in range(3000)]
+    copies = int(len(texts) * share / (1 - share))
+    rows = sharding.shard(frame(spark, texts + ["y" * 300] * copies)).groupBy("shard").sum("size").collect()
+    sizes = sorted(r[1] for r in rows)
+    assert len(sizes) == sharding.SHARDS and sizes[-1] < 1.01 * 316 * copies
+    mean = sum(sizes[:-1]) / (len(sizes) - 1)
+    assert 0.6 * mean < sizes[0] and sizes[-2] < 1.4 * mean
+
+
 def brute_quality(t):
     t = t or ""
     w = [x.decode() for x in words(t)]
