@@ -1,8 +1,9 @@
 """PII by bootstrapped contextual extraction, in built-in functions only.
 
 Base entities (emails, addresses, cards, phones) come from fixed patterns and checks. They are
-the seeds of a graph: a word that holds a digit or an @ is an instance; the words around it, with the
-instance's shape, are its lexical patterns. A pattern is trusted by the share of its distinct
+the seeds of a graph: digit groups that blanks, dots, dashes, slashes or brackets join are one instance, any other word that
+holds a digit or an @ is one too, without what leads up to it ("tel:") or closes the sentence; the words around the whole
+instance, with its exact shape and with its coarse class, are its lexical patterns. A pattern is trusted by the share of its distinct
 instances that are trusted, an instance by the patterns it stands in; the two are scored in turn.
 Patterns of high confidence and enough distinct seeds then mark instances that no base
 pattern found, under the kind "context".
@@ -26,6 +27,17 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 FOUND = "context"
 WORD = r"[^\x20\x09-\x0D]"
+BLANK = r"[\x20\x09-\x0D]"
+#: What stands before an instance in its own word, and what closes it.
+LEAD = r"[^\x20\x09-\x0D0-9@+]*(?:[:=#\"'\[{<]|\((?![0-9+]))"
+TAIL = r"[.,;:!?)\]}>'\"/+(-]+$"
+#: A word of digits and separators. Repeats of groups are possessive: Java then loops instead of calling itself.
+_NUMBER = rf"[+(]{{0,2}}+[0-9][0-9()./+-]*+(?=[,;:!?'\"\]}}>]*+(?:{BLANK}|$))"
+CANDIDATE = (
+    rf"(?<!{WORD})(?:(?:{LEAD})?+(?:{PATTERNS['phone']}|{_NUMBER}(?:(?<!\.)\x20(?:-\x20)?+{_NUMBER})*+)"
+    rf"|(?=[^\x20\x09-\x0D0-9@]*+[0-9@]){WORD}++)"
+)
+CONTEXT_CHARS = 120
 ROUNDS = 3
 MIN_SEEDS = 2
 MIN_CONFIDENCE = 0.7
@@ -41,8 +53,16 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def located(text: Column, regex: str, hint: Column | None = None) -> Column:
-    """Array of (start, end, match, left, right): code points, and the text on either side up to the next match."""
+def located(text: Column, regex: str, hint: Column | None = None, near: int = 0) -> Column:
+    """Array of (start, end, match, left, right): code points, and ``near`` characters on either side, over one more match."""
+
+    def left(m: Column, gaps: Column, i: Column) -> Column:
+        n, past = F.lit(near), lambda a, k: F.coalesce(F.get(a, k), F.lit(""))
+        return F.right(F.concat(F.right(past(gaps, i - 1), n), F.right(past(m, i - 1), n), F.right(gaps[i], n)), n) if near else F.lit("")
+
+    def right(m: Column, gaps: Column, i: Column) -> Column:
+        n, past = F.lit(near), lambda a, k: F.coalesce(F.get(a, k), F.lit(""))
+        return F.left(F.concat(F.left(gaps[i + 1], n), F.left(past(m, i + 1), n), F.left(past(gaps, i + 2), n)), n) if near else F.lit("")
 
     # A lambda computes anew what it reads, so arrays are first bound to names: bind().
     def build(m: Column, gaps: Column) -> Column:
@@ -51,7 +71,7 @@ def located(text: Column, regex: str, hint: Column | None = None) -> Column:
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(gaps[i])
             end = start + F.length(m[i])
-            row = F.struct(start.alias("start"), end.alias("end"), m[i].alias("match"), gaps[i].alias("left"), gaps[i + 1].alias("right"))
+            row = F.struct(start.alias("start"), end.alias("end"), m[i].alias("match"), left(m, gaps, i).alias("left"), right(m, gaps, i).alias("right"))
             return F.struct(end.alias("at"), F.array_append(acc["out"], row).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["out"])
@@ -105,30 +125,43 @@ def joined(spans: Column) -> Column:
 
 
 def instances(text: Column, base: Column) -> Column:
-    """Identifier-like words: (start, end, token, seed, patterns)."""
+    """Identifier-like stretches: (start, end, token, seed, patterns)."""
     plain = lambda c: F.translate(F.lower(c), "123456789", "000000000")
     shape = lambda c: F.regexp_replace(F.translate(c, "123456789", "000000000"), "[A-Za-z]+", "a")
-    left2 = rf"({WORD}+[\x20\x09-\x0D]+{WORD}+)[\x20\x09-\x0D]+$"
-    left1, right1 = rf"({WORD}+)[\x20\x09-\x0D]+$", rf"^[\x20\x09-\x0D]+({WORD}+)"
-    # Only the ends of a gap can be context.
-    near = lambda c: F.right(c, F.lit(120))
-
-    def one(m: Column) -> Column:
-        l2 = F.regexp_extract(near(m["left"]), left2, 1)
-        l1, r1 = F.regexp_extract(near(m["left"]), left1, 1), F.regexp_extract(F.left(m["right"], F.lit(120)), right1, 1)
-        form = F.concat(F.lit("~"), shape(m["match"]))
-        pats = F.array(
-            F.when(l2 != "", F.concat(F.lit("L:"), plain(F.regexp_replace(l2, r"[\x20\x09-\x0D]+", " ")), form)),
-            F.when(l1 != "", F.concat(F.lit("L1:"), plain(l1), form)),
-            F.when(r1 != "", F.concat(F.lit("R1:"), plain(r1), form)),
-            F.when((l1 != "") & (r1 != ""), F.concat(F.lit("LR:"), plain(l1), F.lit("|"), plain(r1), form)),
+    left2, left1, right1 = rf"({WORD}+{BLANK}+{WORD}+){BLANK}*$", rf"({WORD}+){BLANK}*$", rf"^{WORD}*{BLANK}+({WORD}+)"
+
+    def forms(token: Column) -> Column:
+        """The exact shape; the coarse class; and one class of all numbers, with separators or without."""
+        number = token.rlike(r"^[0-9\x20()./+-]+$")
+        coarse = F.when(token.contains("@"), "@").when(token.rlike("^[0-9]+$"), "digits").when(number, "separated").otherwise("mixed")
+        return F.array_compact(F.array(F.concat(F.lit("~"), shape(token)), F.concat(F.lit("~~"), coarse), F.when(number, F.lit("~~number"))))
+
+    def contexts(left: Column, right: Column) -> Column:
+        l2, l1, r1 = F.regexp_extract(left, left2, 1), F.regexp_extract(left, left1, 1), F.regexp_extract(right, right1, 1)
+        return F.array_compact(
+            F.array(
+                F.when(l2 != "", F.concat(F.lit("L:"), plain(F.regexp_replace(l2, rf"{BLANK}+", " ")))),
+                F.when(l1 != "", F.concat(F.lit("L1:"), plain(l1))),
+                F.when(r1 != "", F.concat(F.lit("R1:"), plain(r1))),
+                F.when((l1 != "") & (r1 != ""), F.concat(F.lit("LR:"), plain(l1), F.lit("|"), plain(r1))),
+            )
         )
-        seed = F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["match"]).alias("token"), seed.alias("seed"), F.array_compact(pats).alias("patterns"))
 
-    regex = rf"(?<!{WORD})(?=[^\x20\x09-\x0D0-9@]*+[0-9@]){WORD}++"
-    like = lambda x: (F.length(x["token"]) >= 6) & (x["seed"] | (F.length(digits(x["token"])) >= 4) | x["token"].contains("@"))
-    return F.filter(F.transform(located(text, regex, text.rlike("[0-9@]")), one), like)
+    def core(m: Column) -> Column:
+        """The match without what leads up to it and what closes it; the lead is a word of the left side."""
+        lead = F.regexp_extract(m["match"], f"^(?:{LEAD})?", 0)
+        token = F.regexp_replace(F.substring(m["match"], F.length(lead) + 1, F.length(m["match"])), TAIL, "")
+        start = m["start"] + F.length(lead)
+        return F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"), F.concat(m["left"], lead).alias("left"), m["right"].alias("right"))
+
+    def one(x: Column) -> Column:
+        seed = F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        pats = bind(forms(x["token"]), lambda fs: F.flatten(F.transform(contexts(x["left"], x["right"]), lambda c: F.transform(fs, lambda f: F.concat(c, f)))))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["token"]).alias("token"), seed.alias("seed"), pats.alias("patterns"))
+
+    like = lambda x: (F.length(digits(x["token"])) >= 4) | x["token"].rlike(".@.")
+    cores = F.transform(located(text, CANDIDATE, text.rlike("[0-9@]"), CONTEXT_CHARS), core)
+    return bind(cores, lambda cs: F.transform(F.filter(cs, like), one))
 
 
 def described(text: Column) -> Column:

@@ -105,3 +105,41 @@ def test_context_finds_what_no_pattern_does(spark):
     texts = [f"please charge card number {c} for the order" for c in true] + ["please charge card number 4111111111111112 for the order", "about 4111111111111113 grains"]
     rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, texts)).collect()}
     assert rows[4] == "context:26:42" and rows[5] == "" and rows[0] == "card:26:42"
+
+
+def test_context_finds_forms_that_no_seed_has(spark):
+    cards = ["4111111111111111", "4242424242424242", "4012888888881881", "5555555555554444"]
+    phones = ["+1 (555) 123-4567", "+44 20 7946 0958", "+49 30 1234567", "+1 (555) 987-6543"]
+    mails = ["ann@example.com", "bob@mail.example.org", "eve@example.net", "joe@example.com"]
+    texts = [f"please charge card number {c} for the order" for c in cards]
+    texts += [f"reach me by phone at {p} before noon" for p in phones] + [f"my mail address is {m}, write soon" for m in mails]
+    unseen = [
+        ("please charge card number ", "123456789012", " for the order"),
+        ("please charge card number ", "1234 567 8901", " for the order"),
+        ("reach me by phone at ", "555.987.1234", " before noon"),
+        ("reach me by phone at ", "(030) 123 45-67", " before noon"),
+        ("my mail address is ", "root@localhost", ", write soon"),
+    ]
+    clean = ["in 1999 there were 12345 of them", "about 123456789012 grains", "the host is @home"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, texts + ["".join(u) for u in unseen] + clean)).collect()}
+    for k, (left, form, _) in enumerate(unseen, len(texts)):
+        assert rows[k] == f"context:{len(left)}:{len(left) + len(form)}", form
+    assert [rows[len(texts) + len(unseen) + k] for k in range(len(clean))] == [""] * len(clean)
+
+
+def test_instances_are_whole_and_have_words_on_both_sides(spark):
+    """A phone of several words is one instance; a lead like tel: is context; neighbours with digits are words too."""
+    texts = ["dial tel:+1 (555) 123-4567 at 9 oclock.", "room 12b code 123456 then 7x end", "in 1999. 2000 5000 55.66@x.com (a1234)."]
+    from pyspark.sql import functions as F
+
+    rows = frame(spark, texts).select("doc_id", F.explode(pii.described(F.col("text"))["inst"]).alias("i")).select("doc_id", "i.*").collect()
+    got = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]): r for r in rows}
+    assert set(got) == {(0, "+1 (555) 123-4567"), (1, "123456"), (2, "1999"), (2, "2000 5000"), (2, "55.66@x.com"), (2, "a1234")}
+    assert got[0, "+1 (555) 123-4567"]["seed"] and "L:dial tel:~~separated" in got[0, "+1 (555) 123-4567"]["patterns"]
+    assert {"L:00b code~000000", "LR:code|then~~digits", "R1:then~~number"} <= set(got[1, "123456"]["patterns"])
+
+
+def test_many_numbers_in_one_text(spark):
+    """Long runs of groups do not overflow the stack of the matcher."""
+    rows = pii.find_pii(frame(spark, ["12 34-5 " * 40000, "1.2-" * 40000 + "a", "(a" * 40000, "a@ " * 3000])).collect()
+    assert len(rows) == 4 and all(r["n_context"] == 0 for r in rows)
