@@ -4,7 +4,8 @@ Templates are cut into words of letters and digits, in lower case. Hashes of thr
 words are winnowed: of each four, the smallest stays (a one-line notice keeps all). The kept hashes form an inverted index
 from hash to (template, place). In a text, every three-word hash is looked up; hits of one template
 near one diagonal are a candidate, and the template is then aligned word by word with the text in
-a band around that diagonal. What is reported: matched words, their share of the template (coverage) and
+a band around that diagonal. Words that tell licenses apart (name, version, NC, Lesser, "later") must all be
+aligned, and no other such word may stand among them; coverage alone names no license. What is reported: matched words, their share of the template (coverage) and
 the span in the text.
 
 The index is as large as the templates; it goes to the workers with the function.
@@ -42,38 +43,59 @@ _BSD_HEAD = (
     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
     "distribution."
 )
-#: (license, template). Fixed texts: the notices that the licenses themselves ask for or are known by.
+#: Words that make another license of one, beside numbers of one or two digits; a 0 ends a version and changes none.
+MARKS = {b"nc", b"sa", b"nd", b"noncommercial", b"sharealike", b"noderivs", b"noderivatives", b"lesser", b"library", b"affero"}
+
+
+def _gnu() -> list[tuple[str, str, str]]:
+    """Notices of the GNU licenses: as one line and as the paragraph for a file, of this version only and of later ones."""
+    out = []
+    for short, kind, what, version in [
+        ("GPL-2.0", "", "program", "2"), ("GPL-3.0", "", "program", "3"), ("AGPL-3.0", "Affero ", "program", "3"),
+        ("LGPL-2.0", "Library ", "library", "2"), ("LGPL-2.1", "Lesser ", "library", "2.1"), ("LGPL-3.0", "Lesser ", "library", "3"),
+    ]:
+        name = f"GNU {kind}General Public License"
+        keys = f"gnu {kind}general {version}"
+        line = f"This work is licensed under the {name}, version {version}"
+        notice = (
+            f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published "
+            f"by the Free Software Foundation, either version {version} of the License"
+        )
+        out += [(short, f"{line}.", keys), (f"{short}-or-later", f"{line} or any later version.", f"{keys} later")]
+        out += [(short, f"{notice}.", keys), (f"{short}-or-later", f"{notice}, or (at your option) any later version.", f"{keys} later")]
+    return out
+
+
+def _creative_commons() -> list[tuple[str, str, str]]:
+    forms = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
+    return [
+        (f"CC-{f}-{v}", f"Licensed under CC {f} {v}.", f"cc {f} {v.removesuffix('.0')}") for v in ("1.0", "2.0", "2.5", "3.0", "4.0") for f in forms
+    ]
+
+
+#: (license, template, words of it that must be aligned, in order). Fixed texts: the notices that the licenses
+#: themselves ask for or are known by.
 TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", _MIT_BODY),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("MIT", "Released under the MIT License.", "mit"),
+    ("MIT", "Licensed under the MIT License.", "mit"),
+    ("MIT", _MIT_BODY, ""),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2"),
     (
         "Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
         "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
         "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "apache 2",
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    (
-        "GPL-2.0-or-later",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("BSD", _BSD_HEAD),
+    *_gnu(),
+    *_creative_commons(),
+    ("BSD", _BSD_HEAD, ""),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
+        "",
     ),
 ]
 #: Bytes between words: all ASCII but letters and digits.
@@ -83,12 +105,13 @@ BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 class Index:
     """The winnowed fingerprints of the templates."""
 
-    def __init__(self, templates: list[tuple[str, str]]):
-        self.names = [n for n, _ in templates]
-        w = Words([t.encode() for _, t in templates], lower=True, between=BETWEEN)
+    def __init__(self, templates: list[tuple[str, ...]]):
+        self.names = [t[0] for t in templates]
+        w = Words([t[1].encode() for t in templates], lower=True, between=BETWEEN)
         h = w.hashes()
         g = shingles(h, GRAM)
         self.words = [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
+        self.keys_of = [places(w.words_of(i), Words([k.encode()], lower=True, between=BETWEEN).words_of(0)) for i, (_, _, k) in enumerate((*t, "")[:3] for t in templates)]
         self.postings: dict[int, list[tuple[int, int]]] = {}
         for t, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
             for p in winnow(g[a : max(a, b - GRAM + 1)], WINNOW):
@@ -107,35 +130,70 @@ def winnow(g: np.ndarray, width: int) -> list[int]:
     return list(places)
 
 
+def places(words: list[bytes], keys: list[bytes]) -> list[int]:
+    """Where ``keys`` stand in ``words``, in order, each at its first place after the one before."""
+    out: list[int] = []
+    for k in keys:
+        out.append(words.index(k, out[-1] + 1 if out else 0))
+    return out
+
+
+def marks(word: bytes) -> bool:
+    return word in MARKS or (word.isdigit() and len(word) <= 2 and word != b"0")
+
+
+def names_it(keys: list[int], path: dict[int, int], words: list[bytes], follows: bytes) -> bool:
+    """Whether all key words are aligned, without others of their sort among them or a version that goes on after them.
+
+    ``path`` maps aligned template words to text words; ``words`` are the text's, ``follows`` is what
+    stands between the last key word and the next word.
+    """
+    if not keys:
+        return True
+    if any(k not in path for k in keys):
+        return False
+    first, last = path[keys[0]], path[keys[-1]]
+    if any(marks(words[j]) for j in set(range(first, last)) - set(path.values())):
+        return False
+    goes_on = words[last].isdigit() and follows == b"." and last + 1 < len(words) and marks(words[last + 1])
+    return not goes_on
+
+
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, end) of the best alignment with text word = template word + shift, give or take ``band``.
+    """(matched words, first, end) of the best alignment with text word = template word + shift, give or take ``band``."""
+    return traced(template, text, shift, band)[:3]
+
+
+def traced(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, dict[int, int]]:
+    """What ``align`` says, and the text word of each matched template word.
 
     The score is one for a match and a small penalty for what is skipped inside, so that the span
     is as short as the matches allow.
     """
-    best = (0.0, 0, 0, 0)
-    # A row: for each text place in the band, (score, matches, first) of a path that ends there.
-    before: dict[int, tuple[float, int, int]] = {}
+    best = (0.0, 0, 0, 0, None)
+    # A row: for each text place in the band, (score, matches, first, chain of matches) of a path that ends there.
+    before: dict[int, tuple] = {}
     for i, x in enumerate(template):
-        row: dict[int, tuple[float, int, int]] = {}
+        row: dict[int, tuple] = {}
         for j in range(max(0, i + shift - band), min(len(text), i + shift + band + 1)):
-            diagonal = before.get(j - 1, (0.0, 0, j))
+            diagonal = before.get(j - 1, (0.0, 0, j, None))
             if x == text[j]:
                 first = diagonal[2] if diagonal[1] else j
-                cell = (diagonal[0] + 1, diagonal[1] + 1, first)
+                cell = (diagonal[0] + 1, diagonal[1] + 1, first, (diagonal[3], i, j))
                 if cell[0] > best[0]:
-                    best = (cell[0], cell[1], cell[2], j + 1)
+                    best = (cell[0], cell[1], cell[2], j + 1, cell[3])
             else:
-                cell = max(
-                    (diagonal[0] - 0.3, *diagonal[1:]),
-                    (before.get(j, (0.0, 0, j))[0] - 0.2, *before.get(j, (0.0, 0, j))[1:]),
-                    (row.get(j - 1, (0.0, 0, j))[0] - 0.2, *row.get(j - 1, (0.0, 0, j))[1:]),
-                )
+                above, left = before.get(j, (0.0, 0, j, None)), row.get(j - 1, (0.0, 0, j, None))
+                cell = max((diagonal[0] - 0.3, *diagonal[1:]), (above[0] - 0.2, *above[1:]), (left[0] - 0.2, *left[1:]), key=lambda c: c[:3])
                 if cell[0] <= 0:
                     continue
             row[j] = cell
         before = row
-    return best[1:]
+    path, chain = {}, best[4]
+    while chain:
+        chain, i, j = chain
+        path[i] = j
+    return best[1], best[2], best[3], path
 
 
 def candidates(hits: list[tuple[int, int, int]], slack: int = BAND) -> list[tuple[int, int]]:
@@ -149,6 +207,12 @@ def candidates(hits: list[tuple[int, int, int]], slack: int = BAND) -> list[tupl
     return out
 
 
+def gap_after(w: Words, i: int, path: dict[int, int], keys: list[int]) -> bytes:
+    """What stands between the text word of the last key and the next word of text i; empty without one."""
+    at = w.first[i] + path[keys[-1]] if keys and keys[-1] in path else w.first[i + 1]
+    return w.data[w.end[at] : w.start[at + 1]].tobytes() if at + 1 < w.first[i + 1] else b""
+
+
 def scan(index: Index, texts: list[bytes], min_coverage: float) -> Iterator[tuple[int, str, int, int, float, int, int]]:
     """(text, license, matched words, template words, coverage, start, end); offsets in code points."""
     w = Words(texts, lower=True, between=BETWEEN)
@@ -163,11 +227,11 @@ def scan(index: Index, texts: list[bytes], min_coverage: float) -> Iterator[tupl
         if q + GRAM <= w.first[i + 1]:
             hits.setdefault(i, []).extend((t, p, q - int(w.first[i])) for t, p in index.postings[int(g[q])])
     for i, found in hits.items():
-        own = h[w.first[i] : w.first[i + 1]]
+        own, said = h[w.first[i] : w.first[i + 1]], w.words_of(i)
         matches = []
         for t, shift in candidates(found):
-            n, a, b = align(index.words[t], own, shift)
-            if n >= min_coverage * len(index.words[t]):
+            n, a, b, path = traced(index.words[t], own, shift)
+            if n >= min_coverage * len(index.words[t]) and names_it(index.keys_of[t], path, said, gap_after(w, i, path, index.keys_of[t])):
                 matches.append((n, -(b - a), t, a, b))
         # Longest first; a shorter match that touches one already taken is part of it.
         taken: list[tuple[int, int]] = []
@@ -204,7 +268,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A text without a match, a null or an empty one, has no row; a text with several has several, which don't
     overlap: of matches that touch, the one with most matched words stays, then the shortest, the
-    earliest, the first template. Repeated rows are reported each. No templates or an empty table give an
+    earliest, the first template. ``templates`` are (license, text) or (license, text, key words of the text that
+    must be aligned). Repeated rows are reported each. No templates or an empty table give an
     empty one; other columns are ignored.
     """
     short_batches(docs.sparkSession)

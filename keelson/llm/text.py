@@ -68,6 +68,11 @@ class Words:
         """For each word, the index of its text."""
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
+    def words_of(self, i: int) -> list[bytes]:
+        """The words of text i."""
+        a, b = self.first[i], self.first[i + 1]
+        return [self.data[x:y].tobytes() for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist())]
+
     def hashes(self) -> np.ndarray:
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(self.data)), out=sums[1:])

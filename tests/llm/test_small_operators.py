@@ -149,6 +149,45 @@ def test_license_spans(spark):
     assert license_scan.license_scan(frame(spark, texts), templates=[]).count() == 0
 
 
+_FILE = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License"
+_LATER = ", or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    "text,license",
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 3.0. 12 files follow", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 3 or later.", "GPL-3.0-or-later"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("This work is licensed under the GNU General Public License, version 1.", None),
+        ("This work is licensed under the GNU Free Documentation License, version 3.", None),
+        ("This program is free software; " + _FILE.format("", "2") + _LATER, "GPL-2.0-or-later"),
+        ("This program is free software: " + _FILE.format("", "3") + ".", "GPL-3.0"),
+        ("This library is free software; " + _FILE.format("Lesser ", "2.1") + _LATER, "LGPL-2.1-or-later"),
+        ("This library is free software; " + _FILE.format("Library ", "2") + _LATER, "LGPL-2.0-or-later"),
+        ("This program is free software: " + _FILE.format("Affero ", "3") + _LATER, "AGPL-3.0-or-later"),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("Licensed under CC BY 2.5.", "CC-BY-2.5"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY 4.7.", None),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Released under the BSD License.", None),
+        ("Released under the MIT License.", "MIT"),
+    ],
+)
+def test_license_of_the_right_version_and_variant(text, license):
+    index = license_scan.Index(license_scan.TEMPLATES)
+    found = [r[1] for r in license_scan.scan(index, [b"some words before", f"We say. {text} And more".encode()], license_scan.MIN_COVERAGE)]
+    assert found == ([license] if license else [])
+
+
 def test_alignment_equals_full_table():
     """In a band as wide as the text, matched words are those of an unbanded dynamic programme."""
     rng = np.random.default_rng(1)
