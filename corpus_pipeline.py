@@ -5,6 +5,9 @@ Every stage but the last returns the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,28 +18,39 @@ from keelson.llm.staging import materialise
 ORACLE_SQL = None
 
 
-def of_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``; a null doc_id counts as one."""
-    ids = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(*docs.columns)
+def of_ids(docs: DataFrame, kept: DataFrame, *also: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id, and columns ``also``, are those of a row of ``kept``; null equals null."""
+    ids = kept.select(*[F.col(c).alias(f"_kept_{c}") for c in ("doc_id", *also)])
+    same = [docs[c].eqNullSafe(ids[f"_kept_{c}"]) for c in ("doc_id", *also)]
+    return docs.join(ids, reduce(and_, same), "left_semi").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; a missing language is filled in with the predicted one."""
     model = langid.fit(docs.where(langid.fold() != 1))
-    said = langid.predict(docs, model).where(F.col("lang_pred") != langid.UND).select(F.col("doc_id").alias("_id"), "lang_pred").dropDuplicates(["_id"])
-    kept = docs.join(said, docs["doc_id"].eqNullSafe(said["_id"])).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return kept.select(*docs.columns)
+    said = langid.predict(docs, model, carry=True).where(F.col("lang_pred") != langid.UND).select("row.*", "lang_pred")
+    return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts equal but for the case of A-Z, the one with the largest doc_id stays."""
-    return of_ids(docs, exact_dedup.content_sort(docs, keep="largest").where("kept"))
+    """Of texts equal but for the case of A-Z, the one with the largest doc_id stays.
+
+    The verdict is that of a doc_id and its text, so rows that share a doc_id and differ in text have their own.
+    """
+    marked = docs.withColumn("text_sha256", exact_dedup.digest_of(F.col("text")))
+    return of_ids(marked, exact_dedup.content_sort(docs, keep="largest").where("kept"), "text_sha256").select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id."""
-    return of_ids(docs, minhash.near_duplicates(docs).where("kept"))
+    """One row of each group of near-duplicates stays: that of the smallest doc_id, of a null one only where there is no other.
+
+    Rows get numbers of their own first: a doc_id may repeat or be null.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    said = minhash.near_duplicates(rows, id_col="_row").select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
+    kept = said.groupBy("component_id").agg(first.alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def digest_of(text: Column) -> Column:
+    """``text_sha256`` of a text: that of its lower-cased form."""
+    return F.sha2(F.encode(lower_ascii(text), "UTF-8"), 256)
+
+
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from keelson.llm.staging import documents, short_batches
 from keelson.llm.text import BLANK, Words, buffers
@@ -216,7 +217,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(sorted(set(langs))).fit(texts, langs)
 
 
-def _predict(model: Model):
+def _predict(model: Model, carried: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in buffers(b.column(1)):
@@ -239,30 +240,38 @@ def _predict(model: Model):
                         pa.array([model.labels[k] for k in best], pa.string()),
                         pa.array(np.clip(mean[np.arange(n), best], 0, 1)),
                         pa.array(edges, pa.int64()),
+                        *([b.column(3)[at : at + n]] if carried else []),
                     ],
-                    names=["id", "has_letter", "lang_pred", "score", "n_switches"],
+                    names=["id", "has_letter", "lang_pred", "score", "n_switches", *(["row"] if carried else [])],
                 )
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per input row: id, lang_pred, score, n_switches (changes of language between words).
 
+    With ``carry``, a last column ``row`` is a struct of the row's own columns, so the verdict stays with it.
+
     A text that is null or has no letter is "und" with score 0, and so is every text if the model
     has no labels. Repeated rows get their own result; an empty table gives an empty one; other columns
     are ignored. Nothing but the text enters a prediction.
     """
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    also = ["row"] if carry else []
     if not model.labels:
-        return rows.select(F.col("id").alias(id_col), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_switches"))
-    got = rows.mapInArrow(_predict(model), "id long, has_letter boolean, lang_pred string, score double, n_switches long")
+        return rows.select(F.col("id").alias(id_col), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_switches"), *also)
+    schema = StructType.fromDDL("id long, has_letter boolean, lang_pred string, score double, n_switches long")
+    if carry:
+        schema = schema.add("row", rows.schema["row"].dataType)
+    got = rows.mapInArrow(_predict(model, carry), schema)
     return got.select(
         F.col("id").alias(id_col),
         F.when(F.col("has_letter"), F.col("lang_pred")).otherwise(UND).alias("lang_pred"),
         F.when(F.col("has_letter"), F.col("score")).otherwise(0.0).alias("score"),
         "n_switches",
+        *also,
     )
 
 

@@ -31,6 +31,29 @@ def test_language_stage_drops_texts_without_letters(spark):
     assert next(r["lang"] for r in out if r["doc_id"] is None)
 
 
+def test_verdicts_are_of_rows_where_identifiers_are_null_or_repeat(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = lambda pairs: spark.createDataFrame([(i, t, None, "s", 1) for i, t in pairs], schema)
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = known.where("length(text) > 300 AND lang IS NOT NULL")
+    german, english = (long.where(long.lang == x).orderBy("doc_id").first()["text"] for x in ("de", "en"))
+    extra = [(None, "12 34 !!"), (None, english), (None, german), (10**6, "56 ??"), (10**6, german), (10**6, english)]
+    out = c.language_id(spark, known.unionByName(rows(extra)), "").where("doc_id IS NULL OR doc_id = 1000000").collect()
+    assert sorted((str(r["doc_id"]), r["lang"]) for r in out) == [("1000000", "de"), ("1000000", "en"), ("None", "de"), ("None", "en")]
+
+    # Null and 7 lose "one" and "two" to larger identifiers, and keep their other text.
+    docs = rows([(None, "One"), (None, "other"), (9, "one"), (7, "two"), (7, "three"), (8, "TWO")])
+    assert pairs(c.exact(spark, docs, "")) == sorted([(None, "other"), (9, "one"), (7, "three"), (8, "TWO")], key=str)
+
+    base, more = " ".join(f"w{k}" for k in range(200)), " ".join(f"v{k}" for k in range(200))
+    docs = rows([(None, base), (None, base + " a"), (None, more), (5, more + " b"), (6, more + " c"), (6, "apart " * 3 + base[:300]), (6, "alone")])
+    left = pairs(c.near(spark, docs, ""))
+    assert len(left) == 4 and [t in (base, base + " a") for i, t in left if i is None] == [True]
+    assert {(5, more + " b"), (6, "apart " * 3 + base[:300]), (6, "alone")} <= set(left)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
