@@ -132,14 +132,90 @@ def test_instances_are_whole_and_have_words_on_both_sides(spark):
     texts = ["dial tel:+1 (555) 123-4567 at 9 oclock.", "room 12b code 123456 then 7x end", "in 1999. 2000 5000 55.66@x.com (a1234)."]
     from pyspark.sql import functions as F
 
-    rows = frame(spark, texts).select("doc_id", F.explode(pii.described(F.col("text"))["inst"]).alias("i")).select("doc_id", "i.*").collect()
+    rows = pii.described(frame(spark, texts).withColumn("_text", F.col("text"))).select("doc_id", F.explode("inst").alias("i")).select("doc_id", "i.*").collect()
     got = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]): r for r in rows}
     assert set(got) == {(0, "+1 (555) 123-4567"), (1, "123456"), (2, "1999"), (2, "2000 5000"), (2, "55.66@x.com"), (2, "a1234")}
-    assert got[0, "+1 (555) 123-4567"]["seed"] and "L:dial tel:~~separated" in got[0, "+1 (555) 123-4567"]["patterns"]
-    assert {"L:00b code~000000", "LR:code|then~~digits", "R1:then~~number"} <= set(got[1, "123456"]["patterns"])
+    assert got[0, "+1 (555) 123-4567"]["covered"] and "L:dial tel:~~separated" in got[0, "+1 (555) 123-4567"]["patterns"]
+    assert {"L:00b code~000000", "LR:code|then~~digits", "L1:code~~number"} <= set(got[1, "123456"]["patterns"])
+    assert got[1, "123456"]["l1"] == "code" and got[2, "1999"]["l1"] == "in"
 
 
 def test_many_numbers_in_one_text(spark):
     """Long runs of groups do not overflow the stack of the matcher."""
     rows = pii.find_pii(frame(spark, ["12 34-5 " * 40000, "1.2-" * 40000 + "a", "(a" * 40000, "a@ " * 3000])).collect()
     assert len(rows) == 4 and all(r["n_context"] == 0 for r in rows)
+
+
+def test_discovered_instances_support_further_patterns(spark):
+    """Two hops: cards teach "acct no", whose other numbers teach "member id", where no seed stands."""
+    cards = ["4111111111111111", "4242424242424242", "4012888888881881", "5555555555554444", "4000056655665556", "5200828282828210", "2223003122003222", "378282246310005"]
+    cards += ["6011111111111117", "3056930009020004", "5105105105105100", "6011000990139424", "3566002020360505", "6200000000000005", "4917610000000000", "4462030000000000"]
+    members = [f"77-{k}12-90" for k in range(1, 6)]
+    texts = [f"pay to acct no {c} today" for c in cards] + [f"pay to acct no {m} today" for m in members]
+    texts += [f"ask for member id {m} there" for m in members] + ["ask for member id 55-919-31 there", "ask for room 55-919-31 there"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, texts)).collect()}
+    one_hop, two_hops = range(len(cards), len(cards) + len(members)), len(texts) - 2
+    assert all(rows[k] == "context:15:24" for k in one_hop)
+    assert rows[two_hops] == "context:18:27" and rows[two_hops + 1] == ""
+
+
+def test_secrets_teach_their_words_and_common_words_teach_nothing(spark):
+    key = [hashlib.sha1(bytes([k])).hexdigest() for k in range(6)]
+    texts = [f'so it was. token = "{k}" and so on' for k in key[:5]] + ['so it was. token = "ab12-cd34-ef" and so on', f"built at {key[5]} and done"]
+    # An email after "the", which stands before much else.
+    texts += [f"the a{k}@example.com" for k in range(5)] + ["the b1234@local"] + ["the cat and the dog " * 30]
+    rows = {r["doc_id"]: r for r in pii.find_pii(frame(spark, texts)).collect()}
+    assert all(rows[k]["spans"] == "secret:20:60" and rows[k]["n_spans"] == rows[k]["n_secret"] == 1 for k in range(5))
+    assert rows[5]["spans"] == "context:20:32" and rows[6]["spans"] == "" and rows[12]["spans"] == ""
+
+
+def brute_patterns(edges):
+    by, score = {}, {t: 1.0 for _, t, seed in edges if seed}
+    for p, t, _ in edges:
+        by.setdefault(p, set()).add(t)
+    while True:
+        conf = {p: sum(score.get(t, 0) for t in ts) / (sum(1 if t in score else pii.UNKNOWN for t in ts) + 0.5) for p, ts in by.items() if sum(t in score for t in ts) >= pii.MIN_SEEDS}
+        good = {p: c for p, c in conf.items() if c >= pii.MIN_CONFIDENCE}
+        new = {}
+        for p, c in good.items():
+            for t in by[p] - set(score):
+                new[t] = max(c, new.get(t, 0))
+        if not new:
+            return good
+        score |= new
+
+
+def test_pattern_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(3):
+        seeds = {int(t) for t in rng.integers(0, 60, 60)}
+        edges = sorted({(f"p{p}", f"t{t}", int(t) in seeds) for p in range(25) for t in rng.integers(2 * p, 2 * p + 12, 14)})
+        got = {r["pattern"]: r["confidence"] for r in pii.confident_patterns(spark.createDataFrame(edges, "pattern string, token string, seed boolean")).collect()}
+        assert got == pytest.approx(brute_patterns(edges)) and got
+
+
+def test_running_sums(spark):
+    from itertools import accumulate
+
+    from pyspark.sql import functions as F
+
+    for n in (1, 63, 64, 65, 5000):
+        x = [(k * 7919) % 101 for k in range(n)]
+        df = spark.createDataFrame([(x,)], "x array<int>").select(pii.bind(F.col("x"), lambda a: pii.running(a)), pii.bind(F.col("x"), lambda a: pii.running(a, lambda p, q: F.greatest(p, q))))
+        assert [list(c) for c in df.first()] == [list(accumulate(x)), list(accumulate(x, max))]
+
+
+def test_rows_that_repeat_or_lack_an_identifier(spark):
+    rows = spark.createDataFrame([(None, "a@b.co"), (None, "c@d.co and e@f.co"), (7, "a@b.co"), (7, "10.0.0.1"), (7, "10.0.0.1"), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["spans"]) for r in pii.find_pii(rows).collect()), key=str)
+    want = [(None, "email:0:6"), (None, "email:0:6,email:11:17"), (7, "email:0:6"), (7, "ip:0:8"), (7, "ip:0:8"), (None, "")]
+    assert got == sorted(want, key=str)
+
+
+def test_work_on_a_long_text_is_not_quadratic(spark):
+    import time
+
+    text = " ".join(f"user{k}@mail{k}.example.com id{k:06d}" for k in range(20000))
+    began = time.time()
+    rows = pii.find_pii(frame(spark, [text, "x" * 10**6 + " 1" + "2" * 10**6 + " a@b.c"])).collect()
+    assert sorted(r["n_email"] for r in rows) == [1, 20000] and time.time() - began < 60
