@@ -1,10 +1,11 @@
 """Exact dedup by content sort.
 
-Normalised texts are range-partitioned by sampled splitters and sorted on disk,
-so that equal texts lie next to each other; neighbours are compared in full and
-one identifier of each run stays. Splitters run over (text, identifier): a text
-that a third of all rows share is cut over many partitions, each of which
-leaves one row of it for the second, small exchange.
+Normalised texts are range-partitioned by sampled splitters and sorted on disk, so that equal texts lie next to each
+other; neighbours are compared in full and one identifier of each run stays. A text travels once. What is joined
+afterwards are a digest, an identifier and a count.
+
+A text that more than a thousandth of all rows share would fill a partition of its own. Its rows are dealt to as many
+parts as it has such shares (skew.py), and the parts' results, at most 2000 rows whatever the table, are merged by full text.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.staging import documents
+from keelson.llm import skew
+from keelson.llm.staging import documents, materialise
 
 #: Characters of a text that splitters are made of.
 SPLIT_CHARS = 64
@@ -36,21 +38,26 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts equal empty ones. Repeated identifiers stay as rows of their own
     and are all kept if theirs is the identifier that stays. A null identifier
     stays only where equal texts have no other; all such rows are then kept. An empty
-    table gives an empty one. Other columns are ignored, whatever their names.
+    table gives an empty one. Texts of any length are compared as a whole.
+    Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), lower_ascii(F.col(text_col)).alias("_norm"))
-    digest = F.sha2(F.encode("_norm", "UTF-8"), 256)
     best = {"smallest": F.min, "largest": F.max}[keep]
-    # The driver sees a sample of the splitting keys, so these are the first characters only; order and
-    # equality are those of whole texts.
-    placed = rows.repartitionByRange(F.substring("_norm", 1, SPLIT_CHARS), "_id").sortWithinPartitions("_norm", "_id")
-    runs = (
-        placed.groupBy("_norm")
-        # first() needs the rows in order: it keeps the sort, and makes Spark compare neighbours.
-        .agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.first(digest).alias("text_sha256"))
-        .select("text_sha256", "keep_id", "group_size")
-    )
-    out = rows.select("_id", digest.alias("text_sha256")).join(runs, "text_sha256")
+    rows = docs.select(F.col(id_col).alias("_id"), lower_ascii(F.col(text_col)).alias("_norm")).withColumn("_h", F.xxhash64("_norm"))
+    keyed = materialise(rows.select("_id", "_h", F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256")))
+    large = skew.large_keys(keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("n")), ["_h"], keyed.count())
+    # The driver sees a sample of the splitting keys, so these hold the first characters only; order and equality are
+    # those of whole texts. All splitting keys are grouping keys: the runs need no further exchange.
+    keys = ["_head", "_h", "_part", "_parts"]
+    head = lower_ascii(F.substring(F.col(text_col), 1, SPLIT_CHARS))
+    texts = docs.select(F.col(id_col).alias("_id"), head.alias("_head"), lower_ascii(F.col(text_col)).alias("_norm")).withColumn("_h", F.xxhash64("_norm"))
+    placed = skew.dealt(texts, ["_h"], large).repartitionByRange(*keys).sortWithinPartitions(*keys, "_norm")
+    # first() needs the rows in order: it keeps the sort, and makes Spark compare neighbours.
+    runs = placed.groupBy(*keys, "_norm").agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.first("_head").alias("_first"))
+    small = runs.select(F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256"), F.when(F.col("_parts") > 0, F.col("_norm")).alias("_dealt"), "_parts", "keep_id", "n")
+    whole = small.groupBy("text_sha256", "_dealt", "_parts").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # Rows of a text that was dealt out meet a copy of its result in each part.
+    every_part = whole.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest("_parts", F.lit(1)) - 1)))
+    out = skew.dealt(keyed, ["_h"], large).select("_id", "text_sha256", "_part").join(every_part.select("text_sha256", "_part", "keep_id", "group_size"), ["text_sha256", "_part"])
     return out.select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

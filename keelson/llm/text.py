@@ -1,7 +1,8 @@
 """Words of many texts at once, as numpy arrays over one joined buffer of bytes.
 
-All hashes here only choose partners, buckets or table rows. They are taken mod 2^64:
-the hash of a word is a difference of running sums, so no loop over words is needed.
+Hashes are taken mod 2^64: the hash of a word is a difference of running sums, so no loop over words is needed.
+They choose partners, buckets and table rows, and stand for words in sets and alignments that are long; what is decided by
+them alone says so.
 """
 
 from __future__ import annotations
