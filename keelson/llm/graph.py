@@ -5,29 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm import skew
 from keelson.llm.staging import materialise
 
 
+def with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b) with ``m``, the least b of their a.
+
+    The least is counted by parts. A node with very many edges is dealt to parts, each of which gets a copy of its least
+    neighbour, so no task gets all its edges.
+    """
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return skew.join(edges, low.select("a", "m"), ["a"], skew.large_keys(low, ["a"], total))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge (a, b) can reach.
 
     Alternates two steps until nothing changes. Each replaces a node's edges to larger
     (then to smaller) neighbours by edges to the smallest neighbour; the number of edges
     never grows and the number of rounds is about the logarithm of the longest path.
-    A node with very many edges is aggregated by parts and joined back, never gathered.
     No edges give an empty table; loops and repeated edges are harmless; a null end drops the edge.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = materialise(e)
+    e, seen = materialise(e), None
     while True:
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        new = materialise(small.where("a <> b").distinct())
-        sums = [t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") - F.col("b"))).first() for t in (e, new)]
-        e = new
-        if sums[0] == sums[1]:
+        sums = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") - F.col("b"))).first()
+        if sums == seen or not sums["n"]:
             break
+        seen = sums
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = with_least(both, 2 * sums["n"]).where("b > a")
+        large = materialise(low.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct())
+        small = with_least(large, sums["n"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        e = materialise(small.where("a <> b").distinct())
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())

@@ -11,8 +11,9 @@
    yet connected is verified on the full sets; the most similar go first, so few are.
    Again a forest of links goes on, and its components are the result.
 
-Buckets and clusters of more than BLOCK members are dealt out as pairs of blocks: each task
-holds two blocks at most, and every pair of members meets in one of them. Nothing is capped.
+Buckets and clusters of more than BLOCK members, or of more than BLOCK_BYTES of text, are dealt out as pairs of blocks: each
+task holds two blocks at most, and every pair of members meets in one of them. Nothing is capped.
+Sets are compared by 64-bit hashes of their shingles; a link that goes on is confirmed on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.llm import skew
 from keelson.llm.graph import components
 from keelson.llm.staging import documents, materialise, short_batches
 from keelson.llm.text import Words, buffers, mixed, shingles
@@ -38,7 +40,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 BATCH = 24
 MISS = 1e-6
-BLOCK = 2000
+BLOCK, BLOCK_BYTES = 2000, 32 << 20
 QUERY_THRESHOLD = (85, 100)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -136,8 +138,20 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> bool:
     return threshold[1] * both >= threshold[0] * (a.size + b.size - both)
 
 
-def link_forest(ids: list[int], sets: list[np.ndarray], sig: np.ndarray, threshold: tuple[int, int], rule) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs of a cluster whose full sets reach the threshold."""
+def shingle_texts(text: bytes, k: int) -> set[bytes]:
+    """The shingles themselves, one blank between words."""
+    w = Words([text], lower=True).words_of(0)
+    return {b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def confirmed(a: bytes, b: bytes, k: int, threshold: tuple[int, int]) -> bool:
+    x, y = shingle_texts(a, k), shingle_texts(b, k)
+    both = len(x & y)
+    return threshold[1] * both >= threshold[0] * (len(x) + len(y) - both)
+
+
+def link_forest(ids: list[int], sets: list[np.ndarray], sig: np.ndarray, threshold: tuple[int, int], rule, confirm=lambda i, j: True) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs of a cluster whose full sets reach the threshold; ``confirm`` has the last word."""
     forest, size = Forest(len(ids)), np.array([s.size for s in sets])
     levels: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i in range(len(ids)):
@@ -149,13 +163,13 @@ def link_forest(ids: list[int], sets: list[np.ndarray], sig: np.ndarray, thresho
     for m in sorted(levels, reverse=True):
         for i, js in levels[m]:
             for j in js.tolist():
-                if forest.root(i) != forest.root(j) and linked(sets[i], sets[j], threshold):
+                if forest.root(i) != forest.root(j) and linked(sets[i], sets[j], threshold) and confirm(i, j):
                     forest.join(i, j)
                     yield ids[i], ids[j]
 
 
 def _describe(k: int):
-    names = ["id", "sig_text", "n_shingles", "digest", "signature", "bands"]
+    names = ["id", "sig_text", "n_bytes", "n_shingles", "digest", "signature", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,6 +184,7 @@ def _describe(k: int):
                     [
                         ids[at : at + len(texts)],
                         sigs[at : at + len(texts)],
+                        pa.array([len(t) for t in texts], pa.int64()),
                         pa.array([s.size for s in sets], pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array([(x >> np.uint64(56)).astype(np.uint8).tobytes() for x in full], pa.binary()),
@@ -219,67 +234,81 @@ def _candidates(rule):
 def _verify(k: int, threshold: tuple[int, int], rule):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets: list[np.ndarray] = []
-        for _, texts in buffers(pa.array(pdf["text"], pa.binary())):
+        bodies = pdf["text"].tolist()
+        for _, texts in buffers(pa.array(bodies, pa.binary())):
             sets += shingle_sets(texts, k)
         sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint8).reshape(len(pdf), -1)
-        return pd.DataFrame(list(link_forest(pdf["rep"].tolist(), sets, sig, threshold, rule)), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(list(link_forest(pdf["rep"].tolist(), sets, sig, threshold, rule, lambda i, j: confirmed(bodies[i], bodies[j], k, threshold))), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, sizes: DataFrame, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, member: str, sizes: DataFrame, large: DataFrame) -> DataFrame:
     """Adds (i, j): the pairs of blocks of its group that a row belongs to; (0, 0) in a small group.
 
-    ``sizes`` has (key, n). A group of n has ceil(n / block) blocks; a row goes to each
-    pair that holds its block, so any two rows of the group meet.
+    ``sizes`` has (key, blocks). A row goes to each pair that holds its block, so any two rows of the group meet.
+    ``large`` are the keys whose rows are dealt out for the join with ``sizes``.
     """
-    n = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    n = F.col("blocks")
     own = F.pmod(F.xxhash64(member), n).cast("int")
     pairs = F.when(n <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
     )
-    return rows.join(sizes, key).withColumn("_p", F.explode(pairs)).select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_p", "n")
+    both = skew.join(rows, sizes.select(key, "blocks"), [key], large)
+    return both.withColumn("_p", F.explode(pairs)).select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_p", "blocks")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), shingle: int = SHINGLE, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (80, 100), shingle: int = SHINGLE, miss: float = MISS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is at least
     ``threshold`` (a fraction, compared in integers). Texts of fewer words than a shingle are one shingle;
     null texts and texts without words are linked with nothing. Identifiers are integers; rows that repeat
-    one share its component. An empty table gives an empty one; other columns are ignored.
+    one and are the smallest of their component are all kept. A null identifier is larger than all: its row gets the
+    smallest identifier reachable, and is kept only where there is none. Of equal similarities either makes the same
+    component. An empty table gives an empty one; other columns are ignored. Texts may be long: a task holds
+    ``block_bytes`` of them for each of two blocks, or a longer one alone.
     """
     spark = docs.sparkSession
     short_batches(spark)
     rule = least_matches(threshold[0] / threshold[1], miss)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig_text"), F.col(text_col).cast("binary").alias("text"))
-    seen = materialise(
-        rows.mapInArrow(_describe(shingle), "id long, sig_text long, n_shingles long, digest binary, signature binary, bands array<long>")
-    )
-    full = seen.where("digest IS NOT NULL AND id IS NOT NULL")
-    classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    # One row of each class: that of its smallest identifier.
-    reps = full.join(classes, (full["id"] == classes["rep"]) & (full["digest"] == classes["digest"])).select("rep", "sig_text", "signature", "bands")
-    reps = materialise(reps.dropDuplicates(["rep", "sig_text"]))
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = in_blocks(keys, "key", "rep", sizes, block).join(reps.select("rep", "signature"), "rep")
+    schema = "id long, sig_text long, n_bytes long, n_shingles long, digest binary, signature binary, bands array<long>"
+    # A class is known by the number of a row of it: identifiers may be null.
+    seen = materialise(rows.mapInArrow(_describe(shingle), schema).withColumn("row", F.monotonically_increasing_id()))
+    full = seen.where("digest IS NOT NULL")
+    # Sums of its rows: no class is gathered.
+    first = F.min(F.struct("row", "id", "sig_text", "n_bytes", "signature", "bands")).alias("first")
+    classes = materialise(full.groupBy("digest").agg(first, F.min("id").alias("low_id"), F.count(F.lit(1)).alias("n")).select("digest", "first.*", "low_id", "n").withColumnRenamed("row", "rep"))
+    keys = classes.select("rep", F.explode("bands").alias("key"))
+    sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")
+    n_classes = classes.count()
+    hot = skew.large_keys(sizes, ["key"], n_classes)
+    met = in_blocks(keys, "key", "rep", sizes.select("key", blocks), hot).join(classes.select("rep", "signature"), "rep")
     met = met.select("key", "i", "j", "rep", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    clusters = materialise(components(met.mapInArrow(_candidates(rule), _EDGES)))
-    big = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = in_blocks(clusters, "component", "node", big, block).withColumnRenamed("node", "rep")
+    clusters = components(met.mapInArrow(_candidates(rule), _EDGES)).withColumnRenamed("node", "rep")
     # Only what is in a cluster needs its text again.
-    members = members.join(reps.select("rep", "sig_text", "signature"), "rep")
-    members = members.join(rows.dropDuplicates(["id", "sig_text"]).withColumnRenamed("id", "rep"), ["rep", "sig_text"])
+    clusters = materialise(clusters.join(classes.select("rep", "id", "sig_text", "n_bytes", "signature"), "rep"))
+    big = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("bytes") / F.lit(block_bytes))).cast("int").alias("blocks")
+    big = materialise(big.select("component", "n", blocks))
+    members = in_blocks(clusters, "component", "rep", big, skew.large_keys(big, ["component"], n_classes))
+    texts = rows.groupBy("id", "sig_text").agg(F.first("text").alias("text")).withColumnsRenamed({"id": "_id", "sig_text": "_sig"})
+    members = members.join(texts, members["id"].eqNullSafe(texts["_id"]) & (members["sig_text"] == texts["_sig"]))
     links = (
         members.select("component", "i", "j", "rep", "signature", "text").groupBy("component", "i", "j").applyInPandas(_verify(shingle, threshold, rule), _EDGES)
     )
-    found = materialise(components(links))
-    label = classes.join(found, classes["rep"] == found["node"], "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
-    )
-    out = seen.select("id", "n_shingles", "digest").join(label, "digest", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    found = components(links).withColumnsRenamed({"node": "rep"})
+    label = materialise(classes.select("digest", "rep", "low_id", "n").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "low_id", "n"))
+    lowest = label.groupBy("component").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    label_id = skew.join(label.select("digest", "component"), lowest.select("component", "component_id"), ["component"], skew.large_keys(lowest, ["component"], n_classes))
+    same = skew.large_keys(label, ["digest"], seen.count())
+    some = skew.join(full.select("id", "n_shingles", "digest"), label_id.select("digest", "component_id"), ["digest"], same)
+    # Rows without words meet nothing, so they needn't travel.
+    none = seen.where("digest IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = some.select("id", "n_shingles", "component_id").unionByName(none)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
