@@ -6,17 +6,18 @@ between the labels of neighbouring words are learned too. Forward-backward gives
 probabilities, so text that switches language is labelled by parts; a document's language is the label
 with the highest mean probability.
 
-Fitting takes a bounded sample of labelled rows (``fit_rows``, each of ``fit_chars`` at most) to the
-driver. Prediction reads every whole text in Python workers; the model is one table of fixed size.
+Fitting takes a bounded sample of labelled rows (parameters ``rows``, each of ``chars`` at most, even over the languages)
+to the driver. Prediction reads every whole text in Python workers; the model is one table of fixed size.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,6 +28,9 @@ TABLE_BITS = 16
 FIT_ROWS = 1200
 FIT_CHARS = 20_000
 STEP = 32  # words in a block of the chain
+#: A longer text is labelled window by window.
+WINDOW_BYTES = 4 << 20
+BLANK_BYTE, WORD_BYTE = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[^\x20\x09-\x0D]")
 UND = "und"
 
 
@@ -72,7 +76,8 @@ class Chain:
     once forward and once backward from its exact start and end.
     """
 
-    def __init__(self, trans: np.ndarray, scores: np.ndarray, counts: np.ndarray):
+    def __init__(self, trans: np.ndarray, scores: np.ndarray, counts: np.ndarray, starts: bool = True):
+        """Without ``starts``, the first word of each sequence follows another, unseen one."""
         self.a = np.exp(trans - trans.max())
         labels = scores.shape[1]
         blocks = -(-counts // STEP)
@@ -85,7 +90,7 @@ class Chain:
         own = np.ones((nb, STEP, labels))
         own[self.real] = e
         self.e = np.ascontiguousarray(own.transpose(1, 0, 2))
-        self.head = np.flatnonzero(nth == 0)
+        self.head = np.flatnonzero(nth == 0) if starts else np.zeros(0, dtype=np.int64)
         #: For each step, the blocks that have ended before it.
         self.past = [np.flatnonzero(~self.real[:, t]) for t in range(STEP)]
         self.blocks, self.nb, self.labels = blocks, nb, labels
@@ -100,56 +105,79 @@ class Chain:
         moved[past] = v[past]
         return moved
 
-    def marginals(self) -> np.ndarray:
-        nb, labels = self.nb, self.labels
-        m = np.broadcast_to(np.eye(labels), (nb, labels, labels)).copy()
+    def _products(self) -> np.ndarray:
+        """Each block as one matrix, up to a factor."""
+        m = np.broadcast_to(np.eye(self.labels), (self.nb, self.labels, self.labels)).copy()
         for t in range(STEP):
             m = self._step(m, t)
             if t % 8 == 7:
                 m /= m.max(axis=(1, 2), keepdims=True)
-        entry = np.full((nb, labels), 1.0 / labels)
-        leave = np.ones((nb, labels))
+        return m
+
+    def product(self) -> np.ndarray:
+        """The only sequence as one matrix, up to a factor."""
+        out = np.eye(self.labels)
+        for m in self._products():
+            out = out @ m
+            out /= out.max()
+        return out
+
+    def marginals(self) -> np.ndarray:
+        """Label probabilities of each word."""
+        return self.expected()[0]
+
+    def expected(self, pairs: bool = False, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities of each word and, with ``pairs``, the expected number of transitions.
+
+        ``entry`` and ``leave`` are what comes in before the first word and from after the last one, if a single sequence
+        is a part of a longer one.
+        """
+        nb, labels = self.nb, self.labels
+        m = self._products()
+        into, out = np.full((nb, labels), 1.0 / labels), np.ones((nb, labels))
+        if entry is not None:
+            into[0], out[-1] = entry, leave
         order = np.argsort(-self.blocks, kind="stable")
         longest = int(self.blocks.max()) if len(self.blocks) else 0
         n_with = np.searchsorted(-self.blocks[order], -np.arange(longest), side="left")
         for k in range(1, longest):
             at = self.first_block[order[: n_with[k]]] + k
-            x = np.einsum("bi,bij->bj", entry[at - 1], m[at - 1])
-            entry[at] = x / x.sum(axis=1, keepdims=True)
+            x = np.einsum("bi,bij->bj", into[at - 1], m[at - 1])
+            into[at] = x / x.sum(axis=1, keepdims=True)
         for k in range(longest - 1, 0, -1):
             at = self.first_block[order[: n_with[k]]] + k
-            x = np.einsum("bij,bj->bi", m[at], leave[at])
-            leave[at - 1] = x / x.max(axis=1, keepdims=True)
-        alpha = np.empty((STEP, nb, labels))
-        v = entry
+            x = np.einsum("bij,bj->bi", m[at], out[at])
+            out[at - 1] = x / x.max(axis=1, keepdims=True)
+        alpha, before = np.empty((STEP, nb, labels)), np.empty((STEP if pairs else 0, nb, labels))
+        v = into
         for t in range(STEP):
+            if pairs:
+                before[t] = v
             v = self._step(v, t)
             if t % 8 == 7:
                 v /= v.sum(axis=1, keepdims=True)
             alpha[t] = v
-        beta = leave
+        beta, moves = out, np.zeros((labels, labels))
         for t in range(STEP - 1, -1, -1):
             alpha[t] *= beta
+            if pairs:
+                has = self.real[:, t].copy()
+                if t == 0:
+                    has[self.head] = False
+                # P(label, next label): what came before, the transition, the next word, what comes after it.
+                joint = before[t][has][:, :, None] * self.a * (self.e[t] * beta)[has][:, None, :]
+                moves += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             # Beyond the last word nothing moves.
             back = (self.e[t] * beta) @ self.a.T
             past = self.past[t]
             back[past] = beta[past]
+            if t == 0:
+                continue
             beta = back
             if t % 8 == 0:
                 beta /= beta.max(axis=1, keepdims=True)
-        out = alpha.transpose(1, 0, 2)[self.real]
-        return out / out.sum(axis=1, keepdims=True)
-
-
-def _pairs(chain: Chain, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected transitions, from neighbouring label probabilities and the transition table."""
-    last = np.cumsum(counts) - 1
-    inner = np.ones(len(p), dtype=bool)
-    inner[last[counts > 0]] = False
-    i = np.flatnonzero(inner)
-    # The pair probability is proportional to alpha a e beta; marginals over emissions give it closely.
-    joint = p[i][:, :, None] * chain.a[None] * p[i + 1][:, None, :]
-    return (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        p = alpha.transpose(1, 0, 2)[self.real]
+        return p / p.sum(axis=1, keepdims=True), moves
 
 
 class Model:
@@ -170,7 +198,7 @@ class Model:
                 if not counts.sum():
                     continue
                 chain = Chain(self.trans, word_scores(self.weights, w, lexicon, rows), counts)
-                p = chain.marginals()
+                p, moves = chain.expected(pairs=True)
                 truth = np.repeat(y[k : k + batch], counts)
                 g = p.copy()
                 g[np.arange(len(g)), truth] -= 1
@@ -188,31 +216,82 @@ class Model:
                 self.weights -= rate * step / np.sqrt(grad2)
                 seen = np.zeros(self.trans.shape)
                 np.add.at(seen, (y[k : k + batch], y[k : k + batch]), np.maximum(counts - 1, 0))
-                t = (_pairs(chain, p, counts) - seen) / len(g) + l2 * self.trans
+                t = (moves - seen) / len(g) + l2 * self.trans
                 trans2 += t * t
                 self.trans -= rate * t / np.sqrt(trans2)
         return self
 
+    def _scores(self, texts: list[bytes]) -> tuple[Words, np.ndarray]:
+        w, lexicon, rows = features(texts)
+        return w, word_scores(self.weights, w, lexicon, rows)
+
     def label(self, texts: list[bytes]) -> tuple[Words, np.ndarray]:
         """The words of some texts and their label probabilities."""
-        w, lexicon, rows = features(texts)
-        return w, Chain(self.trans, word_scores(self.weights, w, lexicon, rows), w.count).marginals()
+        w, scores = self._scores(texts)
+        return w, Chain(self.trans, scores, w.count).marginals()
+
+    def means(self, texts: list[bytes], window: int = WINDOW_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """Mean label probabilities of each text (even without words) and the number of its changes of label."""
+        if len(texts) == 1 and len(texts[0]) > window:
+            return self._means_by_windows(texts[0], window)
+        w, p = self.label(texts)
+        mean, has = np.full((len(texts), len(self.labels)), 1.0 / len(self.labels)), w.count > 0
+        if has.any():
+            mean[has] = np.add.reduceat(p, w.first[:-1][has], axis=0) / w.count[has][:, None]
+        top, of = p.argmax(axis=1), w.text_of()
+        edge = (top[1:] != top[:-1]) & (of[1:] == of[:-1])
+        return mean, np.bincount(of[1:][edge], minlength=len(texts))
+
+    def _means_by_windows(self, text: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one long text: the chain's state is carried from window to window, so the result is that of the whole.
+
+        A first pass takes each window as one matrix; the second reads it again between what comes in from both sides.
+        """
+        parts, n_labels = list(windows(text, window)), len(self.labels)
+        chain = lambda k, w, scores: Chain(self.trans, scores, w.count, starts=k == 0)
+        matrices = [chain(k, *self._scores([text[a:b]])).product() for k, (a, b) in enumerate(parts)]
+        entry, leave = [np.full(n_labels, 1.0 / n_labels)], [np.ones(n_labels)]
+        for m in matrices[:-1]:
+            entry.append(entry[-1] @ m / (entry[-1] @ m).sum())
+        for m in matrices[:0:-1]:
+            leave.append(m @ leave[-1] / (m @ leave[-1]).max())
+        total, words, changes, last = np.zeros(n_labels), 0, 0, None
+        for k, (a, b) in enumerate(parts):
+            w, scores = self._scores([text[a:b]])
+            p = chain(k, w, scores).expected(entry=entry[k], leave=leave[-1 - k])[0]
+            top = p.argmax(axis=1)
+            changes += int((top[1:] != top[:-1]).sum()) + int(last is not None and last != top[0])
+            total, words, last = total + p.sum(axis=0), words + len(p), top[-1]
+        mean = total / words if words else np.full(n_labels, 1.0 / n_labels)
+        return mean[None], np.array([changes])
+
+
+def windows(text: bytes, window: int) -> Iterator[tuple[int, int]]:
+    """Stretches of whole words, with at least one, of about ``window`` bytes; each but the ends has the blank on either side."""
+    at, n = 0, len(text)
+    while m := WORD_BYTE.search(text, at):
+        cut = BLANK_BYTE.search(text, max(at + window, m.start()))
+        end = cut.start() if cut else n
+        yield at, min(end + 1, n)
+        at = end
 
 
 def fit_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> tuple[list[bytes], list[str]]:
-    """About ``rows`` labelled rows, those of the smallest hashes of their identifiers."""
+    """About ``rows`` labelled rows, those of the smallest hashes of their identifiers, as many of each language as can be."""
     usable = docs.select(
         F.xxhash64(F.col(id_col)).alias("_h"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")
     ).where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") <= chars))
-    low = usable.select("_h").orderBy("_h").limit(rows).agg(F.max("_h")).first()[0]
-    if low is None:
-        return [], []
-    got = sorted(usable.where(F.col("_h") <= low).limit(2 * rows).collect())
+    # Spark keeps ``rows`` of each language in each task before they are shuffled.
+    nth = F.row_number().over(Window.partitionBy("_l").orderBy("_h"))
+    ranked = usable.select("_h", "_l").withColumn("_n", nth).where(F.col("_n") <= rows)
+    chosen = ranked.orderBy("_n", "_l", "_h").limit(rows).select("_h", "_l").distinct()
+    got = usable.join(F.broadcast(chosen), ["_h", "_l"], "left_semi").limit(2 * rows).collect()  # ``chosen`` has ``rows`` rows at most
+    got = sorted(got, key=lambda r: (r["_h"], r["_t"], r["_l"]))
     return [r["_t"].encode() for r in got], [r["_l"] for r in got]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """A model from labelled rows; labels are the values of ``lang_col`` in the sample."""
+    """A model from labelled rows; labels are the values of ``lang_col`` in the sample, of which there may be ``rows`` at most."""
     texts, langs = fit_sample(docs, id_col, text_col, lang_col, rows, chars)
     return Model(sorted(set(langs))).fit(texts, langs)
 
@@ -221,17 +300,8 @@ def _predict(model: Model, carried: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in buffers(b.column(1)):
-                w, p = model.label(texts)
-                mean = np.full((len(texts), len(model.labels)), 1.0 / len(model.labels))
-                has = w.count > 0
-                if has.any():
-                    mean[has] = np.add.reduceat(p, w.first[:-1][has], axis=0) / w.count[has][:, None]
+                mean, edges = model.means(texts)
                 best = mean.argmax(axis=1)
-                edges = []
-                top = p.argmax(axis=1)
-                for i in range(len(texts)):
-                    own = top[w.first[i] : w.first[i + 1]]
-                    edges.append(int((own[1:] != own[:-1]).sum()))
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -239,7 +309,7 @@ def _predict(model: Model, carried: bool = False):
                         b.column(2)[at : at + n],
                         pa.array([model.labels[k] for k in best], pa.string()),
                         pa.array(np.clip(mean[np.arange(n), best], 0, 1)),
-                        pa.array(edges, pa.int64()),
+                        pa.array(edges.astype(np.int64)),
                         *([b.column(3)[at : at + n]] if carried else []),
                     ],
                     names=["id", "has_letter", "lang_pred", "score", "n_switches", *(["row"] if carried else [])],
@@ -254,8 +324,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     With ``carry``, a last column ``row`` is a struct of the row's own columns, so the verdict stays with it.
 
     A text that is null or has no letter is "und" with score 0, and so is every text if the model
-    has no labels. Repeated rows get their own result; an empty table gives an empty one; other columns
-    are ignored. Nothing but the text enters a prediction.
+    has no labels. Of languages with equal scores the first by name is said. Repeated rows get their own result, whatever
+    their identifiers; an empty table gives an empty one; other columns are ignored. A text of any length is read as a
+    whole, by windows. Nothing but the text enters a prediction.
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter"), *([F.struct(*docs.columns).alias("row")] if carry else []))

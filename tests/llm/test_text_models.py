@@ -51,6 +51,49 @@ def test_chain_equals_plain_forward_backward():
         at += n
 
 
+def test_expected_transitions_are_exact():
+    """Against the sum over all label sequences, and as the gradient of the log of the partition function."""
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    trans, counts = rng.normal(size=(3, 3)), np.array([4, 1, 6])
+    scores = rng.normal(size=(counts.sum(), 3))
+
+    def log_z(a):
+        total, at = 0.0, 0
+        for n in counts:
+            s = scores[at : at + n]
+            weights = [s[range(n), y].sum() + sum(a[i, j] for i, j in zip(y, y[1:])) for y in product(range(3), repeat=int(n))]
+            total, at = total + np.log(np.exp(weights).sum()), at + n
+        return total
+
+    _, moves = langid.Chain(trans, scores, counts).expected(pairs=True)
+    for i, j in product(range(3), repeat=2):
+        d = np.zeros((3, 3))
+        d[i, j] = 1e-5
+        assert (log_z(trans + d) - log_z(trans - d)) / 2e-5 == pytest.approx(moves[i, j], rel=1e-6)
+    long = langid.Chain(trans, rng.normal(size=(300, 3)), np.array([200, 0, 100]))
+    assert long.expected(pairs=True)[1].sum() == pytest.approx(298)
+
+
+def test_windows_give_what_the_whole_text_gives():
+    rng, model = np.random.default_rng(8), langid.Model(["a", "b", "c"])
+    model.weights = rng.normal(size=model.weights.shape).astype(np.float32) / 4
+    model.weights[0] = 0  # no feature
+    model.trans = np.eye(3) * 2
+    blanks = [" ", "\n", "  ", "\t\n "]
+    for text in ["".join(str(rng.integers(10**6)) + blanks[rng.integers(4)] for _ in range(500)), " x" * 300 + " " * 500, "y" * 700 + " z"]:
+        whole, cut = model.means([text.encode()]), model.means([text.encode()], window=50)
+        assert np.allclose(whole[0], cut[0]) and whole[1] == cut[1]
+    assert np.allclose(model.means([b" " * 100], window=50)[0], 1 / 3)
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    rows = [(k, f"text {k}", "en") for k in range(300)] + [(1000 + k, f"wort {k}", "de") for k in range(3)] + [(None, "rien", "fr"), (None, "nada", None)]
+    texts, langs = langid.fit_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 20, 100)
+    assert len(langs) == 20 and langs.count("de") == 3 and langs.count("fr") == 1
+
+
 def test_language_of_held_out_and_switched_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.fit(docs.where(langid.fold() != 1))
