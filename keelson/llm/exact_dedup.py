@@ -52,8 +52,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("_id"), head.alias("_head"), lower_ascii(F.col(text_col)).alias("_norm")).withColumn("_h", F.xxhash64("_norm"))
     placed = skew.dealt(texts, ["_h"], large).repartitionByRange(*keys).sortWithinPartitions(*keys, "_norm")
     # first() needs the rows in order: it keeps the sort, and makes Spark compare neighbours.
-    runs = placed.groupBy(*keys, "_norm").agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.first("_head").alias("_first"))
-    small = runs.select(F.sha2(F.encode("_norm", "UTF-8"), 256).alias("text_sha256"), F.when(F.col("_parts") > 0, F.col("_norm")).alias("_dealt"), "_parts", "keep_id", "n")
+    runs = placed.groupBy(*keys, "_norm").agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.first("_norm").alias("_text"))
+    small = runs.select(F.sha2(F.encode("_text", "UTF-8"), 256).alias("text_sha256"), F.when(F.col("_parts") > 0, F.col("_text")).alias("_dealt"), "_parts", "keep_id", "n")
     whole = small.groupBy("text_sha256", "_dealt", "_parts").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     # Rows of a text that was dealt out meet a copy of its result in each part.
     every_part = whole.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest("_parts", F.lit(1)) - 1)))
