@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -277,13 +277,15 @@ def windows(text: bytes, window: int) -> Iterator[tuple[int, int]]:
 
 
 def fit_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> tuple[list[bytes], list[str]]:
-    """About ``rows`` labelled rows, those of the smallest hashes of their identifiers, as many of each language as can be."""
+    """About ``rows`` labelled rows, those of the smallest hashes, as many of each language as can be."""
     usable = docs.select(
-        F.xxhash64(F.col(id_col)).alias("_h"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")
     ).where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") <= chars))
-    # Spark keeps ``rows`` of each language in each task before they are shuffled.
-    nth = F.row_number().over(Window.partitionBy("_l").orderBy("_h"))
-    ranked = usable.select("_h", "_l").withColumn("_n", nth).where(F.col("_n") <= rows)
+    # Hashes are dealt evenly: of each of 64 parts of a language, four times its share is enough to choose from. Spark keeps
+    # no more of them in each task before they are shuffled.
+    nth = lambda *by: F.row_number().over(Window.partitionBy("_l", *by).orderBy("_h"))
+    some = usable.select("_h", "_l", F.pmod("_h", F.lit(64)).alias("_p")).withColumn("_n", nth("_p")).where(F.col("_n") <= rows // 16 + 16)
+    ranked = some.select("_h", "_l").withColumn("_n", nth()).where(F.col("_n") <= rows)
     chosen = ranked.orderBy("_n", "_l", "_h").limit(rows).select("_h", "_l").distinct()
     got = usable.join(F.broadcast(chosen), ["_h", "_l"], "left_semi").limit(2 * rows).collect()  # ``chosen`` has ``rows`` rows at most
     got = sorted(got, key=lambda r: (r["_h"], r["_t"], r["_l"]))
@@ -296,6 +298,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(sorted(set(langs))).fit(texts, langs)
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
+
+
 def _predict(model: Model, carried: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,7 +335,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     whole, by windows. Nothing but the text enters a prediction.
     """
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), has_letter(F.col(text_col)).alias("has_letter"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     also = ["row"] if carry else []
     if not model.labels:
         return rows.select(F.col("id").alias(id_col), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_switches"), *also)

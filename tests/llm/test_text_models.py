@@ -25,6 +25,19 @@ def test_bpe_equals_the_library(spark):
     assert bpe.bpe_encode(frame(spark).limit(0), bpe.default_path()).count() == 0
 
 
+def test_every_code_point_is_encoded_as_the_library_does():
+    tokenizers = pytest.importorskip("tokenizers")
+    t, b = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.load(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    # All that tables may disagree on, and a part of the rest.
+    known = {c for a, z in bpe.UNKNOWN for c in (a, z)} | {c for a, z, _ in bpe.CAPITALS for c in range(a, z + 1)}
+    for c in sorted(known) + points[:0x3000] + points[0x3000::97]:
+        s = f"a{chr(c)}1 b{chr(c)}"
+        assert np.frombuffer(b.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, hex(c)
+
+
 def test_backtracking_equals_merges():
     b, rng = bpe.load(bpe.default_path()), np.random.default_rng(2)
     for _ in range(300):
