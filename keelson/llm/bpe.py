@@ -29,8 +29,24 @@ from pyspark.sql import functions as F
 
 from keelson.llm.staging import documents, short_batches
 
-#: Words whose ids are kept between texts: twice as many at most, the longest unused go first.
-CACHE_WORDS = 300_000
+#: Words whose ids are kept between texts: twice as many at most, the longest unused go first. Longer words are not kept.
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
+#: Code points that Unicode 16, the library's version, does not know, and that later versions call letters
+#: or numbers.
+UNKNOWN = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8),
+    (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+#: Capitals newer than Python's own tables, which the library lower-cases: (first, last, distance).
+CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
 
 
 def byte_chars() -> list[str]:
@@ -56,6 +72,11 @@ class Bpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
+        # Texts with one of the code points that tables disagree on take their own, slower pattern.
+        unknown = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNKNOWN)
+        self.disputed = regex.compile("[" + unknown + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in CAPITALS) + "]")
+        self.words_less = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{unknown}]]").replace(r"\p{N}", rf"[\p{{N}}--[{unknown}]]"))
+        self.to_lower = {c: c + d for a, b, d in CAPITALS for c in range(a, b + 1)}
         self.chars = byte_chars()
         # The last character of a word is a symbol of its own: its code is moved up by SHIFT.
         self.shift = 1024
@@ -146,9 +167,10 @@ class Bpe:
             got = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.pairs) >= 4 * CACHE_WORDS:
                 self.pairs.clear()
-        if len(self.cache) >= CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
-        self.cache[w] = got
+        if len(w) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE_WORDS:
+                self.older, self.cache = self.cache, {}
+            self.cache[w] = got
         return got
 
     def encode(self, text: str) -> bytes:
@@ -160,8 +182,10 @@ class Bpe:
             elif part:
                 # One character at a time: no rule looks at a letter's neighbours.
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                cached, word = self.cache.get, self.word
-                out += [cached(w) or word(w) for w in self.words.findall(low)]
+                cached, word, words = self.cache.get, self.word, self.words
+                if not low.isascii() and self.disputed.search(low):
+                    low, words = low.translate(self.to_lower), self.words_less
+                out += [cached(w) or word(w) for w in words.findall(low)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
@@ -202,10 +226,9 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
     Ids are those of the vocabulary's own library without special tokens added; the strings of
-    special tokens in a text become those tokens, as there. What counts as a letter or number is up
-    to the ``regex`` module's Unicode tables; the library's are a version older, so about 1,500 code
-    points that Python 3.13 itself calls unassigned can be cut into words differently. Null texts count as empty: no tokens.
-    Repeated rows are encoded each; an empty table gives an empty one; other columns are ignored.
+    special tokens in a text become those tokens, as there. Null texts count as empty: no tokens.
+    Repeated rows are encoded each, whatever their identifiers; an empty table gives an empty one; other columns are ignored.
+    A text of any length is encoded as a whole, in time linear in it; a worker holds a few times its longest text.
     ``path`` names a vocabulary file that every executor has.
     """
     short_batches(docs.sparkSession)
