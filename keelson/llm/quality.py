@@ -38,19 +38,24 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t-\\r]+"))
 
 
+def window_hash(w: Column, i: Column) -> Column:
+    return F.xxhash64(w[i - 1], w[i], w[i + 1])
+
+
 def repeated_words(w: Column) -> Column:
     """Words inside three-word windows that occur twice or more, the first included.
 
     Each window becomes one long: a hash above, its place below, as many bits as
     the text needs. Sorted, equal windows are neighbours, and neighbours of equal
-    hash are compared word by word.
+    hash are compared word by word. Where two neighbours of equal hash are different
+    windows, all windows are looked through for an equal one.
     """
     n = F.size(w)
     bits = F.length(F.bin(n)).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     place = F.sequence(F.lit(1), n - 2)
     packed = F.array_sort(
-        F.transform(place, lambda i: F.xxhash64(w[i - 1], w[i], w[i + 1]).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
+        F.transform(place, lambda i: window_hash(w, i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
     )
 
     def found(s: Column) -> Column:
@@ -61,9 +66,13 @@ def repeated_words(w: Column) -> Column:
             i, j = at(x), at(y)
             return (code(x) == code(y)) & (w[i - 1] == w[j - 1]) & (w[i] == w[j]) & (w[i + 1] == w[j + 1])
 
-        twice = F.filter(
-            s, lambda x, k: F.coalesce(same(x, F.get(s, k + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, k - 1)), F.lit(False))
-        )
+        def again(x: Column, k: Column) -> Column:
+            above, below = F.get(s, k + 1), F.get(s, k - 1)
+            beside = F.coalesce(same(x, above), F.lit(False)) | F.coalesce(same(x, below), F.lit(False))
+            shared = F.coalesce(code(x) == code(above), F.lit(False)) | F.coalesce(code(x) == code(below), F.lit(False))
+            return F.when(beside, True).when(shared, F.exists(s, lambda y: (y != x) & same(x, y))).otherwise(False)
+
+        twice = F.filter(s, again)
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.sequence(at(x), at(x) + 2)))))
 
     return F.when(n < 4, F.lit(0)).otherwise(F.transform(F.array(packed), found)[0]).cast("long")
@@ -109,26 +118,31 @@ def verdict(rules=THRESHOLDS) -> Column:
     return reduce(lambda a, b: a & b, [rule(*x[1:]) for x in rules], F.lit(True))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=THRESHOLDS) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=THRESHOLDS, lang_col: str | None = None) -> DataFrame:
     """Statistics of each whole text, base_failed and kept, one row per input row.
 
     A null or empty text has no words and fails. Repeated rows each get their
-    own result; an empty table gives an empty one; other columns are ignored.
+    own result, whatever their identifiers; an empty table gives an empty one; other columns are ignored.
+    A text of any length is read as a whole, in one row's memory. Where ``lang_col`` names a language that STOP_WORDS
+    has no list for, the stop-word ratio is null, so its rule is open; without the column or its value it is judged by all lists.
     """
-    base = docs.select(F.col(id_col), F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_w"))
-    s = base.select(id_col, *[c.alias(k) for k, c in statistics(F.col("_text"), F.col("_w")).items()])
+    unlisted = F.lit(False) if lang_col is None else F.coalesce(~F.col(lang_col).isin(*STOP_WORDS), F.lit(False))
+    base = docs.select(F.col(id_col), F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_w"), unlisted.alias("_unlisted"))
+    stats = statistics(F.col("_text"), F.col("_w"))
+    stats["n_stop_words"] = F.when(~F.col("_unlisted"), stats["n_stop_words"])
+    s = base.select(id_col, *[c.alias(k) for k, c in stats.items()])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return s.select("*", failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules(documents(spark, sf_dir), lang_col="lang")
 
 
 _STOP = ", ".join("'" + s + "'" for s in sorted({s for v in STOP_WORDS.values() for s in v.split()}))
 ORACLE = f"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  SELECT doc_id, coalesce(lang NOT IN ('en', 'de', 'fr', 'es'), FALSE) AS unlisted, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
   FROM documents),
 g AS (SELECT doc_id, i, w[i] AS a, w[i+1] AS b, w[i+2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -140,12 +154,12 @@ s AS (
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          len(list_filter(l, lambda x: contains(x, ' | ')))::BIGINT AS n_table_lines,
          len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{Lu}}{{2,}}[^\\p{{Ll}}]*')))::BIGINT AS n_shouted,
-         len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()#*$%&')) IN ({_STOP})))::BIGINT AS n_stop_words,
+         CASE WHEN NOT unlisted THEN len(list_filter(w, lambda x: lower(trim(x, '.,;:!?"''()#*$%&')) IN ({_STOP})))::BIGINT END AS n_stop_words,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN c USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT *, NOT base_failed AND word_chars / n_words BETWEEN 2.5 AND 12 AND n_symbols / n_words <= 0.25
-          AND n_stop_words / n_words >= 0.05 AND n_dup_lines / n_lines <= 0.5 AND n_shouted / n_words <= 0.5
+          AND coalesce(n_stop_words / n_words >= 0.05, TRUE) AND n_dup_lines / n_lines <= 0.5 AND n_shouted / n_words <= 0.5
           AND n_table_lines / n_lines <= 0.5 AS kept
 FROM f
 """
