@@ -9,10 +9,12 @@ dynamic programme.
 
 The search needs running sums only. Digests are uniform, so their first digits deal
 the groups into buckets of like size; a bucket's running sum is a window inside the
-bucket and the buckets' own sums are few. What the driver searches is the list of
-units: runs of neighbouring groups of one bucket, at most 1 / UNITS of all bytes
-each unless one group is larger. There are at most UNITS plus two times the number of
-buckets, whatever the input, and a cut is off by less than one unit.
+bucket and the buckets' own sums are few. What the driver searches is a list of
+units: runs of neighbouring groups of one bucket. Taken as whole they give a capacity
+that is feasible, taken as divisible at will one that is not too large. While the two differ, the units
+that a cut may fall into are asked for again, in finer units, until they are single groups
+or the two capacities meet: the capacity is exact, and about UNITS numbers come to the driver
+at a time, whatever the input.
 """
 
 from __future__ import annotations
@@ -30,18 +32,49 @@ BUCKET_DIGITS = 3  # hexadecimal: 4096 buckets
 SALTS = 64
 
 
-def greedy(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
-    """Ends of the shards of a greedy walk over running sums, or None if they don't suffice."""
-    cuts, at = [], 0
+def walk(ends: np.ndarray, single: np.ndarray, capacity: int, shards: int, divide: bool) -> tuple[bool, list[int]]:
+    """A greedy walk over running sums: whether it gets to the end, and where it stops on the way.
+
+    With ``divide``, a stop may lie inside a unit that is not a single group.
+    """
+    stops, at, total = [], 0, int(ends[-1])
     for _ in range(shards):
-        k = int(np.searchsorted(ends, at + capacity, side="right"))
-        if k == len(ends):
-            return cuts
-        if k == 0 or ends[k - 1] <= at:
-            return None
-        at = int(ends[k - 1])
-        cuts.append(at)
-    return None
+        target = at + capacity
+        if target >= total:
+            return True, stops
+        k = int(np.searchsorted(ends, target, side="right"))
+        stop = target if divide and not single[k] else int(ends[k - 1]) if k else 0
+        if stop <= at:
+            return False, stops
+        at = stop
+        stops.append(at)
+    return False, stops
+
+
+def smallest(ends: np.ndarray, single: np.ndarray, low: int, shards: int, divide: bool) -> int:
+    """The smallest capacity, from ``low``, that the walk gets to the end with."""
+    high = int(ends[-1])
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if walk(ends, single, mid, shards, divide)[0] else (mid + 1, high)
+    return low
+
+
+def between(ends: np.ndarray, single: np.ndarray, largest: int, shards: int) -> tuple[int, int]:
+    """Bounds of the smallest capacity for groups of which units are known; ``largest`` is the largest group."""
+    low = smallest(ends, single, max(largest, -(-int(ends[-1]) // shards)), shards, divide=True)
+    return low, smallest(ends, single, low, shards, divide=False)
+
+
+def undecided(ends: np.ndarray, single: np.ndarray, low: int, high: int, shards: int) -> np.ndarray:
+    """Indices of the units inside which a stop of the walk may lie, for a capacity from ``low`` to ``high``."""
+    first, last = walk(ends, single, low, shards, divide=False)[1], walk(ends, single, high, shards, divide=True)[1]
+    hit = np.zeros(len(ends), dtype=bool)
+    for k, end in enumerate(last):
+        # A walk of whole units that is stuck stays where it is.
+        begin = first[min(k, len(first) - 1)] if first else 0
+        hit[np.searchsorted(ends, begin, side="right") : np.searchsorted(ends, end) + 1] = True
+    return np.flatnonzero(hit & ~single)
 
 
 def layer(best: np.ndarray, at: int, ends: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +134,44 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
     """The smallest feasible capacity for contiguous shards, and the running sums to cut at."""
     if not len(sizes):
         return 0, []
-    ends = np.cumsum(sizes)
-    low, high = max(int(sizes.max()), -(-int(ends[-1]) // shards)), int(ends[-1])
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if greedy(ends, mid, shards) is not None else (mid + 1, high)
-    return low, even_cuts(sizes, shards, low)
+    single = np.ones(len(sizes), dtype=bool)
+    capacity = between(np.cumsum(sizes), single, int(sizes.max()), shards)[1]
+    return capacity, even_cuts(sizes, shards, capacity)
+
+
+#: Units as rows: bucket, running sum in the bucket before and after, rows, running rows after, groups.
+_UNIT = ["_bucket", "b0", "b1", "rows", "n1", "groups"]
+
+
+def in_units(groups: DataFrame, width) -> DataFrame:
+    """Runs of neighbouring groups, cut where their running sum passes a multiple of ``width``."""
+    unit = F.floor((F.col("_b_end") - 1) / F.greatest(width, F.lit(1))).cast("long")
+    return groups.groupBy("_bucket", unit.alias("_u")).agg(
+        F.min(F.col("_b_end") - F.col("_group_b")).alias("b0"), F.max("_b_end").alias("b1"), F.sum("_group_n").alias("rows"),
+        F.max("_n_end").alias("n1"), F.count(F.lit(1)).alias("groups"),
+    )
+
+
+def units_of(groups: DataFrame, shards: int, units: int) -> tuple[int, list[tuple]]:
+    """The smallest feasible capacity, and the units that it is known by."""
+    total, largest = groups.agg(F.sum("_group_b"), F.max("_group_b")).first()
+    if not total:
+        return 0, []
+    rows = sorted(tuple(r) for r in in_units(groups, F.lit(max(1, total // units))).select(*_UNIT).collect())
+    while True:
+        ends = np.cumsum([r[2] - r[1] for r in rows])
+        single = np.array([r[5] == 1 for r in rows])
+        low, high = between(ends, single, largest, shards)
+        if low == high:
+            return high, rows
+        # Finer, and not more rows at once than the first time; at least in halves.
+        open_ = undecided(ends, single, low, high, shards)
+        parts = max(2, units // len(open_))
+        finer = [(rows[k][0], rows[k][1], rows[k][2], max(1, (rows[k][2] - rows[k][1]) // parts)) for k in open_]
+        asked = groups.sparkSession.createDataFrame(finer, "_bucket int, _from long, _to long, _width long")
+        inside = groups.join(F.broadcast(asked), "_bucket").where("_b_end > _from AND _b_end <= _to")
+        new = in_units(inside, F.col("_width")) if len(set(w for *_, w in finer)) > 1 else in_units(inside, F.lit(finer[0][3]))
+        rows = sorted({r for k, r in enumerate(rows) if k not in set(open_.tolist())} | {tuple(r) for r in new.select(*_UNIT).collect()})
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, units: int = UNITS) -> DataFrame:
@@ -114,8 +179,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     Null texts count as empty ones: size 16, one group. Slots are gapless in a shard,
     by digest and identifier; rows that repeat an identifier get slots of their own.
-    Fewer groups than shards leave shards empty. An empty table gives an empty one.
-    Other columns are ignored.
+    Null identifiers come first. Fewer groups than shards leave shards empty. An empty table gives an empty one.
+    Texts may be of any length. Other columns are ignored. ``units``: about how many numbers the driver searches at a time.
     """
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = materialise(
@@ -141,17 +206,13 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         .select("_digest", "_salt", "_bucket", "_in_group", "_group_n", "_group_b", "_b_end", "_n_end")
     )
     groups = cells.where(first)
-    total = groups.agg(F.sum("_group_b")).first()[0] or 0
-    unit = F.floor((F.col("_b_end") - 1) / F.lit(max(1, total // units))).cast("long")
-    small = sorted(
-        tuple(r) for r in groups.groupBy("_bucket", unit.alias("u")).agg(F.sum("_group_b"), F.sum("_group_n"), F.max("_b_end"), F.max("_n_end")).collect()
-    )
-    sizes, counts = (np.array([r[k] for r in small], dtype=np.int64) for k in (2, 3))
-    _, cuts = minimax_cuts(sizes, shards)
+    capacity, known = units_of(groups.select("_bucket", "_b_end", "_group_b", "_group_n", "_n_end"), shards, units)
+    sizes, counts = np.array([r[2] - r[1] for r in known], dtype=np.int64), np.array([r[3] for r in known], dtype=np.int64)
+    cuts = even_cuts(sizes, shards, capacity) if known else []
     ends, rows_to = np.cumsum(sizes), np.cumsum(counts)
     n_before = [0] + [int(rows_to[np.searchsorted(ends, c)]) for c in cuts]
     offsets = {}
-    for (b, *_), e, s, n, m in zip(small, ends, sizes, rows_to, counts):
+    for (b, *_), e, s, n, m in zip(known, ends, sizes, rows_to, counts):
         offsets.setdefault(b, (int(e - s), int(n - m)))
     at = docs.sparkSession.createDataFrame([(b, *o) for b, o in offsets.items()], "_bucket int, _b_off long, _n_off long")
     placed = cells.join(F.broadcast(at), "_bucket")  # 4096 rows at most
