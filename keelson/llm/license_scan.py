@@ -27,6 +27,8 @@ from keelson.llm.text import Words, buffers, shingles
 
 GRAM = 3
 WINNOW = 4
+#: A template of so many fingerprints or fewer keeps all of them.
+WHOLE = 2 * WINNOW
 BAND = 8
 MIN_COVERAGE = 0.75
 _MIT_BODY = (
@@ -119,9 +121,9 @@ class Index:
         self.keys = np.array(sorted(self.postings), dtype=np.uint64)
 
 
-def winnow(g: np.ndarray, width: int) -> list[int]:
-    """Places of the rightmost smallest hash of each ``width`` neighbours; all places of a short template."""
-    if len(g) <= 2 * width:
+def winnow(g: np.ndarray, width: int, whole: int = WHOLE) -> list[int]:
+    """Places of the rightmost smallest hash of each ``width`` neighbours; all places of a template of ``whole`` or less."""
+    if len(g) <= whole:
         return list(range(len(g)))
     places: dict[int, None] = {}
     for i in range(max(1, len(g) - width + 1)) if len(g) else ():
@@ -164,8 +166,8 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return traced(template, text, shift, band)[:3]
 
 
-def traced(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, dict[int, int]]:
-    """What ``align`` says, and the text word of each matched template word.
+def traced(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, dict[int, int], float]:
+    """What ``align`` says, the text word of each matched template word, and the score.
 
     The score is one for a match and a small penalty for what is skipped inside, so that the span
     is as short as the matches allow.
@@ -193,7 +195,7 @@ def traced(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     while chain:
         chain, i, j = chain
         path[i] = j
-    return best[1], best[2], best[3], path
+    return best[1], best[2], best[3], path, best[0]
 
 
 def candidates(hits: list[tuple[int, int, int]], slack: int = BAND) -> list[tuple[int, int]]:
@@ -230,7 +232,7 @@ def scan(index: Index, texts: list[bytes], min_coverage: float) -> Iterator[tupl
         own, said = h[w.first[i] : w.first[i + 1]], w.words_of(i)
         matches = []
         for t, shift in candidates(found):
-            n, a, b, path = traced(index.words[t], own, shift)
+            n, a, b, path, _ = traced(index.words[t], own, shift)
             if n >= min_coverage * len(index.words[t]) and names_it(index.keys_of[t], path, said, gap_after(w, i, path, index.keys_of[t])):
                 matches.append((n, -(b - a), t, a, b))
         # Longest first; a shorter match that touches one already taken is part of it.

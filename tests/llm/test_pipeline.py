@@ -54,6 +54,39 @@ def test_verdicts_are_of_rows_where_identifiers_are_null_or_repeat(spark):
     assert {(5, more + " b"), (6, "apart " * 3 + base[:300]), (6, "alone")} <= set(left)
 
 
+def brute_run(rows):
+    """ids that language ID, exact and near dedup leave, of rows (doc_id, text) with distinct identifiers."""
+    left = {i: t for i, t in rows if t and any(ch.isalpha() for ch in t)}
+    last = {}
+    for i in sorted(left):
+        last["".join(x.lower() if x.isascii() else x for x in left[i])] = i
+    left = {i: left[i] for i in sorted(last.values())}
+    ids = list(left)
+    return {ids[k] for k, (_, _, kept) in brute(list(left.values()), 80, 100).items() if kept}
+
+
+def test_run_over_a_small_table(spark, tmp_path):
+    """All stages in a row against brute force; what is left is emitted as often as its source's rate asks for."""
+    rows = [(i, t, "en" if i % 2 else None, ["s1", "s2", None][i % 3], 1) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/a/documents.parquet")
+    out = c.run(spark, f"file://{tmp_path}/a").collect()
+    want = brute_run([(i, t) for i, t, *_ in rows])
+    times = {i: sum(r["doc_id"] == i for r in out) for i in want}
+    assert {r["doc_id"] for r in out} <= want and all(n <= 2 for n in times.values()) and len(times) > 10
+    assert {i for i, n in times.items() if n} >= {i for i in want if rows[i][3] == "s1"} or len({r["doc_id"] for r in out}) > len(want) / 2
+
+
+def test_run_without_labels_rows_or_identifiers(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    english = ["the cat sat on the mat and it was good", "of all the things that are in the house", "12 34", None]
+    rows = [(i, t, None, "s", 1) for i, t in zip([None, None, 7, 7], english)] + [(7, english[0].upper(), None, "s", 1), (8, "une chose", None, None, 1)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    out = c.run(spark, f"file://{tmp_path}/b").collect()
+    assert {r["doc_id"] for r in out} <= {None, 7, 8} and len(out) >= 3
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/c/documents.parquet")
+    assert c.run(spark, f"file://{tmp_path}/c").count() == 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

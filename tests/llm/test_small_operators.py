@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import accumulate
@@ -93,6 +94,36 @@ def test_smallest_capacity():
         assert capacity == best[-1] and len(cuts) < shards
 
 
+def test_capacity_of_the_table_is_exact_however_coarse_the_units(spark):
+    """A whole table sharded through 8 units at a time has the largest shard that all its groups at once would give."""
+    rng = np.random.default_rng(9)
+    texts = ["x" * int(n) + str(k) for k, n in enumerate(rng.integers(0, 3000, 400))] + ["y" * 5000] * 3 + [None, None, ""]
+    groups = defaultdict(int)
+    for t in texts:
+        body = (t or "").encode()
+        groups[hashlib.sha256(body).hexdigest()] += len(body) + 16
+    sizes = np.array([groups[k] for k in sorted(groups)], dtype=np.int64)
+    for shards in (5, 40):
+        want, _ = sharding.minimax_cuts(sizes, shards)
+        for units in (8, 65536):
+            rows = sharding.shard(frame(spark, texts), shards=shards, units=units).collect()
+            total, slots = defaultdict(int), defaultdict(list)
+            for r in rows:
+                total[r["shard"]] += r["size"]
+                slots[r["shard"]].append(r["slot"])
+            assert max(total.values()) == want and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_of_null_and_repeated_identifiers(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (3, "a"), (3, "b"), (3, "b"), (None, None)], "doc_id long, text string")
+    rows = sharding.shard(docs, shards=2).collect()
+    by_text, slots = defaultdict(set), defaultdict(list)
+    for r in rows:
+        by_text[r["text_crc32"]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 6 and all(len(x) == 1 for x in by_text.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_cuts_are_the_most_even_within_the_capacity():
     rng = np.random.default_rng(4)
     for trial in range(60):
@@ -139,6 +170,23 @@ def test_quality(spark):
     assert quality.quality_rules(frame(spark).limit(0)).count() == 0
 
 
+def test_quality_where_hashes_collide(spark, monkeypatch):
+    """With one hash for all windows, equal ones are far apart and still found."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("keelson.llm.quality.window_hash", lambda w, i: F.lit(0).cast("long"))
+    texts = [t for t in TEXTS if t is None or len(t) < 2000]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.quality_rules(frame(spark, texts)).collect()}
+    assert got == {i: brute_quality(t)[4] for i, t in enumerate(texts)}
+
+
+def test_quality_of_a_language_without_stop_words(spark):
+    text = " ".join(f"slowo{k}" for k in range(60))
+    rows = spark.createDataFrame([(1, text, "pl"), (1, text, "en"), (None, text, None), (2, "the " + text, "pl")], "doc_id long, text string, lang string")
+    got = sorted(((r["doc_id"], r["kept"], r["n_stop_words"]) for r in quality.quality_rules(rows, lang_col="lang").collect()), key=str)
+    assert got == sorted([(1, True, None), (1, False, 0), (None, False, 0), (2, True, None)], key=str)
+
+
 def test_license_spans(spark):
     texts = [None, "", "nothing here", "é Released under the MIT License. And Licensed under CC BY-NC 4.0.", license_scan._MIT_BODY.replace("free of charge", "at no cost")]
     rows = license_scan.license_scan(frame(spark, texts)).collect()
@@ -193,7 +241,7 @@ def test_alignment_equals_full_table():
     rng = np.random.default_rng(1)
     for _ in range(20):
         a, b = rng.integers(0, 5, 12), rng.integers(0, 5, 15)
-        n, first, end = license_scan.align(a, b, 0, band=40)
+        n, first, end, path, score = license_scan.traced(a, b, 0, band=40)
         assert 0 <= first < end <= len(b) and n <= end - first
         full = 0.0
         m = np.zeros((len(a) + 1, len(b) + 1))
@@ -201,7 +249,43 @@ def test_alignment_equals_full_table():
             for j, y in enumerate(b):
                 m[i + 1, j + 1] = m[i, j] + 1 if x == y else max(0, m[i, j] - 0.3, m[i, j + 1] - 0.2, m[i + 1, j] - 0.2)
                 full = max(full, m[i + 1, j + 1])
-        assert full - 1e-9 <= n
+        assert score == pytest.approx(full) and len(path) == n
+        assert all(a[i] == b[j] for i, j in path.items()) and sorted(path.values()) == [path[i] for i in sorted(path)]
+
+
+def brute_licenses(text):
+    """Every template against every text word as start, in full tables: no fingerprints, no band."""
+    w = [x for x in re.split(r"[\x00-/:-@\[-`{-\x7f]+", text.lower()) if x]
+    codes = {x: k for k, x in enumerate(dict.fromkeys(w))}
+    found = []
+    for name, template, *_ in license_scan.TEMPLATES:
+        t = [x for x in re.split(r"[\x00-/:-@\[-`{-\x7f]+", template.lower()) if x]
+        n, a, b, _, _ = license_scan.traced(np.array([codes.get(x, -1) for x in t]), np.array([codes[x] for x in w]), 0, band=len(w) + len(t))
+        if n >= license_scan.MIN_COVERAGE * len(t):
+            found.append((n, a - b, name))
+    return max(found)[2] if found else None
+
+
+def test_scan_equals_brute_force():
+    """Templates with some words changed, left out or put in, between other words: the license and what is matched."""
+    rng, index = np.random.default_rng(6), license_scan.Index(license_scan.TEMPLATES)
+    some = [t for t in license_scan.TEMPLATES if not t[2]]
+    hits = 0
+    for trial in range(30):
+        words_ = some[trial % len(some)][1].split()
+        for _ in range(int(rng.integers(0, max(1, len(words_) // 8)))):
+            k = int(rng.integers(len(words_)))
+            words_[k : k + 1] = [[], ["other"], [words_[k], "extra"]][trial % 3]
+        text = prose_words(rng, 30) + " " + " ".join(words_) + " " + prose_words(rng, 30)
+        got = [r[1] for r in license_scan.scan(index, [text.encode()], license_scan.MIN_COVERAGE)]
+        want = brute_licenses(text)
+        assert got == ([want] if want else []), text
+        hits += bool(want)
+    assert hits > 15
+
+
+def prose_words(rng, n):
+    return " ".join("w" + str(x) for x in rng.integers(0, 50, n))
 
 
 def test_content_sort_of_null_identifiers(spark):
