@@ -26,8 +26,13 @@ def of_ids(docs: DataFrame, kept: DataFrame, *also: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go; a missing language is filled in with the predicted one."""
+    """Documents without a letter go; a missing language is filled in with the predicted one.
+
+    Without a labelled row to learn from no language can be told, and all documents with a letter stay.
+    """
     model = langid.fit(docs.where(langid.fold() != 1))
+    if not model.labels:
+        return docs.where(langid.has_letter(F.col("text")))
     said = langid.predict(docs, model, carry=True).where(F.col("lang_pred") != langid.UND).select("row.*", "lang_pred")
     return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
