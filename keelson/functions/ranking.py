@@ -1,53 +1,98 @@
-"""Ranks over whole tables without a one-task window.
+"""Ranks and order statistics over whole tables.
 
-Approximate quantiles cut the values into buckets; the bucket is a function of the value, so ties
-share one. A window ranks inside each bucket and the sizes of the buckets before it are
-added. The split values and bucket sizes are one row of at most BUCKETS numbers.
+Groups of up to WINDOW_ROWS rows are ranked by a plain window. Larger ones are reduced to their distinct values with counts;
+approximate quantiles cut these into buckets, a window counts inside each bucket, the sizes of the buckets before it are
+added, and ranks are joined back by value. Results are the same either way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.functions import skew
 from keelson.sources.tables import kept
 
-BUCKETS = 64
+WINDOW_ROWS = 1 << 20
+#: Buckets of distinct values: as many as keep them well below WINDOW_ROWS, within this bound.
+MOST_BUCKETS = 4096
 
 
-def rank_desc(df: DataFrame, by: str, out: str, within: list[str] | None = None, ties: str = "min", buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``out``: the rank of ``by``, largest first, NULL after all values.
+def _largest(df: DataFrame, within: list[str]) -> int:
+    return (df.groupBy(*within).count().agg(F.max("count")).first()[0] or 0) if within else df.count()
 
-    ``ties``: "min" (competition rank; all NULLs share n + 1), "average", or the name of a column that
-    breaks ties (a row number). ``within``: rank inside each group of these columns.
+
+def counted(values: DataFrame, by: str, within: list[str], then: list[str], window_rows: int) -> DataFrame:
+    """Distinct values with counts (*within, by, *then, n) get ``before``: the rows of the group with a larger value.
+
+    NULL comes after all values; ``then`` orders equal ones.
     """
-    within = within or []
-    # Three readers follow; a chain of ranks would else read its input 3, 9, 27 ... times.
-    df = kept(df)
+    buckets = min(MOST_BUCKETS, max(2, -(-4 * values.count() // window_rows)))
     probs = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
-    if within:
-        splits = df.groupBy(*within).agg(F.percentile_approx(by, probs, F.lit(10000)).alias("_splits"))
-        keyed = df.alias("d").join(splits.alias("s"), [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in within]).select("d.*", "_splits")
-    else:
-        splits = df.agg(F.percentile_approx(by, probs, F.lit(10000)).alias("_splits"))
-        keyed = df.crossJoin(F.broadcast(splits))  # one row
-    bucket = F.when(F.col(by).isNull(), F.lit(buckets + 1)).otherwise(
-        F.size(F.filter(F.coalesce("_splits", F.array().cast("array<double>")), lambda s: s.cast("double") > F.col(by).cast("double")))
+    splits = values.groupBy(*within).agg(F.percentile_approx(by, probs, F.lit(10000)).alias("_splits"))
+    same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+    keyed = values.alias("d").join(splits.alias("s"), same("d", "s", within)).select("d.*", "_splits") if within else values.crossJoin(F.broadcast(splits))  # one row
+    above = F.size(F.filter(F.coalesce("_splits", F.array().cast("array<double>")), lambda s: s.cast("double") > F.col(by).cast("double")))
+    keyed = keyed.withColumn("_bucket", F.when(F.col(by).isNull(), F.lit(buckets + 1)).otherwise(above)).drop("_splits")
+    sizes = keyed.groupBy(*within, "_bucket").agg(F.sum("n").alias("_n"))
+    # As many rows a group as there are buckets.
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*within).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    both = keyed.alias("k").join(sizes.alias("z"), same("k", "z", [*within, "_bucket"])).select("k.*", "_before")
+    inside = Window.partitionBy(*within, "_bucket").orderBy(F.col(by).desc_nulls_last(), *then)
+    return both.withColumn("before", F.col("_before") + F.sum("n").over(inside) - F.col("n")).drop("_before", "_bucket")
+
+
+def _by_values(df: DataFrame, by: str, out: str, within: list[str], ties: str, window_rows: int) -> DataFrame:
+    then = [] if ties in ("min", "average") else [ties]
+    cols = [*within, by, *then]
+    values = kept(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
+    place = F.col("before") + ((F.col("n") + 1) / 2.0 if ties == "average" else F.lit(1))
+    # A struct is equal to another with the same NULLs, so one column is the key.
+    key = F.struct(*cols).alias("_key")
+    ranks = counted(values, by, within, then, window_rows).select(key, place.cast("double" if ties == "average" else "int").alias(out))
+    large = skew.large_keys(values.select(key, "n"), ["_key"], df.count())
+    return skew.join(df.withColumn("_key", key), ranks, ["_key"], large).drop("_key")
+
+
+def ranks_desc(df: DataFrame, outs: dict[str, str], within: list[str] | None = None, ties: str = "min", window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Adds ranks {name: column}, largest first, NULL after all values, inside each group of the columns ``within``.
+
+    ``ties``: "min" (competition rank; all NULLs share n + 1), "average", or the name of a column that
+    breaks ties (a row number; rows equal in both share one in groups above ``window_rows``).
+    """
+    within, df = within or [], kept(df)
+    if _largest(df, within) > window_rows:
+        for out, by in outs.items():
+            df = _by_values(df, by, out, within, ties, window_rows)
+        return df
+    group = Window.partitionBy(*within)
+    for out, by in outs.items():
+        order = [F.col(by).desc_nulls_last(), *([] if ties in ("min", "average") else [ties])]
+        place: Column = F.rank().over(group.orderBy(*order)) if ties in ("min", "average") else F.row_number().over(group.orderBy(*order))
+        if ties == "average":
+            place = place + (F.count(F.lit(1)).over(Window.partitionBy(*within, by)) - 1) / 2.0
+        df = df.withColumn(out, place if ties == "average" else place.cast("int"))
+    return df
+
+
+def rank_desc(df: DataFrame, by: str, out: str, within: list[str] | None = None, ties: str = "min", window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """One rank: see ``ranks_desc``."""
+    return ranks_desc(df, {out: by}, within, ties, window_rows)
+
+
+def quantiles(df: DataFrame, value: str, group: str, probs: dict[str, float], window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """(group, a column per name): exact quantiles with linear interpolation, over the values there are."""
+    if _largest(df.where(F.col(value).isNotNull()), [group]) <= window_rows:
+        return df.groupBy(group).agg(*[F.percentile(value, F.lit(p)).alias(c) for c, p in probs.items()])
+    values = kept(df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n")))
+    total = values.groupBy(group).agg(F.sum("n").alias("_all"))
+    at = counted(values, value, [group], [], window_rows).join(total, group)
+    # Rows with a smaller value: _all - before - n. A value holds the places from there on.
+    low = F.col("_all") - F.col("before") - F.col("n")
+    place = {c: (F.col("_all") - 1) * F.lit(p) for c, p in probs.items()}
+    holds = lambda k: F.max(F.when((low <= k) & (k < low + F.col("n")), F.col(value)))
+    found = at.groupBy(group).agg(
+        F.max("_all").alias("_all"), *[holds(F.floor(place[c])).alias(f"_{c}_low") for c in probs], *[holds(F.ceil(place[c])).alias(f"_{c}_high") for c in probs]
     )
-    keyed = keyed.withColumn("_bucket", bucket).drop("_splits")
-    sizes = keyed.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # At most BUCKETS + 1 rows a group.
-    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("_bucket")) - F.col("_n")
-    sizes = sizes.withColumn("_before", before).drop("_n")
-    keys = [*within, "_bucket"]
-    both = keyed.alias("k").join(sizes.alias("z"), [F.col(f"k.{c}").eqNullSafe(F.col(f"z.{c}")) for c in keys]).select("k.*", "_before")
-    order = [F.col(by).desc_nulls_last()]
-    inside = Window.partitionBy(*keys)
-    if ties == "min":
-        place = F.rank().over(inside.orderBy(*order))
-    elif ties == "average":
-        place = F.rank().over(inside.orderBy(*order)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, by)) - 1) / 2.0
-    else:
-        place = F.row_number().over(inside.orderBy(*order, ties))
-    place = F.col("_before") + place
-    return both.withColumn(out, place if ties == "average" else place.cast("int")).drop("_before", "_bucket")
+    mixed = lambda c: F.col(f"_{c}_low") * (F.floor(place[c]) + 1 - place[c]) + F.col(f"_{c}_high") * (place[c] - F.floor(place[c]))
+    return df.select(group).distinct().join(found.select(group, *[mixed(c).alias(c) for c in probs]), group, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.columns import clipped, coverage_flag, ratio
+from keelson.functions.ranking import quantiles
 from keelson.schema import DEFAULT, Params
 
 
@@ -81,7 +82,7 @@ def fill_log(cells: DataFrame) -> DataFrame:
 
 def fences(cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Quartiles by linear interpolation and the outlier fences of each scoring indicator."""
-    q = cells.where("role = 'scoring'").groupBy("variable_name").agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"))
+    q = quantiles(cells.where("role = 'scoring'"), "value", "variable_name", {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return q.select("variable_name", "q1", "q3", iqr.alias("iqr"), (F.col("q1") - p.iqr_multiplier * iqr).alias("lower_bound"), (F.col("q3") + p.iqr_multiplier * iqr).alias("upper_bound"))
 

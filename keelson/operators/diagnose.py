@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.functions.ranking import rank_desc
+from keelson.functions.ranking import ranks_desc
 
 
 def cronbach(norm: DataFrame, registry: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def spearman(long: DataFrame, name: str, value: str, entity: str = "entity") ->
     pair = x.alias("p").join(x.alias("q"), (F.col("p.e") == F.col("q.e")) & (F.col("p.v") < F.col("q.v"))).select(
         F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.e").alias("e"), F.col("p.x").alias("x"), F.col("q.x").alias("y")
     )
-    both = rank_desc(rank_desc(pair, "x", "rx", ["a", "b"], "average"), "y", "ry", ["a", "b"], "average")
+    both = ranks_desc(pair, {"rx": "x", "ry": "y"}, ["a", "b"], "average")
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
@@ -46,7 +46,7 @@ def pillar_spearman(norm: DataFrame, registry: DataFrame) -> DataFrame:
         F.col("p.pillar").alias("pillar"), F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.x").alias("x"), F.col("q.x").alias("y")
     )
     within = ["pillar", "a", "b"]
-    both = rank_desc(rank_desc(pair, "x", "rx", within, "average"), "y", "ry", within, "average")
+    both = ranks_desc(pair, {"rx": "x", "ry": "y"}, within, "average")
     return both.groupBy(*within).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
@@ -79,10 +79,6 @@ def distribution(scores: DataFrame, methods: list[str]) -> DataFrame:
     ).withColumn("highest", -F.col("highest"))
 
 
-def first_pillar(registry: DataFrame) -> DataFrame:
-    return registry.select("variable_name", F.element_at("pillars", 1).alias("pillar"))
-
-
 def last_k(obs: DataFrame, k: int) -> DataFrame:
     """The k latest observations of each series."""
     w = Window.partitionBy("entity", "variable_name").orderBy(F.col("year").desc())

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.columns import confidence_half, rank_range_verdict, rho_verdict, shift_verdict, shown
-from keelson.functions.ranking import rank_desc
+from keelson.functions.ranking import rank_desc, ranks_desc
 from keelson.operators import score
 from keelson.operators.diagnose import spearman
 from keelson.schema import DEFAULT, Params
@@ -39,17 +39,19 @@ def weight_vectors(p: Params = DEFAULT, n: int = 1000, seed: int = 42) -> list[l
 def max_shift(pillars: DataFrame, p: Params = DEFAULT, vectors: list[list[float]] | None = None) -> DataFrame:
     """(weight_id, rho, mean_shift, max_shift) against equal weights, for each weight vector.
 
-    Weights multiply the scores there are and are not scaled up. The vectors are a short literal list; each
-    entity is exploded over them and everything else is grouped by the vector's number.
+    Where pillars are missing, the weights of those an entity has are scaled up; an entity without any is left out. The
+    vectors are a short literal list; each entity is exploded over them and everything else is grouped by the vector's number.
     """
     vectors = weight_vectors(p) if vectors is None else vectors
     w = pillars.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "weight_id int, w array<double>")
     x = score.wide(pillars, p)
-    total = sum((F.coalesce(F.col(c), F.lit(0.0)) * F.col("w")[i] for i, c in enumerate(p.pillars)), F.lit(0.0))
-    base = score.equal(pillars, p).withColumnRenamed("score", "equal")
-    base = rank_desc(base.where("equal IS NOT NULL"), "equal", "base_rank", ties="average").select("entity", "base_rank")
-    each = x.join(base, "entity").crossJoin(F.broadcast(w)).select("weight_id", "entity", "base_rank", total.alias("s"))
-    r = rank_desc(each, "s", "r", ["weight_id"], "average")
+    top = sum((F.coalesce(F.col(c), F.lit(0.0)) * F.col("w")[i] for i, c in enumerate(p.pillars)), F.lit(0.0))
+    have = sum((F.when(F.col(c).isNotNull(), F.col("w")[i]).otherwise(0.0) for i, c in enumerate(p.pillars)), F.lit(0.0))
+    # Sums in another order must not part what is tied.
+    base = score.equal(pillars, p).where("score IS NOT NULL").select("entity", F.round("score", 9).alias("equal"))
+    base = rank_desc(base, "equal", "base_rank", ties="average").select("entity", "base_rank")
+    each = x.join(base, "entity").crossJoin(F.broadcast(w)).select("weight_id", "entity", "base_rank", F.round(F.try_divide(top, have), 9).alias("s"))
+    r = rank_desc(each.where("s IS NOT NULL"), "s", "r", ["weight_id"], "average")
     d = F.abs(F.col("r") - F.col("base_rank"))
     return r.groupBy("weight_id").agg(F.corr("r", "base_rank").alias("rho"), F.avg(d).alias("mean_shift"), F.max(d).alias("max_shift"))
 
@@ -64,18 +66,18 @@ def without_fills(norm: DataFrame, fill_log: DataFrame, registry: DataFrame, p:
     """Ranks of the equal score when every filled cell is taken out again, and how far they move."""
     hit = fill_log.select("entity", "variable_name").distinct().withColumn("_hit", F.lit(True))
     masked = norm.join(hit, ["entity", "variable_name"], "left").withColumn("norm_score", F.when(F.col("_hit").isNull(), F.col("norm_score"))).drop("_hit")
-    base = rank_desc(score.equal(score.pillar_scores(norm, registry), p).withColumnRenamed("score", "base"), "base", "rank_base")
-    pure = rank_desc(score.equal(score.pillar_scores(masked, registry), p).withColumnRenamed("score", "pure"), "pure", "rank_pure")
-    both = base.join(pure, "entity")
+    base = score.equal(score.pillar_scores(norm, registry), p).withColumnRenamed("score", "base")
+    pure = score.equal(score.pillar_scores(masked, registry), p).withColumnRenamed("score", "pure")
+    both = ranks_desc(base.join(pure, "entity"), {"rank_base": "base", "rank_pure": "pure"})
     shift = F.when(F.col("pure").isNotNull(), F.abs(F.col("rank_pure") - F.col("rank_base")))
     return both.select("entity", "rank_base", F.when(F.col("pure").isNotNull(), F.col("rank_pure")).alias("rank_pure"), shift.alias("shift"), shift_verdict(shift).alias("verdict"))
 
 
 def tight_bounds(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Benefit of the doubt under its own and under tighter bounds: scores, ranks, shift."""
-    a = rank_desc(score.bod(pillars, p).withColumnRenamed("score", "bod"), "bod", "rank_bod")
-    b = rank_desc(score.bod_tight(pillars, p).withColumnRenamed("score", "bod_tight"), "bod_tight", "rank_tight")
-    return a.join(b, "entity").withColumn("shift", F.abs(F.col("rank_tight") - F.col("rank_bod")))
+    a = score.bod(pillars, p).withColumnRenamed("score", "bod")
+    b = score.bod_tight(pillars, p).withColumnRenamed("score", "bod_tight")
+    return ranks_desc(a.join(b, "entity"), {"rank_bod": "bod", "rank_tight": "bod_tight"}).withColumn("shift", F.abs(F.col("rank_tight") - F.col("rank_bod")))
 
 
 def fill_counts(fill_log: DataFrame, entities: DataFrame, n_indicators: int) -> DataFrame:

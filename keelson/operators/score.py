@@ -7,6 +7,7 @@ others are scaled up.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.columns import shown
-from keelson.functions.ranking import rank_desc
+from keelson.functions.ranking import ranks_desc
 from keelson.schema import DEFAULT, Params
 
 
@@ -30,10 +31,6 @@ def wide(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return pillars.groupBy("entity", "grp").pivot("pillar", list(p.pillars)).agg(F.first("score"))
 
 
-def weight_table(pillars: DataFrame, weights: dict[str, float]) -> DataFrame:
-    return pillars.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "pillar string, w double")
-
-
 def weighted(pillars: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean over the pillars that an entity has; NULL if it has none of weight."""
     w = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])[F.col("pillar")]
@@ -89,7 +86,7 @@ def bod_tight(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def entropy_weights(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(pillar, w): more weight where scores differ more. Missing scores count as the pillar's mean."""
+    """(pillar, w): more weight where scores differ more; equal weights where none do. Missing scores count as the pillar's mean."""
     base = pillars.groupBy("pillar").agg(F.avg("score").alias("_m"), F.min("score").alias("_lo"), F.count(F.lit(1)).alias("_n"))
     # One row per pillar on the other side.
     x = pillars.join(F.broadcast(base), "pillar").withColumn("x", F.coalesce("score", "_m"))
@@ -100,7 +97,8 @@ def entropy_weights(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
         (-F.sum(F.col("q") * F.ln("q")) / F.ln(F.max("_n").cast("double"))).alias("e")
     )
     d = e.select("pillar", (1 - F.col("e")).alias("d"))
-    return d.crossJoin(F.broadcast(d.agg(F.sum("d").alias("_all")))).select("pillar", F.try_divide(F.col("d"), F.col("_all")).alias("w"))
+    both = d.crossJoin(F.broadcast(d.agg(F.sum("d").alias("_all"), F.count(F.lit(1)).alias("_k"))))  # one row
+    return both.select("pillar", F.when(F.col("_all") < p.floor, 1 / F.col("_k")).otherwise(F.col("d") / F.col("_all")).alias("w"))
 
 
 def entropy(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -130,7 +128,10 @@ def pca_weights(pillars: DataFrame, p: Params = DEFAULT) -> tuple[dict[str, floa
         load = -load
     load = np.maximum(load, 0)
     w = load / load.sum() if load.sum() >= p.floor else np.full(len(cols), 1 / len(cols))
-    return dict(zip(cols, map(float, w))), float(values[-1] - values[-2])
+    gap = float(values[-1] - values[-2])
+    if gap < p.min_eigengap:
+        warnings.warn(f"the first component is hardly larger than the second ({gap:.3f}): its weights are unstable", stacklevel=2)
+    return dict(zip(cols, map(float, w))), gap
 
 
 def pca(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -147,19 +148,23 @@ METHODS: dict[str, Callable[[DataFrame, Params], DataFrame]] = {"equal": equal,
 
 
 def all_scores(pillars: DataFrame, p: Params = DEFAULT, methods=None) -> DataFrame:
-    """(entity, a column per method); a method that fails gives NULLs and doesn't stop the others."""
+    """(entity, a column per method); a method that can't be set up gives NULLs, with a warning, and doesn't stop the others.
+
+    What may fail (an eigenvector of the driver's) does so here; the rest are expressions that give NULL where they can't be computed.
+    """
     parts = []
     for name, f in (methods or METHODS).items():
         try:
             parts.append(f(pillars, p).withColumnRenamed("score", name))
-        except ValueError:
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+            warnings.warn(f"{name}: {e}", stacklevel=2)
             parts.append(pillars.select("entity").distinct().withColumn(name, F.lit(None).cast("double")))
     return reduce(lambda a, b: a.join(b, "entity", "left"), parts)
 
 
 def ranked(scores: DataFrame, methods: list[str]) -> DataFrame:
     """Adds a competition rank per method, largest first, missing scores last."""
-    return reduce(lambda df, m: rank_desc(df, m, f"{m}_rank"), methods, scores)
+    return ranks_desc(scores, {f"{m}_rank": m for m in methods})
 
 
 def method_weights(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:

@@ -30,7 +30,7 @@ _REG = _values(
 _PIL = _values((i.variable_name, p, n) for i in CUSTOMERS.indicators for n, p in enumerate(i.pillars))
 
 BASE = f"""
-WITH reg(ord, variable_name, display_name, role, polarity, aggregation, k, y0, y1, log_t, denominator) AS (VALUES {_REG}),
+WITH RECURSIVE reg(ord, variable_name, display_name, role, polarity, aggregation, k, y0, y1, log_t, denominator) AS (VALUES {_REG}),
 pil(variable_name, pillar, pos) AS (VALUES {_PIL}),
 o AS (SELECT o_custkey AS e, year(o_orderdate)::INT AS y, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS order_value, count(*)::DOUBLE AS order_count,
         (sum(o_totalprice::DECIMAL(18, 2)) FILTER (o_orderpriority = '1-URGENT'))::DOUBLE / nullif(count(*) FILTER (o_orderpriority = '1-URGENT'), 0) AS urgent_value,
@@ -77,16 +77,26 @@ ent0 AS (SELECT pillar, entity, score, coalesce(score, avg(score) OVER p) AS x0,
 ent1 AS (SELECT *, CASE WHEN lo <= 0 THEN x0 - lo + 1e-8 ELSE x0 END AS x FROM ent0),
 ent2 AS (SELECT pillar, n, greatest(x / sum(x) OVER (PARTITION BY pillar), 1e-8) AS p FROM ent1),
 ent3 AS (SELECT pillar, 1 + sum(p * ln(p)) / ln(max(n)) AS d FROM ent2 GROUP BY 1),
-ew AS (SELECT pillar, d / sum(d) OVER () AS w FROM ent3),
+ew AS (SELECT pillar, CASE WHEN sum(d) OVER () < 1e-8 THEN 1 / count(*) OVER () ELSE d / sum(d) OVER () END AS w FROM ent3),
 enp AS (SELECT entity, sum(w * score) / sum(w) AS score FROM ps JOIN ew USING (pillar) WHERE score IS NOT NULL GROUP BY 1),
 b0 AS (SELECT entity, score, row_number() OVER (PARTITION BY entity ORDER BY score DESC) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM ps WHERE score IS NOT NULL),
 bod AS (SELECT entity, CASE WHEN max(n) * 0.25 < 1 - 1e-9 THEN avg(score) ELSE sum(score * (0.05 + greatest(0, least(0.20::DOUBLE, 1 - n * 0.05::DOUBLE - i * 0.20::DOUBLE)))) END AS score
         FROM b0 GROUP BY 1),
 t0 AS (SELECT entity, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY entity ORDER BY coalesce(score, 0) DESC) - 1 AS i FROM ps),
 tight AS (SELECT entity, sum(score * (0.07 + greatest(0, least(0.13::DOUBLE, 1 - 7 * 0.07::DOUBLE - i * 0.13::DOUBLE)))) AS score FROM t0 GROUP BY 1),
-sc AS (SELECT eq.entity, eq.score AS equal, bod.score AS bod, enp.score AS entropy, geo.score AS geometric
-       FROM eq LEFT JOIN bod USING (entity) LEFT JOIN enp USING (entity) LEFT JOIN geo USING (entity)),
-rk AS (SELECT *, {", ".join(f"rank() OVER (ORDER BY {m} DESC NULLS LAST)::INT AS {m}_rank" for m in ("equal", "bod", "entropy", "geometric"))} FROM sc),
+pfull AS (SELECT entity, {", ".join(f"max(score) FILTER (pillar = '{p}') AS {p}" for p in "ABCDEFG")} FROM ps GROUP BY 1 HAVING count(score) = 7),
+pm AS (SELECT [{", ".join("[" + ", ".join("1.0::DOUBLE" if a == b else f"corr({a}, {b})" for b in "ABCDEFG") + "]" for a in "ABCDEFG")}] AS m FROM pfull),
+psq AS (SELECT 0 AS k, m FROM pm UNION ALL
+        SELECT k + 1, list_transform(sq, lambda r: list_transform(r, lambda x: x / list_max(list_transform(sq, lambda q: list_max(list_transform(q, lambda z: abs(z)))))))
+        FROM (SELECT k, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS sq FROM psq WHERE k < 24)),
+pv AS (SELECT list_transform(m, lambda r: r[j]) AS v FROM (SELECT m, list_position(d, list_max(d)) AS j FROM (SELECT m, list_transform(range(1, 8), lambda i: m[i][i]) AS d FROM psq WHERE k = 24))),
+pl AS (SELECT list_transform(v, lambda x: greatest(CASE WHEN neg > 3 THEN -x ELSE x END, 0)) AS l FROM (SELECT v, len(list_filter(v, lambda x: x < 0)) AS neg FROM pv)),
+pw AS (SELECT unnest(['A', 'B', 'C', 'D', 'E', 'F', 'G']) AS pillar, unnest(list_transform(l, lambda x: x / list_sum(l))) AS w FROM pl),
+praw AS (SELECT entity, sum(w * score) / sum(w) AS score FROM ps JOIN pw USING (pillar) WHERE score IS NOT NULL GROUP BY 1),
+pca AS (SELECT entity, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-8 THEN 50 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) * 100 END AS score FROM praw),
+sc AS (SELECT eq.entity, round(eq.score, 9) AS equal, round(pca.score, 6) AS pca, round(bod.score, 9) AS bod, round(enp.score, 9) AS entropy, round(geo.score, 9) AS geometric
+       FROM eq LEFT JOIN pca USING (entity) LEFT JOIN bod USING (entity) LEFT JOIN enp USING (entity) LEFT JOIN geo USING (entity)),
+rk AS (SELECT *, {", ".join(f"rank() OVER (ORDER BY {m} DESC NULLS LAST)::INT AS {m}_rank" for m in ("equal", "pca", "bod", "entropy", "geometric"))} FROM sc),
 qual AS (SELECT entity, coalesce(list_sort(list(DISTINCT variable_name) FILTER (variable_name IS NOT NULL)), []) AS filled, count(DISTINCT variable_name)::INT AS n_filled
          FROM ent LEFT JOIN log USING (entity) GROUP BY 1),
 qf AS (SELECT *, n_filled / 13.0::DOUBLE AS pct_filled FROM qual),
@@ -117,12 +127,12 @@ zs AS (SELECT a, b, count(*) AS n, corr(rx, ry) AS rho FROM zr GROUP BY ALL)"""
 
 
 _VECTORS = _values((i, *v) for i, v in enumerate(weight_vectors()))
-_MAXS = f"""{BASE}, gp AS (SELECT grp AS entity, pillar, avg(score) AS score FROM ps GROUP BY ALL),
-vec(weight_id, A, B, C, D, E, F, G) AS (VALUES {_VECTORS}),
+_MAXS = f"""{BASE}, vec(weight_id, A, B, C, D, E, F, G) AS (VALUES {_VECTORS}),
 vl AS (UNPIVOT vec ON A, B, C, D, E, F, G INTO NAME pillar VALUE w),
-gb AS (SELECT entity, avg(score) AS e FROM gp GROUP BY 1),
-gs AS (SELECT weight_id, entity, sum(w * coalesce(score, 0)) AS s FROM gp JOIN vl USING (pillar) GROUP BY ALL),
-gr AS (SELECT weight_id, rank() OVER (PARTITION BY weight_id ORDER BY s DESC) AS r, rank() OVER (PARTITION BY weight_id ORDER BY e DESC) AS br FROM gs JOIN gb USING (entity)),
+gb AS (SELECT entity, round(avg(score), 9) AS e FROM ps GROUP BY 1),
+gs AS (SELECT weight_id, entity, round(sum(w * score) / sum(w), 9) AS s FROM ps JOIN vl USING (pillar) WHERE score IS NOT NULL GROUP BY ALL),
+gr AS (SELECT weight_id, rank() OVER (PARTITION BY weight_id ORDER BY s DESC) + (count(*) OVER (PARTITION BY weight_id, s) - 1) / 2.0::DOUBLE AS r,
+              rank() OVER (PARTITION BY weight_id ORDER BY e DESC) + (count(*) OVER (PARTITION BY weight_id, e) - 1) / 2.0::DOUBLE AS br FROM gs JOIN gb USING (entity)),
 mx AS (SELECT weight_id, corr(r, br) AS rho, avg(abs(r - br)) AS mean_shift, max(abs(r - br))::DOUBLE AS max_shift FROM gr GROUP BY 1)
 """
 _LIGHT = "CASE WHEN {0} >= 65 THEN 'Stable' WHEN {0} >= 35 THEN 'Moderate' WHEN {0} IS NOT NULL THEN 'Fragile' END"
@@ -143,8 +153,8 @@ def r(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
 
 
-_SENS = "SELECT entity, least(equal_rank, bod_rank, entropy_rank, geometric_rank) AS rank_min, greatest(equal_rank, bod_rank, entropy_rank, geometric_rank) AS rank_max FROM rk"
-_RANKS_LONG = "rl AS (UNPIVOT (SELECT entity, equal_rank, bod_rank, entropy_rank, geometric_rank FROM rk) ON equal_rank, bod_rank, entropy_rank, geometric_rank INTO NAME method VALUE r)"
+_SENS = "SELECT entity, least(equal_rank, pca_rank, bod_rank, entropy_rank, geometric_rank) AS rank_min, greatest(equal_rank, pca_rank, bod_rank, entropy_rank, geometric_rank) AS rank_max FROM rk"
+_RANKS_LONG = "rl AS (UNPIVOT (SELECT entity, equal_rank, pca_rank, bod_rank, entropy_rank, geometric_rank FROM rk) ON equal_rank, pca_rank, bod_rank, entropy_rank, geometric_rank INTO NAME method VALUE r)"
 
 _BODY = {
     "q_panel": f"SELECT entity, grp, variable_name, year, {r('value')} FROM obs",
@@ -152,7 +162,7 @@ _BODY = {
     "q_average": _of("average"),
     "q_average_recent_3": _of("average_recent_3"),
     "q_average_recent_5": _of("average_recent_5"),
-    "q_last_k": f"SELECT entity, year, {r('value')}, rn FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY year DESC)::INT AS rn FROM obs WHERE variable_name = 'order_value') WHERE rn <= 2",
+    "q_last_k": f"SELECT entity, variable_name, year, {r('value')}, rn FROM (SELECT *, row_number() OVER (PARTITION BY entity, variable_name ORDER BY year DESC)::INT AS rn FROM obs) WHERE rn <= 2",
     "q_stage1_fill": f"SELECT entity, variable_name, {r('value')}, fill_year FROM agg WHERE fill_year IS NOT NULL",
     "q_ratio_derive": f"SELECT entity, {r('value', 'fill_value')} FROM der WHERE variable_name = 'returned_qty'",
     "q_dense_grid": "SELECT variable_name, count(*) AS n_cells, count(*) FILTER (value IS NULL) AS n_gaps FROM grid GROUP BY 1",
@@ -182,8 +192,12 @@ _BODY = {
     "q_entropy": f"SELECT entity, {r('score')} FROM enp",
     "q_bod": f"SELECT entity, {r('score')} FROM bod",
     "q_bod_tight": f"SELECT entity, {r('score')} FROM tight",
-    "q_ranks": f"SELECT entity, {r('equal', 'bod', 'entropy', 'geometric')}, equal_rank, bod_rank, entropy_rank, geometric_rank FROM rk",
-    "q_method_bars": f"SELECT entity, method, {r('score')} FROM (UNPIVOT sc ON equal, bod, entropy, geometric INTO NAME method VALUE score)",
+    "q_pca": "SELECT entity, round(pca.score, 6) AS score FROM pca",
+    "q_method_weights": """SELECT 'equal' AS method, pillar, round(1 / 7.0::DOUBLE, 6) AS w FROM pw UNION ALL SELECT 'geometric', pillar, round(1 / 7.0::DOUBLE, 6) FROM pw
+        UNION ALL SELECT 'bod_min', pillar, 0.05::DOUBLE FROM pw UNION ALL SELECT 'bod_max', pillar, 0.25::DOUBLE FROM pw UNION ALL SELECT 'pca', pillar, round(w, 6) FROM pw
+        UNION ALL SELECT 'entropy', pillar, round(w, 6) FROM ew""",
+    "q_ranks": f"SELECT entity, {r('equal', 'pca', 'bod', 'entropy', 'geometric')}, equal_rank, pca_rank, bod_rank, entropy_rank, geometric_rank FROM rk",
+    "q_method_bars": f"SELECT entity, method, {r('score')} FROM (UNPIVOT sc ON equal, pca, bod, entropy, geometric INTO NAME method VALUE score)",
     "q_cronbach": """SELECT pillar, k AS n_indicators, coalesce(nc, 0) AS n_complete, CASE WHEN k >= 2 AND nc >= 3 THEN round(k / (k - 1) * (1 - vi / vt), 6) END AS alpha
         FROM (SELECT pillar, count(*) AS k FROM spil GROUP BY 1) LEFT JOIN
         (SELECT pillar, count(*) AS nc, var_samp(t) AS vt FROM (SELECT pillar, entity, sum(s) AS t FROM norm JOIN spil USING (variable_name) GROUP BY ALL HAVING count(*) = count(s)) GROUP BY 1) USING (pillar) LEFT JOIN
@@ -193,7 +207,7 @@ _BODY = {
     "q_collinear": f"SELECT pillar, a, b, n, {r('rho')} FROM sp WHERE abs(sp.rho) > 0.2 AND n >= 5",
     "q_effective_weights": "SELECT variable_name, round(sum(1.0::DOUBLE / (7 * k)), 6) AS effective_weight, count(*) AS n_pillars FROM spil JOIN (SELECT pillar, count(*) AS k FROM spil GROUP BY 1) USING (pillar) GROUP BY 1",
     "q_design": "SELECT pillar, count(*) AS n_indicators, count(*) FILTER (m > 1) AS n_cross_listed, count(*) FILTER (log_t) AS n_log, min(y0) AS year_min, max(y1) AS year_max FROM spil JOIN reg USING (variable_name) JOIN (SELECT variable_name, count(*) AS m FROM spil GROUP BY 1) USING (variable_name) GROUP BY 1",
-    "q_distribution": "SELECT method, round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max, round(stddev_pop(score), 6) AS std, (list(entity ORDER BY score, entity))[1] AS lowest, (list(entity ORDER BY score DESC, entity))[1] AS highest FROM (UNPIVOT sc ON equal, bod, entropy, geometric INTO NAME method VALUE score) GROUP BY 1",
+    "q_distribution": "SELECT method, round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max, round(stddev_pop(score), 6) AS std, (list(entity ORDER BY score, entity))[1] AS lowest, (list(entity ORDER BY score DESC, entity))[1] AS highest FROM (UNPIVOT sc ON equal, pca, bod, entropy, geometric INTO NAME method VALUE score) GROUP BY 1",
     "q_rank_correlations": f"SELECT a, b, n, {r('rho')} FROM zs",
     "q_rank_sensitivity": f"SELECT *, rank_max - rank_min AS rank_range, CASE WHEN rank_max - rank_min <= 5 THEN 'Stable' WHEN rank_max - rank_min <= 12 THEN 'Moderate' ELSE 'Sensitive' END AS verdict FROM ({_SENS})",
     "q_robustness_summary": f"""SELECT round(min_rho, 6) AS min_rho, n_stable, n_sensitive, CASE WHEN n_sensitive > 5 THEN 'Review' WHEN min_rho >= 0.9 THEN 'High' WHEN min_rho >= 0.8 THEN 'Moderate' ELSE 'Low' END AS verdict
@@ -212,7 +226,7 @@ _BODY = {
     "q_overview": "SELECT round(avg(score), 6) AS mean_score, count(*) FILTER (score >= 65) AS n_stable, count(*) FILTER (score < 35) AS n_fragile, count(score) AS n_scored FROM eq",
     "q_top_bottom": "SELECT entity, round(equal, 6) AS equal, equal_rank, part FROM ((SELECT entity, equal, equal_rank, 'top' AS part FROM rk ORDER BY equal_rank, entity LIMIT 5) UNION ALL (SELECT entity, equal, equal_rank, 'bottom' FROM rk WHERE equal IS NOT NULL ORDER BY equal_rank DESC, entity LIMIT 5))",
     "q_rankings_without": f"SELECT entity, grp, round(round(equal, 9)::DECIMAL(18, 9), 2)::DOUBLE AS score, equal_rank AS rank, {_LIGHT.format('equal')} AS light FROM rk JOIN ent USING (entity) WHERE grp <> 3",
-    "q_profile": f"SELECT entity, pillar, round(score, 6) AS score, round(mean_score, 6) AS mean_score, round(group_score, 6) AS group_score, {_LIGHT.format('score')} AS light FROM ps JOIN (SELECT pillar, avg(score) AS mean_score FROM ps GROUP BY 1) USING (pillar) JOIN (SELECT pillar, avg(score) AS group_score FROM ps WHERE grp = (SELECT grp FROM ent WHERE entity = 7) GROUP BY 1) USING (pillar) WHERE entity = 7",
+    "q_profile": f"SELECT entity, pillar, round(score, 6) AS score, round(mean_score, 6) AS mean_score, round(group_score, 6) AS group_score, {_LIGHT.format('score')} AS light FROM ps JOIN (SELECT pillar, avg(score) AS mean_score FROM ps GROUP BY 1) USING (pillar) JOIN (SELECT grp, pillar, avg(score) AS group_score FROM ps GROUP BY ALL) USING (grp, pillar)",
     "q_pillar_detail": "SELECT entity, variable_name, cel.role, round(cel.value, 6) AS value, cel.fill_year IS NOT NULL OR regional AS filled, coalesce(goodness_rank, -1) AS goodness_rank, coalesce(n_ranked, -1) AS n_ranked, s AS norm_score FROM cel JOIN pil USING (variable_name) LEFT JOIN good USING (entity, variable_name) LEFT JOIN (SELECT entity, variable_name, s FROM norm) USING (entity, variable_name) WHERE pillar = 'D'",
     "q_walkthrough": "SELECT entity, round(cel.value, 6) AS value, round(x, 6) AS after_log, s AS norm_score FROM cel JOIN tr USING (entity, variable_name) JOIN norm USING (entity, variable_name) WHERE variable_name = 'returned_qty'",
     "q_heatmap": "SELECT b AS row, a AS col, round(rho, 6) AS rho FROM zs",
@@ -251,5 +265,5 @@ def _places(m: re.Match) -> str:
     return f"CASE WHEN abs({x}) < 1000 THEN round({x}, 9) ELSE round({x}, 5) END AS {c}" if c in RAW_COLUMNS else f"round({x}, 9) AS {c}"
 
 
-ORACLE_SQL = {k: re.sub(r"\bround\(((?:[^(),]|\([^()]*\))+), 6\) AS (\w+)", _places, v) for k, v in ORACLE_SQL.items()}
-ORACLE_SQL = {k: re.sub(r", 6\) AS (\w+)", r", 9) AS \1", v) for k, v in ORACLE_SQL.items()}
+ORACLE_SQL = {k: v if k in ("q_pca", "q_method_weights") else re.sub(r"\bround\(((?:[^(),]|\([^()]*\))+), 6\) AS (?!pca\b)(\w+)", _places, v) for k, v in ORACLE_SQL.items()}
+ORACLE_SQL = {k: v if k in ("q_pca", "q_method_weights") else re.sub(r", 6\) AS (?!pca\b)(\w+)", r", 9) AS \1", v) for k, v in ORACLE_SQL.items()}

@@ -18,7 +18,7 @@ from keelson.plans.run import Run
 from keelson.registry import WEIGHT_PRESETS
 from keelson.sources import panel
 
-METHODS = ["equal", "bod", "entropy", "geometric"]
+METHODS = ["equal", "pca", "bod", "entropy", "geometric"]
 CUSTOM = {"A": 0.4, "B": 0.1, "C": 0.0, "D": 0.2}
 PILLAR, INDICATOR = "D", "returned_qty"
 #: The set that can be left out of views: customers of one nation.
@@ -93,12 +93,10 @@ def _verdict(r: Run) -> DataFrame:
 
 
 def _profile(r: Run) -> DataFrame:
-    """One entity's page: its pillars with the averages of all and of its group."""
-    own = r.pillars.where("entity = 7")
-    group = own.select("grp").distinct()
+    """Every entity's page: its pillars with the averages of all and of its group. A page is the rows of one entity."""
     all_mean = serve.pillar_averages(r.pillars)
-    grp_mean = r.pillars.join(F.broadcast(group), "grp").groupBy("pillar").agg(F.avg("score").alias("group_score"))
-    return own.join(all_mean, "pillar").join(grp_mean, "pillar").select("entity", "pillar", "score", "mean_score", "group_score", traffic_light("score").alias("light"))
+    grp_mean = r.pillars.groupBy("grp", "pillar").agg(F.avg("score").alias("group_score"))
+    return r.pillars.join(F.broadcast(all_mean), "pillar").join(grp_mean, ["grp", "pillar"]).select("entity", "pillar", "score", "mean_score", "group_score", traffic_light("score").alias("light"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -107,7 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_average": _run(_of_aggregation("average")),
     "q_average_recent_3": _run(_of_aggregation("average_recent_3")),
     "q_average_recent_5": _run(_of_aggregation("average_recent_5")),
-    "q_last_k": _run(lambda r: diagnose.last_k(r.obs.where("variable_name = 'order_value'"), 2).select("entity", "year", "value", "rn")),
+    "q_last_k": _run(lambda r: diagnose.last_k(r.obs, 2).select("entity", "variable_name", "year", "value", "rn")),
     "q_stage1_fill": _run(lambda r: r.aggregated.where("fill_year IS NOT NULL")),
     "q_ratio_derive": _run(lambda r: r.derived.where(F.col("variable_name") == "returned_qty").select("entity", "value", "fill_value")),
     "q_dense_grid": _run(lambda r: r.grid.groupBy("variable_name").agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("value").isNull()).alias("n_gaps"))),
@@ -133,8 +131,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_entropy": _run(lambda r: _long(score.entropy(r.pillars))),
     "q_bod": _run(lambda r: _long(score.bod(r.pillars))),
     "q_bod_tight": _run(lambda r: _long(score.bod_tight(r.pillars))),
-    "q_pca": lambda spark, sf_dir: rounded(score.pca(Run.customers(spark, sf_dir).pillars), 4),
-    "q_method_weights": lambda spark, sf_dir: rounded(score.method_weights(Run.customers(spark, sf_dir).pillars), 4),
+    "q_pca": lambda spark, sf_dir: rounded(score.pca(Run.customers(spark, sf_dir).pillars), 6),
+    "q_method_weights": lambda spark, sf_dir: rounded(score.method_weights(Run.customers(spark, sf_dir).pillars), 6),
     "q_ranks": _run(lambda r: r.ranks(METHODS)),
     "q_method_bars": _run(lambda r: serve.method_bars(r.scores(METHODS), METHODS)),
     "q_cronbach": _run(lambda r: diagnose.cronbach(r.norm, r.registry)),
@@ -146,8 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_rank_correlations": _run(lambda r: robust.rank_correlations(r.ranks(METHODS), METHODS)),
     "q_rank_sensitivity": _run(lambda r: robust.rank_sensitivity(r.ranks(METHODS), METHODS)),
     "q_robustness_summary": _run(_verdict),
-    "q_max_shift": _run(lambda r: robust.max_shift(r.group_pillars())),
-    "q_worst_weights": _run(lambda r: robust.worst_weights(robust.max_shift(r.group_pillars()))),
+    "q_max_shift": _run(lambda r: robust.max_shift(r.pillars)),
+    "q_worst_weights": _run(lambda r: robust.worst_weights(robust.max_shift(r.pillars))),
     "q_fill_exclusion": _run(lambda r: robust.without_fills(r.norm, r.fill_log, r.registry).fillna(-1)),
     "q_tight_bounds": _run(lambda r: robust.tight_bounds(r.pillars)),
     "q_confidence_band": _run(lambda r: robust.bands(score.equal(r.pillars).withColumnRenamed("score", "equal"), r.quality)),

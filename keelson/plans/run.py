@@ -6,6 +6,7 @@ once; the rest stays lazy.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +19,39 @@ from keelson.sources import panel
 from keelson.sources.tables import kept
 
 
+#: Places of scores by method, 9 if not said: an eigenvector is found by iteration.
+PLACES = {"pca": 6}
+_panels: dict[tuple[str, str], DataFrame] = {}
+
+
+def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of a folder, written once for all runs of an application; ``forget`` makes the next run read anew."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _panels:
+        _panels[key] = kept(panel.customer_panel(spark, sf_dir))
+    return _panels[key]
+
+
+def forget() -> None:
+    _panels.clear()
+
+
 class Run:
     """From observations and an entity table to scores. Every property is a DataFrame; what several readers follow is written when it is first used."""
 
-    def __init__(self, obs: DataFrame, entities: DataFrame, registry: Registry, params: Params = DEFAULT):
-        self.spark: SparkSession = obs.sparkSession
-        self.obs, self.entities, self.params, self.definitions = obs, entities, params, registry
+    def __init__(self, obs: DataFrame | Callable[[], DataFrame], entities: DataFrame, registry: Registry, params: Params = DEFAULT):
+        """``obs`` may be a function: it is called when observations are first needed."""
+        self.spark: SparkSession = entities.sparkSession
+        self._obs, self.entities, self.params, self.definitions = obs, entities, params, registry
         self.registry = registry.table(self.spark)
 
     @classmethod
     def customers(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Run:
-        return cls(kept(panel.customer_panel(spark, sf_dir)), panel.customers(spark, sf_dir), CUSTOMERS, params)
+        return cls(lambda: customer_panel(spark, sf_dir), panel.customers(spark, sf_dir), CUSTOMERS, params)
+
+    @cached_property
+    def obs(self) -> DataFrame:
+        return self._obs() if callable(self._obs) else self._obs
 
     @cached_property
     def aggregated(self) -> DataFrame:
@@ -71,7 +94,9 @@ class Run:
         return robust.fill_counts(self.fill_log, self.entities, len(self.definitions.indicators))
 
     def scores(self, methods: list[str]) -> DataFrame:
-        return score.all_scores(self.pillars, self.params, {m: score.METHODS[m] for m in methods})
+        """Scores by method, to PLACES: ranks must not depend on the order of a sum."""
+        found = score.all_scores(self.pillars, self.params, {m: score.METHODS[m] for m in methods})
+        return found.select("entity", *[F.round(m, PLACES.get(m, 9)).alias(m) for m in methods])
 
     def ranks(self, methods: list[str]) -> DataFrame:
         return score.ranked(self.scores(methods), methods)
@@ -80,7 +105,3 @@ class Run:
         """Stops here if a pillar lacks data."""
         clean.gate(clean.pillar_null_rate(self.cells, self.registry), self.params)
         return self
-
-    def group_pillars(self) -> DataFrame:
-        """Pillar scores of groups as entities: means over their members."""
-        return self.pillars.groupBy(F.col("grp").cast("long").alias("entity"), "pillar").agg(F.avg("score").alias("score")).withColumn("grp", F.lit(0))

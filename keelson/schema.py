@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Enumerations and, in Params, thresholds that results depend on.
 ROLES = ("scoring", "descriptive")
 POLARITIES = ("positive", "negative")
 AGGREGATIONS = {"most_recent": 1, "average_recent_3": 3, "average_recent_5": 5, "average": 1 << 30}
@@ -31,6 +32,7 @@ class Params:
     tight_min: float = 0.07
     tight_max: float = 0.20
     floor: float = 1e-8
+    min_eigengap: float = 0.1
     max_pillar_null_rate: float = 0.30
     sparse_below: float = 0.75
     very_sparse_below: float = 0.50

@@ -6,12 +6,11 @@ longer change. The latest value of a series is kept by a running aggregate.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.sources.tables import new_path
+
 
 def read_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
@@ -39,8 +38,7 @@ def latest_values(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there now; each batch's result replaces the table that is returned."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keelson-stream-")
-    out = f"{shared.rstrip('/')}/keelson/{uuid.uuid4().hex}"
+    out = new_path(spark)
     schema = stream.schema
     q = (
         stream.writeStream.outputMode(mode)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions import columns as c
-from keelson.functions.ranking import rank_desc
+from keelson.functions.ranking import quantiles, rank_desc
 from keelson.operators import clean, compare, diagnose, normalize, robust, score
 from keelson.plans.run import Run
 from keelson.registry import CUSTOMERS, WEIGHT_PRESETS, Indicator, Registry
@@ -149,15 +149,39 @@ def test_entropy_geometric_pca(spark):
 
 def test_ranks(spark):
     df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate([5.0, 7.0, 5.0, None, 1.0, 7.0, None, 9.0])], "e int, x double, g int")
-    for buckets in (2, 64):
-        got = values(rank_desc(df, "x", "r", buckets=buckets), "e")
+    for rows in (2, 1 << 20):
+        got = values(rank_desc(df, "x", "r", window_rows=rows), "e")
         assert [got[i]["r"] for i in range(8)] == [4, 2, 4, 7, 6, 2, 7, 1]
-        avg = values(rank_desc(df.where("x IS NOT NULL"), "x", "r", ties="average", buckets=buckets), "e")
+        avg = values(rank_desc(df.where("x IS NOT NULL"), "x", "r", ties="average", window_rows=rows), "e")
         assert [avg[i]["r"] for i in (0, 1, 2, 4, 5, 7)] == [4.5, 2.5, 4.5, 6, 2.5, 1]
-        row = values(rank_desc(df, "x", "r", ["g"], "e", buckets), "e")
+        row = values(rank_desc(df, "x", "r", ["g"], "e", rows), "e")
         assert [row[i]["r"] for i in range(8)] == [1, 2, 2, 4, 4 - 1, 3, 4, 1] or sorted(row[i]["r"] for i in (0, 2, 4, 6)) == [1, 2, 3, 4]
 
 
+def test_ranks_of_large_groups(spark):
+    """By distinct values, with one value in most rows and NULL groups: as a plain window ranks them."""
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 17 == 0 else float(rng.integers(0, 40)) if i % 2 else 7.0, [None, 1, 2][i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "e int, x double, g int")
+    for within in ([], ["g"]):
+        for ties in ("min", "average", "e"):
+            x = df if ties != "average" else df.where("x IS NOT NULL")
+            one, two = (values(rank_desc(x, "x", "r", within, ties, n), "e") for n in (1 << 20, 20))
+            assert {e: r["r"] for e, r in one.items()} == {e: r["r"] for e, r in two.items()}
+    plain = values(quantiles(df, "x", "g", {"q1": 0.25, "q3": 0.75}), "g")
+    large = values(quantiles(df, "x", "g", {"q1": 0.25, "q3": 0.75}, 20), "g")
+    assert [(k, r["q1"], r["q3"]) for k, r in plain.items() if k] == [(k, r["q1"], r["q3"]) for k, r in large.items() if k]
+
+
+def test_worst_weights_scale_over_the_pillars_there_are(spark):
+    x = pillars(spark, {1: [90.0] + [None] * 6, 2: [50.0] * 7, 3: [10.0] * 7, 4: [None] * 7})
+    got = robust.max_shift(x, vectors=[[0.25] + [0.125] * 6]).first()
+    # Entity 1 has 90 under any weights; unscaled it would fall to 22.5, behind the second.
+    assert got["rho"] == pytest.approx(1) and got["max_shift"] == 0
+    equal = score.entropy_weights(pillars(spark, {e: [5.0] * 7 for e in (1, 2, 3)})).collect()
+    assert [r["w"] for r in equal] == pytest.approx([1 / 7] * 7)
+
+
 def test_alpha_and_spearman(spark):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(12, 3)).round(1)
