@@ -101,20 +101,27 @@ def confidence_half(pct_filled) -> Column:
     return 2 + 26.7 * _c(pct_filled)
 
 
-def tiered_number(x) -> Column:
-    """A number as text, with fewer decimals the larger it is."""
+def tiered_number(x, table: bool = False) -> Column:
+    """A number as text, with fewer decimals the larger it is; in tables one more between 1 and 100.
+
+    Below a thousandth: four significant digits without closing zeros, as a power of ten below a ten-thousandth.
+    """
     x = _c(x)
     a = F.abs(x)
+    small = F.regexp_replace(F.format_string("%.7f", F.round(x, 7)), "\\.?0+$", "")
+    power = F.regexp_replace(F.format_string("%.3e", x), "\\.?0+e", "e")
     return (
         F.when(x.isNull(), None)
         .when(a >= 10000, F.format_number(x, 0))
         .when(a >= 100, F.format_number(x, 1))
-        .when(a >= 1, F.format_string("%.2f", x))
+        .when(a >= 1, F.format_string("%.3f" if table else "%.2f", x))
         .when(a >= 0.001, F.format_string("%.4f", x))
-        .otherwise(F.format_string("%.3e", x))
+        .when(a >= 0.0001, small)
+        .when(a > 0, power)
+        .otherwise("0")
     )
 
 
-def year_of_label(label) -> Column:
-    """2015 from "YR2015", "2015" or "2015.0"; NULL from anything else."""
-    return F.regexp_extract(_c(label), r"^(?:YR)?(\d{4})(?:\.0)?$", 1).try_cast("int") if hasattr(Column, "try_cast") else F.expr("NULL")
+def elapsed_days(day, today: Column | None = None) -> Column:
+    """Whole days from a date to today."""
+    return F.date_diff(F.current_date() if today is None else today, _c(day))

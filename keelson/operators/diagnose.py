@@ -83,3 +83,8 @@ def last_k(obs: DataFrame, k: int) -> DataFrame:
     """The k latest observations of each series."""
     w = Window.partitionBy("entity", "variable_name").orderBy(F.col("year").desc())
     return obs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+
+
+def latest(obs: DataFrame) -> DataFrame:
+    """The latest value of each series and its year."""
+    return obs.groupBy("entity", "variable_name").agg(F.max("year").alias("year"), F.max_by("value", "year").alias("value"))

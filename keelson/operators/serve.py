@@ -55,7 +55,7 @@ def pillar_detail(pillar: str, cells: DataFrame, norm: DataFrame, registry: Data
 
 
 def walkthrough(name: str, cells: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """An indicator step by step, from stored bounds: raw, after the log, normalised; highest first by entity."""
+    """An indicator step by step, from stored bounds: raw, after the log, normalised. For a chart, see report.sorted_series."""
     b = F.broadcast(bounds.where(F.col("variable_name") == name))
     x = cells.where(F.col("variable_name") == name).join(b, "variable_name")
     logged = F.when(F.col("log_transform"), log1p_clipped("value")).otherwise(F.col("value"))

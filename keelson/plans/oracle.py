@@ -198,7 +198,7 @@ _BODY = {
         UNION ALL SELECT 'entropy', pillar, round(w, 6) FROM ew""",
     "q_ranks": f"SELECT entity, {r('equal', 'pca', 'bod', 'entropy', 'geometric')}, equal_rank, pca_rank, bod_rank, entropy_rank, geometric_rank FROM rk",
     "q_method_bars": f"SELECT entity, method, {r('score')} FROM (UNPIVOT sc ON equal, pca, bod, entropy, geometric INTO NAME method VALUE score)",
-    "q_cronbach": """SELECT pillar, k AS n_indicators, coalesce(nc, 0) AS n_complete, CASE WHEN k >= 2 AND nc >= 3 THEN round(k / (k - 1) * (1 - vi / vt), 6) END AS alpha
+    "q_cronbach": """SELECT pillar, k AS n_indicators, coalesce(nc, 0) AS n_complete, CASE WHEN k >= 2 AND nc >= 3 THEN round(k / (k - 1) * (1 - vi / vt), 9) END AS alpha
         FROM (SELECT pillar, count(*) AS k FROM spil GROUP BY 1) LEFT JOIN
         (SELECT pillar, count(*) AS nc, var_samp(t) AS vt FROM (SELECT pillar, entity, sum(s) AS t FROM norm JOIN spil USING (variable_name) GROUP BY ALL HAVING count(*) = count(s)) GROUP BY 1) USING (pillar) LEFT JOIN
         (SELECT pillar, sum(v) AS vi FROM (SELECT pillar, variable_name, var_samp(s) AS v FROM norm JOIN spil USING (variable_name)
@@ -246,6 +246,44 @@ _BODY = {
         LEFT JOIN (SELECT entity, s FROM norm WHERE variable_name = 'returned_qty') USING (entity)
         LEFT JOIN (SELECT DISTINCT entity FROM log WHERE variable_name = 'returned_qty') f USING (entity)""",
 }
+_M = ("equal", "pca", "bod", "entropy", "geometric")
+_TOP = "[1, 2, 3, 10, 26, 46, 120, 146]", 8
+_BOTTOM = "[5, 31, 77, 99, 140]", 5
+_LISTED = "SELECT '{0}' AS part, len(f)::INT AS n_found, {2}::INT AS n_listed, array_to_string(f, ',') AS found FROM (SELECT list_sort(list_intersect(list(entity), {1})) AS f FROM (SELECT entity FROM rk WHERE equal IS NOT NULL ORDER BY equal_rank {3}, entity LIMIT 10))"
+_DIST = "(SELECT method, avg(score) AS mean, min(score) AS min, max(score) AS max, stddev_pop(score) AS std, (list(entity ORDER BY score, entity))[1] AS lowest, (list(entity ORDER BY score DESC, entity))[1] AS highest FROM (UNPIVOT sc ON equal, pca, bod, entropy, geometric INTO NAME method VALUE score) GROUP BY 1)"
+_LAST = "(row_number() OVER (ORDER BY {} DESC NULLS LAST, {}))::INT AS position"
+_CHECKS = "(VALUES ('order_count', 1, 2000, 1.0::DOUBLE, 9.0::DOUBLE), ('order_count', 7, 1999, 50.0, 60.0), ('tax_rate', 2, 1890, 0.0, 1.0)) c(variable_name, entity, year, low, high)"
+_BODY |= {
+    "q_report_coverage": "SELECT *, (row_number() OVER (ORDER BY pct_coverage, variable_name))::INT AS position FROM (SELECT variable_name, count(filled) AS n_valid, count(*) AS n_total, round(count(filled) / count(*), 6) AS pct_coverage, CASE WHEN count(filled) / count(*) < 0.5 THEN 'VERY SPARSE' WHEN count(filled) / count(*) < 0.75 THEN 'SPARSE' ELSE '' END AS flag FROM fil GROUP BY 1)",
+    "q_report_overall": f"SELECT {_LAST.format('equal', 'entity')}, entity, coalesce(c_name, entity::VARCHAR) AS label, {', '.join(f'{m}, {m}_rank' for m in _M)} FROM rk LEFT JOIN customer ON c_custkey = entity",
+    "q_report_pillars": f"SELECT {_LAST.format('equal', 'entity')}, entity, coalesce(c_name, entity::VARCHAR) AS label, {', '.join(f'round({p}, 6) AS {p}' for p in 'ABCDEFG')}, equal AS composite FROM sc JOIN (SELECT entity, {', '.join(f'max(score) FILTER (pillar = {chr(39)}{p}{chr(39)}) AS {p}' for p in 'ABCDEFG')} FROM ps GROUP BY 1) USING (entity) LEFT JOIN customer ON c_custkey = entity",
+    "q_report_indicators": f"SELECT p.pillar, cel.variable_name, cel.entity, coalesce(c_name, cel.entity::VARCHAR) AS label, {r('value')}, s AS norm_score FROM cel JOIN (SELECT variable_name, pillar FROM pil WHERE pos = 0) p USING (variable_name) LEFT JOIN norm USING (entity, variable_name) LEFT JOIN customer ON c_custkey = cel.entity",
+    "q_most_sensitive": f"SELECT *, CASE WHEN rank_range <= 5 THEN 'Stable' WHEN rank_range <= 12 THEN 'Moderate' ELSE 'Sensitive' END AS verdict FROM (SELECT *, rank_max - rank_min AS rank_range FROM ({_SENS})) ORDER BY rank_range DESC, entity LIMIT 10",
+    "q_report_shift": f"SELECT *, (row_number() OVER (ORDER BY nullif(shift, -1) DESC NULLS LAST, entity))::INT AS position FROM ({_BODY['q_fill_exclusion']})",
+    "q_sorted_series": "SELECT entity, pillar, score, (row_number() OVER (PARTITION BY pillar ORDER BY score DESC NULLS LAST, entity))::INT AS position FROM (SELECT entity, pillar, round(ps.score, 9) AS score FROM ps)",
+    "q_scores_file": f"SELECT entity, {', '.join(_M)}, {', '.join(f'{m}_rank' for m in _M)}, {', '.join(f'round({p}, 6) AS {p}' for p in 'ABCDEFG')} FROM rk LEFT JOIN (SELECT entity, {', '.join(f'max(score) FILTER (pillar = {chr(39)}{p}{chr(39)}) AS {p}' for p in 'ABCDEFG')} FROM ps GROUP BY 1) USING (entity)",
+    "q_documents": "SELECT entity, to_json({entity: entity, scores: {" + ", ".join(f"{m}: round(round({m}, 9)::DECIMAL(18, 9), 2)::DOUBLE" for m in _M) + "}, ranks: {" + ", ".join(f"{m}: {m}_rank" for m in _M) + "}})::VARCHAR AS document FROM rk",
+    "q_robustness_document": f"SELECT to_json({{n_stable: n_stable, n_sensitive: n_sensitive, most_sensitive: most}})::VARCHAR AS document FROM (SELECT count(*) FILTER (d <= 5) AS n_stable, count(*) FILTER (d > 12) AS n_sensitive, (list(entity ORDER BY d DESC, entity))[1:10] AS most FROM (SELECT entity, rank_max - rank_min AS d FROM ({_SENS})))",
+    "q_overlap": f"{_LISTED.format('top', *_TOP, '')} UNION ALL {_LISTED.format('bottom', *_BOTTOM, 'DESC')}",
+    "q_profile_page": """SELECT c_custkey AS entity, coalesce(c_name, c_custkey::VARCHAR) AS label, coalesce(c_mktsegment, '') AS segment, round(c_acctbal, 9) AS balance, first_year, last_year, coalesce(n_years, 0)::INT AS n_years,
+        '' AS overview, coalesce(array_to_string(strong, ','), '') AS strengths, coalesce(array_to_string(weak, ','), '') AS challenges
+        FROM customer LEFT JOIN (SELECT o_custkey, min(year(o_orderdate))::INT AS first_year, max(year(o_orderdate))::INT AS last_year, count(DISTINCT year(o_orderdate)) AS n_years FROM orders GROUP BY 1) ON o_custkey = c_custkey
+        LEFT JOIN (SELECT entity, list_sort(list(pillar) FILTER (score >= 65)) AS strong, list_sort(list(pillar) FILTER (score < 35)) AS weak FROM ps GROUP BY 1) ON entity = c_custkey""",
+    "q_map_rows": f"SELECT c_custkey AS entity, coalesce(c_name, c_custkey::VARCHAR) AS label, r_name AS region, equal AS score, equal_rank AS rank, coalesce({_LIGHT.format('equal')}, 'No data') AS light FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN rk ON entity = c_custkey",
+    "q_latest": f"SELECT entity, variable_name, year, {r('value')} FROM (SELECT entity, variable_name, max(year) AS year, arg_max(value, year) AS value FROM obs GROUP BY ALL)",
+    "q_sources": "SELECT variable_name, display_name, 'manual' AS source, '' AS database, (SELECT string_agg(pillar, ', ' ORDER BY pos) FROM pil WHERE pil.variable_name = reg.variable_name) AS pillars, y0::VARCHAR || '-' || y1::VARCHAR AS years FROM reg",
+    "q_source_share": "SELECT 'manual' AS source, count(*) AS n, 1.0::DOUBLE AS share FROM reg WHERE role = 'scoring'",
+    "q_method_weight_maps": "SELECT method, " + ", ".join(f"round(max(w) FILTER (pillar = '{p}'), 6) AS {p}" for p in "ABCDEFG") + f" FROM ({_BODY['q_method_weights']}) GROUP BY 1",
+    "q_audit": """SELECT section, n, 0::BIGINT AS n_missing, 0::BIGINT AS n_off, 'PASS' AS status FROM (SELECT 'normalisation' AS section, count(*) AS n FROM norm UNION ALL SELECT 'pillars', count(*) FROM ps UNION ALL SELECT 'equal', count(*) FROM eq
+        UNION ALL SELECT 'geometric', count(*) FROM eq UNION ALL SELECT 'bands', count(score) FROM eq UNION ALL SELECT 'peers', count(score) FROM eq)""",
+    "q_bod_property": f"SELECT count(bod - equal) AS n, count(*) FILTER (bod - equal < -1e-6) AS n_below, round(min(bod - equal), 6) AS min_gap, round(avg(bod - equal), 6) AS mean_gap, CASE WHEN count(*) FILTER (bod - equal < -1e-6) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM sc",
+    "q_alpha_status": f"SELECT *, CASE WHEN alpha IS NULL THEN 'INFO' WHEN alpha < 0.6 THEN 'WARN' ELSE 'PASS' END AS status FROM ({_BODY['q_cronbach']})",
+    "q_distribution_audit": f"SELECT method, round(mean, 6) AS mean, round(min, 6) AS min, round(max, 6) AS max, round(std, 6) AS std, lowest, highest, CASE WHEN min < 0 OR max > 100 THEN 'FAIL' WHEN std < 1 THEN 'WARN' ELSE 'PASS' END AS status FROM {_DIST}",
+    "q_spot_checks": f"SELECT c.variable_name, c.entity, c.year, low, high, round(coalesce(value, -1), 6) AS value, CASE WHEN value IS NULL THEN 'MISSING' WHEN value BETWEEN low AND high THEN 'PASS' ELSE 'FAIL' END AS status FROM {_CHECKS} LEFT JOIN obs ON obs.variable_name = c.variable_name AND obs.entity = c.entity AND obs.year = c.year",
+    "q_pull_log": "SELECT reg.variable_name, CASE WHEN count(value) > 0 THEN 'OK' ELSE 'EMPTY' END AS status, count(value) AS n_obs, count(DISTINCT entity) AS n_entities FROM reg LEFT JOIN obs USING (variable_name) GROUP BY 1",
+    "q_pull_summary": "SELECT count(*) AS n, count(*) FILTER (n > 0) AS n_ok, count(*) FILTER (n = 0) AS n_empty, 0::BIGINT AS n_failed, sum(n)::BIGINT AS n_obs FROM (SELECT reg.variable_name, count(value) AS n FROM reg LEFT JOIN obs USING (variable_name) GROUP BY 1)",
+    "q_order_dates": "SELECT o_custkey AS entity, strftime(min(o_orderdate)::DATE, '%Y-%m-%d') AS first_day, strftime(max(o_orderdate)::DATE, '%Y-%m-%d') AS last_day, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::INT AS days FROM orders GROUP BY 1",
+}
 _EXTRA = {
     "q_rank_correlations": f", {_RANKS_LONG}, {_spearman('rl', 'method', 'r')}",
     "q_robustness_summary": f", {_RANKS_LONG}, {_spearman('rl', 'method', 'r')}",
@@ -265,5 +303,5 @@ def _places(m: re.Match) -> str:
     return f"CASE WHEN abs({x}) < 1000 THEN round({x}, 9) ELSE round({x}, 5) END AS {c}" if c in RAW_COLUMNS else f"round({x}, 9) AS {c}"
 
 
-ORACLE_SQL = {k: v if k in ("q_pca", "q_method_weights") else re.sub(r"\bround\(((?:[^(),]|\([^()]*\))+), 6\) AS (?!pca\b)(\w+)", _places, v) for k, v in ORACLE_SQL.items()}
-ORACLE_SQL = {k: v if k in ("q_pca", "q_method_weights") else re.sub(r", 6\) AS (?!pca\b)(\w+)", r", 9) AS \1", v) for k, v in ORACLE_SQL.items()}
+ORACLE_SQL = {k: v if k in ("q_pca", "q_method_weights", "q_method_weight_maps") else re.sub(r"\bround\(((?:[^(),]|\([^()]*\))+), 6\) AS (?!pca\b)(\w+)", _places, v) for k, v in ORACLE_SQL.items()}
+ORACLE_SQL = {k: v if k in ("q_pca", "q_method_weights", "q_method_weight_maps") else re.sub(r", 6\) AS (?!pca\b)(\w+)", r", 9) AS \1", v) for k, v in ORACLE_SQL.items()}

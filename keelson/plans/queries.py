@@ -7,16 +7,17 @@ scores can end in a 5 at the seventh), raw values of 1000 and above, which have
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions.columns import coverage_flag, overall_verdict, traffic_light
 from keelson.functions.ranking import rank_desc
-from keelson.operators import clean, compare, diagnose, normalize, robust, score, serve
+from keelson.operators import audit, clean, compare, diagnose, normalize, report, robust, score, serve
 from keelson.plans.run import Run
 from keelson.registry import WEIGHT_PRESETS
-from keelson.sources import panel
+from keelson.sources import context
 
 METHODS = ["equal", "pca", "bod", "entropy", "geometric"]
 CUSTOM = {"A": 0.4, "B": 0.1, "C": 0.0, "D": 0.2}
@@ -99,6 +100,53 @@ def _profile(r: Run) -> DataFrame:
     return r.pillars.join(F.broadcast(all_mean), "pillar").join(grp_mean, ["grp", "pillar"]).select("entity", "pillar", "score", "mean_score", "group_score", traffic_light("score").alias("light"))
 
 
+#: Lists from outside to hold ranks against, and known values with their bounds.
+OUTSIDE = {"top": [1, 2, 3, 10, 26, 46, 120, 146], "bottom": [5, 31, 77, 99, 140]}
+KNOWN = [("order_count", 1, 2000, 1.0, 9.0), ("order_count", 7, 1999, 50.0, 60.0), ("tax_rate", 2, 1890, 0.0, 1.0)]
+
+
+def _page(r: Run, spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = context.read_or_empty(spark, f"{sf_dir}/notes.json", context.NOTES)
+    out = report.page(r.entities, r.pillars, context.customer_facts(spark, sf_dir), context.customer_history(spark, sf_dir), notes)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("strengths", "challenges")})
+
+
+def _document(r: Run) -> DataFrame:
+    """Each entity's scores and ranks as one JSON text, nulls written out."""
+    x = r.ranks(METHODS)
+    scores = F.struct(*[F.round(F.round(m, 9), 2).alias(m) for m in METHODS])
+    nested = x.select("entity", scores.alias("scores"), F.struct(*[F.col(f"{m}_rank").alias(m) for m in METHODS]).alias("ranks"))
+    return serve.documents(nested)
+
+
+def _robustness_document(r: Run) -> DataFrame:
+    """The summary of robustness as JSON: counts and the ten most sensitive entities."""
+    sens = robust.rank_sensitivity(r.ranks(METHODS), METHODS)
+    ten = report.most_sensitive(sens).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank_range")).alias("k"), "entity"))), lambda x: x["entity"]).alias("most_sensitive"))
+    n = sens.agg(F.count_if(F.col("verdict") == "Stable").alias("n_stable"), F.count_if(F.col("verdict") == "Sensitive").alias("n_sensitive"))
+    return n.crossJoin(F.broadcast(ten)).select(F.to_json(F.struct("n_stable", "n_sensitive", "most_sensitive")).alias("document"))
+
+
+def _audit(r: Run) -> DataFrame:
+    """All recomputations: a row for each section."""
+    scores, wide = r.scores(["equal", "geometric"]), score.wide(r.pillars)
+    band = robust.bands(scores, r.quality)
+    parts = [
+        audit.normalisation(r.cells, normalize.bounds(r.cells, r.registry), r.norm), audit.pillar_means(r.norm, r.registry, r.pillars), audit.equal_scores(wide, scores),
+        audit.geometric_scores(wide, scores), audit.band_widths(band, r.quality), audit.peer_counts(robust.peers(scores, r.entities), r.entities, scores),
+    ]
+    return reduce(DataFrame.unionByName, parts).drop("max_diff")
+
+
+def _weights(r: Run) -> DataFrame:
+    maps = report.weight_maps(score.method_weights(r.pillars))
+    return maps.select("method", *[F.round(F.col("weights")[p], 6).alias(p) for p in r.params.pillars])
+
+
+def _with_source(f: Callable[[Run, SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: rounded(f(Run.customers(spark, sf_dir), spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_panel": _run(lambda r: r.obs),
     "q_most_recent": _run(_of_aggregation("most_recent")),
@@ -170,4 +218,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_set_intersection": _run(lambda r: compare.shared_keys(r.obs, _later(r), KEYS)),
     "q_rank_flips": _run(lambda r: compare.rank_flips(r.ranks(["equal", "geometric"]).select("entity", F.col("equal_rank").alias("r")), r.ranks(["geometric"]).select("entity", F.col("geometric_rank").alias("r")), "r")),
     "q_bundle": _run(_bundle),
+    "q_report_coverage": _run(lambda r: report.coverage_table(clean.post_coverage(r.filled))),
+    "q_report_overall": _run(lambda r: report.overall(r.ranks(METHODS), r.entities, METHODS)),
+    "q_report_pillars": _run(lambda r: report.pillar_table(score.wide(r.pillars), r.scores(["equal"]), r.entities)),
+    "q_report_indicators": _run(lambda r: report.indicator_table(r.cells, r.norm, r.registry, r.entities)),
+    "q_most_sensitive": _run(lambda r: report.most_sensitive(robust.rank_sensitivity(r.ranks(METHODS), METHODS))),
+    "q_report_shift": _run(lambda r: report.by_shift(robust.without_fills(r.norm, r.fill_log, r.registry)).fillna(-1)),
+    "q_sorted_series": _run(lambda r: report.sorted_series(r.pillars.select("entity", "pillar", F.round("score", 9).alias("score")))),
+    "q_scores_file": _run(lambda r: report.scores_file(r.ranks(METHODS), score.wide(r.pillars), METHODS)),
+    "q_documents": _run(_document),
+    "q_robustness_document": _run(_robustness_document),
+    "q_overlap": _run(lambda r: report.overlap(r.ranks(["equal"]), OUTSIDE["top"], OUTSIDE["bottom"])),
+    "q_profile_page": _with_source(_page),
+    "q_map_rows": _with_source(lambda r, spark, sf_dir: report.map_rows(r.ranks(["equal"]), r.entities, context.group_regions(spark, sf_dir), traffic_light("equal"))),
+    "q_latest": _run(lambda r: diagnose.latest(r.obs)),
+    "q_sources": _run(lambda r: report.sources_table(r.registry)),
+    "q_source_share": _run(lambda r: report.share_by(r.registry, "source")),
+    "q_method_weight_maps": lambda spark, sf_dir: _weights(Run.customers(spark, sf_dir)),
+    "q_audit": _run(_audit),
+    "q_bod_property": _run(lambda r: audit.not_below(r.scores(["equal", "bod"]))),
+    "q_alpha_status": _run(lambda r: audit.low_alpha(diagnose.cronbach(r.norm, r.registry))),
+    "q_distribution_audit": _run(lambda r: audit.within_range(diagnose.distribution(r.scores(METHODS), METHODS))),
+    "q_spot_checks": _run(lambda r: audit.spot_checks(r.obs, KNOWN).fillna(-1.0, ["value"])),
+    "q_pull_log": _run(lambda r: audit.pull_log(r.obs, r.registry)),
+    "q_pull_summary": _run(lambda r: audit.pull_summary(audit.pull_log(r.obs, r.registry))),
+    "q_order_dates": lambda spark, sf_dir: context.order_dates(spark, sf_dir),
 }

@@ -6,6 +6,7 @@ A registry is immutable; adding, removing or editing gives a new one, validated
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
@@ -74,8 +75,8 @@ class Registry:
             if (pillar is None or pillar in i.pillars) and (role is None or i.role == role) and (database is None or i.database == database)
         ]
 
-    def errors(self) -> list[tuple[str, str]]:
-        """(indicator, what is wrong), every rule in one pass."""
+    def errors(self, has_file: Callable[[str], bool] | None = None) -> list[tuple[str, str]]:
+        """(indicator, what is wrong), every rule in one pass; ``has_file`` tells whether the file of a manual source is there."""
         out = []
         for i in self.indicators:
             bad = lambda what, i=i: out.append((i.variable_name, what))
@@ -97,6 +98,8 @@ class Registry:
                 bad("year_start is after year_end")
             if not isinstance(i.log_transform, bool):
                 bad("log_transform must be a boolean")
+            if i.source == "manual" and has_file and not has_file(i.series_code):
+                bad(f"no file {i.series_code!r}")
             if i.source != "manual":
                 if "." not in i.series_code:
                     bad(f"series code {i.series_code!r} has no dot")

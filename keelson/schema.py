@@ -33,6 +33,7 @@ class Params:
     tight_max: float = 0.20
     floor: float = 1e-8
     min_eigengap: float = 0.1
+    min_alpha: float = 0.60
     max_pillar_null_rate: float = 0.30
     sparse_below: float = 0.75
     very_sparse_below: float = 0.50
