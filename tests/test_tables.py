@@ -24,8 +24,8 @@ def test_checkpoint_tables_and_scores_file(spark, tmp_path):
     files.write_tables({"scores": x, "none": x.limit(0)}, f"file://{tmp_path}/run")
     assert sorted(files.read_scores(spark, f"file://{tmp_path}/run/scores").collect()) == sorted(x.collect())
     assert files.read_scores(spark, f"file://{tmp_path}/run/none").count() == 0
-    ranks = x.select(F.monotonically_increasing_id().alias("entity"), *NAMES, *[f"{m}_rank" for m in NAMES])
-    wide = ranks.select("entity").where("entity = 0").selectExpr("entity", "1.0 AS A", *[f"CAST(NULL AS DOUBLE) AS {p}" for p in "BCDEFG"])
+    ranks = x.select(F.substring("iso3", 2, 1).cast("long").alias("entity"), *NAMES, *[f"{m}_rank" for m in NAMES])
+    wide = ranks.select("entity").where("entity = 0").selectExpr("entity", "1.0D AS A", *[f"CAST(NULL AS DOUBLE) AS {p}" for p in "BCDEFG"])
     out = report.scores_file(ranks, wide, NAMES)
     files.write_csv(out, f"file://{tmp_path}/scores.csv")
     back = files.read_table(spark, f"file://{tmp_path}/scores.csv", out.schema)
