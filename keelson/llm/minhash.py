@@ -7,12 +7,14 @@
    are read in batches, and a pair is given up as soon as the posterior probability that
    its similarity reaches the threshold is below the chosen miss probability.
    A bucket hands on a spanning forest of its surviving pairs, not the pairs.
-3. The forests' components are clusters. Inside a cluster every surviving pair that is not
-   yet connected is verified on the full sets; the most similar go first, so few are.
-   Again a forest of links goes on, and its components are the result.
-
-Buckets and clusters of more than BLOCK members, or of more than BLOCK_BYTES of text, are dealt out as pairs of blocks: each
-task holds two blocks at most, and every pair of members meets in one of them. Nothing is capped.
+3. The forests' components are clusters. Every member of a cluster is verified against its first member on the full
+   sets; large clusters are dealt to parts for that. What is not linked to the first member, as a rule few, is then verified against all
+   others, most similar ones first, as far as they aren't connected yet. Again a forest of links goes on, and
+   its components are the result.
+
+Buckets of more than BLOCK members are dealt out as pairs of blocks, and so are the members that the third step leaves, with
+the others of their cluster (blocks of BLOCK members and BLOCK_BYTES of text): each task holds two blocks at most, and every pair meets in
+one of them. Nothing is capped.
 Sets are compared by 64-bit hashes of their shingles; a link that goes on is confirmed on the shingles themselves.
 """
 
@@ -150,12 +152,20 @@ def confirmed(a: bytes, b: bytes, k: int, threshold: tuple[int, int]) -> bool:
     return threshold[1] * both >= threshold[0] * (len(x) + len(y) - both)
 
 
-def link_forest(ids: list[int], sets: list[np.ndarray], sig: np.ndarray, threshold: tuple[int, int], rule, confirm=lambda i, j: True) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs of a cluster whose full sets reach the threshold; ``confirm`` has the last word."""
+def cross_forest(ids: list[int], seeks: np.ndarray, joined: np.ndarray, sets: list[np.ndarray], sig: np.ndarray, threshold: tuple[int, int], rule, confirm) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between rows that seek and rows that don't; ``joined`` rows are connected already.
+
+    A member may be there twice, once in each role. ``confirm`` has the last word.
+    """
     forest, size = Forest(len(ids)), np.array([s.size for s in sets])
-    levels: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for i in range(len(ids)):
-        others = np.arange(i + 1, len(ids))
+    same: dict[int, int] = {}
+    for i, x in enumerate(ids):
+        forest.join(i, same.setdefault(x, i))
+    known = np.flatnonzero(joined)
+    for i in known[1:].tolist():
+        forest.join(int(known[0]), i)
+    others, levels = np.flatnonzero(~seeks), {}
+    for i in np.flatnonzero(seeks).tolist():
         fits = threshold[1] * np.minimum(size[others], size[i]) >= threshold[0] * np.maximum(size[others], size[i])
         found, matches = survivors(sig, i, others[fits], rule)
         for m in np.unique(matches):
@@ -231,18 +241,80 @@ def _candidates(rule):
     return run
 
 
-def _verify(k: int, threshold: tuple[int, int], rule):
+_STAR = "component long, rep long, linked boolean"
+
+
+def _star(k: int, threshold: tuple[int, int], rule):
+    """Rows (component, part, rep, signature, text) sorted so that a part's first member comes first -> (component, rep, linked)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: tuple | None = None
+        for b in batches:
+            comps, _, reps, sigs = (c.to_pylist() for c in b.columns[:4])
+            out = []
+            for at, texts in buffers(b.column(4)):
+                wanted, firsts = [], []
+                for i, text in enumerate(texts, at):
+                    sig = np.frombuffer(sigs[i], dtype=np.uint8)
+                    if reps[i] == comps[i]:
+                        first = (sig, shingle_sets([text], k)[0], text)
+                    elif all((sig[:n] == first[0][:n]).sum() >= least for n, least in rule):
+                        wanted.append(i)
+                        firsts.append(first)
+                    else:
+                        out.append((comps[i], reps[i], False))
+                bodies = [texts[i - at] for i in wanted]
+                for i, s, f, text in zip(wanted, shingle_sets(bodies, k), firsts, bodies):
+                    out.append((comps[i], reps[i], linked(f[1], s, threshold) and confirmed(f[2], text, k, threshold)))
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["component", "rep", "linked"])
+
+    return run
+
+
+def _cross(k: int, threshold: tuple[int, int], rule):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets: list[np.ndarray] = []
-        bodies = pdf["text"].tolist()
+        if not pdf["seeks"].any():
+            return pd.DataFrame(columns=["a", "b"], dtype="int64")
+        bodies, sets = pdf["text"].tolist(), []
         for _, texts in buffers(pa.array(bodies, pa.binary())):
             sets += shingle_sets(texts, k)
         sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint8).reshape(len(pdf), -1)
-        return pd.DataFrame(list(link_forest(pdf["rep"].tolist(), sets, sig, threshold, rule, lambda i, j: confirmed(bodies[i], bodies[j], k, threshold))), columns=["a", "b"], dtype="int64")
+        links = cross_forest(
+            pdf["rep"].tolist(), pdf["seeks"].to_numpy(), pdf["linked"].to_numpy(), sets, sig, threshold, rule, lambda i, j: confirmed(bodies[i], bodies[j], k, threshold)
+        )
+        return pd.DataFrame(list(links), columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def verified_links(members: DataFrame, k: int, threshold: tuple[int, int], rule, block: int, block_bytes: int) -> DataFrame:
+    """(a, b): a forest of the true links of each cluster, from (component, rep, n_bytes, signature, text)."""
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
+    size = materialise(size)
+    total = size.agg(F.sum("n")).first()[0] or 0
+    large = skew.large_keys(size, ["component"], total)
+    is_first, cols = F.col("rep") == F.col("component"), ["component", "_part", "rep", "signature", "text"]
+    dealt = skew.dealt(members.where(~is_first), ["component"], large).select(*cols)
+    rows = dealt.unionByName(skew.copied(members.where(is_first), ["component"], large).select(*cols))
+    star = rows.repartition("component", "_part").sortWithinPartitions("component", "_part", "rep")
+    star = materialise(star.mapInArrow(_star(k, threshold, rule), _STAR))
+    # What is left, against all others but the first: only in clusters that have such members.
+    n_blocks = lambda n, b: F.greatest(F.ceil(F.col(n) / F.lit(block)), F.ceil(F.col(b) / F.lit(block_bytes))).cast("int")
+    rest = members.select("rep", "n_bytes").join(star, "rep")
+    left = rest.where("NOT linked").groupBy("component").agg(F.count(F.lit(1)).alias("n_left"), F.sum("n_bytes").alias("bytes_left"))
+    plan = materialise(left.join(size, "component").select("component", n_blocks("n_left", "bytes_left").alias("bi"), n_blocks("n", "bytes").alias("bj")))
+    flagged = members.where(~is_first).join(star.select("rep", "linked"), "rep")
+    flagged = skew.join(flagged.select("component", "rep", "linked", "signature", "text"), plan, ["component"], large)
+    own = lambda b: F.pmod(F.xxhash64("rep"), F.col(b)).cast("int")
+    each = lambda b: F.explode(F.sequence(F.lit(0), F.col(b) - 1))
+    cols = ["component", "i", "j", "seeks", "linked", "rep", "signature", "text"]
+    seeking = flagged.where("NOT linked").withColumn("i", own("bi")).withColumn("j", each("bj")).withColumn("seeks", F.lit(True)).select(*cols)
+    sought = flagged.withColumn("j", own("bj")).withColumn("i", each("bi")).withColumn("seeks", F.lit(False)).select(*cols)
+    found = seeking.unionByName(sought).groupBy("component", "i", "j").applyInPandas(_cross(k, threshold, rule), _EDGES)
+    return star.where("linked").select(F.col("component").alias("a"), F.col("rep").alias("b")).unionByName(found)
+
+
 def in_blocks(rows: DataFrame, key: str, member: str, sizes: DataFrame, large: DataFrame) -> DataFrame:
     """Adds (i, j): the pairs of blocks of its group that a row belongs to; (0, 0) in a small group.
 
@@ -289,16 +361,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = met.select("key", "i", "j", "rep", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     clusters = components(met.mapInArrow(_candidates(rule), _EDGES)).withColumnRenamed("node", "rep")
     # Only what is in a cluster needs its text again.
-    clusters = materialise(clusters.join(classes.select("rep", "id", "sig_text", "n_bytes", "signature"), "rep"))
-    big = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("bytes") / F.lit(block_bytes))).cast("int").alias("blocks")
-    big = materialise(big.select("component", "n", blocks))
-    members = in_blocks(clusters, "component", "rep", big, skew.large_keys(big, ["component"], n_classes))
+    clusters = clusters.join(classes.select("rep", "id", "sig_text", "n_bytes", "signature"), "rep")
     texts = rows.groupBy("id", "sig_text").agg(F.first("text").alias("text")).withColumnsRenamed({"id": "_id", "sig_text": "_sig"})
-    members = members.join(texts, members["id"].eqNullSafe(texts["_id"]) & (members["sig_text"] == texts["_sig"]))
-    links = (
-        members.select("component", "i", "j", "rep", "signature", "text").groupBy("component", "i", "j").applyInPandas(_verify(shingle, threshold, rule), _EDGES)
-    )
+    members = clusters.join(texts, clusters["id"].eqNullSafe(texts["_id"]) & (clusters["sig_text"] == texts["_sig"]))
+    members = materialise(members.select("component", "rep", "n_bytes", "signature", "text"))
+    links = verified_links(members, shingle, threshold, rule, block, block_bytes)
     found = components(links).withColumnsRenamed({"node": "rep"})
     label = materialise(classes.select("digest", "rep", "low_id", "n").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "low_id", "n"))
     lowest = label.groupBy("component").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
