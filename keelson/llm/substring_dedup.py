@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.functions import skew
 from keelson.llm.staging import documents, materialise, short_batches
 from keelson.llm.text import Words, buffers, shingles
 
@@ -32,7 +33,7 @@ WINDOW = 35
 PIECE = 8
 #: Above this many super-k-mers, a bucket's equal strings are counted first; above this many
 #: different strings, its windows are counted one by one.
-HOT, WIDE = 2000, 20_000
+HOT, WIDE = 2000, 2000
 #: Windows in a super-k-mer, at most: a bit each.
 LONGEST = 56
 _PLACE = np.uint64((1 << 28) - 1)
@@ -213,8 +214,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seeds = materialise(
         rows.where("text IS NOT NULL").select(*key, "text").mapInArrow(_seeds(window, piece), "v long, id long, sig long, first int, n int, places int")
     )
-    twice = seeds.groupBy("v").agg(F.sum("places").alias("n_places")).where("n_places > 1").select("v", (F.col("n_places") > hot).alias("hot"))
-    marks = seeds.join(twice, "v").groupBy(*key).agg(F.collect_set(F.struct("v", "first", "n", "hot")).alias("marks"))
+    twice = seeds.groupBy("v").agg(F.sum("places").alias("n_places")).where("n_places > 1").select("v", "n_places", (F.col("n_places") > hot).alias("hot"))
+    twice = materialise(twice)
+    n_seeds = seeds.count()
+    large = skew.large_keys(twice.withColumnRenamed("n_places", "n"), ["v"], n_seeds)
+    marks = skew.join(seeds, twice.select("v", "hot"), ["v"], large).groupBy(*key).agg(F.collect_set(F.struct("v", "first", "n", "hot")).alias("marks"))
     texts = rows.withColumn("text", F.col("text").cast("binary"))
     packed = materialise(
         texts.join(marks, key)
@@ -227,17 +231,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Hot buckets: equal strings count as one row with a number of copies.
     many = packed.where("hot")
     strings = materialise(many.groupBy("v", "n", "packed").agg(F.count(F.lit(1)).alias("copies")))
-    per_v = strings.groupBy("v").agg((F.count(F.lit(1)) > wide).alias("wide"))
-    strings = strings.join(per_v, "v")
+    per_v = strings.groupBy("v").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > wide).alias("wide"))
+    per_v = materialise(per_v)
+    strings = skew.join(strings, per_v.select("v", "wide"), ["v"], skew.large_keys(per_v, ["v"], n_seeds))
     narrow = strings.where("NOT wide").select("v", "n", "packed", "copies", F.col("packed").alias("own"))
     by_bucket = narrow.repartition("v").sortWithinPartitions("v").mapInArrow(lambda it: count(it, _STRINGS), "packed binary, mask long")
     single = materialise(
         strings.where("wide").select("n", "packed", "copies").mapInArrow(_single(window), "packed binary, place int, win binary, c long")
     )
-    often = single.groupBy("win").agg(F.sum("c").alias("c")).where("c > 1").select("win")
-    by_window = single.join(often, "win").groupBy("packed").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
+    often = materialise(single.groupBy("win").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).where("c > 1"))
+    by_window = skew.join(single, often.select("win"), ["win"], skew.large_keys(often, ["win"], single.count())).groupBy("packed").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
     of_string = by_bucket.unionByName(by_window)
-    hot_masks = many.join(of_string, "packed").select(*key, "first", "mask")
+    # A string of a hot bucket is in very many texts.
+    copies = strings.groupBy("packed").agg(F.sum("copies").alias("n"))
+    hot_masks = skew.join(many, of_string, ["packed"], skew.large_keys(copies, ["packed"], n_seeds)).select(*key, "first", "mask")
     masks = masks.unionByName(hot_masks)
     per_text = masks.groupBy(*key).agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
     out = texts.join(per_text, key, "left").select("own_id", "text", "marks")
