@@ -1,38 +1,22 @@
-"""Tables that cut lineage: written once to the folder all executors share.
-
-The folder is ``spark.checkpoint.dir``, read from the session. Only where it is
-unset (tests on one machine) is a folder of our own chosen and set.
-"""
+"""What all operators of this subpackage share: written tables, batches, the documents."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows a Python worker gets at once; texts may be long, so batches are short.
-BATCH_ROWS = 256
-
+from keelson.sources.tables import kept as materialise
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="keelson-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["documents", "materialise", "short_batches"]
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/keelson/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows a Python worker gets at once; texts may be long, so batches are short.
+BATCH_ROWS = 256
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bounds the texts that a Python worker holds at a time."""
+    """Bounds the texts that a Python worker holds at a time.
+
+    Spark reads the setting when a plan starts to run, which is after an operator has returned it, so it stays set.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

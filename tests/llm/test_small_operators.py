@@ -302,7 +302,7 @@ def test_content_sort_of_long_texts_repeats_and_large_groups(spark, monkeypatch)
     texts = [(k, head + str(k % 3)) for k in range(9)] + [(None, "Hot"), (7, "hot"), (7, "HOT")] + [(100 + k, "hot") for k in range(60)] + [(None, "cold"), (None, "Cold")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     for pieces in (1000, 4):
-        monkeypatch.setattr("keelson.llm.skew.PIECES", pieces)
+        monkeypatch.setattr("keelson.functions.skew.PIECES", pieces)
         rows = content_sort(docs, keep="largest").collect()
         got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows)
         want = [(k, 6 + k % 3, 3, k >= 6) for k in range(9)] + [(i, 159, 63, i == 159) for i, t in texts[9:-2]] + [(None, None, 2, True)] * 2
