@@ -76,7 +76,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: id, source, size, source_size, target, rate, copies, taken.
 
     A null text has no words; a null source is a source of its own, ranked last.
-    Rows that repeat an identifier share its coin. A source of no words has rate 0.
+    Rows that repeat an identifier share its coin, and so do rows without one. Sources of equal size or weight are told apart by
+    their names. A source of no words has rate 0. Texts of any length are counted as a whole.
     An empty table gives an empty one; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
@@ -115,7 +116,7 @@ t AS (SELECT source, source_size,
              CASE WHEN w * money < 2 * source_size * lv.rest THEN w * money / lv.rest ELSE 2.0::DOUBLE * source_size END AS target
       FROM r LEFT JOIN lv ON true),
 x AS (SELECT doc_id, size, source_size, target, coalesce(least(2.0::DOUBLE, target / nullif(source_size, 0)), 0) AS rate,
-             ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS coin
+             ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS coin
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * (floor(rate) + (coin < rate - floor(rate))::INT)::BIGINT AS taken FROM x
 """

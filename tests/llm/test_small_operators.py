@@ -307,3 +307,23 @@ def test_content_sort_of_long_texts_repeats_and_large_groups(spark, monkeypatch)
         got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows)
         want = [(k, 6 + k % 3, 3, k >= 6) for k in range(9)] + [(i, 159, 63, i == 159) for i, t in texts[9:-2]] + [(None, None, 2, True)] * 2
         assert got == Counter(want)
+
+
+def test_mix_of_null_and_repeated_identifiers(spark):
+    import duckdb
+
+    rows = [(None, "a b c", "s"), (None, "d", None), (7, "e f", "s"), (7, "g", "t"), (7, "e f", "s"), (8, None, "u"), (9, "h " * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((tuple(r) for r in mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert got == sorted(con.execute(mixing.ORACLE).fetchall(), key=str)
+    assert mixing.emit(docs, mixing.mix(docs)).columns == docs.columns
+
+
+def test_license_rows_are_reported_each(spark):
+    text = "Released under the MIT License."
+    docs = spark.createDataFrame([(None, text, 1), (3, text, 2), (3, text, 3), (4, None, 4)], "doc_id long, text string, license long")
+    rows = license_scan.license_scan(docs).collect()
+    assert sorted((str(r["doc_id"]), r["license"]) for r in rows) == [("3", "MIT"), ("3", "MIT"), ("None", "MIT")]

@@ -38,6 +38,14 @@ def test_every_code_point_is_encoded_as_the_library_does():
         assert np.frombuffer(b.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, hex(c)
 
 
+def test_bpe_of_repeated_and_null_identifiers(spark):
+    docs = spark.createDataFrame([(None, "one two", 1), (7, "one two", 2), (7, "three", 3), (None, None, 4)], "doc_id long, text string, ids long")
+    rows = bpe.bpe_encode(docs, bpe.default_path()).collect()
+    b = bpe.load(bpe.default_path())
+    want = [(i, np.frombuffer(b.encode(t or ""), "<u4").tolist()) for i, t in [(None, "one two"), (7, "one two"), (7, "three"), (None, None)]]
+    assert sorted(((r["doc_id"], r["ids"]) for r in rows), key=str) == sorted(want, key=str)
+
+
 def test_backtracking_equals_merges():
     b, rng = bpe.load(bpe.default_path()), np.random.default_rng(2)
     for _ in range(300):
