@@ -19,7 +19,7 @@ from keelson.sources import panel
 from keelson.sources.tables import kept
 
 
-#: Places of scores by method, 9 if not said: an eigenvector is found by iteration.
+#: Places of scores by method, 8 if not said: an eigenvector is found by iteration.
 PLACES = {"pca": 6}
 _panels: dict[tuple[str, str], DataFrame] = {}
 
@@ -96,7 +96,7 @@ class Run:
     def scores(self, methods: list[str]) -> DataFrame:
         """Scores by method, to PLACES: ranks must not depend on the order of a sum."""
         found = score.all_scores(self.pillars, self.params, {m: score.METHODS[m] for m in methods})
-        return found.select("entity", *[F.round(m, PLACES.get(m, 9)).alias(m) for m in methods])
+        return found.select("entity", *[F.round(m, PLACES.get(m, 8)).alias(m) for m in methods])
 
     def ranks(self, methods: list[str]) -> DataFrame:
         return score.ranked(self.scores(methods), methods)
