@@ -94,7 +94,7 @@ pl AS (SELECT list_transform(v, lambda x: greatest(CASE WHEN neg > 3 THEN -x ELS
 pw AS (SELECT unnest(['A', 'B', 'C', 'D', 'E', 'F', 'G']) AS pillar, unnest(list_transform(l, lambda x: x / list_sum(l))) AS w FROM pl),
 praw AS (SELECT entity, sum(w * score) / sum(w) AS score FROM ps JOIN pw USING (pillar) WHERE score IS NOT NULL GROUP BY 1),
 pca AS (SELECT entity, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-8 THEN 50 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) * 100 END AS score FROM praw),
-sc AS (SELECT eq.entity, round(eq.score, 8) AS equal, round(pca.score, 6) AS pca, round(bod.score, 8) AS bod, round(enp.score, 8) AS entropy, round(geo.score, 8) AS geometric
+sc AS (SELECT eq.entity, round(eq.score, 8) AS equal, round(pca.score, 6) AS pca, round(bod.score, 8) AS bod, round(enp.score, 6)::DOUBLE AS entropy, round(geo.score, 8) AS geometric
        FROM eq LEFT JOIN pca USING (entity) LEFT JOIN bod USING (entity) LEFT JOIN enp USING (entity) LEFT JOIN geo USING (entity)),
 rk AS (SELECT *, {", ".join(f"rank() OVER (ORDER BY {m} DESC NULLS LAST)::INT AS {m}_rank" for m in ("equal", "pca", "bod", "entropy", "geometric"))} FROM sc),
 qual AS (SELECT entity, coalesce(list_sort(list(DISTINCT variable_name) FILTER (variable_name IS NOT NULL)), []) AS filled, count(DISTINCT variable_name)::INT AS n_filled
@@ -188,8 +188,8 @@ _BODY = {
     "q_preset": _weighted(_PRESET),
     "q_custom": _weighted(_CUSTOM, "round(round(score, 9)::DECIMAL(18, 9), 2)::DOUBLE"),
     "q_geometric": f"SELECT entity, {r('score')} FROM geo",
-    "q_entropy_weights": f"SELECT pillar, {r('w')} FROM ew",
-    "q_entropy": f"SELECT entity, {r('score')} FROM enp",
+    "q_entropy_weights": "SELECT pillar, round(ew.w, 8)::DOUBLE AS w FROM ew",
+    "q_entropy": "SELECT entity, round(enp.score, 6)::DOUBLE AS score FROM enp",
     "q_bod": f"SELECT entity, {r('score')} FROM bod",
     "q_bod_tight": f"SELECT entity, {r('score')} FROM tight",
     "q_pca": "SELECT entity, round(pca.score, 6) AS score FROM pca",

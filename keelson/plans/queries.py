@@ -175,8 +175,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q_preset": _run(lambda r: _long(score.weighted(r.pillars, WEIGHT_PRESETS["security_focus"]))),
     "q_custom": _run(lambda r: _long(score.custom(r.pillars, CUSTOM))),
     "q_geometric": _run(lambda r: _long(score.geometric(r.pillars))),
-    "q_entropy_weights": _run(lambda r: score.entropy_weights(r.pillars)),
-    "q_entropy": _run(lambda r: _long(score.entropy(r.pillars))),
+    "q_entropy_weights": _run(lambda r: score.entropy_weights(r.pillars).withColumn("w", F.round("w", 8))),
+    "q_entropy": _run(lambda r: _long(r.scores(["entropy"]).withColumnRenamed("entropy", "score"))),
     "q_bod": _run(lambda r: _long(score.bod(r.pillars))),
     "q_bod_tight": _run(lambda r: _long(score.bod_tight(r.pillars))),
     "q_pca": lambda spark, sf_dir: rounded(score.pca(Run.customers(spark, sf_dir).pillars), 6),

@@ -19,8 +19,8 @@ from keelson.sources import panel
 from keelson.sources.tables import kept
 
 
-#: Places of scores by method, 8 if not said: an eigenvector is found by iteration.
-PLACES = {"pca": 6}
+#: Places of scores by method, 8 if not said: an eigenvector is found by iteration, and entropies lose places as they are taken from 1.
+PLACES = {"pca": 6, "entropy": 6}
 _panels: dict[tuple[str, str], DataFrame] = {}
 
 
