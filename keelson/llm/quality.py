@@ -54,7 +54,7 @@ def repeated_words(w: Column) -> Column:
     bits = F.length(F.bin(n)).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     place = F.sequence(F.lit(1), n - 2)
-    packed = F.array_sort(
+    packed = F.sort_array(
         F.transform(place, lambda i: window_hash(w, i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
     )
 
@@ -64,13 +64,13 @@ def repeated_words(w: Column) -> Column:
 
         def same(x: Column, y: Column) -> Column:
             i, j = at(x), at(y)
-            return (code(x) == code(y)) & (w[i - 1] == w[j - 1]) & (w[i] == w[j]) & (w[i + 1] == w[j + 1])
+            return (w[i - 1] == w[j - 1]) & (w[i] == w[j]) & (w[i + 1] == w[j + 1])
 
         def again(x: Column, k: Column) -> Column:
             above, below = F.get(s, k + 1), F.get(s, k - 1)
-            beside = F.coalesce(same(x, above), F.lit(False)) | F.coalesce(same(x, below), F.lit(False))
-            shared = F.coalesce(code(x) == code(above), F.lit(False)) | F.coalesce(code(x) == code(below), F.lit(False))
-            return F.when(beside, True).when(shared, F.exists(s, lambda y: (y != x) & same(x, y))).otherwise(False)
+            up, down = code(x) == code(above), code(x) == code(below)
+            else_ = F.exists(s, lambda y: (y != x) & (code(x) == code(y)) & same(x, y))
+            return F.when(up, F.when(same(x, above), True).otherwise(else_)).when(down, F.when(same(x, below), True).otherwise(else_)).otherwise(False)
 
         twice = F.filter(s, again)
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.sequence(at(x), at(x) + 2)))))
@@ -88,7 +88,7 @@ def statistics(text: Column, w: Column) -> dict[str, Column]:
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_table_lines": F.size(F.filter(lines, lambda x: x.contains(" | "))).cast("long"),
-        "n_shouted": F.regexp_count(body, F.lit("(?<![^ \\t-\\r])[\\p{Lu}]{2,}[^\\p{Ll} \\t-\\r]*(?![^ \\t-\\r])")).cast("long"),
+        "n_shouted": F.regexp_count(body, F.lit("(?=\\p{Lu})(?<![^ \\t-\\r])[\\p{Lu}]{2,}[^\\p{Ll} \\t-\\r]*(?![^ \\t-\\r])")).cast("long"),
         "n_stop_words": F.size(
             F.filter(w, lambda x: F.lower(F.btrim(x, F.lit(".,;:!?\"'()#*$%&"))).isin(sorted({s for v in STOP_WORDS.values() for s in v.split()})))
         ).cast("long"),
