@@ -13,7 +13,7 @@
    its components are the result.
 
 Buckets of more than BLOCK members are dealt out as pairs of blocks, and so are the members that the third step leaves, with
-the others of their cluster (blocks of BLOCK members and BLOCK_BYTES of text): each task holds two blocks at most, and every pair meets in
+the others of their cluster (blocks of CROSS members and BLOCK_BYTES of text): each task holds two blocks at most, and every pair meets in
 one of them. Nothing is capped.
 Sets are compared by 64-bit hashes of their shingles; a link that goes on is confirmed on the shingles themselves.
 """
@@ -43,6 +43,8 @@ BANDS, ROWS = 24, 5
 BATCH = 24
 MISS = 1e-6
 BLOCK, BLOCK_BYTES = 2000, 32 << 20
+#: Members of a cluster that are compared on full sets, in a block.
+CROSS = 500
 QUERY_THRESHOLD = (85, 100)
 _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -365,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.groupBy("id", "sig_text").agg(F.first("text").alias("text")).withColumnsRenamed({"id": "_id", "sig_text": "_sig"})
     members = clusters.join(texts, clusters["id"].eqNullSafe(texts["_id"]) & (clusters["sig_text"] == texts["_sig"]))
     members = materialise(members.select("component", "rep", "n_bytes", "signature", "text"))
-    links = verified_links(members, shingle, threshold, rule, block, block_bytes)
+    links = verified_links(members, shingle, threshold, rule, min(block, CROSS), block_bytes)
     found = components(links).withColumnsRenamed({"node": "rep"})
     label = materialise(classes.select("digest", "rep", "low_id", "n").join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "low_id", "n"))
     lowest = label.groupBy("component").agg(F.min("low_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
