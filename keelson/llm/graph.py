@@ -20,7 +20,7 @@ def with_least(edges: DataFrame, total: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of an edge (a, b) can reach.
+    """(node, component): the smallest node that each node of an edge (a, b) can reach; nodes are of any type that has an order.
 
     Alternates two steps until nothing changes. Each replaces a node's edges to larger
     (then to smaller) neighbours by edges to the smallest neighbour; the number of edges
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e, seen = materialise(e), None
     while True:
-        sums = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") - F.col("b"))).first()
+        sums = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("b", "a").cast("long"))).first()
         if sums == seen or not sums["n"]:
             break
         seen = sums
