@@ -277,17 +277,19 @@ def windows(text: bytes, window: int) -> Iterator[tuple[int, int]]:
 
 
 def fit_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int, chars: int) -> tuple[list[bytes], list[str]]:
-    """About ``rows`` labelled rows, those of the smallest hashes, as many of each language as can be."""
+    """``rows`` labelled rows at most, those of the smallest hashes of identifier and text, as many of each language as can be; repeated rows count once."""
     usable = docs.select(
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l")
     ).where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") <= chars))
-    # Hashes are dealt evenly: of each of 64 parts of a language, four times its share is enough to choose from. Spark keeps
-    # no more of them in each task before they are shuffled.
+    # Copies are one row, whatever their number. Hashes are dealt evenly: of each of 64 parts of a language, four times its
+    # share is enough to choose from. Spark keeps no more of them in each task before they are shuffled.
     nth = lambda *by: F.row_number().over(Window.partitionBy("_l", *by).orderBy("_h"))
-    some = usable.select("_h", "_l", F.pmod("_h", F.lit(64)).alias("_p")).withColumn("_n", nth("_p")).where(F.col("_n") <= rows // 16 + 16)
+    once = usable.select("_h", "_l").distinct().withColumn("_p", F.pmod("_h", F.lit(64)))
+    some = once.withColumn("_n", nth("_p")).where(F.col("_n") <= rows // 16 + 16)
     ranked = some.select("_h", "_l").withColumn("_n", nth()).where(F.col("_n") <= rows)
-    chosen = ranked.orderBy("_n", "_l", "_h").limit(rows).select("_h", "_l").distinct()
-    got = usable.join(F.broadcast(chosen), ["_h", "_l"], "left_semi").limit(2 * rows).collect()  # ``chosen`` has ``rows`` rows at most
+    chosen = ranked.orderBy("_n", "_l", "_h").limit(rows).select("_h", "_l")
+    # ``chosen`` has ``rows`` rows at most, and of each one text comes back.
+    got = usable.join(F.broadcast(chosen), ["_h", "_l"], "left_semi").groupBy("_h", "_l").agg(F.min("_t").alias("_t")).collect()
     got = sorted(got, key=lambda r: (r["_h"], r["_t"], r["_l"]))
     return [r["_t"].encode() for r in got], [r["_l"] for r in got]
 

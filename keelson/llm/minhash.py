@@ -362,9 +362,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = in_blocks(keys, "key", "rep", sizes.select("key", blocks), hot).join(classes.select("rep", "signature"), "rep")
     met = met.select("key", "i", "j", "rep", "signature").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     clusters = components(met.mapInArrow(_candidates(rule), _EDGES)).withColumnRenamed("node", "rep")
-    # Only what is in a cluster needs its text again.
+    # Only what is in a cluster needs its text again: the list of these is written, so that Spark knows its size and can send it to the
+    # texts, or filter them by it before they travel.
     clusters = clusters.join(classes.select("rep", "id", "sig_text", "n_bytes", "signature"), "rep")
-    texts = rows.groupBy("id", "sig_text").agg(F.first("text").alias("text")).withColumnsRenamed({"id": "_id", "sig_text": "_sig"})
+    clusters = materialise(clusters)
+    wanted = clusters.select(F.col("id").alias("_id"), F.col("sig_text").alias("_sig"))
+    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["_id"]) & (rows["sig_text"] == wanted["_sig"]), "left_semi")
+    texts = texts.groupBy("id", "sig_text").agg(F.first("text").alias("text")).withColumnsRenamed({"id": "_id", "sig_text": "_sig"})
     members = clusters.join(texts, clusters["id"].eqNullSafe(texts["_id"]) & (clusters["sig_text"] == texts["_sig"]))
     members = materialise(members.select("component", "rep", "n_bytes", "signature", "text"))
     links = verified_links(members, shingle, threshold, rule, min(block, CROSS), block_bytes)

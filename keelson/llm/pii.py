@@ -36,9 +36,9 @@ KINDS = list(PATTERNS)
 SECRET, FOUND = "secret", "context"
 WORD = r"[^\x20\x09-\x0D]"
 BLANK = r"[\x20\x09-\x0D]"
-#: What stands before an instance in its own word, and what closes it.
+#: What stands before an instance in its own word, and what closes it: an instance ends at its last letter or digit.
 LEAD = r"[^\x20\x09-\x0D0-9@+]*(?:[:=#\"'\[{<]|\((?![0-9+]))"
-TAIL = r"[.,;:!?)\]}>'\"/+(-]+$"
+TAIL = r"[^\p{L}\p{N}]+$"
 #: A word of digits and separators. Repeats of groups are possessive: Java then loops instead of calling itself.
 _NUMBER = rf"[+(]{{0,2}}+[0-9][0-9()./+-]*+(?=[,;:!?'\"\]}}>]*+(?:{BLANK}|$))"
 CANDIDATE = (
@@ -50,7 +50,7 @@ _W, _S, _N = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_+(@]", r"[^\p{L}\p{N}_]"
 #: Longer contexts are held by their digest.
 LONG_CONTEXT = 64
 #: A secret: a long key of letters and digits right behind one of these words and an = or a colon.
-SECRET_NAME = r"(?:token|secret|password|passwd|key|credential)\s*[=:][^\p{L}\p{N}]*$"
+SECRET_NAMES = ("token", "secret", "password", "passwd", "key", "credential")
 SECRET_FORM = r"^(?=.*[0-9].*[0-9].*[0-9].*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]{24,}$"
 MIN_SEEDS = 2
 MIN_CONFIDENCE = 0.7
@@ -218,8 +218,9 @@ def stretches(text: Column) -> Column:
     return F.filter(F.transform(located(text, CANDIDATE, text.rlike("[0-9@]"), around), core), like)
 
 
-def instances(cores: Column, hits: Column) -> Column:
-    """Of ``stretches`` and ``covered``: (start, end, token, covered, secret, l1, patterns)."""
+def instances(cores: Column, hits: Column, names: tuple[str, ...] = SECRET_NAMES) -> Column:
+    """Of ``stretches`` and ``covered``: (start, end, token, covered, secret, l1, patterns). Long keys behind one of ``names`` are secrets."""
+    named = rf"(?:{'|'.join(names)})\s*[=:][^\p{{L}}\p{{N}}]*$"
     shape = lambda c: F.regexp_replace(F.translate(c, "123456789", "000000000"), "[A-Za-z]+", "a")
 
     def forms(token: Column) -> Column:
@@ -238,7 +239,7 @@ def instances(cores: Column, hits: Column) -> Column:
         )
 
     def one(x: Column, hit: Column) -> Column:
-        secret = ~hit & x["l1"].rlike(SECRET_NAME) & x["token"].rlike(SECRET_FORM)
+        secret = ~hit & x["l1"].rlike(named) & x["token"].rlike(SECRET_FORM) if names else F.lit(False)
         pats = bind(forms(x["token"]), lambda fs: F.flatten(F.transform(contexts(x["l1"], x["l2"], x["r1"]), lambda c: F.transform(fs, lambda f: F.concat(c, f)))))
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), F.lower(x["token"]).alias("token"), hit.alias("covered"), secret.alias("secret"),
@@ -248,12 +249,12 @@ def instances(cores: Column, hits: Column) -> Column:
     return bind(cores, lambda cs: bind(hits, lambda hit: F.transform(cs, lambda x, i: one(x, hit[i]))))
 
 
-def described(rows: DataFrame) -> DataFrame:
+def described(rows: DataFrame, names: tuple[str, ...] = SECRET_NAMES) -> DataFrame:
     """Adds to rows with a column _text the arrays base (spans) and inst (instances)."""
     # In steps: an expression of all would be nested deeper than the analyser goes.
     found = rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_cores", stretches(F.col("_text")))
     hits = bind(F.col("_cores"), lambda cs: covered(cs, F.col("base")))
-    return found.withColumn("_hits", hits).withColumn("inst", instances(F.col("_cores"), F.col("_hits"))).drop("_cores", "_hits")
+    return found.withColumn("_hits", hits).withColumn("inst", instances(F.col("_cores"), F.col("_hits"), names)).drop("_cores", "_hits")
 
 
 def specific_words(each: DataFrame, texts: DataFrame) -> DataFrame:
@@ -288,17 +289,18 @@ def confident_patterns(edges: DataFrame) -> DataFrame:
         score = score.unionByName(new)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret_names: tuple[str, ...] = SECRET_NAMES) -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_context, n_spans.
 
-    Counts of kinds and the digest are of base entities; ``spans`` has those, secrets and discovered ones, by start, then kind.
+    ``secret_names`` are the words, in lower case and as patterns, behind which a long key is a secret and so a seed; none leave only base
+    entities as seeds. Counts of kinds and the digest are of base entities; ``spans`` has those, secrets and discovered ones, by start, then kind.
     Null texts count as empty: no spans. Rows that repeat an identifier, or have none, get the result of their own text;
     an empty table gives an empty one; other columns are ignored, whatever their names. Texts may be long: work grows with
     the length, but for a sort of the spans. Of patterns equal in confidence either gives the same result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text, F.col(id_col)).alias("_sig"), text.alias("_text"))
-    seen = materialise(described(rows).select("_id", "_sig", "base", "inst"))
+    seen = materialise(described(rows, secret_names).select("_id", "_sig", "base", "inst"))
     each = seen.where(F.size("inst") > 0).select("_id", "_sig", F.explode("inst").alias("i")).select("_id", "_sig", "i.*")
     marked = each.join(specific_words(each, rows), "l1", "left_semi").withColumn("pattern", F.explode("patterns"))
     edges = materialise(marked.groupBy("pattern", "token").agg(F.max(F.col("covered") | F.col("secret")).alias("seed")))

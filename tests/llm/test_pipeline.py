@@ -1,3 +1,7 @@
+import hashlib
+import math
+from collections import Counter
+
 import corpus_pipeline as c
 from keelson.llm import queries
 from tests.llm.corpus import TEXTS, frame
@@ -65,15 +69,45 @@ def brute_run(rows):
     return {ids[k] for k, (_, _, kept) in brute(list(left.values()), 80, 100).items() if kept}
 
 
+def brute_copies(rows):
+    """How often each of some rows (doc_id, text, source), no two alike, is emitted."""
+    size, total = {i: len((t or "").encode().split()) for i, t, _ in rows}, {}
+    for i, _, s in rows:
+        total[s] = total.get(s, 0) + size[i]
+    order = sorted(s for s in total if s is not None) + [None] * (None in total)
+    w, target, free, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {}, set(order), 1.5 * sum(total.values())
+    while over := {s for s in free if left * w[s] / sum(w[x] for x in free) > 2 * total[s]}:
+        target |= {s: 2.0 * total[s] for s in over}
+        free -= over
+        left = 1.5 * sum(total.values()) - sum(target.values())
+    target |= {s: left * w[s] / sum(w[x] for x in free) for s in free}
+    out = {}
+    for i, t, s in rows:
+        rate = min(2.0, target[s] / total[s]) if total[s] else 0.0
+        coin = int(hashlib.md5(f"mix:{i}:{hashlib.md5((t or '').encode()).hexdigest()}:0".encode()).hexdigest()[:13], 16) / 2**52
+        out[i] = math.floor(rate) + (coin < rate - math.floor(rate))
+    return out
+
+
 def test_run_over_a_small_table(spark, tmp_path):
-    """All stages in a row against brute force; what is left is emitted as often as its source's rate asks for."""
+    """All stages in a row against brute force; what is left is emitted as often as its source's rate and its coin say."""
     rows = [(i, t, "en" if i % 2 else None, ["s1", "s2", None][i % 3], 1) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/a/documents.parquet")
-    out = c.run(spark, f"file://{tmp_path}/a").collect()
-    want = brute_run([(i, t) for i, t, *_ in rows])
-    times = {i: sum(r["doc_id"] == i for r in out) for i in want}
-    assert {r["doc_id"] for r in out} <= want and all(n <= 2 for n in times.values()) and len(times) > 10
-    assert {i for i, n in times.items() if n} >= {i for i in want if rows[i][3] == "s1"} or len({r["doc_id"] for r in out}) > len(want) / 2
+    out = Counter(r["doc_id"] for r in c.run(spark, f"file://{tmp_path}/a").collect())
+    left = brute_run([(i, t) for i, t, *_ in rows])
+    want = brute_copies([(i, t, rows[i][3]) for i, t, *_ in rows if i in left])
+    assert out == Counter({i: n for i, n in want.items() if n}) and sum(out.values()) > len(left)
+
+
+def test_run_with_more_columns_whose_names_clash(spark, tmp_path):
+    """Columns named like those that stages use inside come through untouched."""
+    more = "id long, lang_pred string, _row long, _id string, row string, kept boolean, text_sha256 string, component_id long, copies long, size long, n_tokens string"
+    rows = [(i, t, "en", "s", 1, 1, "x", i, "y", "r", i % 2 == 0, "h", 3, 4, 5, "n") for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+    for name, stage in c.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, "")
+        assert docs.columns == before.columns and docs.count() > 10, name
+    assert {(r["doc_id"], r["_row"], r["_id"], r["row"], r["kept"]) for r in docs.collect()} <= {(r[0], r[7], r[8], r[9], r[10]) for r in rows}
 
 
 def test_run_without_labels_rows_or_identifiers(spark, tmp_path):

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keelson.llm import bpe, langid, pii
 from tests.llm.corpus import TEXTS, frame
@@ -283,3 +285,31 @@ def test_work_on_a_long_text_is_not_quadratic(spark):
     began = time.time()
     rows = pii.find_pii(frame(spark, [text, "x" * 10**6 + " 1" + "2" * 10**6 + " a@b.c"])).collect()
     assert sorted(r["n_email"] for r in rows) == [1, 20000] and time.time() - began < 60
+
+
+def test_copies_leave_other_languages_in_the_sample(spark):
+    """6,000 copies of one row, with one identifier or with many, are one row or few of the sample."""
+    known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    english = known.where("lang = 'en'").first()["text"]
+    plain = Counter(langid.fit_sample(known, "doc_id", "text", "lang", 1200, 20_000)[1])
+    same = spark.range(6000).selectExpr("CAST(5 AS long) AS doc_id").withColumn("text", F.lit(english)).withColumn("lang", F.lit("en"))
+    got = Counter(langid.fit_sample(known.unionByName(same), "doc_id", "text", "lang", 1200, 20_000)[1])
+    assert set(got) == set(plain) and got["en"] <= plain["en"] + 1 and all(got[k] == plain[k] for k in plain if k != "en")
+    many = same.withColumn("doc_id", F.monotonically_increasing_id() + 10**6)
+    got = Counter(langid.fit_sample(known.unionByName(many), "doc_id", "text", "lang", 1200, 20_000)[1])
+    assert all(got[k] == plain[k] for k in plain if k != "en") and sum(got.values()) <= 1200
+
+
+@pytest.mark.parametrize("close", ["###", '"###', "&&", "%%%", "==.", "')", "...", "-_-", "$"])
+def test_instances_end_at_a_letter_or_digit(spark, close):
+    """Punctuation behind an instance, of whatever kind, is no part of its span; so keys keep their kind."""
+    key = "24be90ff01aa47cc8812deadbeef3107ff"
+    texts = [f'token = "{key}{k}ab{close} and more' for k in range(4)] + [f"ticket no AB-{k}{k}77-{k}{close} was filed" for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    for k in range(4):
+        assert rows[k]["spans"] == f"secret:9:{9 + len(key) + 3}" and rows[k]["n_secret"] == 1
+    none = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs, secret_names=()).collect()}
+    assert set(none.values()) == {""}  # nothing is a seed
+    named = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs.selectExpr("doc_id", "replace(text, 'token', 'cookie') AS text"), secret_names=("cookie",)).collect()}
+    assert named[0] == f"secret:10:{10 + len(key) + 3}"
