@@ -18,6 +18,13 @@ from keelson.llm.staging import materialise
 ORACLE_SQL = None
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def of_ids(docs: DataFrame, kept: DataFrame, *also: str) -> DataFrame:
     """The rows of ``docs`` whose doc_id, and columns ``also``, are those of a row of ``kept``; null equals null."""
     ids = kept.select(*[F.col(c).alias(f"_kept_{c}") for c in ("doc_id", *also)])
@@ -33,8 +40,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(langid.fold() != 1))
     if not model.labels:
         return docs.where(langid.has_letter(F.col("text")))
-    said = langid.predict(docs, model, carry=True).where(F.col("lang_pred") != langid.UND).select("row.*", "lang_pred")
-    return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    said = langid.predict(docs, model, carry=True).where(F.col("lang_pred") != langid.UND)
+    row = F.col("row")
+    return said.select(*[F.coalesce(row[c], F.col("lang_pred")).alias(c) if c == "lang" else row[c].alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +50,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The verdict is that of a doc_id and its text, so rows that share a doc_id and differ in text have their own.
     """
-    marked = docs.withColumn("text_sha256", exact_dedup.digest_of(F.col("text")))
-    return of_ids(marked, exact_dedup.content_sort(docs, keep="largest").where("kept"), "text_sha256").select(*docs.columns)
+    digest = free(docs, "text_sha256")
+    kept = exact_dedup.content_sort(docs, keep="largest").where("kept").withColumnRenamed("text_sha256", digest)
+    return of_ids(docs.withColumn(digest, exact_dedup.digest_of(F.col("text"))), kept, digest).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,16 +60,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows get numbers of their own first: a doc_id may repeat or be null.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    said = minhash.near_duplicates(rows, id_col="_row").select("_row", "component_id").join(rows.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
-    kept = said.groupBy("component_id").agg(first.alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    row = free(docs, "_row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+    said = minhash.near_duplicates(rows, id_col=row).select(row, F.col("component_id").alias("_component")).join(rows.select(row, "doc_id"), row)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))[row]
+    kept = said.groupBy("_component").agg(first.alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate asks for; repeats are rows of the same doc_id."""
-    return mixing.emit(docs, mixing.mix(docs))
+    return mixing.emit(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
