@@ -1,19 +1,14 @@
-"""Readers and writers of the tables a run leaves behind, and a retrying reader for series."""
+"""Readers and writers of the tables a run leaves behind."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from keelson.functions.columns import no_nan
 from keelson.schema import RAW, SCORES_CSV
-
-#: Server answers worth another try.
-RETRY_ON = ("502", "504", "524", "timed out", "timeout")
+from keelson.sources.versions import Versions
 
 
 def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -48,14 +43,8 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 
 def freeze(df: DataFrame, path: str) -> DataFrame:
-    """A snapshot that is written once: later calls read the first."""
-    try:
-        return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A snapshot that is written once: later calls read the first. Only a committed one counts, so a write that died is no baseline."""
+    return Versions(df.sparkSession, path).frozen(df).select(*df.columns)
 
 
 def missing_notes(entities: DataFrame, notes: DataFrame, key: str = "entity") -> DataFrame:
@@ -63,40 +52,21 @@ def missing_notes(entities: DataFrame, notes: DataFrame, key: str = "entity") ->
     return entities.join(notes.select(key), key, "left_anti")
 
 
-def with_retries(fetch: Callable[[], list], tries: int = 3, first_wait: float = 15.0, sleep: Callable[[float], None] = time.sleep) -> list:
-    """``fetch()``; again after 15, 30, 60 seconds for server errors that pass."""
-    for n in range(tries + 1):
-        try:
-            return fetch()
-        except Exception as e:  # noqa: BLE001
-            if n == tries or not any(x in str(e).lower() for x in RETRY_ON):
-                raise
-            sleep(first_wait * 2**n)
-    return []
-
-
-def pull(spark: SparkSession, series: DataFrame, fetch: Callable[[str, int, int], list[tuple[str, int, float]]], tries: int = 3, first_wait: float = 15.0) -> tuple[DataFrame, DataFrame]:
-    """Observations and a log from a table of series (variable_name, series_code, y0, y1).
-
-    Each series is fetched by a task; a failure is a row of the log, not of the job.
-    ``fetch(series_code, y0, y1)`` returns (iso3, year, value) rows.
-    """
-    import pandas as pd
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                try:
-                    got = with_retries(lambda r=r: fetch(r.series_code, int(r.y0), int(r.y1)), tries, first_wait)
-                    rows += [(r.variable_name, "OK", "", i, int(y), None if v is None else float(v)) for i, y, v in got] or [(r.variable_name, "EMPTY", "", None, None, None)]
-                except Exception as e:  # noqa: BLE001
-                    rows.append((r.variable_name, "FAILED", str(e)[:200], None, None, None))
-            yield pd.DataFrame(rows, columns=["variable_name", "status", "error", "iso3", "year", "value"]).astype({"year": "Int32", "value": "float64"})
-
-    got = series.repartition("series_code").mapInPandas(run, "variable_name string, status string, error string, iso3 string, year int, value double")
-    got = got.withColumn("value", no_nan("value"))
-    log = got.groupBy("variable_name", "status").agg(
-        F.max("error").alias("error"), F.count("value").alias("n_obs"), F.count_distinct("iso3").alias("n_entities")
-    )
-    return got.where("value IS NOT NULL").select("iso3", "variable_name", "year", "value"), log
+def read_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """JSON lines under a schema; a line that isn't a document of it is a row with nothing but its text in ``corrupt``."""
+    return spark.read.schema(StructType([*schema.fields, StructField("corrupt", StringType())])).option("columnNameOfCorruptRecord", "corrupt").json(path)
+
+
+def write_ordered(df: DataFrame, path: str, *keys: Column | str) -> None:
+    """Rows in order of ``keys``: sampled splitters part them into files whose names are in order, and each file is sorted."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of ``write_ordered`` with ``position``, 1 for the first: the rows of the files before, one number a file, and the place in its own."""
+    rows = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    before, offset = 0, {}
+    for name, n in sorted((r[0], r[1]) for r in rows.groupBy("_file").count().collect()):
+        offset[name], before = before, before + n
+    start = spark.createDataFrame(list(offset.items()), "_file string, _before long")
+    return rows.join(F.broadcast(start), "_file").withColumn("position", F.col("_before") + F.col("_at") + 1).select(*schema.names, "position")

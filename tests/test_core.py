@@ -253,23 +253,3 @@ def test_sources(spark, tmp_path):
     assert files.read_table(spark, f"{tmp_path}/raw.csv", df.schema).collect() == df.collect()
     first = files.freeze(df, f"{tmp_path}/frozen")
     assert files.freeze(df.withColumn("value", F.lit(9.0)), f"{tmp_path}/frozen").collect() == first.collect() == df.collect()
-    calls, waits = [], []
-
-    def flaky():
-        calls.append(1)
-        if len(calls) < 3:
-            raise OSError("502 bad gateway")
-        return [1]
-
-    assert files.with_retries(flaky, sleep=waits.append) == [1] and waits == [15.0, 30.0]
-    with pytest.raises(OSError):
-        files.with_retries(lambda: (_ for _ in ()).throw(OSError("404")), sleep=waits.append)
-    series = spark.createDataFrame([("x", "a.b", 2000, 2001), ("y", "bad", 2000, 2001)], "variable_name string, series_code string, y0 int, y1 int")
-
-    def fetch(code, y0, y1):
-        if code == "bad":
-            raise OSError("404")
-        return [("AAA", y0, 1.0), ("BBB", y1, None)]
-
-    got, log = files.pull(spark, series, fetch, first_wait=0.0)
-    assert got.count() == 1 and {r["variable_name"]: r["status"] for r in log.collect()} == {"x": "OK", "y": "FAILED"}
