@@ -20,6 +20,36 @@ def shown(x, digits: int = 2) -> Column:
     return F.round(F.round(_c(x), 9), digits)
 
 
+def _twice_exact(x: Column, s: float) -> tuple[Column, Column]:
+    """x * s as the nearest double and what it lacks, exactly: both factors are split into halves of 26 bits."""
+    def halves(v: Column) -> tuple[Column, Column]:
+        big = v * 134217729.0
+        high = big - (big - v)
+        return high, v - high
+
+    (xh, xl), (sh, sl), p = halves(x), halves(F.lit(s)), x * s
+    return p, ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+
+
+def round_even(x, digits: int) -> Column:
+    """Rounded to 0 to 15 places as the exact binary value is, halves to the even digit.
+
+    2.675 is a little less than it looks and becomes 2.67; 0.125 is exact and becomes 0.12. ``F.round`` rounds the shortest
+    decimal of a double, and halves away from 0. NULL, NaN, infinities and values without such places stay as they are.
+    """
+    x, scale = _c(x).cast("double"), float(10**digits)
+    p, rest = _twice_exact(F.abs(x), scale)
+    low = F.floor(p).cast("double")
+    d = p - low
+    odd = low % 2 == 1
+    up = (d > 0.5) | ((d == 0.5) & ((rest > 0) | ((rest == 0) & odd)))
+    # From 2^52 on p is whole and its rest may be a half; from 2^53 on a double has no such places.
+    up, down = up | ((d == 0) & (rest == 0.5) & odd), (d == 0) & (rest == -0.5) & odd
+    out = (low + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / scale
+    whole = F.isnan(x) | (p >= float(1 << 53))
+    return F.when(x.isNull() | whole, x).when(x < 0, -out).otherwise(out)
+
+
 def log1p_clipped(x) -> Column:
     """ln(1 + x) with negatives clipped to 0; NULL stays NULL."""
     x = _c(x)
@@ -32,6 +62,14 @@ def clipped(x, low, high) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, _c(low)), _c(high)))
 
 
+def correlation(a, b) -> Column:
+    """An aggregate: the correlation of two columns over the rows that have both; NULL where one of them doesn't vary, for which ``F.corr`` stops the query."""
+    a, b = _c(a), _c(b)
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def ratio(top, bottom, per: float = 1000.0) -> Column:
     """top / bottom * per; NULL unless the bottom is above 0."""
     return F.when(_c(bottom) > 0, _c(top) / _c(bottom) * per)
@@ -104,18 +142,20 @@ def confidence_half(pct_filled) -> Column:
 def tiered_number(x, table: bool = False) -> Column:
     """A number as text, with fewer decimals the larger it is; in tables one more between 1 and 100.
 
-    Below a thousandth: four significant digits without closing zeros, as a power of ten below a ten-thousandth.
+    Below a thousandth: four significant digits without closing zeros, as a power of ten below a ten-thousandth. Digits are those of
+    the exact binary value, halves to the even digit.
     """
     x = _c(x)
     a = F.abs(x)
-    small = F.regexp_replace(F.format_string("%.7f", F.round(x, 7)), "\\.?0+$", "")
+    of = lambda places: F.format_string(f"%.{places}f", round_even(x, places))
+    small = F.regexp_replace(of(7), "\\.?0+$", "")
     power = F.regexp_replace(F.format_string("%.3e", x), "\\.?0+e", "e")
     return (
         F.when(x.isNull(), None)
-        .when(a >= 10000, F.format_number(x, 0))
-        .when(a >= 100, F.format_number(x, 1))
-        .when(a >= 1, F.format_string("%.3f" if table else "%.2f", x))
-        .when(a >= 0.001, F.format_string("%.4f", x))
+        .when(a >= 10000, F.format_number(round_even(x, 0), 0))
+        .when(a >= 100, F.format_number(round_even(x, 1), 1))
+        .when(a >= 1, of(3 if table else 2))
+        .when(a >= 0.001, of(4))
         .when(a >= 0.0001, small)
         .when(a > 0, power)
         .otherwise("0")

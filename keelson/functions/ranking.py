@@ -2,7 +2,8 @@
 
 Groups of up to WINDOW_ROWS rows are ranked by a plain window. Larger ones are reduced to their distinct values with counts;
 approximate quantiles cut these into buckets, a window counts inside each bucket, the sizes of the buckets before it are
-added, and ranks are joined back by value. Results are the same either way.
+added, and ranks are joined back by value. Where every row has a place of its own, rows are sorted by sampled splitters
+and numbered where they lie. Results are the same either way.
 """
 
 from __future__ import annotations
@@ -43,27 +44,53 @@ def counted(values: DataFrame, by: str, within: list[str], then: list[str], wind
 
 
 def _by_values(df: DataFrame, by: str, out: str, within: list[str], ties: str, window_rows: int) -> DataFrame:
-    then = [] if ties in ("min", "average") else [ties]
-    cols = [*within, by, *then]
+    cols = [*within, by]
     values = kept(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
     place = F.col("before") + ((F.col("n") + 1) / 2.0 if ties == "average" else F.lit(1))
     # A struct is equal to another with the same NULLs, so one column is the key.
     key = F.struct(*cols).alias("_key")
-    ranks = counted(values, by, within, then, window_rows).select(key, place.cast("double" if ties == "average" else "int").alias(out))
+    ranks = counted(values, by, within, [], window_rows).select(key, place.cast("double" if ties == "average" else "int").alias(out))
     large = skew.large_keys(values.select(key, "n"), ["_key"], df.count())
     return skew.join(df.withColumn("_key", key), ranks, ["_key"], large).drop("_key")
 
 
+def numbered(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Adds ``_number``, 0, 1, ... in the order of ``keys``, without a task that has all rows.
+
+    Sampled splitters part the rows and each part is sorted; then a part needs the number of rows before it, one number a part.
+    """
+    sorted_ = kept(df.withColumn("_any", F.monotonically_increasing_id()).orderBy(*keys, "_any").drop("_any").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before, offset = 0, {}
+    for p, n in sorted((r[0], r[1]) for r in sorted_.groupBy(part.alias("p")).count().collect()):
+        offset[p], before = before, before + n
+    start = df.sparkSession.createDataFrame(list(offset.items()), "_part long, _before long")
+    both = sorted_.withColumn("_part", part).join(F.broadcast(start), "_part")
+    return both.withColumn("_number", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at")
+
+
+def _by_position(df: DataFrame, by: str, out: str, within: list[str], tie: str) -> DataFrame:
+    """A row's own place: its number in the order of all rows, less that of the first of its group."""
+    rows = kept(numbered(df, *within, F.col(by).desc_nulls_last(), tie))
+    if not within:
+        return rows.withColumn(out, (F.col("_number") + 1).cast("int")).drop("_number")
+    key = F.struct(*within).alias("_key")
+    first = kept(rows.groupBy(key).agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("n")))
+    both = skew.join(rows.withColumn("_key", key), first.drop("n"), ["_key"], skew.large_keys(first, ["_key"], df.count()))
+    return both.withColumn(out, (F.col("_number") - F.col("_first") + 1).cast("int")).drop("_key", "_number", "_first")
+
+
 def ranks_desc(df: DataFrame, outs: dict[str, str], within: list[str] | None = None, ties: str = "min", window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Adds ranks {name: column}, largest first, NULL after all values, inside each group of the columns ``within``.
 
-    ``ties``: "min" (competition rank; all NULLs share n + 1), "average", or the name of a column that
-    breaks ties (a row number; rows equal in both share one in groups above ``window_rows``).
+    ``ties``: "min" (competition rank; all NULLs share n + 1), "average", or the name of a column that breaks ties: every
+    row has a number of its own, also of rows that are equal in both. ``window_rows`` chooses the plan and nothing else.
+    The input is written and its groups are counted while the plan is made.
     """
     within, df = within or [], kept(df)
     if _largest(df, within) > window_rows:
         for out, by in outs.items():
-            df = _by_values(df, by, out, within, ties, window_rows)
+            df = _by_values(df, by, out, within, ties, window_rows) if ties in ("min", "average") else _by_position(df, by, out, within, ties)
         return df
     group = Window.partitionBy(*within)
     for out, by in outs.items():

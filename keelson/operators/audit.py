@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.columns import log1p_clipped, min_max, tolerance_status
+from keelson.functions.ranking import rank_desc
+from keelson.operators import score
 from keelson.schema import DEFAULT, Params
+from keelson.sources.tables import kept
 
 
 def compared(section: str, stored: DataFrame, again: DataFrame, keys: list[str], value: str, tol: float) -> DataFrame:
@@ -18,7 +21,7 @@ def compared(section: str, stored: DataFrame, again: DataFrame, keys: list[str],
     j = a.join(b, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "full_outer")
     one_sided = F.col("_in_a").isNull() | F.col("_in_b").isNull() | (F.col("_a").isNull() != F.col("_b").isNull())
     d = F.abs(F.col("_a") - F.col("_b"))
-    s = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(one_sided).alias("n_missing"), F.count_if(d > tol).alias("n_off"), F.coalesce(F.max(d), F.lit(0.0)).alias("max_diff"))
+    s = j.agg(F.count(F.lit(1)).alias("n"), F.count_if(one_sided).alias("n_missing"), F.count_if(d > tol).alias("n_off"), F.round(F.coalesce(F.max(d), F.lit(0.0)), 6).alias("max_diff"))
     status = F.when(F.col("n_missing") > 0, "FAIL").otherwise(tolerance_status("max_diff", tol, 10 * tol))
     return s.select(F.lit(section).alias("section"), "n", "n_missing", "n_off", "max_diff", status.alias("status"))
 
@@ -96,14 +99,75 @@ def spot_checks(obs: DataFrame, checks: list[tuple]) -> DataFrame:
     return c.join(got, keys, "left").withColumn("status", F.when(F.col("value").isNull(), "MISSING").when(ok, "PASS").otherwise("FAIL"))
 
 
-def pull_log(obs: DataFrame, registry: DataFrame) -> DataFrame:
-    """(variable_name, status, n_obs, n_entities): OK or EMPTY for every registered indicator."""
-    n = obs.groupBy("variable_name").agg(F.count("value").alias("n_obs"), F.count_distinct("entity").alias("n_entities"))
-    x = registry.select("variable_name").join(n, "variable_name", "left")
-    return x.select("variable_name", F.when(F.col("n_obs") > 0, "OK").otherwise("EMPTY").alias("status"), F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
+#: Tolerances of a stored document: two decimals, one decimal of bands, whole numbers.
+SHOWN, BAND, EXACT = 0.005 + 1e-6, 0.05 + 1e-6, 1e-9
 
 
-def pull_summary(log: DataFrame) -> DataFrame:
-    """Counts of a pull log by status."""
-    status = lambda s: F.count_if(F.col("status") == s)
-    return log.agg(F.count(F.lit(1)).alias("n"), status("OK").alias("n_ok"), status("EMPTY").alias("n_empty"), status("FAILED").alias("n_failed"), F.sum("n_obs").alias("n_obs"))
+def _named(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(entity, what, value): a row for each named number of an entity."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("what"), v.cast("double").alias("value")) for k, v in values.items()])
+    return df.select("entity", F.explode(pairs).alias("x")).select("entity", "x.*")
+
+
+def stored_numbers(docs: DataFrame, methods: list[str]) -> dict[str, DataFrame]:
+    """The numbers of documents as (entity, what, value), by section."""
+    entries = lambda c, v: docs.select("entity", F.explode(c).alias("what", "x")).select("entity", "what", v.cast("double").alias("value"))
+    return {
+        "scores": _named(docs, {m: F.col(f"scores.{m}") for m in methods}),
+        "ranks": _named(docs, {m: F.col(f"ranks.{m}") for m in methods}),
+        "pillars": entries("pillars", F.col("x")),
+        "indicators": entries("indicators", F.col("x.score")),
+        "quality": _named(docs, {"n_filled": F.col("data_quality.n_filled")}),
+        "bands": _named(docs.where("band IS NOT NULL"), {k: F.col(f"band.{k}") for k in ("low", "high")}),
+        "peers": _named(docs.where("peers IS NOT NULL"), {k: F.col(f"peers.{k}") for k in ("peer_rank", "n_peers")}),
+    }
+
+
+def recomputed_numbers(pillars: DataFrame, norm: DataFrame, fill_log: DataFrame, entities: DataFrame, scores: DataFrame, n_indicators: int, methods: list[str], p: Params = DEFAULT) -> dict[str, DataFrame]:
+    """The same numbers from the tables, where there is one by another way than they were made: means and roots from pillars side by
+    side, benefit of the doubt by its dual, bands and peers from their definitions."""
+    side = score.wide(pillars, p)
+    mean = lambda have: F.aggregate(have, F.lit(0.0), lambda a, x: a + x) / F.size(have)
+    root = lambda have: F.pow(F.aggregate(have, F.lit(1.0), lambda a, x: a * F.greatest(x, F.lit(p.floor))), 1 / F.size(have))
+    other = {"equal": lambda: _of_wide(side, mean, p), "geometric": lambda: _of_wide(side, root, p), "bod": lambda: score.bod_dual(pillars, p)}
+    again = scores.select("entity", *[m for m in methods if m not in other])
+    for m in methods:
+        if m in other:
+            again = again.join(other[m]().withColumnRenamed("score", m), "entity", "left")
+    filled = entities.select("entity").join(fill_log.groupBy("entity").agg(F.count_distinct("variable_name").alias("n_filled")), "entity", "left").fillna(0, ["n_filled"])
+    half = 2 + 26.7 * F.col("n_filled") / n_indicators
+    at = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+    of = scores.select("entity", F.col(methods[0]).alias("s")).where("s IS NOT NULL").join(entities.select("entity", "grp"), "entity")
+    n = kept(of.groupBy("grp").agg(F.count(F.lit(1)).alias("n_peers")))
+    peers = rank_desc(of, "s", "peer_rank", ["grp"], "entity").join(n, "grp")
+    return {
+        "scores": _named(again, {m: F.col(m) for m in methods}),
+        "ranks": _named(score.ranked(scores, methods), {m: F.col(f"{m}_rank") for m in methods}),
+        "pillars": pillars.where("score IS NOT NULL").select("entity", F.col("pillar").alias("what"), F.col("score").alias("value")),
+        "indicators": norm.select("entity", F.col("variable_name").alias("what"), F.col("norm_score").alias("value")),
+        "quality": _named(filled, {"n_filled": F.col("n_filled")}),
+        "bands": _named(of.join(filled, "entity"), {"low": at(F.col("s") - half), "high": at(F.col("s") + half)}),
+        "peers": _named(peers, {"peer_rank": F.col("peer_rank"), "n_peers": F.col("n_peers")}),
+    }
+
+
+def of_documents(docs: DataFrame, again: dict[str, DataFrame], methods: list[str]) -> DataFrame:
+    """(section, n, n_missing, n_off, max_diff, status) of documents as ``read_documents`` gives them, against numbers from the tables.
+
+    What is missing on either side fails, and so does a line that is no document (section "documents").
+    """
+    whole = docs.where("corrupt IS NULL AND entity IS NOT NULL")
+    tol = {"scores": SHOWN, "pillars": SHOWN, "indicators": SHOWN, "bands": BAND}
+    parts = [compared(k, x, again[k], ["entity", "what"], "value", tol.get(k, EXACT)) for k, x in stored_numbers(whole, methods).items()]
+    bad = F.count_if(F.col("corrupt").isNotNull() | F.col("entity").isNull())
+    lines = docs.agg(F.count(F.lit(1)).alias("n"), bad.alias("n_missing"))
+    lines = lines.select(F.lit("documents").alias("section"), "n", "n_missing", F.lit(0).cast("long").alias("n_off"), F.lit(0.0).alias("max_diff"), F.when(F.col("n_missing") > 0, "FAIL").otherwise("PASS").alias("status"))
+    return reduce(DataFrame.unionByName, [*parts, lines])
+
+
+def report_document(sections: DataFrame) -> DataFrame:
+    """(document): an audit as one JSON text, counts by status first, then each section with its numbers; one row a section is gathered."""
+    row = F.struct("section", "n", "n_missing", "n_off", "max_diff", "status")
+    n = lambda s: F.count_if(F.col("status") == s)
+    a = sections.agg(n("PASS").alias("n_pass"), n("WARN").alias("n_warn"), n("FAIL").alias("n_fail"), F.array_sort(F.collect_list(row)).alias("sections"))
+    return a.select(F.to_json(F.struct("n_pass", "n_warn", "n_fail", "sections")).alias("document"))

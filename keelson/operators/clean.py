@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keelson.functions.columns import clipped, coverage_flag, ratio
 from keelson.functions.ranking import quantiles
 from keelson.schema import DEFAULT, Params
+from keelson.sources.tables import kept
 
 
 def windowed(obs: DataFrame, registry: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -62,8 +63,12 @@ def grid(entities: DataFrame, registry: DataFrame, values: DataFrame) -> DataFra
 
 
 def regional_fill(cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Gaps take the mean of their group, where at least ``min_peers`` members have a value. Adds ``regional``."""
+    """Gaps take the mean of their group, where at least ``min_peers`` members have a value. Adds ``regional``.
+
+    The means, a row for each indicator and group, are written first: Spark then knows their size, and cells don't travel to meet them.
+    """
     mean = cells.groupBy("variable_name", "grp").agg(F.avg("value").alias("_m"), F.count("value").alias("_n")).where(F.col("_n") >= p.min_peers)
+    mean = kept(mean)
     filled = cells.join(mean, ["variable_name", "grp"], "left")
     hit = F.col("value").isNull() & F.col("_m").isNotNull()
     return filled.withColumn("regional", hit).withColumn("value", F.coalesce("value", "_m")).drop("_m", "_n")

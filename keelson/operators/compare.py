@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.columns import side_status, tolerance_status
+from keelson.functions.ranking import ranks_desc
 
 
 def outer(left: DataFrame, right: DataFrame, keys: list[str], value: str = "value", tol: float = 1e-9) -> DataFrame:
@@ -48,3 +49,21 @@ def rank_flips(a: DataFrame, b: DataFrame, rank: str, key: str = "entity") -> Da
     """How many entities two runs rank differently."""
     j = a.select(key, F.col(rank).alias("_a")).join(b.select(key, F.col(rank).alias("_b")), key)
     return j.agg(F.count_if(F.col("_a") != F.col("_b")).alias("n_flips"), F.count(F.lit(1)).alias("n"))
+
+
+def solvers(first: DataFrame, second: DataFrame, digits: int = 8) -> DataFrame:
+    """(entity, first, second, gap, first_rank, second_rank, flipped): scores of two solvers of one problem, and whether their ranks part.
+
+    ``gap`` is how far the second is above the first: of a primal and a dual, the first's distance from the optimum. Ranks are of
+    scores to ``digits`` places, as ranks are elsewhere; equal ones share a rank.
+    """
+    both = first.select("entity", F.col("score").alias("first")).join(second.select("entity", F.col("score").alias("second")), "entity")
+    x = ranks_desc(both.select("*", F.round("first", digits).alias("_a"), F.round("second", digits).alias("_b")), {"first_rank": "_a", "second_rank": "_b"})
+    return x.select("entity", "first", "second", (F.col("second") - F.col("first")).alias("gap"), "first_rank", "second_rank", (F.col("first_rank") != F.col("second_rank")).alias("flipped"))
+
+
+def solver_summary(compared: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """(n, n_flips, n_off, max_gap, status): FAIL where a gap is above ``tol`` either way."""
+    gap = F.abs("gap")
+    s = compared.agg(F.count(F.lit(1)).alias("n"), F.count_if("flipped").alias("n_flips"), F.count_if(gap > tol).alias("n_off"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_gap"))
+    return s.withColumn("status", F.when(F.col("n_off") > 0, "FAIL").when(F.col("n_flips") > 0, "WARN").otherwise("PASS"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.ranking import rank_desc
+from keelson.operators.serve import documents
 from keelson.schema import DEFAULT, Params
+from keelson.sources.files import read_ordered, write_ordered
 
 
 def label(name: str | Column, default: str | Column) -> Column:
@@ -74,9 +76,11 @@ def scores_file(ranks: DataFrame, wide: DataFrame, methods: list[str], p: Params
     return ranks.select("entity", *methods, *[f"{m}_rank" for m in methods]).join(wide.select("entity", *p.pillars), "entity", "left")
 
 
-def sorted_bundle(nested: DataFrame) -> DataFrame:
-    """Documents in order: best score first, a missing one counts as 0."""
-    return nested.orderBy(F.col("sort_key").desc(), "entity")
+def sorted_bundle(nested: DataFrame, path: str) -> DataFrame:
+    """Documents written in order, best score first and a missing one as 0, equal ones by entity; read back with their position."""
+    docs = documents(nested.drop("sort_key")).join(nested.select("entity", "sort_key"), "entity").select((-F.col("sort_key")).alias("down"), "entity", "document")
+    write_ordered(docs, path, "down", "entity")
+    return read_ordered(docs.sparkSession, path, docs.schema).select("position", "entity", (-F.col("down")).alias("score"), "document")
 
 
 def overlap(ranks: DataFrame, top: list, bottom: list, method: str = "equal", n: int = 10) -> DataFrame:
@@ -117,15 +121,18 @@ def map_rows(ranks: DataFrame, entities: DataFrame, regions: DataFrame, light: C
     )
 
 
-def sources_table(registry: DataFrame) -> DataFrame:
-    """Where each indicator comes from, with its years and pillars as text."""
-    return registry.select("variable_name", "display_name", "source", "database", F.array_join("pillars", ", ").alias("pillars"), F.concat_ws("-", "year_start", "year_end").alias("years"))
+def sources_table(registry: DataFrame, obs: DataFrame) -> DataFrame:
+    """Where each indicator comes from: its years and pillars as text, and what the source gave: observations, entities, years."""
+    got = obs.where("value IS NOT NULL").groupBy("variable_name").agg(F.count(F.lit(1)).alias("n_obs"), F.count_distinct("entity").alias("n_entities"), F.concat_ws("-", F.min("year"), F.max("year")).alias("observed"))
+    shown = registry.select("variable_name", "display_name", "source", "database", F.array_join("pillars", ", ").alias("pillars"), F.concat_ws("-", "year_start", "year_end").alias("years"))
+    return shown.join(got, "variable_name", "left").fillna(0, ["n_obs", "n_entities"]).fillna("", ["observed"])
 
 
-def share_by(registry: DataFrame, column: str) -> DataFrame:
-    """(column, n, share) of scoring indicators."""
-    n = registry.where("role = 'scoring'").groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("_all")))).select(column, "n", (F.col("n") / F.col("_all")).alias("share"))
+def origins(cells: DataFrame) -> DataFrame:
+    """(variable_name, origin, n, share): how many cells of an indicator were observed in its years, extended from the years before, filled from the group, or are missing."""
+    origin = F.when(F.col("value").isNull(), "missing").when(F.col("regional"), "group").when(F.col("fill_year").isNotNull(), "extended").otherwise("observed")
+    n = cells.groupBy("variable_name", origin.alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("variable_name")))  # four rows an indicator
 
 
 def weight_maps(weights: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.functions.columns import confidence_half, rank_range_verdict, rho_verdict, shift_verdict, shown
+from keelson.functions.columns import confidence_half, correlation, rank_range_verdict, rho_verdict, shift_verdict, shown
 from keelson.functions.ranking import rank_desc, ranks_desc
 from keelson.operators import score
 from keelson.operators.diagnose import spearman
 from keelson.schema import DEFAULT, Params
+from keelson.sources.tables import kept
 
 
 def rank_correlations(ranks: DataFrame, methods: list[str]) -> DataFrame:
@@ -53,7 +54,7 @@ def max_shift(pillars: DataFrame, p: Params = DEFAULT, vectors: list[list[float]
     each = x.join(base, "entity").crossJoin(F.broadcast(w)).select("weight_id", "entity", "base_rank", F.round(F.try_divide(top, have), 9).alias("s"))
     r = rank_desc(each.where("s IS NOT NULL"), "s", "r", ["weight_id"], "average")
     d = F.abs(F.col("r") - F.col("base_rank"))
-    return r.groupBy("weight_id").agg(F.corr("r", "base_rank").alias("rho"), F.avg(d).alias("mean_shift"), F.max(d).alias("max_shift"))
+    return r.groupBy("weight_id").agg(correlation("r", "base_rank").alias("rho"), F.avg(d).alias("mean_shift"), F.max(d).alias("max_shift"))
 
 
 def worst_weights(shifts: DataFrame) -> DataFrame:
@@ -101,5 +102,5 @@ def peers(scores: DataFrame, entities: DataFrame, method: str = "equal") -> Data
     """Place in the group by score, 1 first; equal scores in order of the entity."""
     x = scores.join(entities.select("entity", "grp"), "entity").where(F.col(method).isNotNull())
     out = rank_desc(x, method, "peer_rank", ["grp"], "entity")
-    n = x.groupBy("grp").agg(F.count(F.lit(1)).alias("n_peers"))
+    n = kept(x.groupBy("grp").agg(F.count(F.lit(1)).alias("n_peers")))  # of known size: Spark sends it to the rows
     return out.join(n, "grp").select("entity", "grp", method, "peer_rank", "n_peers")

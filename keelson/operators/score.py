@@ -11,13 +11,13 @@ import warnings
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.columns import shown
+from keelson.functions.columns import correlation, shown
 from keelson.functions.ranking import ranks_desc
 from keelson.schema import DEFAULT, Params
+from keelson.sources.tables import kept
 
 
 def pillar_scores(norm: DataFrame, registry: DataFrame) -> DataFrame:
@@ -51,11 +51,9 @@ def custom(pillars: DataFrame, weights: dict[str, float], p: Params = DEFAULT) -
 
 
 def geometric(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    return pillars.groupBy("entity").agg(F.exp(F.avg(F.ln(F.greatest("score", F.lit(p.floor))))).alias("score")) if p.floor <= 0 else (
-        pillars.groupBy("entity").agg(
-            F.exp(F.avg(F.when(F.col("score").isNotNull(), F.ln(F.greatest(F.col("score"), F.lit(p.floor)))))).alias("score")
-        )
-    )
+    """The geometric mean of the pillars there are; scores below the floor count as the floor."""
+    log = F.when(F.col("score").isNotNull(), F.ln(F.greatest(F.col("score"), F.lit(p.floor))))
+    return pillars.groupBy("entity").agg(F.exp(F.avg(log)).alias("score"))
 
 
 def poured(scores: Column, n: Column, low: float, high: float) -> Column:
@@ -85,6 +83,19 @@ def bod_tight(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return g.select("entity", F.when(F.col("n") > 0, poured(F.concat("s", pad), n, p.tight_min, p.tight_max)).alias("score"))
 
 
+def bod_dual(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(entity, score): benefit of the doubt by its dual, a second way that shares nothing with ``bod``.
+
+    Weights within [low, high] that sum to 1 reach at most level + the sum of high * (s - level) over scores above a level and of
+    low * (s - level) over those below, whatever the level; the least such bound is what they reach. It is convex in the level with corners at
+    the scores, so the least over the scores is exact, and any difference from ``bod`` is a gap of optimality.
+    """
+    g = pillars.groupBy("entity").agg(F.collect_list("score").alias("s"), F.count("score").alias("n"), F.avg("score").alias("mean"))
+    pull = lambda level: lambda acc, x: acc + F.when(x > level, p.weight_max).otherwise(p.weight_min) * (x - level)
+    bound = F.array_min(F.transform("s", lambda level: F.aggregate("s", level, pull(level))))
+    return g.select("entity", F.when(F.col("n") * p.weight_max < 1 - 1e-9, F.col("mean")).otherwise(bound).alias("score"))
+
+
 def entropy_weights(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """(pillar, w): more weight where scores differ more; equal weights where none do. Missing scores count as the pillar's mean."""
     base = pillars.groupBy("pillar").agg(F.avg("score").alias("_m"), F.min("score").alias("_lo"), F.count(F.lit(1)).alias("_n"))
@@ -107,36 +118,93 @@ def entropy(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return both.groupBy("entity").agg(F.try_divide(F.sum(w * F.col("score")), F.sum(w)).alias("score"))
 
 
-def pca_weights(pillars: DataFrame, p: Params = DEFAULT) -> tuple[dict[str, float], float]:
-    """Weights from the first component of the complete rows' correlations, and the gap to the second.
+def correlation_matrix(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(n, m): complete rows and the correlations of pillars over them, row by row in one array; one row, from one aggregate.
 
-    One aggregate gives the correlation matrix; only that (a number for each pair of pillars) reaches the driver.
+    A pillar that doesn't vary correlates with none. ``m`` is NULL below two complete rows.
     """
     cols = list(p.pillars)
     full = wide(pillars, p).dropna(subset=cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    got = full.agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs]).first()
-    if got["n"] < 2:
+    pairs = {(a, b): f"{a}_{b}" for i, a in enumerate(cols) for b in cols[i + 1 :]}
+    got = full.agg(F.count(F.lit(1)).alias("n"), *[correlation(a, b).alias(c) for (a, b), c in pairs.items()])
+    known = lambda c: F.when(F.col(c).isNull() | F.isnan(c), 0.0).otherwise(F.col(c))
+    cells = [F.lit(1.0) if a == b else known(pairs.get((a, b)) or pairs[b, a]) for a in cols for b in cols]
+    return got.select("n", F.when(F.col("n") >= 2, F.array(*cells)).alias("m"))
+
+
+def rotated(m: Column, k: int, sweeps: int = 12) -> Column:
+    """Struct (m, v) of a symmetric k x k matrix in one array: Jacobi rotations until it is diagonal, and their product."""
+    at = lambda a, i, j: F.get(a, i * k + j)
+    places = F.sequence(F.lit(0), F.lit(k * k - 1))
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+
+    def turn(a: Column, x: Column, r: Column, rows: bool) -> Column:
+        """Columns p and q (or rows) of ``a`` turned into each other."""
+        def cell(c: Column) -> Column:
+            i, j = (c / k).cast("int"), c % k
+            here, p, q = (i if rows else j), x["p"], x["q"]
+            get = lambda w: at(a, w, j) if rows else at(a, i, w)
+            return F.when(here == p, r["c"] * get(p) - r["s"] * get(q)).when(here == q, r["s"] * get(p) + r["c"] * get(q)).otherwise(at(a, i, j))
+
+        return F.transform(places, cell)
+
+    def step(acc: Column, x: Column) -> Column:
+        a, off = acc["m"], at(acc["m"], x["p"], x["q"])
+        tau = (at(a, x["q"], x["q"]) - at(a, x["p"], x["p"])) / (2 * off)
+        t = F.when(F.abs(off) < 1e-300, 0.0).otherwise(F.when(tau >= 0, 1.0).otherwise(-1.0) / (F.abs(tau) + F.sqrt(1 + tau * tau)))
+        of = lambda t: F.struct((1 / F.sqrt(1 + t * t)).alias("c"), (t / F.sqrt(1 + t * t)).alias("s"))
+        turned = lambda r: F.struct(once(turn(a, x, r, False), lambda b: turn(b, x, r, True)).alias("m"), turn(acc["v"], x, r, False).alias("v"))
+        return once(once(t, of), turned)
+
+    pairs = [F.struct(F.lit(i).alias("p"), F.lit(j).alias("q")) for i in range(k) for j in range(i + 1, k)]
+    unit = F.array(*[F.lit(1.0 if i == j else 0.0) for i in range(k) for j in range(k)])
+    todo = F.flatten(F.array_repeat(F.array(*pairs), sweeps))
+    return F.aggregate(todo, F.struct(m.alias("m"), unit.alias("v")), step)
+
+
+def eigen(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(component, eigenvalue, gap, share, loadings, n): principal components of the pillars' correlations, the largest first.
+
+    ``gap`` is how far the next eigenvalue is below, ``loadings`` has a number for each pillar and is turned so that no
+    more than half are negative. Nothing goes through the driver: one aggregate, then an expression over one row. NULLs where there are not two complete rows.
+    """
+    k = len(p.pillars)
+    m = correlation_matrix(pillars, p).withColumn("_r", rotated(F.col("m"), k))
+    places = F.sequence(F.lit(0), F.lit(k - 1))
+    each = F.transform(places, lambda j: F.struct(F.get("_r.m", j * k + j).alias("eigenvalue"), F.transform(places, lambda i: F.get(F.col("_r.v"), i * k + j)).alias("v")))
+    down = F.reverse(F.array_sort(F.when(F.col("m").isNotNull(), each)))
+    rows = m.select("n", F.coalesce(down, F.array(F.struct(F.lit(None).cast("double").alias("eigenvalue"), F.lit(None).cast("array<double>").alias("v")))).alias("c"))
+    out = rows.select("n", "c", F.posexplode("c").alias("i", "x"))
+    negative = F.size(F.filter("x.v", lambda v: v < 0)) > k / 2
+    loadings = F.when(negative, F.transform("x.v", lambda v: -v)).otherwise(F.col("x.v"))
+    return out.select((F.col("i") + 1).alias("component"), "x.eigenvalue", (F.col("x.eigenvalue") - F.get("c", F.col("i") + 1)["eigenvalue"]).alias("gap"), (F.col("x.eigenvalue") / k).alias("share"), loadings.alias("loadings"), "n")
+
+
+def pca_table(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(pillar, w, gap): weights from the first component's loadings, those below 0 as 0; equal ones where all are. A row a pillar."""
+    first = eigen(pillars, p).where("component = 1 AND eigenvalue IS NOT NULL")
+    load = first.select("gap", F.transform("loadings", lambda x: F.greatest(x, F.lit(0.0))).alias("l"))
+    total = F.aggregate("l", F.lit(0.0), lambda a, x: a + x)
+    w = F.when(total >= p.floor, F.transform("l", lambda x: x / total)).otherwise(F.array_repeat(F.lit(1 / len(p.pillars)), len(p.pillars)))
+    names = F.array(*[F.lit(x) for x in p.pillars])
+    return load.select("gap", F.posexplode(w).alias("i", "w")).select(F.get(names, F.col("i")).alias("pillar"), "w", "gap")
+
+
+def pca_weights(pillars: DataFrame, p: Params = DEFAULT) -> tuple[dict[str, float], float]:
+    """The rows of ``pca_table`` as a map, and the gap: for a caller on the driver, with a warning where the gap is small."""
+    rows = pca_table(pillars, p).collect()
+    if not rows:
         raise ValueError("no complete rows")
-    m = np.eye(len(cols))
-    for a, b in pairs:
-        v = got[f"{a}_{b}"]
-        m[cols.index(a), cols.index(b)] = m[cols.index(b), cols.index(a)] = 0.0 if v is None or v != v else v
-    values, vectors = np.linalg.eigh(m)
-    load = vectors[:, -1]
-    if (load < 0).sum() > len(load) / 2:
-        load = -load
-    load = np.maximum(load, 0)
-    w = load / load.sum() if load.sum() >= p.floor else np.full(len(cols), 1 / len(cols))
-    gap = float(values[-1] - values[-2])
-    if gap < p.min_eigengap:
+    if (gap := rows[0]["gap"]) < p.min_eigengap:
         warnings.warn(f"the first component is hardly larger than the second ({gap:.3f}): its weights are unstable", stacklevel=2)
-    return dict(zip(cols, map(float, w))), gap
+    return {r["pillar"]: r["w"] for r in rows}, gap
 
 
 def pca(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The first component's weights, then 0 to 100 over all entities; 50 if all score alike."""
-    raw = weighted(pillars, pca_weights(pillars, p)[0])
+    """The first component's weights, then 0 to 100 over all entities; 50 if all score alike, NULL without two complete rows."""
+    w = F.when(F.col("score").isNotNull(), F.col("w"))
+    both = pillars.join(F.broadcast(pca_table(pillars, p)), "pillar", "left")  # a row a pillar
+    raw = both.groupBy("entity").agg(F.try_divide(F.sum(w * F.col("score")), F.sum(w)).alias("score"))
     lim = raw.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     s = F.when(F.col("score").isNull(), None).when(F.col("_hi") - F.col("_lo") < p.floor, 50.0).otherwise(
         (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100
@@ -148,16 +216,19 @@ METHODS: dict[str, Callable[[DataFrame, Params], DataFrame]] = {"equal": equal,
 
 
 def all_scores(pillars: DataFrame, p: Params = DEFAULT, methods=None) -> DataFrame:
-    """(entity, a column per method); a method that can't be set up gives NULLs, with a warning, and doesn't stop the others.
+    """(entity, a column per method); a method that fails gives NULLs, with a warning that says why, and doesn't stop the others.
 
-    What may fail (an eigenvector of the driver's) does so here; the rest are expressions that give NULL where they can't be computed.
+    A failure while the plan is made, of whatever class, is met here. A method of its own code (``methods``) may also fail when its
+    plan runs: it is run to the end first, written, and joined from there. Those of this module are expressions that give NULL where
+    they can't be computed, and stay lazy.
     """
     parts = []
     for name, f in (methods or METHODS).items():
         try:
-            parts.append(f(pillars, p).withColumnRenamed("score", name))
-        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
-            warnings.warn(f"{name}: {e}", stacklevel=2)
+            part = f(pillars, p).select("entity", F.col("score").cast("double").alias(name))
+            parts.append(part if f is METHODS.get(name) else kept(part))
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"{name}: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", stacklevel=2)
             parts.append(pillars.select("entity").distinct().withColumn(name, F.lit(None).cast("double")))
     return reduce(lambda a, b: a.join(b, "entity", "left"), parts)
 
@@ -172,6 +243,5 @@ def method_weights(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     n = len(p.pillars)
     rows = [(m, k, 1 / n) for m in ("equal", "geometric") for k in p.pillars]
     rows += [(m, k, v) for m, v in (("bod_min", p.weight_min), ("bod_max", p.weight_max)) for k in p.pillars]
-    rows += [("pca", k, v) for k, v in pca_weights(pillars, p)[0].items()]
     fixed = pillars.sparkSession.createDataFrame(rows, "method string, pillar string, w double")
-    return fixed.unionByName(entropy_weights(pillars, p).select(F.lit("entropy").alias("method"), "pillar", "w"))
+    return fixed.unionByName(pca_table(pillars, p).select(F.lit("pca").alias("method"), "pillar", "w")).unionByName(entropy_weights(pillars, p).select(F.lit("entropy").alias("method"), "pillar", "w"))

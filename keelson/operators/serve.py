@@ -43,24 +43,23 @@ def goodness(cells: DataFrame, registry: DataFrame) -> DataFrame:
     return out.join(F.broadcast(n), "variable_name").select("entity", "variable_name", "value", "goodness_rank", "n_ranked")
 
 
-def pillar_detail(pillar: str, cells: DataFrame, norm: DataFrame, registry: DataFrame) -> DataFrame:
-    """All indicators of a pillar, the descriptive too: raw value, text, rank, normalised score, filled or not."""
-    of = registry.where(F.array_contains("pillars", pillar)).select("variable_name", "role")
-    g = goodness(cells.join(F.broadcast(of.select("variable_name")), "variable_name", "left_semi"), registry).drop("value")
-    base = cells.drop("role").join(F.broadcast(of), "variable_name").select(
-        "entity", "variable_name", "role", "value", (F.col("fill_year").isNotNull() | F.col("regional")).alias("filled")
-    )
+def pillar_detail(cells: DataFrame, norm: DataFrame, registry: DataFrame, pillar: str | None = None) -> DataFrame:
+    """All indicators of each pillar (or of one), the descriptive too: raw value, text, rank, normalised score, filled or not."""
+    of = registry.select("variable_name", "role", F.explode("pillars").alias("pillar"))
+    of = of if pillar is None else of.where(F.col("pillar") == pillar)
+    shown_here = cells.join(F.broadcast(of.select("variable_name").distinct()), "variable_name", "left_semi")
+    g = goodness(shown_here, registry).drop("value")
+    base = shown_here.select("entity", "variable_name", "value", (F.col("fill_year").isNotNull() | F.col("regional")).alias("filled"))
     out = base.join(g, ["entity", "variable_name"], "left").join(norm.select("entity", "variable_name", "norm_score"), ["entity", "variable_name"], "left")
-    return out.withColumn("value_text", tiered_number("value"))
+    return out.join(F.broadcast(of), "variable_name").withColumn("value_text", tiered_number("value"))
 
 
-def walkthrough(name: str, cells: DataFrame, bounds: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """An indicator step by step, from stored bounds: raw, after the log, normalised. For a chart, see report.sorted_series."""
-    b = F.broadcast(bounds.where(F.col("variable_name") == name))
-    x = cells.where(F.col("variable_name") == name).join(b, "variable_name")
+def walkthrough(cells: DataFrame, bounds: DataFrame, name: str | None = None, p: Params = DEFAULT) -> DataFrame:
+    """Each scoring indicator (or one) step by step, from stored bounds: raw, after the log, normalised. For a chart, see report.sorted_series."""
+    x = cells.join(F.broadcast(bounds if name is None else bounds.where(F.col("variable_name") == name)), "variable_name")  # a row an indicator
     logged = F.when(F.col("log_transform"), log1p_clipped("value")).otherwise(F.col("value"))
     s = min_max("after_log", "raw_min", "raw_max", "polarity")
-    return x.withColumn("after_log", logged).select("entity", "value", "after_log", (s if p.norm_digits is None else F.round(s, p.norm_digits)).alias("norm_score"))
+    return x.withColumn("after_log", logged).select("entity", "variable_name", "value", "after_log", (s if p.norm_digits is None else F.round(s, p.norm_digits)).alias("norm_score"))
 
 
 def heatmap(pillars: DataFrame, digits: int = 2) -> DataFrame:

@@ -21,12 +21,27 @@ from keelson.sources.tables import kept
 
 #: Places of scores by method, 8 if not said: an eigenvector is found by iteration, and entropies lose places as they are taken from 1.
 PLACES = {"pca": 6, "entropy": 6}
-_panels: dict[tuple[str, str], DataFrame] = {}
+_panels: dict[tuple, DataFrame] = {}
+_runs: dict[tuple, Run] = {}
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: a table that changes has another."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    return spark.sparkContext.applicationId, sf_dir, *[stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "customer")]
 
 
 def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of a folder, written once for all runs of an application; ``forget`` makes the next run read anew."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The panel of a folder, written once for all runs of an application over the same files; ``forget`` makes the next run read anew."""
+    key = _key(spark, sf_dir)
     if key not in _panels:
         _panels[key] = kept(panel.customer_panel(spark, sf_dir))
     return _panels[key]
@@ -34,6 +49,7 @@ def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forget() -> None:
     _panels.clear()
+    _runs.clear()
 
 
 class Run:
@@ -44,10 +60,15 @@ class Run:
         self.spark: SparkSession = entities.sparkSession
         self._obs, self.entities, self.params, self.definitions = obs, entities, params, registry
         self.registry = registry.table(self.spark)
+        self._made: dict[tuple, DataFrame] = {}
 
     @classmethod
     def customers(cls, spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> Run:
-        return cls(lambda: customer_panel(spark, sf_dir), panel.customers(spark, sf_dir), CUSTOMERS, params)
+        """The run of a folder: its written tables are shared by all queries of an application, while the folder's files are the same."""
+        key = (*_key(spark, sf_dir), params)
+        if key not in _runs:
+            _runs[key] = cls(lambda: customer_panel(spark, sf_dir), panel.customers(spark, sf_dir), CUSTOMERS, params)
+        return _runs[key]
 
     @cached_property
     def obs(self) -> DataFrame:
@@ -94,12 +115,16 @@ class Run:
         return robust.fill_counts(self.fill_log, self.entities, len(self.definitions.indicators))
 
     def scores(self, methods: list[str]) -> DataFrame:
-        """Scores by method, to PLACES: ranks must not depend on the order of a sum."""
-        found = score.all_scores(self.pillars, self.params, {m: score.METHODS[m] for m in methods})
-        return found.select("entity", *[F.round(m, PLACES.get(m, 8)).alias(m) for m in methods])
+        """Scores by method, to PLACES: ranks must not depend on the order of a sum. All of a set of methods are written when first used."""
+        if (key := ("scores", *methods)) not in self._made:
+            found = score.all_scores(self.pillars, self.params, {m: score.METHODS[m] for m in methods})
+            self._made[key] = kept(found.select("entity", *[F.round(m, PLACES.get(m, 8)).alias(m) for m in methods]))
+        return self._made[key]
 
     def ranks(self, methods: list[str]) -> DataFrame:
-        return score.ranked(self.scores(methods), methods)
+        if (key := ("ranks", *methods)) not in self._made:
+            self._made[key] = kept(score.ranked(self.scores(methods), methods))
+        return self._made[key]
 
     def check(self) -> Run:
         """Stops here if a pillar lacks data."""
