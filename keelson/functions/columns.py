@@ -20,34 +20,38 @@ def shown(x, digits: int = 2) -> Column:
     return F.round(F.round(_c(x), 9), digits)
 
 
-def _twice_exact(x: Column, s: float) -> tuple[Column, Column]:
-    """x * s as the nearest double and what it lacks, exactly: both factors are split into halves of 26 bits."""
-    def halves(v: Column) -> tuple[Column, Column]:
-        big = v * 134217729.0
-        high = big - (big - v)
-        return high, v - high
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
-    (xh, xl), (sh, sl), p = halves(x), halves(F.lit(s)), x * s
-    return p, ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
 
-
-def round_even(x, digits: int) -> Column:
-    """Rounded to 0 to 15 places as the exact binary value is, halves to the even digit.
+def round_even(x, digits: int | Column) -> Column:
+    """Rounded to 0 to 15 places as the exact binary value is, halves to the even digit; ``digits`` may differ by row.
 
     2.675 is a little less than it looks and becomes 2.67; 0.125 is exact and becomes 0.12. ``F.round`` rounds the shortest
     decimal of a double, and halves away from 0. NULL, NaN, infinities and values without such places stay as they are.
     """
-    x, scale = _c(x).cast("double"), float(10**digits)
-    p, rest = _twice_exact(F.abs(x), scale)
-    low = F.floor(p).cast("double")
-    d = p - low
-    odd = low % 2 == 1
-    up = (d > 0.5) | ((d == 0.5) & ((rest > 0) | ((rest == 0) & odd)))
-    # From 2^52 on p is whole and its rest may be a half; from 2^53 on a double has no such places.
-    up, down = up | ((d == 0) & (rest == 0.5) & odd), (d == 0) & (rest == -0.5) & odd
-    out = (low + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / scale
-    whole = F.isnan(x) | (p >= float(1 << 53))
-    return F.when(x.isNull() | whole, x).when(x < 0, -out).otherwise(out)
+    x = _c(x).cast("double")
+    scale = F.lit(float(10**digits)) if isinstance(digits, int) else F.get(F.array(*[F.lit(float(10**n)) for n in range(16)]), digits)
+    # x * scale is p and a rest that p lacks, exactly: both factors are split into halves of 26 bits.
+    first = F.struct(F.abs(x).alias("a"), scale.alias("s"), (F.abs(x) * scale).alias("p"), (F.abs(x) * 134217729.0).alias("ab"), (scale * 134217729.0).alias("sb"))
+    high = lambda r: F.struct(*[r[k].alias(k) for k in "asp"], (r["ab"] - (r["ab"] - r["a"])).alias("ah"), (r["sb"] - (r["sb"] - r["s"])).alias("sh"))
+
+    def rest(r: Column) -> Column:
+        al, sl = r["a"] - r["ah"], r["s"] - r["sh"]
+        exact = ((r["ah"] * r["sh"] - r["p"]) + r["ah"] * sl + al * r["sh"]) + al * sl
+        return F.struct(r["s"].alias("s"), r["p"].alias("p"), F.floor(F.least(r["p"], F.lit(1e18))).cast("double").alias("low"), exact.alias("rest"))
+
+    def final(r: Column) -> Column:
+        d, odd = r["p"] - r["low"], r["low"] % 2 == 1
+        up = (d > 0.5) | ((d == 0.5) & ((r["rest"] > 0) | ((r["rest"] == 0) & odd)))
+        # From 2^52 on p is whole and its rest may be a half; from 2^53 on a double has no such places.
+        up, down = up | ((d == 0) & (r["rest"] == 0.5) & odd), (d == 0) & (r["rest"] == -0.5) & odd
+        out = (r["low"] + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / r["s"]
+        return F.when(r["p"] < float(1 << 53), out)
+
+    found = once(once(once(first, high), rest), final)
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.coalesce(F.when(x < 0, -found).otherwise(found), x))
 
 
 def log1p_clipped(x) -> Column:
@@ -62,6 +66,12 @@ def clipped(x, low, high) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, _c(low)), _c(high)))
 
 
+def steady(x) -> Column:
+    """To nine places, from 1000 on to five: what is left doesn't depend on the order of a sum."""
+    x = _c(x)
+    return F.when(F.abs(x) < 1000, F.round(x, 9)).otherwise(F.round(x, 5))
+
+
 def correlation(a, b) -> Column:
     """An aggregate: the correlation of two columns over the rows that have both; NULL where one of them doesn't vary, for which ``F.corr`` stops the query."""
     a, b = _c(a), _c(b)
@@ -147,19 +157,15 @@ def tiered_number(x, table: bool = False) -> Column:
     """
     x = _c(x)
     a = F.abs(x)
-    of = lambda places: F.format_string(f"%.{places}f", round_even(x, places))
-    small = F.regexp_replace(of(7), "\\.?0+$", "")
+    places = F.when(a >= 10000, 0).when(a >= 100, 1).when(a >= 1, 3 if table else 2).when(a >= 0.001, 4).otherwise(7)
+
+    def text(r: Column) -> Column:
+        of = lambda n: F.format_string(f"%.{n}f", r)
+        plain = F.when(a >= 10000, F.format_number(r, 0)).when(a >= 100, F.format_number(r, 1)).when(a >= 1, of(3 if table else 2)).when(a >= 0.001, of(4))
+        return plain.otherwise(F.regexp_replace(of(7), "\\.?0+$", ""))
+
     power = F.regexp_replace(F.format_string("%.3e", x), "\\.?0+e", "e")
-    return (
-        F.when(x.isNull(), None)
-        .when(a >= 10000, F.format_number(round_even(x, 0), 0))
-        .when(a >= 100, F.format_number(round_even(x, 1), 1))
-        .when(a >= 1, of(3 if table else 2))
-        .when(a >= 0.001, of(4))
-        .when(a >= 0.0001, small)
-        .when(a > 0, power)
-        .otherwise("0")
-    )
+    return F.when(x.isNull(), None).when(a == 0, "0").when(a < 0.0001, power).otherwise(once(round_even(x, places), text))
 
 
 def elapsed_days(day, today: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.columns import fill_flag, log1p_clipped, min_max, shown, tiered_number, traffic_light
+from keelson.functions.columns import fill_flag, log1p_clipped, min_max, shown, steady, tiered_number, traffic_light
 from keelson.functions.ranking import rank_desc
 from keelson.operators.diagnose import spearman
 from keelson.schema import DEFAULT, Params
@@ -51,7 +51,7 @@ def pillar_detail(cells: DataFrame, norm: DataFrame, registry: DataFrame, pillar
     g = goodness(shown_here, registry).drop("value")
     base = shown_here.select("entity", "variable_name", "value", (F.col("fill_year").isNotNull() | F.col("regional")).alias("filled"))
     out = base.join(g, ["entity", "variable_name"], "left").join(norm.select("entity", "variable_name", "norm_score"), ["entity", "variable_name"], "left")
-    return out.join(F.broadcast(of), "variable_name").withColumn("value_text", tiered_number("value"))
+    return out.join(F.broadcast(of), "variable_name").withColumn("value_text", tiered_number(steady("value")))
 
 
 def walkthrough(cells: DataFrame, bounds: DataFrame, name: str | None = None, p: Params = DEFAULT) -> DataFrame:

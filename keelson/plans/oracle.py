@@ -299,7 +299,7 @@ _BODY = {
     "q_top_bottom": "SELECT entity, round(equal, 6) AS equal, equal_rank, part FROM ((SELECT entity, equal, equal_rank, 'top' AS part FROM rk ORDER BY equal_rank, entity LIMIT 5) UNION ALL (SELECT entity, equal, equal_rank, 'bottom' FROM rk WHERE equal IS NOT NULL ORDER BY equal_rank DESC, entity LIMIT 5))",
     "q_rankings_without": f"SELECT entity, grp, round(round(equal, 9)::DECIMAL(18, 9), 2)::DOUBLE AS score, equal_rank AS rank, {_LIGHT.format('equal')} AS light FROM rk JOIN ent USING (entity) WHERE grp <> 3",
     "q_profile": f"SELECT entity, pillar, round(score, 6) AS score, round(mean_score, 6) AS mean_score, round(group_score, 6) AS group_score, {_LIGHT.format('score')} AS light FROM ps JOIN (SELECT pillar, avg(score) AS mean_score FROM ps GROUP BY 1) USING (pillar) JOIN (SELECT grp, pillar, avg(score) AS group_score FROM ps GROUP BY ALL) USING (grp, pillar)",
-    "q_pillar_detail": f"SELECT entity, variable_name, cel.role, pillar, round(cel.value, 6) AS value, coalesce({_tiered('cel.value')}, '-') AS value_text, cel.fill_year IS NOT NULL OR regional AS filled, coalesce(goodness_rank, -1) AS goodness_rank, coalesce(n_ranked, -1) AS n_ranked, s AS norm_score FROM cel JOIN pil USING (variable_name) LEFT JOIN good USING (entity, variable_name) LEFT JOIN (SELECT entity, variable_name, s FROM norm) USING (entity, variable_name)",
+    "q_pillar_detail": f"SELECT entity, variable_name, cel.role, pillar, round(cel.value, 6) AS value, coalesce({_tiered('(CASE WHEN abs(cel.value) < 1000 THEN round(cel.value, 9) ELSE round(cel.value, 5) END)')}, '-') AS value_text, cel.fill_year IS NOT NULL OR regional AS filled, coalesce(goodness_rank, -1) AS goodness_rank, coalesce(n_ranked, -1) AS n_ranked, s AS norm_score FROM cel JOIN pil USING (variable_name) LEFT JOIN good USING (entity, variable_name) LEFT JOIN (SELECT entity, variable_name, s FROM norm) USING (entity, variable_name)",
     "q_walkthrough": "SELECT entity, variable_name, round(cel.value, 6) AS value, round(x, 6) AS after_log, s AS norm_score FROM cel JOIN tr USING (entity, variable_name) JOIN norm USING (entity, variable_name)",
     "q_heatmap": "SELECT b AS row, a AS col, round(rho, 6) AS rho FROM zs",
     "q_radar": f"SELECT entity, pillar, round(score * map_extract_value(MAP {{{_PRESET}}}, pillar) * 7, 6) AS scaled FROM ps",

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.functions.columns import coverage_flag, overall_verdict, traffic_light
+from keelson.functions.columns import coverage_flag, overall_verdict, steady, traffic_light
 from keelson.functions.ranking import rank_desc
 from keelson.operators import audit, clean, compare, diagnose, normalize, report, robust, score, serve
 from keelson.plans.run import Run
@@ -36,7 +36,7 @@ RAW_COLUMNS = {
 def rounded(df: DataFrame, digits: int | None = None) -> DataFrame:
     def of(c: str):
         if c in RAW_COLUMNS and not digits:
-            return F.when(F.abs(c) < 1000, F.round(c, 9)).otherwise(F.round(c, 5)).alias(c)
+            return steady(c).alias(c)
         return F.round(c, digits or 9).alias(c)
 
     return df.select(*[of(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
