@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.llm.license_texts import TEXTS
 from keelson.llm.staging import documents, short_batches
 from keelson.llm.text import Words, buffers, shingles
 
@@ -31,20 +32,6 @@ WINNOW = 4
 WHOLE = 2 * WINNOW
 BAND = 8
 MIN_COVERAGE = 0.75
-_MIT_BODY = (
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-    "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
-    "notice and this permission notice shall be included in all copies or substantial portions of the Software."
-)
-_BSD_HEAD = (
-    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
-    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
-    "distribution."
-)
 #: Words that make another license of one, beside numbers of one or two digits; a 0 ends a version and changes none.
 MARKS = {b"nc", b"sa", b"nd", b"noncommercial", b"sharealike", b"noderivs", b"noderivatives", b"lesser", b"library", b"affero"}
 
@@ -75,30 +62,15 @@ def _creative_commons() -> list[tuple[str, str, str]]:
     ]
 
 
-#: (license, template, words of it that must be aligned, in order). Fixed texts: the notices that the licenses
-#: themselves ask for or are known by.
+#: (license, template, words of it that must be aligned, in order). Fixed texts: of licenses as a whole, and the notices that they
+#: ask for or are known by.
 TEMPLATES = [
     ("MIT", "Released under the MIT License.", "mit"),
     ("MIT", "Licensed under the MIT License.", "mit"),
-    ("MIT", _MIT_BODY, ""),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2"),
-    (
-        "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
-        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
-        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
-        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-        "apache 2",
-    ),
     *_gnu(),
     *_creative_commons(),
-    ("BSD", _BSD_HEAD, ""),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies.",
-        "",
-    ),
+    *TEXTS,
 ]
 #: Bytes between words: all ASCII but letters and digits.
 BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])

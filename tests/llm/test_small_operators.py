@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import license_scan, mixing, quality, sharding
+from keelson.llm import license_scan, license_texts, mixing, quality, sharding
 from keelson.llm.exact_dedup import content_sort
 from tests.llm.corpus import TEXTS, frame, words
 
@@ -190,7 +190,7 @@ def test_quality_of_a_language_without_stop_words(spark):
 
 
 def test_license_spans(spark):
-    texts = [None, "", "nothing here", "é Released under the MIT License. And Licensed under CC BY-NC 4.0.", license_scan._MIT_BODY.replace("free of charge", "at no cost")]
+    texts = [None, "", "nothing here", "é Released under the MIT License. And Licensed under CC BY-NC 4.0.", (license_texts.MIT_GRANT + ", " + license_texts.MIT_TERMS).replace("free of charge", "at no cost")]
     rows = license_scan.license_scan(frame(spark, texts)).collect()
     found = {(r["doc_id"], r["license"], texts[r["doc_id"]][r["start"] : r["end"]][:12]) for r in rows}
     assert found == {(3, "MIT", "Released und"), (3, "CC-BY-NC-4.0", "Licensed und"), (4, "MIT", "Permission i")}
@@ -343,6 +343,41 @@ def test_mix_comes_near_its_target_without_identifiers(spark, ids):
     assert emitted == {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
 
 
+def test_whole_licenses_are_told_from_their_neighbours(spark):
+    """Wrapped, numbered, with holders, some words changed, in the middle of another text; and parts that two licenses share."""
+    from keelson.llm import license_texts as t
+
+    mit, bsd, isc = f"{t.MIT_GRANT}, {t.MIT_TERMS}", t.BSD_TWO.replace("met: ", "met:\n 1. ").replace("disclaimer. R", "disclaimer.\n 2. R"), f"{t.ISC_GRANT}, {t.ISC_TERMS}"
+    cases = {
+        "MIT": [mit, f"{mit}\n\n{t.MIT_DISCLAIMER}"], "MIT-0": [f"{t.MIT_GRANT}.\n{t.MIT_DISCLAIMER}"], "X11": [f"{mit} {t.MIT_DISCLAIMER} {t.X11_CLAUSE.replace('copyright holders', 'Consortium')}"],
+        "BSD-2-Clause": [f"{bsd}\n{t.BSD_DISCLAIMER}"], "BSD-3-Clause": [f"{bsd}\n 3. {t.BSD_THIRD.replace('copyright holder', 'Example Inc.')}\n{t.BSD_DISCLAIMER}", f"{bsd} {t.BSD_THIRD}"], "BSD": [bsd],
+        "ISC": [isc, f"{isc}\n{t.ISC_DISCLAIMER}"], "0BSD": [f"{t.ISC_GRANT}.\n{t.ISC_DISCLAIMER}"], "Unlicense": [t.UNLICENSE], "Zlib": [t.ZLIB.replace("The origin", "1. The origin")], "BSL-1.0": [t.BOOST, t.BOOST_NOTICE],
+        "PostgreSQL": [t.POSTGRESQL], "CC0-1.0": [t.CC0_NOTICE], "MPL-2.0": [t.MPL_NOTICE], "EPL-2.0": [t.EPL_NOTICE], "EUPL-1.2": [t.EUPL_NOTICE], "OFL-1.1": [t.OFL_NOTICE], "Artistic-2.0": [t.ARTISTIC_NOTICE],
+        "Apache-2.0": [t.APACHE_NOTICE],
+    }
+    want, texts = [], []
+    for name, own in cases.items():
+        for body in own:
+            for text in (body, "Copyright (c) 2020 Some Body\n" + body.replace(". ", ".\n * ") + "\n" + "unlike " * 50, "so " * 400 + body.upper() + " and on " * 400):
+                want.append(name)
+                texts.append(text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in license_scan.license_scan(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert [(want[i], got.get(i)) for i in range(len(want)) if got.get(i) != [want[i]]] == []
+
+
+def test_license_scan_of_a_very_long_text_and_of_nothing(spark):
+    from keelson.llm.license_texts import ZLIB
+
+    long = "word " * 200_000 + ZLIB + " word" * 200_000
+    docs = spark.createDataFrame([(1, long), (2, ""), (3, None), (4, "x" * 1_000_000)], "doc_id long, text string")
+    rows = license_scan.license_scan(docs).collect()
+    assert [(r["doc_id"], r["license"], r["start"], r["end"]) for r in rows] == [(1, "Zlib", 1_000_000, 1_000_000 + len(ZLIB) - 1)]
+    assert license_scan.license_scan(docs.limit(0)).count() == 0 and license_scan.license_scan(docs, templates=[]).count() == 0
+
+
 def test_license_rows_are_reported_each(spark):
     text = "Released under the MIT License."
     docs = spark.createDataFrame([(None, text, 1), (3, text, 2), (3, text, 3), (4, None, 4)], "doc_id long, text string, license long")
