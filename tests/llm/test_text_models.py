@@ -313,3 +313,26 @@ def test_instances_end_at_a_letter_or_digit(spark, close):
     assert set(none.values()) == {""}  # nothing is a seed
     named = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs.selectExpr("doc_id", "replace(text, 'token', 'cookie') AS text"), secret_names=("cookie",)).collect()}
     assert named[0] == f"secret:10:{10 + len(key) + 3}"
+
+
+def test_forms_that_no_seed_has_are_found_in_the_table(spark):
+    """Phones of a form no base pattern has, planted in documents of the table behind a word that known phones stand behind: how many
+    are found, with exact ends, and what else is marked."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").orderBy("doc_id").collect()
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    ids, planted = list(texts), {}
+    for k, i in enumerate(ids[:80]):
+        if k < 60:  # known: the word teaches what follows it
+            texts[i] += f" Ring our dutydesk +49 30 {1000000 + 7919 * k} whenever."
+        else:
+            number = f"55{k}-0{100 + k}" if k % 2 else f"({200 + k}) 555 0{100 + k}"
+            at = len(texts[i]) + len(" Ring our dutydesk ")
+            texts[i] += f" Ring our dutydesk {number} whenever."
+            planted[i] = f"context:{at}:{at + len(number)}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.find_pii(docs).collect()}
+    found = sum(planted[i] in got[i] for i in planted)
+    wrong = sum(x.startswith("context") and x != planted.get(i) for i, spans in got.items() for x in spans)
+    assert found >= 0.9 * len(planted) == 18 and wrong <= 2, (found, wrong)
+    plain = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")).collect()}
+    assert sum("context" in s for s in plain.values()) == 0
