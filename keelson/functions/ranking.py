@@ -1,9 +1,9 @@
 """Ranks and order statistics over whole tables.
 
-Groups of up to WINDOW_ROWS rows are ranked by a plain window. Larger ones are reduced to their distinct values with counts;
-approximate quantiles cut these into buckets, a window counts inside each bucket, the sizes of the buckets before it are
-added, and ranks are joined back by value. Where every row has a place of its own, rows are sorted by sampled splitters
-and numbered where they lie. Results are the same either way.
+Groups of up to WINDOW_ROWS rows are ranked by a plain window. Larger ones are cut into buckets by approximate quantiles: a
+window ranks inside each bucket, and the sizes of the buckets before it are added. Where every row has a place of its own,
+rows are sorted by sampled splitters and numbered where they lie. Quantiles count the distinct values of such
+groups in the same way. Results are the same either way.
 """
 
 from __future__ import annotations
@@ -43,15 +43,44 @@ def counted(values: DataFrame, by: str, within: list[str], then: list[str], wind
     return both.withColumn("before", F.col("_before") + F.sum("n").over(inside) - F.col("n")).drop("_before", "_bucket")
 
 
-def _by_values(df: DataFrame, by: str, out: str, within: list[str], ties: str, window_rows: int) -> DataFrame:
-    cols = [*within, by]
-    values = kept(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
-    place = F.col("before") + ((F.col("n") + 1) / 2.0 if ties == "average" else F.lit(1))
-    # A struct is equal to another with the same NULLs, so one column is the key.
-    key = F.struct(*cols).alias("_key")
-    ranks = counted(values, by, within, [], window_rows).select(key, place.cast("double" if ties == "average" else "int").alias(out))
-    large = skew.large_keys(values.select(key, "n"), ["_key"], df.count())
-    return skew.join(df.withColumn("_key", key), ranks, ["_key"], large).drop("_key")
+def _by_parts(df: DataFrame, outs: dict[str, str], within: list[str], ties: str, window_rows: int) -> DataFrame:
+    """Ranks of all columns in one shuffle by (group, column, bucket of values).
+
+    Approximate quantiles cut the values of each large group into buckets; a window ranks inside a bucket, and the rows of the
+    buckets before it are added. A value that two cuts or more fall on has a bucket of its own: its rows share one rank, which
+    is known without sorting, so they stay where they are, however many they are. So do NULLs, the last bucket.
+    """
+    rows = kept(df.withColumn("_rid", F.monotonically_increasing_id()))
+    one, carried = len(outs) == 1, df.columns if len(outs) == 1 else []
+    named = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col(by).cast("double").alias("x")) for o, by in outs.items()])).alias("_v")
+    long = rows.select("_rid", F.struct(*within, F.lit(0).alias("_")).alias("_w"), *carried, named)
+    long = long.select("_rid", *carried, F.struct("_w", F.col("_v.o").alias("o")).alias("_g"), F.col("_v.x").alias("_x"))
+    n = kept(long.groupBy("_g").agg(F.count(F.lit(1)).alias("n")))
+    big, most = n.where(F.col("n") > window_rows).select("_g"), n.agg(F.max("n")).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(2, -(-4 * most // window_rows)))
+    probs = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    large = skew.large_keys(n, ["_g"], n.agg(F.sum("n")).first()[0] or 0)
+    cuts = kept(skew.join(long.select("_g", "_x"), big, ["_g"], large).groupBy("_g").agg(F.percentile_approx("_x", probs, F.lit(10000)).alias("_cuts")))
+    cut = skew.join(long, cuts, ["_g"], large, "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<double>")))
+    x = F.col("_x")
+    above, on = F.size(F.filter("_cuts", lambda v: v > x)), F.size(F.filter("_cuts", lambda v: v == x))
+    # Of the values with as many cuts above, the one that cuts fall on is the least.
+    cut = cut.withColumn("_b", F.when(x.isNull(), F.lit(2 * MOST_BUCKETS + 1)).otherwise(2 * above + (on >= 2).cast("int"))).drop("_cuts")
+    sizes = kept(cut.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("n")))
+    # As many rows a group as there are buckets.
+    before = (F.sum("n").over(Window.partitionBy("_g").orderBy("_b")) - F.col("n")).alias("_before")
+    both = skew.join(cut, sizes.select("_g", "_b", before, F.col("n").alias("_n")), ["_g", "_b"], skew.large_keys(sizes, ["_g", "_b"], n.agg(F.sum("n")).first()[0] or 0))
+    part, alike = Window.partitionBy("_g", "_b"), F.col("_b") % 2 == 1
+    place = {"min": F.col("_before") + 1, "average": F.col("_before") + (F.col("_n") + 1) / 2.0}[ties]
+    inside = F.col("_before") + F.rank().over(part.orderBy(x.desc()))
+    inside = inside + (F.count(F.lit(1)).over(Window.partitionBy("_g", "_b", "_x")) - 1) / 2.0 if ties == "average" else inside
+    kind = "double" if ties == "average" else "int"
+    keep = ["_rid", *carried, "_g"]
+    ranked = both.where(alike).select(*keep, place.cast(kind).alias("_r")).unionByName(both.where(~alike).withColumn("_r", inside.cast(kind)).select(*keep, "_r"))
+    if one:
+        return ranked.select(*carried, F.col("_r").alias(next(iter(outs))))
+    side = ranked.groupBy("_rid").agg(*[F.max(F.when(F.col("_g.o") == o, F.col("_r"))).alias(o) for o in outs])
+    return rows.join(side, "_rid").drop("_rid")
 
 
 def numbered(df: DataFrame, *keys: Column | str) -> DataFrame:
@@ -89,8 +118,10 @@ def ranks_desc(df: DataFrame, outs: dict[str, str], within: list[str] | None = N
     """
     within, df = within or [], kept(df)
     if _largest(df, within) > window_rows:
+        if ties in ("min", "average"):
+            return _by_parts(df, outs, within, ties, window_rows)
         for out, by in outs.items():
-            df = _by_values(df, by, out, within, ties, window_rows) if ties in ("min", "average") else _by_position(df, by, out, within, ties)
+            df = _by_position(df, by, out, within, ties)
         return df
     group = Window.partitionBy(*within)
     for out, by in outs.items():

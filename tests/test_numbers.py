@@ -38,6 +38,21 @@ def test_ranks_are_the_same_by_window_and_by_parts(spark, within, ties):
     assert key(a) == key(b)
 
 
+@pytest.mark.parametrize("ties", ["min", "average"])
+def test_ranks_of_many_columns_in_one_pass(spark, ties):
+    """A value that holds most rows, constants, all NULL, ties across cuts; several columns at once as each alone."""
+    rnd = random.Random(8)
+    rows = [(k, None if k % 50 == 0 else k % 3, 7.0 if rnd.random() < 0.6 else rnd.randrange(40) / 4, 1.0, None, rnd.gauss(0, 1)) for k in range(900)]
+    df = spark.createDataFrame(rows, "id int, g int, a double, b double, c double, d double")
+    outs = {f"r{c}": c for c in "abcd"}
+    for within in ([], ["g"]):
+        want = {tuple(r) for r in ranks_desc(df, outs, within, ties).collect()}
+        for w in (1, 100):
+            got = ranks_desc(df, outs, within, ties, window_rows=w)
+            assert got.columns == [*df.columns, *outs] and {tuple(r) for r in got.collect()} == want
+            assert {(r["id"], r["ra"]) for r in ranks_desc(df, {"ra": "a"}, within, ties, window_rows=w).collect()} == {(r[0], r[6]) for r in want}
+
+
 def test_four_values_of_two_kinds(spark):
     df = spark.createDataFrame([(5.0, 1), (5.0, 1), (5.0, 1), (1.0, 1)], "x double, k int")
     for w in (1, 1 << 20):
