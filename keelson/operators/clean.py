@@ -66,7 +66,9 @@ def regional_fill(cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Gaps take the mean of their group, where at least ``min_peers`` members have a value. Adds ``regional``.
 
     The means, a row for each indicator and group, are written first: Spark then knows their size, and cells don't travel to meet them.
+    So are the cells, which are followed twice.
     """
+    cells = kept(cells)
     mean = cells.groupBy("variable_name", "grp").agg(F.avg("value").alias("_m"), F.count("value").alias("_n")).where(F.col("_n") >= p.min_peers)
     mean = kept(mean)
     filled = cells.join(mean, ["variable_name", "grp"], "left")

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.columns import correlation, shown
+from keelson.functions.columns import shown
 from keelson.functions.ranking import ranks_desc
 from keelson.schema import DEFAULT, Params
 from keelson.sources.tables import kept
@@ -125,14 +125,14 @@ def correlation_matrix(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """
     cols = list(p.pillars)
     full = wide(pillars, p).dropna(subset=cols)
-    pairs = {(a, b): f"{a}_{b}" for i, a in enumerate(cols) for b in cols[i + 1 :]}
-    got = full.agg(F.count(F.lit(1)).alias("n"), *[correlation(a, b).alias(c) for (a, b), c in pairs.items()])
-    known = lambda c: F.when(F.col(c).isNull() | F.isnan(c), 0.0).otherwise(F.col(c))
-    cells = [F.lit(1.0) if a == b else known(pairs.get((a, b)) or pairs[b, a]) for a in cols for b in cols]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    got = full.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(c).alias(c) for c in cols], *[F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in pairs])
+    of = lambda a, b: F.coalesce(F.try_divide(F.col(f"{a}_{b}"), F.col(a) * F.col(b)), F.lit(0.0))
+    cells = [F.lit(1.0) if a == b else of(*((a, b) if (a, b) in pairs else (b, a))) for a in cols for b in cols]
     return got.select("n", F.when(F.col("n") >= 2, F.array(*cells)).alias("m"))
 
 
-def rotated(m: Column, k: int, sweeps: int = 12) -> Column:
+def rotated(m: Column, k: int, sweeps: int = 10) -> Column:
     """Struct (m, v) of a symmetric k x k matrix in one array: Jacobi rotations until it is diagonal, and their product."""
     at = lambda a, i, j: F.get(a, i * k + j)
     places = F.sequence(F.lit(0), F.lit(k * k - 1))
@@ -169,12 +169,13 @@ def eigen(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     more than half are negative. Nothing goes through the driver: one aggregate, then an expression over one row. NULLs where there are not two complete rows.
     """
     k = len(p.pillars)
-    m = correlation_matrix(pillars, p).withColumn("_r", rotated(F.col("m"), k))
+    # Exploded, though it is one: an expression that others name is worked out anew for each of them, but not behind a generator.
+    m = correlation_matrix(pillars, p).select("n", F.explode(F.array("m")).alias("m")).select("n", "m", F.explode(F.array(rotated(F.col("m"), k))).alias("_r"))
     places = F.sequence(F.lit(0), F.lit(k - 1))
     each = F.transform(places, lambda j: F.struct(F.get("_r.m", j * k + j).alias("eigenvalue"), F.transform(places, lambda i: F.get(F.col("_r.v"), i * k + j)).alias("v")))
     down = F.reverse(F.array_sort(F.when(F.col("m").isNotNull(), each)))
     rows = m.select("n", F.coalesce(down, F.array(F.struct(F.lit(None).cast("double").alias("eigenvalue"), F.lit(None).cast("array<double>").alias("v")))).alias("c"))
-    out = rows.select("n", "c", F.posexplode("c").alias("i", "x"))
+    out = rows.select("n", F.explode(F.array("c")).alias("c")).select("n", "c", F.posexplode("c").alias("i", "x"))
     negative = F.size(F.filter("x.v", lambda v: v < 0)) > k / 2
     loadings = F.when(negative, F.transform("x.v", lambda v: -v)).otherwise(F.col("x.v"))
     return out.select((F.col("i") + 1).alias("component"), "x.eigenvalue", (F.col("x.eigenvalue") - F.get("c", F.col("i") + 1)["eigenvalue"]).alias("gap"), (F.col("x.eigenvalue") / k).alias("share"), loadings.alias("loadings"), "n")
@@ -203,7 +204,7 @@ def pca_weights(pillars: DataFrame, p: Params = DEFAULT) -> tuple[dict[str, floa
 def pca(pillars: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """The first component's weights, then 0 to 100 over all entities; 50 if all score alike, NULL without two complete rows."""
     w = F.when(F.col("score").isNotNull(), F.col("w"))
-    both = pillars.join(F.broadcast(pca_table(pillars, p)), "pillar", "left")  # a row a pillar
+    both = pillars.join(F.broadcast(kept(pca_table(pillars, p))), "pillar", "left")  # a row a pillar, written: it is followed twice
     raw = both.groupBy("entity").agg(F.try_divide(F.sum(w * F.col("score")), F.sum(w)).alias("score"))
     lim = raw.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     s = F.when(F.col("score").isNull(), None).when(F.col("_hi") - F.col("_lo") < p.floor, 50.0).otherwise(
