@@ -148,7 +148,9 @@ def scan(spark: SparkSession, series: list[Series], fetch: str, **options) -> Da
     reader = spark.read.format(FORMAT).option("series", json.dumps([asdict(s) for s in series])).option("fetch", fetch)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load()
+    # Spark keeps what the last query pushed into a loaded table, and a query that pushes nothing would read under it. Every
+    # row has a name, so this filter drops none; it makes each query push filters of its own.
+    return reader.load().where("variable_name IS NOT NULL")
 
 
 def of_registry(registry: Registry) -> list[Series]:

@@ -47,6 +47,7 @@ def test_years_and_names_are_pushed_to_the_source(spark, tmp_path):
     assert narrow.rdd.getNumPartitions() == 2
     assert df.where("year = 2001").count() == 2 and df.where("year > 2009").count() == 0
     assert {(r["variable_name"], r["status"]) for r in df.collect()} == {("x", "OK"), ("y", "OK"), ("z", "EMPTY")}
+    assert df.count() == 16 and df.where("year > 2009").count() == 0 and df.count() == 16  # what one query pushed is not the next one's
     assert df.where("key = 'BBB' AND value IS NULL").count() == 2 and df.where("year = 2005 AND value > 2004").count() == 2
 
 
