@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.functions.columns import clipped, coverage_flag, ratio
+from keelson.functions.columns import clipped, coverage_flag, ratio, steady_mean
 from keelson.functions.ranking import quantiles
 from keelson.schema import DEFAULT, Params
 from keelson.sources.tables import kept
@@ -69,7 +69,7 @@ def regional_fill(cells: DataFrame, p: Params = DEFAULT) -> DataFrame:
     So are the cells, which are followed twice.
     """
     cells = kept(cells)
-    mean = cells.groupBy("variable_name", "grp").agg(F.avg("value").alias("_m"), F.count("value").alias("_n")).where(F.col("_n") >= p.min_peers)
+    mean = cells.groupBy("variable_name", "grp").agg(steady_mean("value").alias("_m"), F.count("value").alias("_n")).where(F.col("_n") >= p.min_peers)
     mean = kept(mean)
     filled = cells.join(mean, ["variable_name", "grp"], "left")
     hit = F.col("value").isNull() & F.col("_m").isNotNull()

@@ -55,7 +55,8 @@ der AS (SELECT a.entity, a.variable_name, CASE WHEN denominator IS NULL THEN a.v
         FROM agg a JOIN reg USING (variable_name) LEFT JOIN agg d ON d.entity = a.entity AND d.variable_name = denominator),
 grid AS (SELECT entity, grp, variable_name, role, value, fill_year, fill_value FROM ent CROSS JOIN reg LEFT JOIN der USING (entity, variable_name)),
 fil AS (SELECT *, value IS NULL AND m IS NOT NULL AS regional, coalesce(value, m) AS filled
-        FROM (SELECT *, CASE WHEN count(value) OVER g >= 3 THEN avg(value) OVER g END AS m FROM grid WINDOW g AS (PARTITION BY variable_name, grp))),
+        FROM (SELECT *, CASE WHEN count(value) OVER g < 3 THEN NULL WHEN max(abs(value)) OVER g >= 1000 THEN (sum(value::DECIMAL(28, 6)) OVER g)::DOUBLE / count(value) OVER g
+                     WHEN max(abs(value)) OVER g >= 1 THEN (sum(value::DECIMAL(28, 9)) OVER g)::DOUBLE / count(value) OVER g ELSE avg(value) OVER g END AS m FROM grid WINDOW g AS (PARTITION BY variable_name, grp))),
 log AS (SELECT variable_name, entity, 'stage1_extended' AS fill_stage, fill_year, fill_value FROM fil WHERE fill_year IS NOT NULL
         UNION ALL SELECT variable_name, entity, 'stage2_regional', NULL, filled FROM fil WHERE regional),
 q AS (SELECT variable_name, quantile_cont(filled, 0.25) AS q1, quantile_cont(filled, 0.75) AS q3 FROM fil WHERE role = 'scoring' GROUP BY 1),

@@ -17,6 +17,23 @@ from keelson.sources import files
 DATA, METHODS = "/root/testdata/sf0.001", ["equal", "pca", "bod", "entropy", "geometric"]
 
 
+def test_means_do_not_depend_on_the_order(spark):
+    """16 amounts in cents whose mean ends in a 5 at the sixth place; also small, huge and no values."""
+    rnd = random.Random(5)
+    cents = [rnd.randrange(10**5, 10**8) for _ in range(15)]
+    cents.append(16 * 20_000_000 + 15 - sum(cents))
+    groups = {"cents": [x / 100 for x in cents], "mixed": [0.1, 0.2, 7.3, None], "small": [0.1, 0.2, 0.3], "huge": [1e20, 3e20], "none": [None, None]}
+    seen = set()
+    for parts in (1, 3, 7):
+        rows = [(g, x) for g, xs in groups.items() for x in xs]
+        rnd.shuffle(rows)
+        got = spark.createDataFrame(rows, "g string, x double").repartition(parts).groupBy("g").agg(c.steady_mean("x").alias("m"))
+        m = {r["g"]: r["m"] for r in got.collect()}
+        seen.add((m["cents"], m["mixed"]))
+        assert m["small"] == pytest.approx(0.2) and m["huge"] == pytest.approx(2e20) and m["none"] is None
+    assert seen == {(sum(cents) / 1600, 7.6 / 3)}
+
+
 # -- ranks: the plan may change with the size, results may not -------------------
 @pytest.mark.parametrize("within", [[], ["g"]])
 @pytest.mark.parametrize("ties", ["min", "average", "k"])
