@@ -45,37 +45,40 @@ def window_hash(w: Column, i: Column) -> Column:
 def repeated_words(w: Column) -> Column:
     """Words inside three-word windows that occur twice or more, the first included.
 
-    Each window becomes one long: a hash above, its place below, as many bits as
-    the text needs. Sorted, equal windows are neighbours, and neighbours of equal
-    hash are compared word by word. Where two neighbours of equal hash are different
-    windows, all windows are looked through for an equal one.
+    Each window is hashed; where all hashes differ, as in most texts, nothing repeats. Else each window becomes one long: its
+    hash above, its place below, as many bits as the text needs. Sorted, equal windows are neighbours; windows without a neighbour
+    of equal hash go, and the others are compared word by word. Where two neighbours of equal hash are different windows, all
+    that are left are looked through for an equal one.
     """
     n = F.size(w)
     bits = F.length(F.bin(n)).cast("int")
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    place = F.sequence(F.lit(1), n - 2)
-    packed = F.sort_array(
-        F.transform(place, lambda i: window_hash(w, i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
-    )
+    hashes = F.transform(F.sequence(F.lit(1), n - 2), lambda i: window_hash(w, i))
+    alike = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(mask)) == 0
+    at = lambda x: x.bitwiseAND(mask).cast("int")
 
-    def found(s: Column) -> Column:
-        at = lambda x: x.bitwiseAND(mask).cast("int")
-        code = lambda x: x.bitwiseAND(F.bitwise_not(mask))
+    def same(x: Column, y: Column) -> Column:
+        i, j = at(x), at(y)
+        return (w[i - 1] == w[j - 1]) & (w[i] == w[j]) & (w[i + 1] == w[j + 1])
 
-        def same(x: Column, y: Column) -> Column:
-            i, j = at(x), at(y)
-            return (w[i - 1] == w[j - 1]) & (w[i] == w[j]) & (w[i + 1] == w[j + 1])
+    def paired(s: Column) -> Column:
+        return F.filter(s, lambda x, k: F.coalesce(alike(x, F.get(s, k + 1)), F.lit(False)) | F.coalesce(alike(x, F.get(s, k - 1)), F.lit(False)))
 
+    def found(s: Column) -> Column:
         def again(x: Column, k: Column) -> Column:
             above, below = F.get(s, k + 1), F.get(s, k - 1)
-            up, down = code(x) == code(above), code(x) == code(below)
-            else_ = F.exists(s, lambda y: (y != x) & (code(x) == code(y)) & same(x, y))
-            return F.when(up, F.when(same(x, above), True).otherwise(else_)).when(down, F.when(same(x, below), True).otherwise(else_)).otherwise(False)
+            else_ = F.exists(s, lambda y: (y != x) & alike(x, y) & same(x, y))
+            return F.when(alike(x, above), F.when(same(x, above), True).otherwise(else_)).when(alike(x, below), F.when(same(x, below), True).otherwise(else_)).otherwise(False)
 
         twice = F.filter(s, again)
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.sequence(at(x), at(x) + 2)))))
 
-    return F.when(n < 4, F.lit(0)).otherwise(F.transform(F.array(packed), found)[0]).cast("long")
+    def counted(h: Column) -> Column:
+        packed = F.sort_array(F.transform(h, lambda x, k: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR((k + 1).cast("long"))))
+        within = F.transform(F.array(packed), lambda s: F.transform(F.array(paired(s)), found)[0])[0]
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(within)
+
+    return F.when(n < 4, F.lit(0)).otherwise(F.transform(F.array(hashes), counted)[0]).cast("long")
 
 
 def statistics(text: Column, w: Column) -> dict[str, Column]:
@@ -127,7 +130,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     has no list for, the stop-word ratio is null, so its rule is open; without the column or its value it is judged by all lists.
     """
     unlisted = F.lit(False) if lang_col is None else F.coalesce(~F.col(lang_col).isin(*STOP_WORDS), F.lit(False))
-    base = docs.select(F.col(id_col), F.col(text_col).alias("_text"), words(F.col(text_col)).alias("_w"), unlisted.alias("_unlisted"))
+    # Words come out of a generator of one row: a filter on the result isn't pushed below it, where each look at a word would split the text anew.
+    base = docs.select(F.col(id_col), F.col(text_col).alias("_text"), unlisted.alias("_unlisted"), F.explode(F.array(words(F.col(text_col)))).alias("_w"))
     stats = statistics(F.col("_text"), F.col("_w"))
     stats["n_stop_words"] = F.when(~F.col("_unlisted"), stats["n_stop_words"])
     s = base.select(id_col, *[c.alias(k) for k, c in stats.items()])

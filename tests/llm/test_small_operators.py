@@ -182,6 +182,14 @@ def test_quality_where_hashes_collide(spark, monkeypatch):
     assert got == {i: brute_quality(t)[4] for i, t in enumerate(texts)}
 
 
+def test_quality_of_a_long_text_filtered(spark):
+    """A filter on the verdict doesn't work the words of a long text out anew for each of them."""
+    text = " ".join(f"word{k % 12_001} of" for k in range(15_000))
+    rows = spark.createDataFrame([(1, text), (2, "short"), (None, None)], "doc_id long, text string")
+    kept = quality.quality_rules(rows).where("kept AND n_repeat_words >= 0").collect()
+    assert [(r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in kept] == [(1, 30_000, brute_quality(text)[4])]
+
+
 def test_quality_of_a_language_without_stop_words(spark):
     text = " ".join(f"slowo{k}" for k in range(60))
     rows = spark.createDataFrame([(1, text, "pl"), (1, text, "en"), (None, text, None), (2, "the " + text, "pl")], "doc_id long, text string, lang string")
