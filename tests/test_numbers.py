@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions import columns as c
-from keelson.functions.ranking import ranks_desc
+from keelson.functions.ranking import ranks_desc, ranks_of_means
 from keelson.operators import audit, compare, diagnose, robust, score, serve
 from keelson.plans.run import Run, forget, stamp
+from keelson.registry import CUSTOMERS
 from keelson.sources import files
 
 DATA, METHODS = "/root/testdata/sf0.001", ["equal", "pca", "bod", "entropy", "geometric"]
@@ -55,6 +56,31 @@ def test_ranks_are_the_same_by_window_and_by_parts(spark, within, ties):
     assert key(a) == key(b)
 
 
+@pytest.mark.parametrize("window_rows", [1 << 20, 1])
+def test_sums_in_another_order_stay_tied(spark, window_rows):
+    """0.1 + 0.2 isn't 0.3 in the last bit, but as means they are tied."""
+    rows = [(1, 0.3, 0), (2, 0.1 + 0.2, 0), (3, 0.2, 0), (4, None, 0)]
+    df = spark.createDataFrame(rows, "entity long, equal double, grp int")
+    got = ranks_of_means(df, {"r": "equal"}, window_rows=window_rows)
+    assert got.columns == [*df.columns, "r"] and [r["r"] for r in got.orderBy("entity").collect()] == [1, 1, 3, 4]
+    peers = robust.peers(df.select("entity", "equal"), df.select("entity", "grp"))
+    assert sorted((r["entity"], r["peer_rank"]) for r in peers.collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_entities_of_the_same_scores_share_a_rank_without_fills(spark):
+    """The same seven scores, dealt to the pillars in other orders: one rank, with fills and without."""
+    rnd = random.Random(3)
+    registry = CUSTOMERS.table(spark).where("role = 'scoring'").limit(0).unionByName(
+        spark.createDataFrame([(i, p, p, "scoring", "positive", "average", 9, 2000, 2001, False, [p], None, "", "") for i, p in enumerate("ABCDEFG")], CUSTOMERS.table(spark).schema)
+    )
+    same = [11.1, 22.2, 33.3, 44.4, 55.7, 66.1, 77.9]
+    rows = [(e, 0, p, x) for e in range(40) for p, x in zip("ABCDEFG", rnd.sample(same, 7))]
+    norm = spark.createDataFrame(rows, "entity long, grp int, variable_name string, norm_score double")
+    none = spark.createDataFrame([], "entity long, variable_name string")
+    got = robust.without_fills(norm, none, registry).collect()
+    assert len(got) == 40 and {(r["rank_base"], r["rank_pure"], r["shift"]) for r in got} == {(1, 1, 0)}
+
+
 @pytest.mark.parametrize("ties", ["min", "average"])
 def test_ranks_of_many_columns_in_one_pass(spark, ties):
     """A value that holds most rows, constants, all NULL, ties across cuts; several columns at once as each alone."""
