@@ -9,10 +9,14 @@ partitions. What talks to the service is a function named by an option, ``module
 from __future__ import annotations
 
 import importlib
+import io
 import json
+import pickle
+import tempfile
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +30,8 @@ FORMAT = "keelson_series"
 #: Server answers worth another try.
 RETRY_ON = ("502", "504", "524", "timed out", "timeout")
 OK, EMPTY, FAILED = "OK", "EMPTY", "FAILED"
+#: Rows of an answer that a task holds at a time, and the bytes that it holds before they go to its disk.
+CHUNK, HELD_BYTES = 5000, 8 << 20
 ROWS = "variable_name string, series_code string, key string, year int, value double, status string, error string, seconds double"
 
 
@@ -39,7 +45,7 @@ class Series:
     y1: int
 
 
-def with_retries(fetch: Callable[[], list], tries: int = 3, first_wait: float = 15.0, sleep: Callable[[float], None] = time.sleep) -> list:
+def with_retries(fetch: Callable, tries: int = 3, first_wait: float = 15.0, sleep: Callable[[float], None] = time.sleep):
     """``fetch()``; again after 15, 30, 60 seconds for server errors that pass."""
     for n in range(tries + 1):
         try:
@@ -51,6 +57,15 @@ def with_retries(fetch: Callable[[], list], tries: int = 3, first_wait: float =
     return []
 
 
+def chunks(held: IO[bytes]) -> Iterator[list]:
+    """Lists of rows, as they were written one after another."""
+    while True:
+        try:
+            yield pickle.load(held)
+        except EOFError:
+            return
+
+
 def named(function: str) -> Callable:
     module, _, name = function.partition(":")
     return getattr(importlib.import_module(module), name)
@@ -105,19 +120,51 @@ class SeriesReader(DataSourceReader):
         s, began = partition.series, time.time()
         keep = self.options.get("failures", "raise") == "rows"
         try:
-            got = with_retries(lambda: list(named(self.options["fetch"])(self.options, s.series_code, s.y0, s.y1)), int(self.options.get("tries", 3)), float(self.options.get("firstwait", 15)))
-            rows = [(k, int(y), None if v is None else float(v)) for k, y, v in got if s.y0 <= int(y) <= s.y1]
+            held, bad = with_retries(lambda: self._held(s), int(self.options.get("tries", 3)), float(self.options.get("firstwait", 15)))
+            if bad:
+                held.close()
+                raise bad
         except Exception as e:  # noqa: BLE001
             if not keep:
                 raise
             yield s.variable_name, s.series_code, None, None, None, FAILED, f"{type(e).__name__}: {e}"[:200], time.time() - began
             return
-        took = time.time() - began
-        for k, y, v in rows:
-            yield s.variable_name, s.series_code, k, y, v, OK, None, took
-        if not rows and not self.only_values:
+        took, empty = time.time() - began, True
+        with held:
+            for rows in chunks(held):
+                empty = False
+                for k, y, v in rows:
+                    yield s.variable_name, s.series_code, k, y, v, OK, None, took
+        if empty and not self.only_values:
             yield s.variable_name, s.series_code, None, None, None, EMPTY, None, took
 
+    def _held(self, s: Series) -> tuple[IO[bytes], Exception | None]:
+        """The rows of a series in a file of this task, and what is no row, if anything is.
+
+        An answer counts once it is whole, so no row is handed on before the last one came; but only a chunk of it is in memory.
+        """
+        held = tempfile.SpooledTemporaryFile(HELD_BYTES)
+        try:
+            rows = []
+            for answer in named(self.options["fetch"])(self.options, s.series_code, s.y0, s.y1):
+                try:
+                    k, y, v = answer
+                    y, v = int(y), None if v is None else float(v)
+                except (TypeError, ValueError) as bad:
+                    return held, bad
+                if s.y0 <= y <= s.y1:
+                    rows.append((k, y, v))
+                if len(rows) == CHUNK:
+                    pickle.dump(rows, held)
+                    rows = []
+            if rows:
+                pickle.dump(rows, held)
+        except BaseException:
+            held.close()
+            raise
+        held.seek(0)
+        return held, None
+
 
 class SeriesSource(DataSource):
     """Options: ``series`` (JSON of Series), ``fetch``, ``tries``, ``firstwait`` seconds, ``failures``: "raise", or "rows" that say what failed; others are for ``fetch``.
@@ -216,15 +263,15 @@ def export(long: DataFrame, root: str) -> None:
 
 
 def from_folder(options: dict, series_code: str, y0: int, y1: int) -> Iterator[tuple[str, int, float | str]]:
-    """Answers out of a folder, page by page; a series without one is not known there."""
+    """Answers out of a folder, page by page and line by line; a series without one is not known there."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(options["root"])
     folder = f"{path.rstrip('/')}/variable_name={series_code}"
     for page in sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path):
         if page.base_name.startswith("part-"):
-            with store.open_input_stream(page.path) as f:
-                for line in f.read().decode().splitlines():
+            with store.open_input_stream(page.path, buffer_size=1 << 20) as f:
+                for line in io.TextIOWrapper(f, encoding="utf-8", newline="\n"):
                     r = json.loads(line)
                     if y0 <= r["year"] <= y1:
                         yield r["key"], r["year"], r["value"]

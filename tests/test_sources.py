@@ -116,6 +116,53 @@ def test_a_service_of_files(spark, tmp_path):
     assert sorted((r["variable_name"], r["error"].split(":")[0]) for r in got if r["status"] == "FAILED") == [("b", "ValueError"), ("c", "FileNotFoundError")]
 
 
+def many(options, code, y0, y1):
+    """A long answer, row by row; a service that dies in the middle of one, or sends what is no number."""
+    for i in range(int(options["rows"])):
+        if code == "dies" and i == 15000:
+            raise OSError("connection reset")
+        yield f"key {i:06d}", y0, "words" if code == "words" and i == 15000 else i
+
+
+def test_a_long_answer_is_whole_but_never_in_memory_at_once(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(series, "HELD_BYTES", 1 << 19)
+
+    def read(code, n):
+        r = series.SeriesReader({"series": "[]", "fetch": "tests.test_sources:many", "rows": str(n), "failures": "rows"})
+        return r.read(series.SeriesPartition(Series("x", code, 2000, 2001)))
+
+    peaks = []
+    for n in (100_000, 300_000):
+        tracemalloc.start()
+        rows = read("long", n)
+        assert sum(r[4] for r in rows) == n * (n - 1) / 2
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+    # no row of an answer that isn't whole is handed on
+    for code, error in (("dies", "OSError"), ("words", "ValueError")):
+        assert [(r[2], r[5], r[6].split(":")[0]) for r in read(code, 40_000)] == [(None, "FAILED", error)]
+
+
+def test_pages_are_read_line_by_line(tmp_path):
+    """A page as large as a task's memory is no list; what only Python takes for a line's end stays in its line."""
+    import tracemalloc
+
+    peaks = []
+    for n in (50_000, 200_000):
+        os.makedirs(tmp_path / str(n) / "variable_name=a")
+        with open(tmp_path / str(n) / "variable_name=a" / "part-0.json", "w", encoding="utf-8") as f:
+            for i in range(n):
+                f.write(json.dumps({"key": f"k\u2028{i}", "year": 2000, "value": "1.5"}, ensure_ascii=False) + "\n")
+        tracemalloc.start()
+        assert sum(1 for k, y, v in series.from_folder({"root": f"file://{tmp_path}/{n}"}, "a", 2000, 2000) if k.startswith("k\u2028") and v == "1.5") == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 # -- versions -----------------------------------------------------------------
 def test_versions(spark, tmp_path):
     v = Versions(spark, f"file://{tmp_path}/v")
