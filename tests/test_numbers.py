@@ -81,6 +81,17 @@ def test_entities_of_the_same_scores_share_a_rank_without_fills(spark):
     assert len(got) == 40 and {(r["rank_base"], r["rank_pure"], r["shift"]) for r in got} == {(1, 1, 0)}
 
 
+def test_tasks_of_a_large_ranking_hold_few_rows(spark, monkeypatch):
+    """However small its rows are in a shuffle, a large group isn't one task's."""
+    from keelson.functions import ranking
+
+    assert ranking.WINDOW_ROWS <= ranking.TASK_ROWS < 1 << 20
+    monkeypatch.setattr(ranking, "TASK_ROWS", 200)
+    got = ranks_desc(spark.range(4000).select("id", F.col("id").cast("double").alias("x")), {"r": "x"}, window_rows=50)
+    tasks = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(tasks) < 1000 and sorted((r["id"], r["r"]) for r in got.collect()) == [(i, 4000 - i) for i in range(4000)]
+
+
 @pytest.mark.parametrize("ties", ["min", "average"])
 def test_ranks_of_many_columns_in_one_pass(spark, ties):
     """A value that holds most rows, constants, all NULL, ties across cuts; several columns at once as each alone."""
