@@ -35,6 +35,20 @@ def test_means_do_not_depend_on_the_order(spark):
     assert seen == {(sum(cents) / 1600, 7.6 / 3)}
 
 
+def test_entropy_weights_do_not_depend_on_the_order(spark):
+    rnd = random.Random(11)
+    rows = [(e, 0, p, None if rnd.random() < 0.05 else rnd.uniform(40, 42)) for e in range(1000) for p in "ABCDEFG"]
+    seen = set()
+    for parts in (1, 3, 7):
+        rnd.shuffle(rows)
+        df = spark.createDataFrame(rows, "entity long, grp int, pillar string, score double").repartition(parts)
+        seen.add(tuple((r["pillar"], r["w"]) for r in score.entropy_weights(df).orderBy("pillar").collect()))
+    assert len(seen) == 1
+    # what fits no decimal is summed as doubles
+    far = spark.createDataFrame([(1e30,), (2e30,), (None,)], "x double").agg(c.steady_sum("x", 18).alias("s")).first()["s"]
+    assert far == pytest.approx(3e30)
+
+
 # -- ranks: the plan may change with the size, results may not -------------------
 @pytest.mark.parametrize("within", [[], ["g"]])
 @pytest.mark.parametrize("ties", ["min", "average", "k"])
