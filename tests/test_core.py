@@ -253,3 +253,10 @@ def test_sources(spark, tmp_path):
     assert files.read_table(spark, f"{tmp_path}/raw.csv", df.schema).collect() == df.collect()
     first = files.freeze(df, f"{tmp_path}/frozen")
     assert files.freeze(df.withColumn("value", F.lit(9.0)), f"{tmp_path}/frozen").collect() == first.collect() == df.collect()
+
+
+def test_observations_travel_once_to_be_aggregated(spark):
+    """The window of the latest years and the grouping after it share one exchange."""
+    r = run(spark, [(1, 0, "x", 2015, 1.0), (2, 0, "x", 2016, 2.0)], [indicator("x")])
+    plan = clean.aggregate(r.obs, r.registry)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(entity") == 1
