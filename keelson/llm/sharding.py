@@ -143,10 +143,15 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
 _UNIT = ["_bucket", "b0", "b1", "rows", "n1", "groups"]
 
 
-def in_units(groups: DataFrame, width) -> DataFrame:
-    """Runs of neighbouring groups, cut where their running sum passes a multiple of ``width``."""
-    unit = F.floor((F.col("_b_end") - 1) / F.greatest(width, F.lit(1))).cast("long")
-    return groups.groupBy("_bucket", unit.alias("_u")).agg(
+def in_units(groups: DataFrame) -> DataFrame:
+    """Runs of neighbouring groups inside the stretch of a bucket that begins ``_from``, cut where their running sum passes a multiple of ``_width``.
+
+    The first group of a stretch is a unit of its own, so each stretch of several groups is parted, whatever their sizes. Units
+    of two stretches are never one, though their numbers may be the same.
+    """
+    begin = F.col("_b_end") - F.col("_group_b")
+    unit = F.when(begin == F.col("_from"), -1).otherwise(F.floor((F.col("_b_end") - 1) / F.col("_width"))).cast("long")
+    return groups.groupBy("_bucket", "_from", unit.alias("_u")).agg(
         F.min(F.col("_b_end") - F.col("_group_b")).alias("b0"), F.max("_b_end").alias("b1"), F.sum("_group_n").alias("rows"),
         F.max("_n_end").alias("n1"), F.count(F.lit(1)).alias("groups"),
     )
@@ -157,7 +162,8 @@ def units_of(groups: DataFrame, shards: int, units: int) -> tuple[int, list[tupl
     total, largest = groups.agg(F.sum("_group_b"), F.max("_group_b")).first()
     if not total:
         return 0, []
-    rows = sorted(tuple(r) for r in in_units(groups, F.lit(max(1, total // units))).select(*_UNIT).collect())
+    whole = groups.withColumns({"_from": F.lit(0).cast("long"), "_width": F.lit(max(1, total // units)).cast("long")})
+    rows = sorted(tuple(r) for r in in_units(whole).select(*_UNIT).collect())
     while True:
         ends = np.cumsum([r[2] - r[1] for r in rows])
         single = np.array([r[5] == 1 for r in rows])
@@ -170,8 +176,8 @@ def units_of(groups: DataFrame, shards: int, units: int) -> tuple[int, list[tupl
         finer = [(rows[k][0], rows[k][1], rows[k][2], max(1, (rows[k][2] - rows[k][1]) // parts)) for k in open_]
         asked = groups.sparkSession.createDataFrame(finer, "_bucket int, _from long, _to long, _width long")
         inside = groups.join(F.broadcast(asked), "_bucket").where("_b_end > _from AND _b_end <= _to")
-        new = in_units(inside, F.col("_width")) if len(set(w for *_, w in finer)) > 1 else in_units(inside, F.lit(finer[0][3]))
-        rows = sorted({r for k, r in enumerate(rows) if k not in set(open_.tolist())} | {tuple(r) for r in new.select(*_UNIT).collect()})
+        known = set(open_.tolist())
+        rows = sorted([r for k, r in enumerate(rows) if k not in known] + [tuple(r) for r in in_units(inside).select(*_UNIT).collect()])
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, units: int = UNITS) -> DataFrame:

@@ -116,6 +116,30 @@ def test_capacity_of_the_table_is_exact_however_coarse_the_units(spark):
             assert max(total.values()) == want and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+@pytest.mark.parametrize("units", [64, 1024])
+def test_units_of_one_bucket_are_refined_apart(spark, monkeypatch, units):
+    """Few buckets, many shards: a bucket has several open units, of unlike width. The capacity is that of all groups at once, after a few rounds."""
+    asked, plain = [], sharding.undecided
+
+    def counting(*args):
+        asked.append(plain(*args))
+        assert len(asked) < 20, "the search doesn't end"
+        return asked[-1]
+
+    monkeypatch.setattr(sharding, "undecided", counting)
+    rng = np.random.default_rng(units)
+    sizes = np.where(rng.random(6000) < 0.02, rng.integers(5000, 20000, 6000), rng.integers(16, 900, 6000))
+    bucket = np.sort(rng.integers(0, 3, 6000))
+    ends = np.concatenate([np.cumsum(sizes[bucket == b]) for b in range(3)])
+    nth = np.concatenate([np.arange(1, (bucket == b).sum() + 1) for b in range(3)])
+    rows = list(zip(bucket.tolist(), ends.tolist(), sizes.tolist(), [1] * 6000, nth.tolist()))
+    groups = spark.createDataFrame(rows, "_bucket int, _b_end long, _group_b long, _group_n long, _n_end long")
+    capacity, known = sharding.units_of(groups, 40, units)
+    assert asked and capacity == sharding.minimax_cuts(sizes, 40)[0]
+    assert sum(r[2] - r[1] for r in known) == sizes.sum() and sum(r[3] for r in known) == sum(r[5] for r in known) == 6000
+    assert all(a[2] == b[1] for a, b in zip(known, known[1:]) if a[0] == b[0])  # no gaps, no overlaps
+
+
 def test_shards_of_null_and_repeated_identifiers(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (3, "a"), (3, "b"), (3, "b"), (None, None)], "doc_id long, text string")
     rows = sharding.shard(docs, shards=2).collect()
