@@ -263,6 +263,34 @@ def test_any_failure_of_a_method_is_nulls(spark):
     assert len(got) == 12 and all(r["equal"] is not None and r["bad"] is None and r["worse"] is None for r in got)
 
 
+def test_a_failure_of_a_built_in_method_is_no_result(spark, monkeypatch):
+    """Its NULLs would look like scores that can't be computed, and every rank would follow from them."""
+    p = pillar_rows(spark, np.random.default_rng(0).random((12, 7)) * 100)
+
+    def full(df):
+        raise OSError("no space left on device")
+
+    monkeypatch.setattr(score, "kept", full)
+    with pytest.raises(OSError, match="no space"):
+        score.all_scores(p)
+    r = Run(p, spark.createDataFrame([(e, 1) for e in range(12)], "entity long, grp int"), CUSTOMERS)
+    r.__dict__["pillars"] = p
+    with pytest.raises(OSError, match="no space"):
+        r.ranks(METHODS)
+
+
+def test_rows_name_the_methods_that_failed(spark):
+    p = pillar_rows(spark, np.random.default_rng(0).random((12, 7)) * 100)
+
+    def bad(pillars, params):
+        raise KeyError("no such thing")
+
+    with pytest.warns(UserWarning, match="KeyError"):
+        got = score.all_scores(p, methods={"bad": bad, "equal": score.equal}).collect()
+    assert len(got) == 12 and all(r["failed"] == ["bad"] and r["bad"] is None and r["equal"] is not None for r in got)
+    assert {tuple(r["failed"]) for r in score.all_scores(p, methods={"equal": score.equal}).collect()} == {()}
+
+
 # -- audits ---------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def run(spark):
