@@ -49,6 +49,19 @@ def test_entropy_weights_do_not_depend_on_the_order(spark):
     assert far == pytest.approx(3e30)
 
 
+def test_geometric_means_do_not_depend_on_the_order(spark):
+    """The same seven scores, dealt to the pillars in other orders, are one mean to the last bit; none or one score too."""
+    rnd = random.Random(21)
+    sets = [[round(rnd.uniform(1, 100), 4) for _ in range(7)] for _ in range(20)]
+    rows = [(100 * k + e, 0, p, x) for k, same in enumerate(sets) for e in range(20) for p, x in zip("ABCDEFG", rnd.sample(same, 7))]
+    rows += [(9000, 0, p, None) for p in "ABCDEFG"] + [(9001, 0, "A", 0.0), (9001, 0, "B", None)]
+    got = {r["entity"]: r["score"] for r in score.geometric(spark.createDataFrame(rows, "entity long, grp int, pillar string, score double")).collect()}
+    assert got[9000] is None and got[9001] == pytest.approx(1e-8)
+    for k, same in enumerate(sets):
+        found = {got[100 * k + e] for e in range(20)}
+        assert len(found) == 1 and found.pop() == pytest.approx(math.exp(sum(map(math.log, same)) / 7), rel=1e-14)
+
+
 # -- ranks: the plan may change with the size, results may not -------------------
 @pytest.mark.parametrize("within", [[], ["g"]])
 @pytest.mark.parametrize("ties", ["min", "average", "k"])
